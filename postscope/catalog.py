@@ -104,3 +104,90 @@ def q_tag_success(spark, sf):
 @query("latest_errors")
 def q_latest_errors(spark, sf):
     return stats.latest_errors(_actions(spark, sf))
+
+
+# ---- storage round trips (S2, S3, U1) -------------------------------------
+
+def _log_columns(df):
+    return df.select("id", "timestamp", "account", "action_type", "media_id", "hashtag", "comment",
+                     "error", "post_link")
+
+
+@query("append_roundtrip")
+def q_append_roundtrip(spark, sf):
+    from .session import scratch_path
+    from .sources.actions import append_actions, read_actions
+    a = _actions(spark, sf)
+    path = scratch_path(spark, "append")
+    split = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    append_actions(a.filter(split), path)          # creates the log
+    append_actions(a.filter(~split), path)         # appends to it
+    back = read_actions(spark, path)
+    return _log_columns(back)
+
+
+@query("evolved_union")
+def q_evolved_union(spark, sf):
+    from .sources.actions import union_evolved, v1_projection
+    a = _actions(spark, sf)
+    old = v1_projection(a.filter(F.col("id") % 2 == 0))
+    new = a.filter(F.col("id") % 2 == 1)
+    return _log_columns(union_evolved(old, new.select(*old.columns, "post_link")))
+
+
+@query("evolved_scan")
+def q_evolved_scan(spark, sf):
+    from .session import scratch_path
+    from .sources.actions import append_actions, read_actions, v1_projection, with_date
+    a = _actions(spark, sf)
+    path = scratch_path(spark, "evolve")
+    old = v1_projection(a.filter(F.col("id") % 2 == 0))
+    with_date(old).write.mode("append").partitionBy("date").parquet(path)   # first schema version
+    append_actions(a.filter(F.col("id") % 2 == 1), path)                     # after the migration
+    return _log_columns(read_actions(spark, path, evolve=True))
+
+
+# ---- tag lists (F1, F2, W1, W2, P11, A13) -----------------------------------
+
+def _tag_lists(spark, sf):
+    from .operators import tags as T
+    return T.admitted(td.tags(spark, sf), T.TAG_CAP)
+
+
+@query("normalize_tags")
+def q_normalize_tags(spark, sf):
+    from .operators import tags as T
+    return T.normalize_tags(td.tags(spark, sf)).select("account", "list_name", "seq", "raw", "tag", "valid")
+
+
+@query("dedupe_tags")
+def q_dedupe_tags(spark, sf):
+    from .operators import tags as T
+    return T.dedupe_tags(td.tags(spark, sf))
+
+
+@query("admit_tags")
+def q_admit_tags(spark, sf):
+    from .operators import tags as T
+    return T.admit_tags(td.tags(spark, sf), T.TAG_CAP)
+
+
+@query("admit_tags_cap5")
+def q_admit_tags_cap5(spark, sf):
+    from .operators import tags as T
+    return T.admit_tags(td.tags(spark, sf), 5)
+
+
+@query("remove_tags")
+def q_remove_tags(spark, sf):
+    from .operators import tags as T
+    lists = _tag_lists(spark, sf)
+    removals = lists.filter(F.lower("tag").isin("tag3", "tag7")).select("account", "list_name", "tag")
+    clears = lists.filter((F.col("account").cast("long") % 10 == 0) & (F.col("list_name") == "avoid"))
+    return T.remove_tags(lists, removals, clears)
+
+
+@query("tag_list_size")
+def q_tag_list_size(spark, sf):
+    from .operators import tags as T
+    return T.tag_list_size(_tag_lists(spark, sf))

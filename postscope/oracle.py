@@ -100,3 +100,51 @@ SQL["tag_success"] = w(ACTIONS) + _RATE.format(key="hashtag,", where="WHERE hash
 SQL["latest_errors"] = w(ACTIONS) + """
 SELECT id, "timestamp", action_type, error FROM actions WHERE action_type = 'error'
 ORDER BY "timestamp" DESC, id DESC LIMIT 10"""
+
+_LOG_COLS = 'id, "timestamp", account, action_type, media_id, hashtag, comment, error'
+
+SQL["append_roundtrip"] = w(ACTIONS) + f"SELECT {_LOG_COLS}, post_link FROM actions"
+SQL["evolved_union"] = w(ACTIONS) + f"SELECT {_LOG_COLS}, CASE WHEN id % 2 = 1 THEN post_link END AS post_link FROM actions"
+SQL["evolved_scan"] = SQL["evolved_union"]
+
+TAGS = """tags AS (
+  SELECT account,
+         CASE WHEN id % 4 = 0 THEN 'avoid' ELSE 'hashtags' END AS list_name,
+         id AS seq,
+         CASE WHEN id % 11 = 0 THEN 'bad-tag'
+              ELSE (CASE WHEN id % 3 = 0 THEN '#' ELSE '' END) ||
+                   (CASE WHEN id % 5 = 0 THEN upper(hashtag) ELSE hashtag END) END AS raw
+  FROM actions WHERE hashtag IS NOT NULL),
+norm AS (
+  SELECT *, lower(tag) AS key,
+         tag <> '' AND regexp_full_match(tag, '[\\p{L}\\p{N}_]+') AND regexp_matches(tag, '[\\p{L}\\p{N}]') AS valid
+  FROM (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '^#', '') AS tag FROM tags))"""
+
+
+def admit(cap: int) -> str:
+    return f"""ranked AS (
+  SELECT *, CASE WHEN valid THEN row_number() OVER (PARTITION BY account, list_name, valid, key ORDER BY seq) END AS rn
+  FROM norm),
+keypos AS (
+  SELECT account, list_name, key, row_number() OVER (PARTITION BY account, list_name ORDER BY first_seq) AS keypos
+  FROM (SELECT account, list_name, key, min(seq) AS first_seq FROM norm WHERE valid GROUP BY ALL)),
+admitted AS (
+  SELECT account, list_name, seq, raw, tag,
+         CASE WHEN tag = '' THEN 'empty' WHEN NOT valid THEN 'invalid'
+              WHEN keypos > {cap} THEN 'too_many' WHEN rn > 1 THEN 'duplicate' ELSE 'ok' END AS status
+  FROM ranked LEFT JOIN keypos USING (account, list_name, key))"""
+
+
+SQL["normalize_tags"] = w(ACTIONS, TAGS) + "SELECT account, list_name, seq, raw, tag, valid FROM norm"
+SQL["dedupe_tags"] = w(ACTIONS, TAGS) + """
+SELECT account, list_name, seq, tag FROM norm WHERE valid
+QUALIFY row_number() OVER (PARTITION BY account, list_name, key ORDER BY seq) = 1"""
+SQL["admit_tags"] = w(ACTIONS, TAGS, admit(30)) + "SELECT * FROM admitted"
+SQL["admit_tags_cap5"] = w(ACTIONS, TAGS, admit(5)) + "SELECT * FROM admitted"
+SQL["remove_tags"] = w(ACTIONS, TAGS, admit(30)) + """
+SELECT account, list_name, seq, tag FROM admitted
+WHERE status = 'ok' AND lower(tag) NOT IN ('tag3', 'tag7')
+  AND NOT (account::BIGINT % 10 = 0 AND list_name = 'avoid')"""
+SQL["tag_list_size"] = w(ACTIONS, TAGS, admit(30)) + """
+SELECT account, list_name, count(*) AS n, count(*)::VARCHAR || '/30' AS label
+FROM admitted WHERE status = 'ok' GROUP BY ALL"""
