@@ -191,3 +191,164 @@ def q_remove_tags(spark, sf):
 def q_tag_list_size(spark, sf):
     from .operators import tags as T
     return T.tag_list_size(_tag_lists(spark, sf))
+
+
+# ---- screening (P4-P9, J1, J1b, J5, J6, W4, A10) -----------------------------
+
+# fixed fixture parameters (FIXTURES.md): terms that occur in the documents,
+# an avoid list that hits, the viewer account
+FIX_TERMS = ("license", "token")
+FIX_AVOID = ("que", "die", "that")
+
+
+def _posts(spark, sf):
+    return td.posts(spark, sf)
+
+
+@query("keyword_screen")
+def q_keyword_screen(spark, sf):
+    from .operators import screening as S
+    return S.keyword_screen(_posts(spark, sf), FIX_TERMS).select("media_id", "kw_hit")
+
+
+@query("avoid_screen")
+def q_avoid_screen(spark, sf):
+    from .operators import screening as S
+    return S.avoid_screen(_posts(spark, sf), FIX_AVOID).select("media_id", "avoid_hit")
+
+
+@query("own_posts")
+def q_own_posts(spark, sf):
+    from .operators import screening as S
+    return S.own_post(_posts(spark, sf), td.VIEWER_ID).select("media_id", "own_post")
+
+
+@query("verdict_parse")
+def q_verdict_parse(spark, sf):
+    from .operators import screening as S
+    return S.parse_verdict(td.verdicts(spark, sf)).select("media_id", "sensitive", "description")
+
+
+@query("safety_gate")
+def q_safety_gate(spark, sf):
+    from .operators import screening as S
+    return S.safety_gate(_posts(spark, sf), td.verdicts(spark, sf), allow_sensitive=False).select("media_id")
+
+
+def _decisions(spark, sf):
+    from .operators import screening as S
+    return S.decide(_posts(spark, sf), _actions(spark, sf), td.verdicts(spark, sf), td.VIEWER_ID,
+                    terms=FIX_TERMS, avoid=FIX_AVOID, allow_sensitive=False)
+
+
+@query("decisions")
+def q_decisions(spark, sf):
+    return _decisions(spark, sf)
+
+
+@query("funnel")
+def q_funnel(spark, sf):
+    from .operators import screening as S
+    return S.funnel(_decisions(spark, sf))
+
+
+def _likes(spark, sf):
+    return _actions(spark, sf).filter(F.col("action_type") == "like").select("id", "media_id")
+
+
+@query("not_yet_commented")
+def q_not_yet_commented(spark, sf):
+    from .operators import screening as S
+    return S.not_yet(_likes(spark, sf), _actions(spark, sf), "comment")
+
+
+@query("already_commented")
+def q_already_commented(spark, sf):
+    from .operators import screening as S
+    return S.already(_likes(spark, sf), _actions(spark, sf), "comment")
+
+
+@query("screen_by_table")
+def q_screen_by_table(spark, sf):
+    from .operators import screening as S
+    return S.screen_by_table(_posts(spark, sf), td.screen_terms(spark, sf))
+
+
+@query("screen_by_table_blocked")
+def q_screen_by_table_blocked(spark, sf):
+    from .operators import screening as S
+    return S.screen_by_table(_posts(spark, sf), td.screen_terms(spark, sf), strategy="blocked")
+
+
+@query("recent_per_tag")
+def q_recent_per_tag(spark, sf):
+    from .operators import screening as S
+    return S.recent_per_tag(_posts(spark, sf)).select("media_id", "search_tag", "rn")
+
+
+@query("candidates")
+def q_candidates(spark, sf):
+    from .operators import screening as S
+    from .operators import tags as T
+    lists = T.admitted(td.source_tags(spark, sf))
+    return S.candidates(lists, _posts(spark, sf)).select("account", "seq", "search_tag", "media_id")
+
+
+# ---- quota and audits (W3, W6, W7, P12, P13, A12, O5) ------------------------
+
+FIX_TZ = "America/Argentina/Buenos_Aires"
+
+
+def _quota_cands(spark, sf):
+    from .operators.quota import with_history
+    a = _actions(spark, sf)
+    start = F.lit(td.HISTORY_BEFORE).cast("timestamp_ntz")
+    done = a.filter((F.col("ts") < start) & (F.col("event_type") != "error"))
+    cands = (a.filter(F.col("ts") >= start)
+             .select("id", "ts", "account", F.date_format("date", "yyyy-MM-dd").alias("date"), "media_id",
+                     (F.col("event_type") != "error").alias("ok")))
+    return with_history(cands, done)
+
+
+@query("quota")
+def q_quota(spark, sf):
+    from .operators.quota import apply_quota
+    out = apply_quota(_quota_cands(spark, sf), cap=2, by=["account", "date"])
+    return out.select("id", "account", "date", "media_id", "attempted", "accepted")
+
+
+@query("quota_audit")
+def q_quota_audit(spark, sf):
+    from .operators.audits import quota_audit
+    a = _actions(spark, sf)
+    return quota_audit(a, 2).select("id", "account", F.date_format("date", "yyyy-MM-dd").alias("date"), "action_type")
+
+
+@query("gap_audit")
+def q_gap_audit(spark, sf):
+    from .operators.audits import gap_audit
+    return gap_audit(_actions(spark, sf)).select("id", "account", "gap_us", "too_close")
+
+
+@query("active_hours")
+def q_active_hours(spark, sf):
+    from .operators.audits import active_hours
+    return active_hours(_actions(spark, sf), tz=FIX_TZ).select("id", "local_hour")
+
+
+@query("hour_profile")
+def q_hour_profile(spark, sf):
+    from .operators.audits import hour_profile
+    return hour_profile(_actions(spark, sf), tz=FIX_TZ)
+
+
+@query("hash_sample")
+def q_hash_sample(spark, sf):
+    from .operators.audits import hash_sample
+    return hash_sample(_actions(spark, sf), "id", 10, 7).select("id", "account", "action_type")
+
+
+@query("seeded_order")
+def q_seeded_order(spark, sf):
+    from .operators.audits import seeded_order
+    return seeded_order(_actions(spark, sf).select("id", "account"), "id", 7)

@@ -148,3 +148,134 @@ WHERE status = 'ok' AND lower(tag) NOT IN ('tag3', 'tag7')
 SQL["tag_list_size"] = w(ACTIONS, TAGS, admit(30)) + """
 SELECT account, list_name, count(*) AS n, count(*)::VARCHAR || '/30' AS label
 FROM admitted WHERE status = 'ok' GROUP BY ALL"""
+
+POSTS = """posts AS (
+  SELECT doc_id::VARCHAR AS media_id, 'c' || doc_id AS code, doc_id % 150 AS author_id, text AS caption,
+         n_chars AS like_count, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 40 END AS comment_count,
+         list_distinct(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> ''), 1, 8)) AS hashtags,
+         source AS search_tag,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS taken_at
+  FROM documents)"""
+
+VERDICTS = """verdicts AS (
+  SELECT doc_id::VARCHAR AS media_id,
+         (CASE WHEN toxic = 1 THEN 'Sensitive' ELSE 'safe' END) || chr(10) || 'quality ' || quality AS verdict_text
+  FROM labels),
+parsed AS (
+  SELECT media_id, starts_with(lower(trim(verdict_text)), 'sensitive') AS sensitive,
+         trim(CASE WHEN strpos(verdict_text, chr(10)) > 0 THEN substr(verdict_text, strpos(verdict_text, chr(10)) + 1) ELSE '' END) AS description
+  FROM verdicts)"""
+
+_KW = """(contains(lower(caption), 'license') OR contains(lower(caption), 'token')
+  OR contains(lower(search_tag), 'license') OR contains(lower(search_tag), 'token')
+  OR len(list_filter(hashtags, lambda x: contains(lower(x), 'license') OR contains(lower(x), 'token'))) > 0)"""
+_AVOID = "list_has_any(list_transform(hashtags, lambda x: lower(x)), ['que', 'die', 'that'])"
+
+SQL["keyword_screen"] = w(POSTS) + f"SELECT media_id, {_KW} AS kw_hit FROM posts"
+SQL["avoid_screen"] = w(POSTS) + f"SELECT media_id, coalesce({_AVOID}, false) AS avoid_hit FROM posts"
+SQL["own_posts"] = w(POSTS) + "SELECT media_id, author_id = 0 AS own_post FROM posts"
+SQL["verdict_parse"] = w(VERDICTS) + "SELECT media_id, sensitive, description FROM parsed"
+SQL["safety_gate"] = w(POSTS, VERDICTS) + """
+SELECT media_id FROM posts WHERE media_id NOT IN (SELECT media_id FROM parsed WHERE sensitive)"""
+
+DECISIONS = f"""dec AS (
+  SELECT p.media_id, p.search_tag,
+         NOT EXISTS (SELECT 1 FROM actions a WHERE a.action_type = 'like' AND a.media_id = p.media_id) AS like_eligible,
+         CASE WHEN {_KW} THEN 'keyword'
+              WHEN {_AVOID} THEN 'avoid_tag'
+              WHEN EXISTS (SELECT 1 FROM actions a WHERE a.action_type = 'comment' AND a.media_id = p.media_id) THEN 'already_done'
+              WHEN p.author_id = 0 THEN 'own_post'
+              WHEN EXISTS (SELECT 1 FROM parsed v WHERE v.media_id = p.media_id AND v.sensitive) THEN 'sensitive'
+              ELSE 'ok' END AS reason
+  FROM posts p)"""
+
+SQL["decisions"] = w(ACTIONS, POSTS, VERDICTS, DECISIONS) + """
+SELECT media_id, search_tag, like_eligible, reason = 'ok' AS comment_eligible, reason FROM dec"""
+SQL["funnel"] = w(ACTIONS, POSTS, VERDICTS, DECISIONS) + """
+SELECT search_tag, reason, count(*) AS count FROM dec GROUP BY ALL"""
+
+SQL["not_yet_commented"] = w(ACTIONS) + """
+SELECT id, media_id FROM actions l WHERE action_type = 'like'
+  AND NOT EXISTS (SELECT 1 FROM actions c WHERE c.action_type = 'comment' AND c.media_id = l.media_id)"""
+SQL["already_commented"] = w(ACTIONS) + """
+SELECT id, media_id FROM actions l WHERE action_type = 'like'
+  AND EXISTS (SELECT 1 FROM actions c WHERE c.action_type = 'comment' AND c.media_id = l.media_id)"""
+
+TERMS = """terms AS (
+  SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'avoid' ELSE 'keyword' END AS kind,
+         CASE WHEN item_id % 2 = 0 THEN words[1] ELSE words[3] END AS term
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS words
+        FROM benchmark)
+  WHERE (CASE WHEN item_id % 2 = 0 THEN words[1] ELSE words[3] END) IS NOT NULL)"""
+
+SQL["screen_by_table"] = w(POSTS, TERMS) + """
+SELECT media_id,
+       EXISTS (SELECT 1 FROM terms t WHERE t.kind = 'keyword' AND (
+                 contains(lower(p.caption), t.term) OR contains(lower(p.search_tag), t.term)
+                 OR len(list_filter(p.hashtags, lambda x: contains(lower(x), t.term))) > 0)) AS kw_hit,
+       EXISTS (SELECT 1 FROM terms t WHERE t.kind = 'avoid' AND list_contains(list_transform(p.hashtags, lambda x: lower(x)), t.term)) AS avoid_hit
+FROM posts p"""
+SQL["screen_by_table_blocked"] = SQL["screen_by_table"]
+
+SQL["recent_per_tag"] = w(POSTS) + """
+SELECT media_id, search_tag, rn FROM (
+  SELECT media_id, search_tag, row_number() OVER (PARTITION BY search_tag ORDER BY taken_at DESC, media_id) AS rn
+  FROM posts) WHERE rn <= 10"""
+
+SOURCE_TAGS = """stags AS (
+  SELECT 'acct' || (doc_id % 7) AS account, 'hashtags' AS list_name, doc_id AS seq,
+         CASE WHEN doc_id % 2 = 0 THEN '#' || source ELSE source END AS raw
+  FROM documents),
+slist AS (
+  SELECT account, seq, tag FROM (
+    SELECT *, row_number() OVER (PARTITION BY account, lower(tag) ORDER BY seq) AS rn,
+           dense_rank() OVER (PARTITION BY account ORDER BY first_seq) AS keypos
+    FROM (SELECT *, min(seq) OVER (PARTITION BY account, lower(tag)) AS first_seq
+          FROM (SELECT *, regexp_replace(trim(raw), '^#', '') AS tag FROM stags)))
+  WHERE rn = 1 AND keypos <= 30)"""
+
+SQL["candidates"] = w(POSTS, SOURCE_TAGS) + """
+SELECT s.account, s.seq, r.search_tag, r.media_id FROM slist s JOIN (
+  SELECT * FROM (SELECT media_id, search_tag,
+                        row_number() OVER (PARTITION BY search_tag ORDER BY taken_at DESC, media_id) AS rn
+                 FROM posts) WHERE rn <= 10) r ON r.search_tag = s.tag"""
+
+SQL["quota"] = "WITH " + ACTIONS + """,
+cands AS (
+  SELECT id, ts, account, strftime(date, '%Y-%m-%d') AS date, media_id, event_type <> 'error' AS ok,
+         media_id IN (SELECT media_id FROM actions WHERE ts < TIMESTAMP '2024-01-08' AND event_type <> 'error') AS h
+  FROM actions WHERE ts >= TIMESTAMP '2024-01-08'),
+f AS (
+  SELECT *, (NOT h AND ok AND row_number() OVER (PARTITION BY account, date, media_id, ok ORDER BY ts, id) = 1) AS first_ok
+  FROM cands),
+n AS (
+  SELECT *,
+    coalesce(sum(first_ok::INT) OVER (PARTITION BY account, date ORDER BY ts, id
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before,
+    coalesce(max(first_ok::INT) OVER (PARTITION BY account, date, media_id ORDER BY ts, id
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m_before
+  FROM f)
+SELECT id, account, date, media_id,
+       (NOT h AND n_before < 2 AND m_before = 0) AS attempted,
+       (NOT h AND n_before < 2 AND m_before = 0 AND ok) AS accepted
+FROM n"""
+
+SQL["quota_audit"] = w(ACTIONS) + """
+SELECT id, account, strftime(date, '%Y-%m-%d') AS date, action_type FROM actions
+QUALIFY row_number() OVER (PARTITION BY account, date, action_type ORDER BY ts, id) > 2"""
+
+SQL["gap_audit"] = w(ACTIONS) + """
+SELECT id, account, gap_us, coalesce(gap_us < 1309000000, false) AS too_close FROM (
+  SELECT id, account, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY account ORDER BY ts, id) AS gap_us
+  FROM actions)"""
+
+_LOCAL_HOUR = "hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Argentina/Buenos_Aires')"
+SQL["active_hours"] = w(ACTIONS) + f"""
+SELECT id, {_LOCAL_HOUR} AS local_hour FROM actions WHERE {_LOCAL_HOUR} BETWEEN 8 AND 23"""
+SQL["hour_profile"] = w(ACTIONS) + f"SELECT {_LOCAL_HOUR} AS hour, count(*) AS count FROM actions GROUP BY 1"
+
+SQL["hash_sample"] = w(ACTIONS) + """
+SELECT id, account, action_type FROM actions
+WHERE ('0x' || substr(md5(id::VARCHAR || '|' || '7'), 1, 8))::BIGINT % 100 < 10"""
+SQL["seeded_order"] = w(ACTIONS) + """
+SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY md5(id::VARCHAR || '|7'), id) AS rn FROM actions"""
