@@ -352,3 +352,61 @@ def q_hash_sample(spark, sf):
 def q_seeded_order(spark, sf):
     from .operators.audits import seeded_order
     return seeded_order(_actions(spark, sf).select("id", "account"), "id", 7)
+
+
+# ---- enrichment (J2-J4, F6, F9-F15) -----------------------------------------
+
+@query("post_details")
+def q_post_details(spark, sf):
+    from .operators.enrich import with_author
+    d = with_author(_posts(spark, sf), td.authors(spark, sf))
+    return d.select("media_id", "username", "full_name", "caption", "like_count", "comment_count")
+
+
+@query("following_flag")
+def q_following_flag(spark, sf):
+    from .operators.enrich import with_following
+    return with_following(_posts(spark, sf), td.follows(spark, sf), td.VIEWER_ID).select("media_id", "author_id", "is_following")
+
+
+@query("title_match")
+def q_title_match(spark, sf):
+    from .operators.enrich import title_match
+    return title_match(_posts(spark, sf), td.shelf(spark, sf)).select("media_id", "position", "book_title", "book_rating", "book_review")
+
+
+@query("title_match_blocked")
+def q_title_match_blocked(spark, sf):
+    from .operators.enrich import title_match
+    return (title_match(_posts(spark, sf), td.shelf(spark, sf), strategy="blocked")
+            .select("media_id", "position", "book_title", "book_rating", "book_review"))
+
+
+@query("post_links")
+def q_post_links(spark, sf):
+    from .operators.enrich import links
+    return links(_posts(spark, sf), td.LINK_PREFIX)
+
+
+@query("shelf_excerpt")
+def q_shelf_excerpt(spark, sf):
+    from .operators.enrich import book_features
+    return book_features(td.shelf(spark, sf)).select("position", "book_rating", "book_review")
+
+
+@query("detect_language")
+def q_detect_language(spark, sf):
+    from .functions.language import detect_language
+    return _posts(spark, sf).select("media_id", detect_language("caption").alias("lang"))
+
+
+@query("post_brief")
+def q_post_brief(spark, sf):
+    from .operators.enrich import post_brief, with_author
+    return post_brief(with_author(_posts(spark, sf), td.authors(spark, sf)))
+
+
+@query("post_features")
+def q_post_features(spark, sf):
+    from .operators.enrich import post_features
+    return post_features(_posts(spark, sf), td.authors(spark, sf), td.follows(spark, sf), td.shelf(spark, sf), td.VIEWER_ID)

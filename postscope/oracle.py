@@ -279,3 +279,64 @@ SELECT id, account, action_type FROM actions
 WHERE ('0x' || substr(md5(id::VARCHAR || '|' || '7'), 1, 8))::BIGINT % 100 < 10"""
 SQL["seeded_order"] = w(ACTIONS) + """
 SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY md5(id::VARCHAR || '|7'), id) AS rn FROM actions"""
+
+AUTHORS = """authors AS (
+  SELECT c_custkey AS author_id, c_name AS username, c_name || ' ' || c_mktsegment AS full_name FROM customer)"""
+FOLLOWS = """follows AS (
+  SELECT DISTINCT user_id AS follower_id, (props->>'$.k')::BIGINT AS followee_id FROM events WHERE event_type = 'signup')"""
+SHELF = """shelf AS (
+  SELECT item_id AS position, text AS title, CASE WHEN item_id % 6 <> 0 THEN (item_id % 6)::INT END AS book_rating,
+         CASE WHEN item_id % 3 = 0 THEN NULL ELSE substr(text, 1, 200) END AS book_review
+  FROM benchmark),
+matched AS (
+  SELECT p.media_id, min(s.position) AS position FROM posts p JOIN shelf s
+    ON trim(s.title) <> '' AND contains(lower(p.caption), lower(trim(s.title)))
+  GROUP BY p.media_id)"""
+
+SQL["post_details"] = w(POSTS, AUTHORS) + """
+SELECT media_id, username, full_name, coalesce(caption, '') AS caption, like_count, comment_count
+FROM posts LEFT JOIN authors USING (author_id)"""
+SQL["following_flag"] = w(POSTS, FOLLOWS) + """
+SELECT media_id, author_id,
+       EXISTS (SELECT 1 FROM follows f WHERE f.follower_id = 0 AND f.followee_id = p.author_id) AS is_following
+FROM posts p"""
+SQL["title_match"] = w(POSTS, SHELF) + """
+SELECT m.media_id, m.position, s.title AS book_title, s.book_rating, s.book_review
+FROM matched m JOIN shelf s USING (position)"""
+SQL["title_match_blocked"] = SQL["title_match"]
+SQL["post_links"] = w(POSTS) + "SELECT media_id, 'https://posts.example/p/' || code || '/' AS post_link FROM posts"
+SQL["shelf_excerpt"] = w(POSTS, SHELF) + "SELECT position, book_rating, book_review FROM shelf"
+
+
+def _score(lang_words: str) -> str:
+    return f"len(list_filter(words, lambda x: list_contains([{lang_words}], x)))"
+
+
+_EN = "'the','of','and','to','is','that','it','for','was','with','this','are'"
+_ES = "'el','los','las','del','y','por','con','una','para','se','su','al'"
+_FR = "'le','les','des','et','du','une','est','qui','pour','dans','sur','pas'"
+_DE = "'der','die','und','den','von','zu','das','mit','sich','auf','ist','nicht'"
+LANG = f"""lang AS (
+  SELECT media_id,
+         CASE WHEN greatest(en, es, fr, de) = 0 THEN 'en'
+              WHEN en = greatest(en, es, fr, de) THEN 'en'
+              WHEN es = greatest(en, es, fr, de) THEN 'es'
+              WHEN fr = greatest(en, es, fr, de) THEN 'fr' ELSE 'de' END AS lang
+  FROM (SELECT media_id, {_score(_EN)} AS en, {_score(_ES)} AS es, {_score(_FR)} AS fr, {_score(_DE)} AS de
+        FROM (SELECT media_id, regexp_split_to_array(lower(coalesce(caption, '')), '[^\\p{{L}}]+') AS words FROM posts)))"""
+
+SQL["detect_language"] = w(POSTS, LANG) + "SELECT media_id, lang FROM lang"
+SQL["post_brief"] = w(POSTS, AUTHORS) + """
+SELECT media_id, '@' || coalesce(username, '?') || ' (' || coalesce(full_name, '') || ')'
+       || ' likes=' || coalesce(like_count::VARCHAR, 'N/A') || ' comments=' || coalesce(comment_count::VARCHAR, 'N/A')
+       || ' | ' || coalesce(caption, '') AS brief
+FROM posts LEFT JOIN authors USING (author_id)"""
+SQL["post_features"] = w(POSTS, AUTHORS, FOLLOWS, SHELF, LANG) + """
+SELECT p.media_id, a.username, a.full_name,
+       EXISTS (SELECT 1 FROM follows f WHERE f.follower_id = 0 AND f.followee_id = p.author_id) AS is_following,
+       CASE WHEN EXISTS (SELECT 1 FROM follows f WHERE f.follower_id = 0 AND f.followee_id = p.author_id)
+            THEN 'known' ELSE 'unknown' END AS relation,
+       l.lang, CASE WHEN l.lang = 'es' THEN 'es' ELSE 'en' END AS route,
+       m.position AS book_position, s.title AS book_title, s.book_rating, s.book_review
+FROM posts p LEFT JOIN authors a USING (author_id) JOIN lang l USING (media_id)
+LEFT JOIN matched m USING (media_id) LEFT JOIN shelf s ON s.position = m.position"""
