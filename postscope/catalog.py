@@ -410,3 +410,51 @@ def q_post_brief(spark, sf):
 def q_post_features(spark, sf):
     from .operators.enrich import post_features
     return post_features(_posts(spark, sf), td.authors(spark, sf), td.follows(spark, sf), td.shelf(spark, sf), td.VIEWER_ID)
+
+
+# ---- extraction and files (S4-S8, W5, P10) ------------------------------------
+
+@query("shelf_extract")
+def q_shelf_extract(spark, sf):
+    from .sources.html import extract_shelf
+    return extract_shelf(td.shelf_pages(spark, sf), site=td.BOOK_SITE)
+
+
+@query("page_links")
+def q_page_links(spark, sf):
+    from .sources.html import extract_links
+    return extract_links(td.table(spark, sf, "pages"))
+
+
+@query("crawl_prefix")
+def q_crawl_prefix(spark, sf):
+    from .operators.crawl import crawl_prefix
+    return crawl_prefix(td.crawl_pages(spark, sf), per_page=25)
+
+
+@query("shelf_json")
+def q_shelf_json(spark, sf):
+    from .sources.jsonfiles import parse_shelf_json
+    return parse_shelf_json(td.shelf_json(spark, sf))
+
+
+@query("complete_books")
+def q_complete_books(spark, sf):
+    from .operators.enrich import complete_books
+    from .sources.jsonfiles import parse_shelf_json
+    return complete_books(parse_shelf_json(td.shelf_json(spark, sf)))
+
+
+@query("run_params")
+def q_run_params(spark, sf):
+    from .sources.jsonfiles import parse_run_params
+    p = parse_run_params(td.run_params_json(spark, sf))
+    return p.select("account", F.array_join("hashtags", ",").alias("hashtags"),
+                    F.array_join("avoid_hashtags", ",").alias("avoid_hashtags"),
+                    "likes_per_day", "comments_per_day", "allow_sensitive", "shelf_user_id")
+
+
+@query("run_log_parse")
+def q_run_log_parse(spark, sf):
+    from .sources.runlog import parse_run_log, render_action_lines
+    return parse_run_log(render_action_lines(_actions(spark, sf)))

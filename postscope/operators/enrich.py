@@ -81,3 +81,8 @@ def post_features(posts: DataFrame, authors: DataFrame, follows: DataFrame, shel
             .join(books, "media_id", "left")
             .select("media_id", "username", "full_name", "is_following", "relation", "lang", "route",
                     F.col("position").alias("book_position"), "book_title", "book_rating", "book_review"))
+
+
+def complete_books(shelf: DataFrame) -> DataFrame:
+    """P10: keep books that have both a title and an author."""
+    return shelf.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("author", F.lit("")) != ""))

@@ -340,3 +340,64 @@ SELECT p.media_id, a.username, a.full_name,
        m.position AS book_position, s.title AS book_title, s.book_rating, s.book_review
 FROM posts p LEFT JOIN authors a USING (author_id) JOIN lang l USING (media_id)
 LEFT JOIN matched m USING (media_id) LEFT JOIN shelf s ON s.position = m.position"""
+
+SQL["shelf_extract"] = """
+WITH r AS (
+  SELECT p_partkey, p_name, p_brand, p_type, p_size, (p_partkey % 3)::VARCHAR AS user_id,
+         row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS rk
+  FROM part)
+SELECT user_id, (rk - 1) // 100 + 1 AS page, (rk - 1) % 100 + 1 AS "row", rk AS position,
+       p_name AS title, p_brand AS author, 'https://books.example/book/show/' || p_partkey AS book_url,
+       CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_size % 6)::INT END AS rating,
+       CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS review
+FROM r"""
+
+SQL["page_links"] = """
+SELECT page_id, pos, href, text FROM (
+  SELECT page_id, unnest(generate_series(1, len(h))) AS pos, unnest(h) AS href, unnest(t) AS text
+  FROM (SELECT page_id,
+               regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS h,
+               regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS t
+        FROM pages))"""
+
+SQL["crawl_prefix"] = """
+WITH c AS (
+  SELECT l_orderkey::VARCHAR AS user_id,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS page,
+         trunc(l_quantity)::INT AS n_rows
+  FROM lineitem),
+s AS (SELECT user_id, min(page) AS stop FROM c WHERE n_rows IS NULL OR n_rows < 25 GROUP BY user_id)
+SELECT c.user_id, c.page, c.n_rows FROM c LEFT JOIN s USING (user_id) WHERE s.stop IS NULL OR c.page <= s.stop"""
+
+_SHELF_JSON = """sj AS (
+  SELECT 'reader-' || (item_id // 100) AS user_id,
+         row_number() OVER (PARTITION BY item_id // 100 ORDER BY item_id) AS position,
+         CASE WHEN item_id % 9 = 0 THEN NULL ELSE text END AS title,
+         CASE WHEN item_id % 5 = 0 THEN '' ELSE 'a' || (item_id % 7) END AS author,
+         'https://books.example/book/show/' || item_id AS book_url,
+         CASE WHEN item_id % 6 = 0 THEN NULL ELSE (item_id % 6)::INT END AS rating,
+         CASE WHEN item_id % 3 = 0 THEN NULL ELSE text END AS review
+  FROM benchmark)"""
+SQL["shelf_json"] = w(_SHELF_JSON) + "SELECT * FROM sj"
+SQL["complete_books"] = w(_SHELF_JSON) + "SELECT * FROM sj WHERE coalesce(title, '') <> '' AND coalesce(author, '') <> ''"
+
+SQL["run_params"] = """
+SELECT user_id::VARCHAR AS account,
+       'tag' || (user_id % 20) || ',' || 'tag' || ((user_id + 7) % 20) AS hashtags,
+       CASE WHEN user_id % 2 = 0 THEN 'tag' || ((user_id + 3) % 20) ELSE '' END AS avoid_hashtags,
+       CASE WHEN user_id % 7 = 0 OR user_id % 5 = 0 THEN 50 ELSE (user_id % 60)::INT END AS likes_per_day,
+       CASE WHEN user_id % 3 = 0 THEN 15 ELSE (user_id % 20)::INT END AS comments_per_day,
+       CASE WHEN user_id % 4 = 0 THEN true ELSE user_id % 2 = 1 END AS allow_sensitive,
+       CASE WHEN user_id % 6 <> 0 THEN 'g' || user_id END AS shelf_user_id
+FROM (SELECT DISTINCT user_id FROM events)"""
+
+SQL["run_log_parse"] = w(ACTIONS) + """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S,') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') AS log_time,
+       CASE WHEN action_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+       CASE WHEN action_type = 'like' THEN 'liked' WHEN action_type = 'comment' THEN 'commented'
+            WHEN id % 2 = 1 THEN 'like_failed' ELSE 'comment_failed' END AS event,
+       media_id,
+       CASE WHEN action_type = 'like' THEN hashtag END AS hashtag,
+       CASE WHEN action_type IN ('like', 'comment') THEN post_link END AS link,
+       CASE WHEN action_type = 'comment' THEN comment WHEN action_type = 'error' THEN error END AS detail
+FROM actions"""
