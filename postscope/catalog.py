@@ -458,3 +458,56 @@ def q_run_params(spark, sf):
 def q_run_log_parse(spark, sf):
     from .sources.runlog import parse_run_log, render_action_lines
     return parse_run_log(render_action_lines(_actions(spark, sf)))
+
+
+# ---- streaming (T1-T3) and the classifier hook (X1) ---------------------------
+
+def _stream_actions(spark, sf):
+    return td.actions_from_events(td.events_stream(spark, sf))
+
+
+@query("stream_daily_counts")
+def q_stream_daily_counts(spark, sf):
+    from .streaming.actions import run_available, stream_daily_counts
+    return run_available(stream_daily_counts(_stream_actions(spark, sf), "1 day"), spark, "daily-counts")
+
+
+@query("stream_first_action")
+def q_stream_first_action(spark, sf):
+    from .streaming.actions import run_available, stream_first_action
+    start = F.lit(td.HISTORY_BEFORE).cast("timestamp_ntz")
+    s = _stream_actions(spark, sf).filter(F.col("ts") >= start)
+    history = _actions(spark, sf).filter(F.col("ts") < start)
+    first = stream_first_action(s.select("id", "ts", "media_id", "action_type"), "60 days", history)
+    return run_available(first, spark, "first-action").select("media_id", "action_type")
+
+
+@query("stream_quota")
+def q_stream_quota(spark, sf):
+    from .streaming.actions import stream_quota
+    start = F.lit(td.HISTORY_BEFORE).cast("timestamp_ntz")
+    s = (_stream_actions(spark, sf).filter(F.col("ts") >= start)
+         .select("id", "ts", "account", F.date_format("date", "yyyy-MM-dd").alias("date"), "media_id",
+                 (F.col("event_type") != "error").alias("ok")))
+    history = _actions(spark, sf).filter((F.col("ts") < start) & (F.col("event_type") != "error"))
+    acc = stream_quota(s, spark, cap=2, by=["account", "date"], history=history)
+    return acc.select("id", "account", "date", "media_id")
+
+
+def review_brief(rec: dict):
+    """The demo classifier: skip short captions, refuse captions with an
+    e-mail address (personal data), else a short factual tag."""
+    caption = rec.get("caption") or ""
+    if len(caption) < 50:
+        return None
+    if "@" in caption:
+        raise ValueError("personal data in caption")
+    return f"{rec.get('username')}:{len(caption)}"
+
+
+@query("classifier_hook")
+def q_classifier_hook(spark, sf):
+    from .operators.classifier import with_classifier
+    from .operators.enrich import with_author
+    d = with_author(_posts(spark, sf), td.authors(spark, sf))
+    return with_classifier(d, review_brief, ["caption", "username"]).select("media_id", "result", "skipped", "error")

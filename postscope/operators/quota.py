@@ -60,8 +60,8 @@ def apply_quota(cands: DataFrame, cap: int, by: Sequence[str], order: Sequence[s
         limit_rows = _kth_with_offset(flat, by, order, cap, offset)
         out = out.join(limit_rows, by, "left")
         kth = [F.col("kth_" + c) for c in order]
-        under = (left > 0) & (F.col("kth_" + order[0]).isNull() | ~struct_lt(kth, here))
-        out = out.drop("n_done")
+        out = out.withColumn("_under", (left > 0) & (F.col("kth_" + order[0]).isNull() | ~struct_lt(kth, here)))
+        under = F.col("_under")
     elif cap >= 1:
         flat = firsts.select(*by, *[F.col("_first")[c].alias(c) for c in order])
         out = out.join(kth_per_group(flat, by, order, cap), by, "left")
@@ -71,7 +71,7 @@ def apply_quota(cands: DataFrame, cap: int, by: Sequence[str], order: Sequence[s
         under = F.lit(False)
     attempted = ~h & under & ~m_before
     out = out.withColumn("attempted", attempted).withColumn("accepted", attempted & F.col(ok))
-    return out.drop("_first", *[c for c in out.columns if c.startswith("kth_")])
+    return out.drop("_first", "_under", "n_done", *[c for c in out.columns if c.startswith("kth_")])
 
 
 def _kth_with_offset(flat: DataFrame, by, order, cap: int, offset: DataFrame) -> DataFrame:

@@ -401,3 +401,27 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M:%S,') || lpad(((epoch_us(ts) // 1000) % 1000
        CASE WHEN action_type IN ('like', 'comment') THEN post_link END AS link,
        CASE WHEN action_type = 'comment' THEN comment WHEN action_type = 'error' THEN error END AS detail
 FROM actions"""
+
+SQL["stream_daily_counts"] = w(ACTIONS) + """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, action_type, count(*) AS count FROM actions
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM actions) - INTERVAL 1 DAY
+GROUP BY ALL"""
+
+SQL["stream_first_action"] = w(ACTIONS) + """
+SELECT DISTINCT media_id, action_type FROM actions a WHERE ts >= TIMESTAMP '2024-01-08'
+  AND NOT EXISTS (SELECT 1 FROM actions b WHERE b.ts < TIMESTAMP '2024-01-08'
+                  AND b.media_id = a.media_id AND b.action_type = a.action_type)"""
+
+SQL["stream_quota"] = SQL["quota"].replace("""SELECT id, account, date, media_id,
+       (NOT h AND n_before < 2 AND m_before = 0) AS attempted,
+       (NOT h AND n_before < 2 AND m_before = 0 AND ok) AS accepted
+FROM n""", """SELECT id, account, date, media_id FROM n WHERE NOT h AND n_before < 2 AND m_before = 0 AND ok""")
+
+SQL["classifier_hook"] = w(POSTS, AUTHORS) + """
+SELECT media_id,
+       CASE WHEN length(coalesce(caption, '')) < 50 OR contains(caption, '@') THEN NULL
+            ELSE username || ':' || length(caption) END AS result,
+       length(coalesce(caption, '')) < 50 AS skipped,
+       CASE WHEN length(coalesce(caption, '')) >= 50 AND contains(caption, '@')
+            THEN 'ValueError: personal data in caption' END AS error
+FROM posts LEFT JOIN authors USING (author_id)"""

@@ -26,7 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as an action log (ids, ISO text, typed ts, date partition)."""
-    ev = table(spark, sf_dir, "events")
+    return actions_from_events(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` file as a streaming source (file source, explicit schema)."""
+    schema = table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+
+def actions_from_events(ev: DataFrame) -> DataFrame:
+    """The action-log projection of an events frame (batch or streaming)."""
     k = F.get_json_object("props", "$.k").cast("int")
     action_type = (F.when(F.col("event_type") == "purchase", "comment")
                    .when(F.col("event_type") == "error", "error").otherwise("like"))
