@@ -397,7 +397,8 @@ def q_shelf_excerpt(spark, sf):
 @query("detect_language")
 def q_detect_language(spark, sf):
     from .functions.language import detect_language
-    return _posts(spark, sf).select("media_id", detect_language("caption").alias("lang"))
+    from .plans.ranking import spread
+    return spread(_posts(spark, sf), "media_id").select("media_id", detect_language("caption").alias("lang"))
 
 
 @query("post_brief")

@@ -21,24 +21,26 @@ STOP_WORDS = {
 }
 LANG_ORDER = ["en", "es", "fr", "de"]
 DEFAULT_LANG = "en"
-WORD_SPLIT = r"[^\p{L}]+"
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _member_of(vocab: Column):
-    return lambda x: F.array_contains(vocab, x)
+def _word_pattern(words) -> str:
+    """A stop word as a whole letter run: no letter right before or after."""
+    return r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
 
 
 def language_scores(text) -> list[Column]:
-    words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), WORD_SPLIT)
-    out = []
-    for lang in LANG_ORDER:
-        vocab = F.array(*[F.lit(w) for w in STOP_WORDS[lang]])
-        out.append(F.size(F.filter(words, _member_of(vocab))).alias(f"score_{lang}"))
-    return out
+    """Stop-word hits per language (whole letter runs of the folded text).
+
+    One regex pass per language; equal to counting the words of a split on
+    non-letters that are in the language's list.
+    """
+    t = F.lower(F.coalesce(_c(text), F.lit("")))
+    return [F.regexp_count(t, F.lit(_word_pattern(STOP_WORDS[lang]))).alias(f"score_{lang}")
+            for lang in LANG_ORDER]
 
 
 def detect_language(text) -> Column:

@@ -40,17 +40,18 @@ def min_gap_seconds(likes: int = LIKES_CAP, comments: int = COMMENTS_CAP) -> int
 
 
 def gap_audit(actions: DataFrame, likes: int = LIKES_CAP, comments: int = COMMENTS_CAP,
-              by: Sequence[str] = ("account",)) -> DataFrame:
+              by: Sequence[str] = ("account",), chunk: str = "hour") -> DataFrame:
     """Gap to the previous action of the same account, flagged when
     shorter than the spacing rule.
 
-    The lag is computed per (account, day) and patched across days from a
-    one-row-per-day aggregate, so a hot account is split by day.
+    The lag is computed per (account, ``chunk`` of ts) and patched across
+    chunks from a one-row-per-chunk aggregate, so a hot account is split into
+    hours (the window over chunks holds one small row per hour).
     """
     gap_us = min_gap_seconds(likes, comments) * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     d = actions.withColumn("_us", us)
-    lagged = chunked_lag(d, list(by), F.to_date("ts"), ["ts", "id"], "_us", "_prev_us")
+    lagged = chunked_lag(d, list(by), F.date_trunc(chunk, F.col("ts")), ["ts", "id"], "_us", "_prev_us")
     return (lagged.withColumn("gap_us", F.col("_us") - F.col("_prev_us"))
             .withColumn("too_close", F.coalesce(F.col("gap_us") < F.lit(gap_us), F.lit(False)))
             .drop("_us", "_prev_us"))
@@ -77,9 +78,9 @@ def seeded_order(df: DataFrame, key: str, seed, by: Sequence[str] = ("account",)
                  out: str = "rn") -> DataFrame:
     """Reproducible shuffle: rank per group by md5(key|seed), then key.
 
-    md5 is uniform, so its first two hex digits split every group (hot ones
-    too) into 256 ordered buckets; ranks are bucket prefix + local rank.
+    md5 is uniform, so its first four hex digits split every group (hot ones
+    too) into 65,536 ordered buckets; ranks are bucket prefix + local rank.
     """
     d = df.withColumn("_h", seeded_hex(key, seed))
-    ranked = bucketed_row_number(d, list(by), F.substring("_h", 1, 2), [F.col("_h"), F.col(key)], out)
+    ranked = bucketed_row_number(d, list(by), F.substring("_h", 1, 4), [F.col("_h"), F.col(key)], out)
     return ranked.drop("_h")

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranking import spread
+
 Q = 8
 BROADCAST_MAX_ROWS = 5000
 BROADCAST_MAX_BYTES = 8 << 20
@@ -51,7 +53,8 @@ def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
     ``strategy`` is ``auto`` (size check), ``broadcast`` or ``blocked``.
     Empty or null patterns never match.
     """
-    t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    t = spread(texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull()),
+               *text_keys)
     p = (pats.select(*pat_keys, F.col(pat).alias("_pat"))
          .filter(F.col("_pat").isNotNull() & (F.length("_pat") > 0)))
     if strategy == "auto":

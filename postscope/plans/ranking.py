@@ -98,3 +98,17 @@ def chunked_lag(df: DataFrame, group: Sequence[str], chunk: Column, order: Seque
             .join(prev, [*group, "_chunk"], "inner")
             .withColumn(out, F.when(F.col("_first"), F.col("_prev")).otherwise(F.col("_lag_local")))
             .drop("_chunk", "_lag_local", "_prev", "_first"))
+
+
+def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster.
+
+    When the input arrives in fewer partitions than ``factor`` x the default
+    parallelism (a single large file, a collapsed shuffle), hash-repartition
+    on ``keys``; otherwise leave the plan alone.  On a large scan this is a
+    no-op, so the text is not shuffled just to be parsed.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

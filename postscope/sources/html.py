@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ranking import spread
+
 # fixed values: shelf page layout (table id, row id prefix, cell classes),
 # rows per page and the site prefix of book links
 BOOKS_TABLE_ID = "books"
@@ -192,7 +194,8 @@ def extract_shelf(pages: DataFrame, site: str = SITE, per_page: int = PER_PAGE)
             out = pd.DataFrame.from_records(recs, columns=SHELF_ROWS.fieldNames())
             yield out.astype({"page": "int64", "row": "int64", "position": "int64", "rating": "Int32"})
 
-    return pages.select("user_id", F.col("page").cast("long").alias("page"), "html").mapInPandas(parse, SHELF_ROWS)
+    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
+    return pages.mapInPandas(parse, SHELF_ROWS)
 
 
 def page_row_counts(pages: DataFrame) -> DataFrame:
@@ -203,7 +206,8 @@ def page_row_counts(pages: DataFrame) -> DataFrame:
                                 "n_rows": pd.array([count_review_rows(h) for h in pdf["html"]], dtype="Int32")})
 
     schema = "user_id string, page long, n_rows int"
-    return pages.select("user_id", F.col("page").cast("long").alias("page"), "html").mapInPandas(count, schema)
+    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
+    return pages.mapInPandas(count, schema)
 
 
 # fixed value: a navigation link item as the pages render it

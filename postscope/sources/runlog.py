@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ranking import spread
+
 # fixed values: line layout and the run's messages (placeholders in braces)
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) ([A-Z]+):(.*)$"
 ASCTIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
@@ -32,6 +34,7 @@ def parse_run_log(lines: DataFrame, value: str = "value") -> DataFrame:
     Lines that do not fit the layout are kept with null fields; unknown
     messages get ``event = 'other'`` and the message as ``detail``.
     """
+    lines = spread(lines)
     v = F.col(value)
     msg = F.regexp_extract(v, LINE, 3)
     event: Column = F.lit("other")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import iso_text
+from ..plans.ranking import bucketed_row_number
 
 # fixed values: fixture parameters (FIXTURES.md)
 AS_OF = "2024-01-31 00:00:00"
@@ -159,8 +160,9 @@ def shelf_pages(spark: SparkSession, sf_dir: str, per_page: int = 100) -> DataFr
     review = F.when(key % 4 == 0, F.lit("")).otherwise(F.col("p_type"))
     row = F.format_string(SHELF_ROW_HTML, key, key, F.col("p_name"), F.col("p_brand"), F.col("p_brand"), rating, review)
     rows = p.select((key % 3).cast("string").alias("user_id"), key, row.alias("row_html"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("p_partkey"))
-    rows = rows.withColumn("page", ((rank - 1) / per_page).cast("long") + 1)
+    # rank inside key ranges, plus a prefix of range counts: no window spans a user
+    rows = bucketed_row_number(rows, ["user_id"], (key / 4096).cast("long"), ["p_partkey"], "_rank")
+    rows = rows.withColumn("page", ((F.col("_rank") - 1) / per_page).cast("long") + 1)
     page = (rows.groupBy("user_id", "page")
             .agg(F.array_sort(F.collect_list(F.struct("p_partkey", "row_html"))).alias("r")))
     html = F.concat(F.lit('<html><body><table id="books"><tbody>'),
