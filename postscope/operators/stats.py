@@ -73,12 +73,22 @@ def action_history(actions: DataFrame, as_of: str, days: int = DEFAULT_DAYS) ->
 
 
 def history_pivot(actions: DataFrame, as_of: str, days: int = DEFAULT_DAYS,
-                  types=TYPES) -> DataFrame:
-    """A row per date with a 0-filled column per type (flagship view)."""
-    return (lookback(actions, as_of, days)
-            .groupBy(date_text("timestamp").alias("date"))
-            .agg(*_typed_counts(types))
-            .orderBy("date"))
+                  types=TYPES, dense: bool = False) -> DataFrame:
+    """A row per date with a 0-filled column per type (flagship view).
+
+    Dates without actions are absent, as in the reference; ``dense=True``
+    adds them with zeros (a generated date range left-joined to the counts).
+    """
+    counts = (lookback(actions, as_of, days)
+              .groupBy(date_text("timestamp").alias("date"))
+              .agg(*_typed_counts(types)))
+    if dense:
+        c = cutoff(as_of, days)
+        spine = actions.sparkSession.range(1).select(
+            F.explode(F.sequence(F.to_date(c), F.to_date(F.lit(as_of).cast("timestamp_ntz")))).alias("_d")
+        ).select(F.date_format("_d", "yyyy-MM-dd").alias("date"))
+        counts = spine.join(counts, "date", "left").fillna(0, subset=list(types))
+    return counts.orderBy("date")
 
 
 def tag_stats(actions: DataFrame) -> DataFrame:

@@ -68,9 +68,9 @@ VERDICTS = T.StructType([
     T.StructField("verdict_text", T.StringType(), True),
 ])
 
-# one JSON object per account; secrets in the file are never selected
+# one JSON object per account; secrets in the file are never selected.
+# fixed values: the settings keys (the account key is chosen by the caller)
 RUN_PARAMS_JSON = T.StructType([
-    T.StructField("account", T.StringType(), True),
     T.StructField("hashtags", T.ArrayType(T.StringType()), True),
     T.StructField("avoid_hashtags", T.ArrayType(T.StringType()), True),
     T.StructField("likes_per_day", T.StringType(), True),

@@ -35,21 +35,33 @@ def read_shelf_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_shelf_json(t)
 
 
-def parse_run_params(texts: DataFrame, value: str = "value") -> DataFrame:
-    """One settings object per row -> typed parameters with defaults."""
-    p = F.from_json(F.col(value), RUN_PARAMS_JSON)
+def _limit(c: str, default: int):
+    """Digits only, else the default (a saved limit that is not a number)."""
+    v = F.col(c)
+    return F.when(v.rlike(r"^[0-9]+$"), safe_int(c)).otherwise(F.lit(default))
+
+
+def parse_run_params(texts: DataFrame, value: str = "value", account_key: str = "account") -> DataFrame:
+    """One settings object per row -> typed parameters with defaults.
+
+    ``account_key`` names the settings field holding the account name.
+    Only the listed keys are parsed, so secrets never enter the plan.
+    """
+    schema = T.StructType([T.StructField(account_key, T.StringType(), True), *RUN_PARAMS_JSON.fields])
+    p = F.from_json(F.col(value), schema)
     empty = F.array().cast("array<string>")
     return texts.select(p.alias("_p")).select(
-        F.col("_p.account").alias("account"),
+        F.col("_p")[account_key].alias("account"),
         F.coalesce("_p.hashtags", empty).alias("hashtags"),
         F.coalesce("_p.avoid_hashtags", empty).alias("avoid_hashtags"),
-        safe_int("_p.likes_per_day", LIKES_CAP).alias("likes_per_day"),
-        safe_int("_p.comments_per_day", COMMENTS_CAP).alias("comments_per_day"),
+        _limit("_p.likes_per_day", LIKES_CAP).alias("likes_per_day"),
+        _limit("_p.comments_per_day", COMMENTS_CAP).alias("comments_per_day"),
         F.coalesce("_p.allow_sensitive", F.lit(ALLOW_SENSITIVE)).alias("allow_sensitive"),
         F.col("_p.goodreads_user_id").alias("shelf_user_id"),
     )
 
 
-def read_run_params(spark: SparkSession, path: str) -> DataFrame:
-    """S5 over JSON-lines files (one account per line)."""
-    return parse_run_params(spark.read.text(path))
+def read_run_params(spark: SparkSession, path: str, account_key: str = "account") -> DataFrame:
+    """S5 over settings files: one (pretty-printed) JSON object per file."""
+    whole = spark.read.text(path, wholetext=True)
+    return parse_run_params(whole, account_key=account_key)
