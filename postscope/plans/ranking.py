@@ -100,15 +100,27 @@ def chunked_lag(df: DataFrame, group: Sequence[str], chunk: Column, order: Seque
             .drop("_chunk", "_lag_local", "_prev", "_first"))
 
 
-def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, *keys: str, factor: int = 2, python: bool = False) -> DataFrame:
     """Spread CPU-heavy per-row work over the cluster.
 
-    When the input arrives in fewer partitions than ``factor`` x the default
-    parallelism (a single large file, a collapsed shuffle), hash-repartition
-    on ``keys``; otherwise leave the plan alone.  On a large scan this is a
-    no-op, so the text is not shuffled just to be parsed.
+    Only an exchange-free input (a scan with filters and projections) is
+    inspected: when its file splits are fewer than ``factor`` x the default
+    parallelism (a single large file), it is hash-repartitioned on ``keys``.
+    On a large scan this is a no-op, so the text is not shuffled just to be
+    parsed; an input that comes out of a shuffle keeps AQE's partitioning
+    (asking a shuffled plan for its partition count would run it).
+
+    ``python=True`` marks a Python stage (bytes are few, CPU per byte is
+    high): after a shuffle it gets an explicit-count repartition, which AQE
+    does not coalesce, so the parse is not squeezed into a single task.
     """
     target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        if python:
+            # a hash of the keys, so the optimizer cannot fold this into an
+            # exchange of the same keys below it
+            return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
+        return df
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -194,7 +194,8 @@ def extract_shelf(pages: DataFrame, site: str = SITE, per_page: int = PER_PAGE)
             out = pd.DataFrame.from_records(recs, columns=SHELF_ROWS.fieldNames())
             yield out.astype({"page": "int64", "row": "int64", "position": "int64", "rating": "Int32"})
 
-    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
+    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page",
+                   python=True)
     return pages.mapInPandas(parse, SHELF_ROWS)
 
 
@@ -206,7 +207,8 @@ def page_row_counts(pages: DataFrame) -> DataFrame:
                                 "n_rows": pd.array([count_review_rows(h) for h in pdf["html"]], dtype="Int32")})
 
     schema = "user_id string, page long, n_rows int"
-    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
+    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page",
+                   python=True)
     return pages.mapInPandas(count, schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import iso_text
-from ..plans.ranking import bucketed_row_number
+from ..plans.ranking import bucketed_row_number, spread
 
 # fixed values: fixture parameters (FIXTURES.md)
 AS_OF = "2024-01-31 00:00:00"
@@ -61,7 +61,7 @@ def actions_from_events(ev: DataFrame) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as candidate posts."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
     return d.select(
         F.col("doc_id").cast("string").alias("media_id"),
