@@ -283,7 +283,7 @@ def q_screen_by_table_blocked(spark, sf):
 @query("recent_per_tag")
 def q_recent_per_tag(spark, sf):
     from .operators import screening as S
-    return S.recent_per_tag(_posts(spark, sf)).select("media_id", "search_tag", "rn")
+    return S.recent_per_tag(_posts(spark, sf)).select("media_id", "search_tag", F.col("rn").cast("long").alias("rn"))
 
 
 @query("candidates")
@@ -333,13 +333,13 @@ def q_gap_audit(spark, sf):
 @query("active_hours")
 def q_active_hours(spark, sf):
     from .operators.audits import active_hours
-    return active_hours(_actions(spark, sf), tz=FIX_TZ).select("id", "local_hour")
+    return active_hours(_actions(spark, sf), tz=FIX_TZ).select("id", F.col("local_hour").cast("long").alias("local_hour"))
 
 
 @query("hour_profile")
 def q_hour_profile(spark, sf):
     from .operators.audits import hour_profile
-    return hour_profile(_actions(spark, sf), tz=FIX_TZ)
+    return hour_profile(_actions(spark, sf), tz=FIX_TZ).select(F.col("hour").cast("long").alias("hour"), "count")
 
 
 @query("hash_sample")
@@ -424,7 +424,7 @@ def q_shelf_extract(spark, sf):
 @query("page_links")
 def q_page_links(spark, sf):
     from .sources.html import extract_links
-    return extract_links(td.table(spark, sf, "pages"))
+    return extract_links(td.table(spark, sf, "pages")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("crawl_prefix")

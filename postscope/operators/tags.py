@@ -34,8 +34,15 @@ def normalize_tags(tags: DataFrame) -> DataFrame:
 
 
 def _first_seen(norm: DataFrame) -> DataFrame:
-    return (norm.filter("valid").groupBy(*LIST_KEY, "key")
-            .agg(F.min("seq").alias("first_seq")))
+    """First position of each valid key.
+
+    A conditional aggregate, not ``filter(valid)`` + ``min``: a filter on a
+    derived column is pushed below the projection and re-evaluates the whole
+    derivation per conjunct, outside codegen's common-subexpression reuse.
+    """
+    return (norm.groupBy(*LIST_KEY, "key")
+            .agg(F.min(F.when(F.col("valid"), F.col("seq"))).alias("first_seq"))
+            .filter(F.col("first_seq").isNotNull()))
 
 
 def admit_tags(tags: DataFrame, cap: int = TAG_CAP) -> DataFrame:
@@ -62,8 +69,9 @@ def dedupe_tags(tags: DataFrame) -> DataFrame:
     """Valid entries, first occurrence per case-folded key, original case kept."""
     norm = normalize_tags(tags)
     first = _first_seen(norm)
-    return (norm.filter("valid").join(first, [*LIST_KEY, "key"], "inner")
-            .filter(F.col("seq") == F.col("first_seq"))
+    # one predicate over both sides, so it stays above the join (see _first_seen)
+    return (norm.join(first, [*LIST_KEY, "key"], "inner")
+            .filter(F.when(F.col("valid"), F.col("seq")) == F.col("first_seq"))
             .select(*LIST_KEY, "seq", "tag"))
 
 
