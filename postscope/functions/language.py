@@ -35,7 +35,8 @@ def _word_pattern(words) -> str:
 def language_scores(text) -> list[Column]:
     """Stop-word hits per language (whole letter runs of the folded text).
 
-    One regex pass per language; equal to counting the words of a split on
+    One ``regexp_count`` pass per language (measured faster than one pass
+    over all languages' words); equal to counting the words of a split on
     non-letters that are in the language's list.
     """
     t = F.lower(F.coalesce(_c(text), F.lit("")))

@@ -1,11 +1,14 @@
 """Exact "text contains pattern" joins (J4 titles, J5 term tables).
 
-Two physical paths, chosen by a size check on the pattern side:
-
-* **broadcast**: the pattern table is measured (rows and bytes, one small
-  aggregate over the already-pruned pattern side); under both limits it is
-  broadcast and matched with a nested-loop ``contains`` join.  The big text
-  side is never shuffled.
+Physical paths, chosen by a size check on the pattern side (rows and bytes,
+one small aggregate over the already-pruned pattern side):
+
+* **automaton** (small pattern sets, default): the measured patterns are
+  shipped to the tasks and each text is scanned once by an Aho-Corasick
+  automaton in ``mapInPandas`` (linear in the text, whatever the number of
+  patterns).  The big text side is never shuffled for the match.
+* **broadcast** (small pattern sets, no automaton module): broadcast
+  nested-loop join on ``contains`` (cost texts x patterns).
 * **blocked** (any size): exact q-gram blocking.  Every pattern of at least
   ``q`` characters is keyed by its *rarest* q-gram among the texts (any
   q-gram of a contained pattern is a q-gram of the text, so no pair is
@@ -20,8 +23,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ranking import spread
 
@@ -39,6 +44,46 @@ def _grams(text: str, n: int):
     return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
+try:  # the automaton is optional; without it the nested-loop join is used
+    import ahocorasick  # noqa: F401
+    _HAS_AUTOMATON = True
+except ImportError:  # pragma: no cover
+    _HAS_AUTOMATON = False
+
+
+def _automaton(t: DataFrame, text_keys, p: DataFrame, pat_keys) -> DataFrame:
+    """Scan each text once with an Aho-Corasick automaton of the (size-checked) patterns."""
+    by_pattern: dict[str, list[tuple]] = {}
+    for r in p.collect():                         # bounded by the caller's size check
+        by_pattern.setdefault(r["_pat"], []).append(tuple(r[k] for k in pat_keys))
+    schema = T.StructType([t.schema[k] for k in text_keys] + [p.schema[k] for k in pat_keys])
+    names = [*text_keys, *pat_keys]
+
+    def match(batches):
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        for word, keys in by_pattern.items():
+            auto.add_word(word, keys)
+        auto.make_automaton()
+        for pdf in batches:
+            out = []
+            texts = pdf["_text"].tolist()
+            tk = [pdf[k].tolist() for k in text_keys]
+            for i, text in enumerate(texts):
+                if not text or not by_pattern:
+                    continue
+                seen = set()
+                for _, keys in auto.iter(text):
+                    if id(keys) not in seen:
+                        seen.add(id(keys))
+                        head = tuple(col[i] for col in tk)
+                        out.extend(head + k for k in keys)
+            yield pd.DataFrame.from_records(out, columns=names) if out else pd.DataFrame(
+                {n: pd.Series([], dtype=object) for n in names})
+
+    return spread(t, *text_keys, python=True).mapInPandas(match, schema)
+
+
 def _measure(pats: DataFrame, pat: str) -> tuple[int, int]:
     row = pats.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(pat)).alias("b")).first()
     return int(row["n"]), int(row["b"] or 0)
@@ -50,8 +95,8 @@ def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
                    max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Distinct ``(text_keys..., pat_keys...)`` where ``text`` contains ``pat``.
 
-    ``strategy`` is ``auto`` (size check), ``broadcast`` or ``blocked``.
-    Empty or null patterns never match.
+    ``strategy`` is ``auto`` (size check), ``automaton``, ``broadcast`` or
+    ``blocked``.  Empty or null patterns never match.
     """
     t = spread(texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull()),
                *text_keys)
@@ -59,8 +104,13 @@ def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
          .filter(F.col("_pat").isNotNull() & (F.length("_pat") > 0)))
     if strategy == "auto":
         n, b = _measure(p, "_pat")
-        strategy = "broadcast" if n <= max_rows and b <= max_bytes else "blocked"
+        strategy = ("automaton" if _HAS_AUTOMATON else "broadcast") if n <= max_rows and b <= max_bytes else "blocked"
     keys = [*text_keys, *pat_keys]
+    if strategy == "automaton":
+        n, b = _measure(p, "_pat")
+        if n > max_rows or b > max_bytes:
+            raise ValueError("pattern side is over the size limit for the automaton path")
+        return _automaton(t, text_keys, p, pat_keys).distinct()
     if strategy == "broadcast":
         return (t.join(F.broadcast(p), F.col("_text").contains(F.col("_pat")), "inner")
                 .select(*keys).distinct())

@@ -23,7 +23,7 @@ def _shelf(spark):
 
 def test_title_match_both_paths(spark):
     p = _posts(spark, [("1", "I loved THE LONG TITLE so much"), ("2", ""), ("3", "dune!"), ("4", "nothing here")])
-    for strategy in ("broadcast", "blocked", "auto"):
+    for strategy in ("broadcast", "blocked", "automaton", "auto"):
         got = {r["media_id"]: (r["position"], r["book_rating"], r["book_review"])
                for r in title_match(p, _shelf(spark), strategy).collect()}
         assert got == {"1": (1, None, "r" * 200), "3": (5, 3, "good")}, strategy

@@ -7,8 +7,9 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-# Python workers are allowed only for HTML parsing (S6) and the injected classifier
-PYTHON_OK = {"shelf_extract", "classifier_hook"}
+# Python workers are allowed only for HTML parsing (S6), the injected classifier
+# and the size-checked Aho-Corasick path of the substring join
+PYTHON_OK = {"shelf_extract", "classifier_hook", "title_match", "post_features", "screen_by_table"}
 STREAMING = {"stream_daily_counts", "stream_first_action", "stream_quota", "append_roundtrip", "evolved_scan"}
 
 

@@ -46,7 +46,7 @@ def test_history_joins_and_table_screen(spark):
     assert [r["media_id"] for r in S.not_yet(p, a, "comment").orderBy("media_id").collect()] == ["1", "3"]
     assert [r["media_id"] for r in S.already(p, a, "comment").collect()] == ["2"]
     terms = spark.createDataFrame([("keyword", "DOG"), ("avoid", "dog"), ("keyword", "zebra")], "kind string, term string")
-    for strategy in ("broadcast", "blocked"):
+    for strategy in ("broadcast", "blocked", "automaton"):
         got = {r["media_id"]: (r["kw_hit"], r["avoid_hit"]) for r in S.screen_by_table(p, terms, strategy).collect()}
         assert got == {"1": (True, False), "2": (False, False), "3": (True, True)}, strategy
 
