@@ -396,9 +396,8 @@ def q_shelf_excerpt(spark, sf):
 
 @query("detect_language")
 def q_detect_language(spark, sf):
-    from .functions.language import detect_language
-    from .plans.ranking import spread
-    return spread(_posts(spark, sf), "media_id").select("media_id", detect_language("caption").alias("lang"))
+    from .functions.language import detect_languages
+    return detect_languages(_posts(spark, sf), "media_id", "caption")
 
 
 @query("post_brief")

@@ -8,7 +8,7 @@ Catalyst expressions, no Python worker.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: stop words per language (common function words), and the
@@ -21,6 +21,7 @@ STOP_WORDS = {
 }
 LANG_ORDER = ["en", "es", "fr", "de"]
 DEFAULT_LANG = "en"
+WORD_SPLIT = r"[^\p{L}]+"
 
 
 def _c(c) -> Column:
@@ -62,3 +63,29 @@ def language_route(lang) -> Column:
 def relation(is_following) -> Column:
     """relationship class from the follow flag."""
     return F.when(F.coalesce(_c(is_following), F.lit(False)), F.lit("known")).otherwise(F.lit("unknown"))
+
+
+def stop_word_table(spark) -> DataFrame:
+    """The fixed stop-word list as a 48-row table (word, lang, tie order)."""
+    rows = [(w, lang, LANG_ORDER.index(lang)) for lang in LANG_ORDER for w in STOP_WORDS[lang]]
+    return spark.createDataFrame(rows, "word string, lang string, tie int")
+
+
+def detect_languages(df: DataFrame, key: str = "media_id", text: str = "caption") -> DataFrame:
+    """F10 as a relational operator: ``(key, lang)`` for every row of ``df``.
+
+    Words of the folded text are exploded and left-joined to the stop-word
+    table (fixed size, so broadcasting it is bounded by construction); hits
+    are counted per key and language with a partial aggregate (one small
+    shuffle), then the arg-max is taken with the fixed tie order.  Same
+    result as ``detect_language``; measured faster than the regex passes.
+    """
+    words = df.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_SPLIT)).alias("word"))
+    hits = words.join(F.broadcast(stop_word_table(df.sparkSession)), "word", "left")
+    counts = hits.groupBy(key).agg(*[F.count_if(F.col("lang") == lang).alias(f"score_{lang}") for lang in LANG_ORDER])
+    scores = [F.col(f"score_{lang}") for lang in LANG_ORDER]
+    best = F.greatest(*scores)
+    pick = F.when(best == 0, F.lit(DEFAULT_LANG))
+    for lang, s in zip(LANG_ORDER, scores):
+        pick = pick.when(s == best, F.lit(lang))
+    return counts.select(key, pick.alias("lang"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import detect_language, language_route, relation
+from ..functions.language import detect_languages, language_route, relation
 from ..functions.text import excerpt, or_missing, post_link, ustrip
 from ..plans.ranking import spread
 from .substring_join import contains_pairs
@@ -73,11 +73,12 @@ def post_brief(details: DataFrame) -> DataFrame:
 def post_features(posts: DataFrame, authors: DataFrame, follows: DataFrame, shelf: DataFrame,
                   viewer_id, strategy: str = "auto") -> DataFrame:
     """one row per post with author, relation, language route and book."""
-    d = with_following(with_author(spread(posts, "media_id"), authors), follows, viewer_id)
-    lang = detect_language("caption")
+    d = with_following(with_author(posts, authors), follows, viewer_id)
+    langs = detect_languages(posts, "media_id", "caption")
     books = title_match(posts.select("media_id", "caption"), shelf, strategy)
     return (d.select("media_id", "username", "full_name", "is_following",
-                     relation("is_following").alias("relation"), lang.alias("lang"))
+                     relation("is_following").alias("relation"))
+            .join(langs, "media_id", "left")
             .withColumn("route", language_route("lang"))
             .join(books, "media_id", "left")
             .select("media_id", "username", "full_name", "is_following", "relation", "lang", "route",

@@ -115,8 +115,10 @@ def spread(df: DataFrame, *keys: str, factor: int = 2, python: bool = False) ->
     does not coalesce, so the parse is not squeezed into a single task.
     """
     target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        if python:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        top = next(line for line in plan.splitlines() if "Exchange" in line)
+        if python and "REPARTITION_BY_NUM" not in top:
             # a hash of the keys, so the optimizer cannot fold this into an
             # exchange of the same keys below it
             return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)

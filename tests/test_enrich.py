@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from postscope.functions.language import detect_language
+from postscope.functions.language import detect_language, detect_languages
 from postscope.operators.enrich import post_features, title_match
 from postscope.schemas import AUTHORS, FOLLOWS, POSTS, SHELF
 
@@ -34,6 +34,8 @@ def test_language_and_features(spark):
                        ("3", "der Hund und die Katze"), ("4", "xyz"), ("5", "le chat et les chiens")])
     got = {r["media_id"]: r["lang"] for r in p.select("media_id", detect_language("caption").alias("lang")).collect()}
     assert got == {"1": "en", "2": "es", "3": "de", "4": "en", "5": "fr"}
+    rel = {r["media_id"]: r["lang"] for r in detect_languages(p, "media_id", "caption").collect()}
+    assert rel == got
     authors = spark.createDataFrame([(1, "u1", "User One"), (2, "u2", "User Two")], AUTHORS)
     follows = spark.createDataFrame([(0, 1), (9, 2)], FOLLOWS)
     f = {r["media_id"]: r for r in post_features(p, authors, follows, _shelf(spark), 0).collect()}
