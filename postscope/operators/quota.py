@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import kth_per_group, struct_lt
+from ..plans.ranking import kth_per_group, struct_lt, top_n_per_group
 
 # fixed values: default per-run caps
 LIKES_CAP = 50
@@ -78,9 +78,7 @@ def _kth_with_offset(flat: DataFrame, by, order, cap: int, offset: DataFrame) ->
     """Per run, the ``(cap - n_done)``-th smallest first success (absent when
     fewer exist).  Rows ranked beyond ``cap`` can never matter, so the rank is
     limited to ``cap`` map-side as in ``kth_per_group``."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = flat.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
+    ranked = top_n_per_group(flat, by, order, cap, "_rn")
     need = offset.select(*by, (F.lit(cap) - F.col("n_done")).alias("_need"))
     return (ranked.join(need, by, "left")
             .filter(F.col("_rn") == F.coalesce(F.col("_need"), F.lit(cap)))

@@ -23,6 +23,8 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # runtime broadcast only for sides AQE has measured to be small
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # map-side top-k (partial WindowGroupLimit) for k up to this many rows
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

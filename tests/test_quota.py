@@ -77,3 +77,17 @@ def test_quota_offset_equals_single_pass(spark):
     off = spark.createDataFrame([("g", n_done)], "g string, n_done long")
     b = _run(spark, second, 4, offset=off)
     assert {k: v[1] for k, v in {**a, **b}.items()} == {k: v[1] for k, v in whole.items()}
+
+
+def test_top_n_salted_fallback_equals_plain(spark):
+    """Above the WindowGroupLimit threshold the two-stage salted rank gives the same rows."""
+    from postscope.plans.ranking import top_n_per_group
+    df = spark.range(0, 3000).selectExpr("id % 3 AS g", "id", "(id * 7919) % 3001 AS v")
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    plain = {(r["g"], r["id"], r["rn"]) for r in top_n_per_group(df, ["g"], ["v", "id"], 50).collect()}
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+        salted = {(r["g"], r["id"], r["rn"]) for r in top_n_per_group(df, ["g"], ["v", "id"], 50).collect()}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert salted == plain and len(plain) == 150
