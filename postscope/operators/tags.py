@@ -29,7 +29,9 @@ def normalize_tags(tags: DataFrame) -> DataFrame:
     """add ``tag`` (normalised), ``key`` (folded) and ``valid``."""
     tag = normalize_tag("raw")
     return (tags.withColumn("tag", tag)
-            .withColumn("key", F.lower("tag"))
+            # never null, so a join on it adds no null filter to one branch
+            # only and the per-key aggregate's exchange is shared
+            .withColumn("key", F.coalesce(F.lower("tag"), F.lit("")))
             .withColumn("valid", (F.col("tag") != "") & valid_tag("tag")))
 
 
@@ -46,20 +48,25 @@ def _first_seen(norm: DataFrame) -> DataFrame:
 
 
 def admit_tags(tags: DataFrame, cap: int = TAG_CAP) -> DataFrame:
-    """Status per entry in ``ok, empty, invalid, duplicate, too_many``."""
+    """Status per entry in ``ok, empty, invalid, duplicate, too_many``.
+
+    The cap threshold joins the per-key table (one row per list and key), so
+    the entries meet a single join; both uses of the per-key aggregate share
+    one exchange, and the log is scanned twice.
+    """
     norm = normalize_tags(tags)
     first = _first_seen(norm)
-    out = norm.join(first, [*LIST_KEY, "key"], "left")
     if cap >= 1:
         kth = kth_per_group(first, LIST_KEY, ["first_seq"], cap)
-        out = out.join(kth, LIST_KEY, "left")
-        over = F.col("kth_first_seq").isNotNull() & (F.col("first_seq") > F.col("kth_first_seq"))
+        first = first.join(kth, LIST_KEY, "left").select(
+            *LIST_KEY, "key", "first_seq",
+            (F.col("kth_first_seq").isNotNull() & (F.col("first_seq") > F.col("kth_first_seq"))).alias("_over"))
     else:
-        out = out.withColumn("kth_first_seq", F.lit(None).cast("long"))
-        over = F.lit(True)
+        first = first.withColumn("_over", F.lit(True))
+    out = norm.join(first, [*LIST_KEY, "key"], "left")
     status = (F.when(F.col("tag") == "", "empty")
               .when(~F.col("valid"), "invalid")
-              .when(over, "too_many")
+              .when(F.col("_over"), "too_many")
               .when(F.col("seq") > F.col("first_seq"), "duplicate")
               .otherwise("ok"))
     return out.select(*LIST_KEY, "seq", "raw", "tag", status.alias("status"))
