@@ -14,14 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..plans.ranking import spread
-
 
 def with_classifier(df: DataFrame, fn: Callable[[dict], str | None], inputs: Sequence[str],
                     key: str = "media_id") -> DataFrame:
     """Add ``result``, ``skipped`` and ``error`` per row of ``df[key, *inputs]``."""
     cols = [key, *[c for c in inputs if c != key]]
-    base = spread(df.select(*cols), key, python=True)
+    base = df.select(*cols)   # keeps the caller's partitioning (sources spread their scans)
     schema = T.StructType(list(base.schema.fields) + [
         T.StructField("result", T.StringType()), T.StructField("skipped", T.BooleanType()),
         T.StructField("error", T.StringType())])

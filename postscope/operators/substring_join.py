@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ranking import spread
 
 Q = 8
 BROADCAST_MAX_ROWS = 5000
@@ -81,7 +80,7 @@ def _automaton(t: DataFrame, text_keys, p: DataFrame, pat_keys) -> DataFrame:
             yield pd.DataFrame.from_records(out, columns=names) if out else pd.DataFrame(
                 {n: pd.Series([], dtype=object) for n in names})
 
-    return spread(t, *text_keys, python=True).mapInPandas(match, schema)
+    return t.mapInPandas(match, schema)
 
 
 def _measure(pats: DataFrame, pat: str) -> tuple[int, int]:
@@ -98,8 +97,8 @@ def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
     ``strategy`` is ``auto`` (size check), ``automaton``, ``broadcast`` or
     ``blocked``.  Empty or null patterns never match.
     """
-    t = spread(texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull()),
-               *text_keys)
+    # the text side keeps the caller's partitioning (sources spread their scans)
+    t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     p = (pats.select(*pat_keys, F.col(pat).alias("_pat"))
          .filter(F.col("_pat").isNotNull() & (F.length("_pat") > 0)))
     if strategy == "auto":

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPREAD_OPTION = "postscope.spread.partitions"
+
 
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
@@ -100,29 +102,19 @@ def chunked_lag(df: DataFrame, group: Sequence[str], chunk: Column, order: Seque
             .drop("_chunk", "_lag_local", "_prev", "_first"))
 
 
-def spread(df: DataFrame, *keys: str, factor: int = 2, python: bool = False) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster.
-
-    Only an exchange-free input (a scan with filters and projections) is
-    inspected: when its file splits are fewer than ``factor`` x the default
-    parallelism (a single large file), it is hash-repartitioned on ``keys``.
-    On a large scan this is a no-op, so the text is not shuffled just to be
-    parsed; an input that comes out of a shuffle keeps AQE's partitioning
-    (asking a shuffled plan for its partition count would run it).
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread CPU-heavy per-row text work over ``postscope.spread.partitions`` tasks.
 
-    ``python=True`` marks a Python stage (bytes are few, CPU per byte is
-    high): after a shuffle it gets an explicit-count repartition, which AQE
-    does not coalesce, so the parse is not squeezed into a single task.
+    A plain, explicit ``repartition``: set the option when inputs arrive as a
+    few large files (a single-row-group parquet file is one scan task, however
+    large) or when the step follows a shuffle that AQE would coalesce into a
+    few tasks by bytes (Python parsing has few bytes but much CPU per byte).
+    Unset, as on a cluster whose scans are already wide, it is a no-op, so the
+    text is not shuffled just to be parsed.  The partition key is a hash of
+    ``keys``: a plain column key would be folded into an exchange of the same
+    keys below it (e.g. a group-by of the pages), which AQE then coalesces.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan:
-        top = next(line for line in plan.splitlines() if "Exchange" in line)
-        if python and "REPARTITION_BY_NUM" not in top:
-            # a hash of the keys, so the optimizer cannot fold this into an
-            # exchange of the same keys below it
-            return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
-        return df
-    if df.rdd.getNumPartitions() >= target:
+    n = int(df.sparkSession.conf.get(SPREAD_OPTION, "0") or 0)
+    if n <= 0:
         return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    return df.repartition(n, F.xxhash64(*keys)) if keys else df.repartition(n)

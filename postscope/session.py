@@ -16,6 +16,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# option read by ``plans.ranking.spread``
+SPREAD_OPTION = "postscope.spread.partitions"
+
 SQL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -40,13 +43,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
-    return spark
+    return configure(spark)
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL options the operators assume to an existing session."""
     for k, v in SQL_DEFAULTS.items():
         spark.conf.set(k, v)
+    # local masters read the test tables, one row group per file: spread the
+    # text work over the cores unless the caller chose a value (a cluster
+    # leaves it unset, its scans are wide)
+    if spark.sparkContext.master.startswith("local") and not spark.conf.get(SPREAD_OPTION, ""):
+        spark.conf.set(SPREAD_OPTION, str(spark.sparkContext.defaultParallelism * 2))
     return spark
 
 
