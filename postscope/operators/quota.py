@@ -47,24 +47,24 @@ def apply_quota(cands: DataFrame, cap: int, by: Sequence[str], order: Sequence[s
     firsts = (cands.filter(~h & F.col(ok))
               .groupBy(*by, post)
               .agg(F.min(F.struct(*order)).alias("_first")))
-    out = cands.join(firsts, [*by, post], "left")
+    out = _join_ns(cands, firsts, [*by, post])
     here = [F.col(c) for c in order]
     first = [F.col("_first")[c] for c in order]
     m_before = F.col("_first").isNotNull() & struct_lt(first, here)
 
     if offset is not None:
         left = (F.lit(cap) - F.coalesce(F.col("n_done"), F.lit(0)))
-        out = out.join(offset.select(*by, "n_done"), by, "left")
+        out = _join_ns(out, offset.select(*by, "n_done"), by)
         flat = firsts.select(*by, *[F.col("_first")[c].alias(c) for c in order])
         # rank every first success within its run; keep the ones that can matter
         limit_rows = _kth_with_offset(flat, by, order, cap, offset)
-        out = out.join(limit_rows, by, "left")
+        out = _join_ns(out, limit_rows, by)
         kth = [F.col("kth_" + c) for c in order]
         out = out.withColumn("_under", (left > 0) & (F.col("kth_" + order[0]).isNull() | ~struct_lt(kth, here)))
         under = F.col("_under")
     elif cap >= 1:
         flat = firsts.select(*by, *[F.col("_first")[c].alias(c) for c in order])
-        out = out.join(kth_per_group(flat, by, order, cap), by, "left")
+        out = _join_ns(out, kth_per_group(flat, by, order, cap), by)
         kth = [F.col("kth_" + c) for c in order]
         under = F.col("kth_" + order[0]).isNull() | ~struct_lt(kth, here)
     else:
@@ -74,6 +74,21 @@ def apply_quota(cands: DataFrame, cap: int, by: Sequence[str], order: Sequence[s
     return out.drop("_first", "_under", "n_done", *[c for c in out.columns if c.startswith("kth_")])
 
 
+def _join_ns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on null-safe key equality (still a hash/merge equi-join).
+
+    Null keys form one group, as in a window partition; and no ``isnotnull``
+    filter is inferred into one branch only, so both uses of the
+    first-success aggregate stay identical and share one exchange.
+    """
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def _kth_with_offset(flat: DataFrame, by, order, cap: int, offset: DataFrame) -> DataFrame:
     """Per run, the ``(cap - n_done)``-th smallest first success (absent when
     fewer exist).  Rows ranked beyond ``cap`` can never matter, so the rank is

@@ -17,7 +17,7 @@ def quota_model(rows, cap):
     """Sequential walk: skip posts done before (history or success earlier in
     the run), stop attempting at ``cap`` successes; failures use no quota."""
     out = {}
-    for g in sorted({r[0] for r in rows}):
+    for g in sorted({r[0] for r in rows}, key=repr):
         n, done = 0, set()
         for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
             _, _, rid, m, ok, h = r
@@ -91,3 +91,19 @@ def test_top_n_salted_fallback_equals_plain(spark):
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
     assert salted == plain and len(plain) == 150
+
+
+def test_quota_null_keys_form_one_group(spark):
+    """Null run keys and null post ids are grouped as a window partition would."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        g = rnd.choice(["a", "b", None])
+        m = rnd.choice(["p1", "p2", "p3", None])
+        rows.append((g, T0 + timedelta(seconds=rnd.randint(0, 40)), i, m, rnd.random() < 0.6, False))
+    groups = {r[0] for r in rows}
+    for cap in (1, 3):
+        want = {}
+        for g in groups:
+            want.update(quota_model([r for r in rows if r[0] == g], cap))
+        assert _run(spark, rows, cap) == want, cap
