@@ -54,3 +54,18 @@ def test_language_agreement_reported(spark):
     r = d.select((detect_language("text") == F.col("lang")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     print(f"language agreement with documents.lang at sf0.001: {r:.3f}")
     assert r > 0.9
+
+
+def _final_plan(df):
+    """The adaptive plan as it ran (the action finalises the same plan)."""
+    df.collect()
+    return _plan(df).split("== Initial Plan ==")[0]
+
+
+def test_one_pass_per_table(spark):
+    q = E.queries()
+    # both uses of the per-key / first-success aggregate share one exchange
+    for key in ("admit_tags_cap5", "quota"):
+        assert "ReusedExchange" in _final_plan(q[key](spark, SF)), key
+    # like and comment history come from one scan of the log
+    assert _final_plan(q["decisions"](spark, SF)).count("events.parquet") == 1
