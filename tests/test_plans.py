@@ -69,3 +69,19 @@ def test_one_pass_per_table(spark):
         assert "ReusedExchange" in _final_plan(q[key](spark, SF)), key
     # like and comment history come from one scan of the log
     assert _final_plan(q["decisions"](spark, SF)).count("events.parquet") == 1
+
+
+def test_spread_follows_the_session_option(spark):
+    from postscope.plans.ranking import spread
+    from postscope.session import SPREAD_OPTION
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get(SPREAD_OPTION, "")
+    try:
+        spark.conf.set(SPREAD_OPTION, "0")                # unset / 0: a no-op
+        assert "Exchange" not in _plan(spread(d, "doc_id"))
+        spark.conf.set(SPREAD_OPTION, "6")                # explicit count, hashed keys
+        plan = _plan(spread(d, "doc_id"))
+        assert "REPARTITION_BY_NUM" in plan and "xxhash64" in plan
+        assert spread(d, "doc_id").rdd.getNumPartitions() == 6
+    finally:
+        spark.conf.set(SPREAD_OPTION, before)
