@@ -167,22 +167,25 @@ def funnel(decisions: DataFrame) -> DataFrame:
 def screen_by_table(posts: DataFrame, terms: DataFrame, strategy: str = "auto") -> DataFrame:
     """Screens driven by a term table ``(kind in keyword/avoid, term)``.
 
-    avoid: exploded post tags equi-join the folded avoid terms (exact);
-    keyword: substring join of the NUL-joined screen text with the terms.
+    avoid: the exploded post tags left-join the folded avoid terms (exact),
+    aggregated per post (``explode_outer`` keeps posts without tags, and the
+    partial aggregate combines a post's tags map-side); keyword: substring
+    join of the NUL-joined screen text with the terms.  The posts are read
+    once per screen, with no third pass just to list them.
     """
     t = terms.select("kind", F.lower("term").alias("term")).distinct()
-    avoid = t.filter(F.col("kind") == "avoid").select(F.col("term").alias("_tag"))
-    tags = posts.select("media_id", F.explode(F.transform(F.coalesce("hashtags", F.array().cast("array<string>")),
-                                                        F.lower)).alias("_tag"))
-    avoid_ids = tags.join(avoid, "_tag", "left_semi").select("media_id").distinct() \
-        .withColumn("avoid_hit", F.lit(True))
+    avoid = (t.filter(F.col("kind") == "avoid").select(F.col("term").alias("_tag"))
+             .withColumn("_avoid", F.lit(True)))
+    tags = posts.select("media_id", F.explode_outer(F.transform(F.coalesce("hashtags", F.array().cast("array<string>")),
+                                                              F.lower)).alias("_tag"))
+    flags = (tags.join(avoid, "_tag", "left").groupBy("media_id")
+             .agg(F.coalesce(F.max("_avoid"), F.lit(False)).alias("avoid_hit")))
     kw = t.filter(F.col("kind") == "keyword").select(F.col("term").alias("_term"))
     kw_ids = (contains_pairs(posts.select("media_id", screen_text(posts).alias("_s")), ["media_id"], "_s",
                              kw, ["_term"], "_term", strategy=strategy)
               .select("media_id").distinct().withColumn("kw_hit", F.lit(True)))
-    return (posts.select("media_id").join(kw_ids, "media_id", "left").join(avoid_ids, "media_id", "left")
-            .select("media_id", F.coalesce("kw_hit", F.lit(False)).alias("kw_hit"),
-                    F.coalesce("avoid_hit", F.lit(False)).alias("avoid_hit")))
+    return (flags.join(kw_ids, "media_id", "left")
+            .select("media_id", F.coalesce("kw_hit", F.lit(False)).alias("kw_hit"), "avoid_hit"))
 
 
 def recent_per_tag(posts: DataFrame, n: int = RECENT_PER_TAG) -> DataFrame:
