@@ -64,13 +64,13 @@ def screening_run(params: DataFrame, posts: DataFrame, actions: DataFrame, verdi
     avoid_hit = (walk.select("account", "media_id").distinct().join(post_tags, "media_id", "inner")
                  .join(avoid.distinct(), ["account", "_tag"], "left_semi")
                  .select("account", "media_id").distinct().withColumn("avoid_hit", F.lit(True)))
-    done = (actions.filter(F.col("action_type").isin("like", "comment"))
-            .select("account", F.col("media_id").cast("string").alias("media_id"), "action_type").distinct())
-    liked = done.filter(F.col("action_type") == "like").select("account", "media_id", F.lit(True).alias("liked"))
-    commented = done.filter(F.col("action_type") == "comment").select("account", "media_id", F.lit(True).alias("commented"))
+    # like and comment history in one conditional aggregate per (account, post)
+    kind = F.col("action_type")
+    done = (actions.filter(kind.isin("like", "comment") & F.col("media_id").isNotNull())
+            .groupBy("account", F.col("media_id").cast("string").alias("media_id"))
+            .agg(F.max(kind == "like").alias("liked"), F.max(kind == "comment").alias("commented")))
     walk = (walk.join(avoid_hit, ["account", "media_id"], "left")
-            .join(liked, ["account", "media_id"], "left")
-            .join(commented, ["account", "media_id"], "left")
+            .join(done, ["account", "media_id"], "left")
             .join(viewers.select("account", "viewer_id"), "account", "left")
             .join(params.select("account", "likes_per_day", "comments_per_day", "allow_sensitive"), "account", "left"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
