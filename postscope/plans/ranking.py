@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPREAD_OPTION = "postscope.spread.partitions"
+# buckets of the first rank when k is above the map-side limit threshold
+SALTS = 64
 
 
 def _cols(cs) -> list[Column]:
@@ -29,8 +31,24 @@ def _cols(cs) -> list[Column]:
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence, n: int,
                     rank_col: str = "rn") -> DataFrame:
-    """Rows ranked ``1..n`` per group by ``order`` (map-side limited)."""
-    w = Window.partitionBy(*group).orderBy(*_cols(order))
+    """Rows ranked ``1..n`` per group by ``order`` (map-side limited).
+
+    Catalyst adds the partial ``WindowGroupLimit`` only for ``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.  Beyond it a first
+    rank runs inside ``SALTS`` buckets of each group (a deterministic hash of
+    the order columns), keeping ``n`` rows per bucket: every row of the
+    group's top ``n`` is in its bucket's top ``n``, so the group-wide rank
+    then sees at most ``n * SALTS`` rows of a group, however large the group.
+    Order columns with a unique tie-breaker (an id) are expected.
+    """
+    cols = _cols(order)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
+        salt = F.pmod(F.xxhash64(*cols), F.lit(SALTS))
+        local = Window.partitionBy(*group, "_salt").orderBy(*cols)
+        df = (df.withColumn("_salt", salt).withColumn("_local", F.row_number().over(local))
+              .filter(F.col("_local") <= n).drop("_salt", "_local"))
+    w = Window.partitionBy(*group).orderBy(*cols)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 

@@ -87,7 +87,10 @@ def test_top_n_salted_fallback_equals_plain(spark):
     plain = {(r["g"], r["id"], r["rn"]) for r in top_n_per_group(df, ["g"], ["v", "id"], 50).collect()}
     try:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
-        salted = {(r["g"], r["id"], r["rn"]) for r in top_n_per_group(df, ["g"], ["v", "id"], 50).collect()}
+        ranked = top_n_per_group(df, ["g"], ["v", "id"], 50)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in plan                      # the bucketed first rank is planned
+        salted = {(r["g"], r["id"], r["rn"]) for r in ranked.collect()}
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
     assert salted == plain and len(plain) == 150
