@@ -21,3 +21,13 @@ def make_actions(spark, recs):
     text = F.when(F.date_format("ts", "SSSSSS") == "000000", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")) \
         .otherwise(iso_text("ts"))
     return df.withColumn("timestamp", text).withColumn("date", F.to_date("ts"))
+
+
+def plan_text(df) -> str:
+    """The physical plan as ``df.explain()`` prints it (after an action: as it ran)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from helpers import plan_text
 
 SF = "/root/testdata/sf0.001"
 # Python workers are allowed only for HTML parsing (S6), the injected classifier
@@ -14,7 +15,7 @@ STREAMING = {"stream_daily_counts", "stream_first_action", "stream_quota", "appe
 
 
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return plan_text(df)
 
 
 @pytest.mark.parametrize("key", sorted(set(E.queries()) - STREAMING))

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import types as T
 
+from helpers import plan_text
 from postscope.operators.quota import apply_quota
 
 SCHEMA = T.StructType([
@@ -88,7 +89,7 @@ def test_top_n_salted_fallback_equals_plain(spark):
     try:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
         ranked = top_n_per_group(df, ["g"], ["v", "id"], 50)
-        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        plan = plan_text(ranked)
         assert "_salt" in plan                      # the bucketed first rank is planned
         salted = {(r["g"], r["id"], r["rn"]) for r in ranked.collect()}
     finally:

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 from conftest import rows
-from helpers import make_actions
+from helpers import make_actions, plan_text
 
 from postscope.operators import screening as S
 from postscope.schemas import POSTS, VERDICTS
@@ -56,6 +56,6 @@ def test_recent_per_tag_and_candidates(spark):
     p = spark.createDataFrame(data, POSTS)
     rec = S.recent_per_tag(p, 10)
     assert sorted(int(r["media_id"]) for r in rec.filter("search_tag = 't'").collect()) == list(range(5, 15))
-    assert "WindowGroupLimit" in rec._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan_text(rec)
     lists = spark.createDataFrame([("acc", "hashtags", 1, " t ")], "account string, list_name string, seq long, tag string")
     assert S.candidates(lists, p).count() == 10

@@ -1,5 +1,5 @@
 from conftest import rows
-from helpers import make_actions
+from helpers import make_actions, plan_text
 
 from postscope.operators import stats
 
@@ -69,11 +69,11 @@ def test_plans_push_down_and_take_ordered(spark, tmp_path):
     path = str(tmp_path / "log")
     append_actions(a, path)
     log = read_actions(spark, path)
-    plan = log.transform(lambda d: stats.lookback(d, AS_OF))._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(log.transform(lambda d: stats.lookback(d, AS_OF)))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
     assert "PartitionFilters: [isnotnull(date" in plan
-    top_plan = stats.top_tags(log)._jdf.queryExecution().executedPlan().toString()
+    top_plan = plan_text(stats.top_tags(log))
     assert "TakeOrderedAndProject" in top_plan
-    err_plan = stats.latest_errors(log)._jdf.queryExecution().executedPlan().toString()
+    err_plan = plan_text(stats.latest_errors(log))
     assert "TakeOrderedAndProject" in err_plan and "PushedFilters: [IsNotNull(action_type), EqualTo(action_type,error)]" in err_plan
     assert log.filter("date >= '2024-01-20'").count() == len([i for i in range(60) if 1 + i % 28 >= 20])
