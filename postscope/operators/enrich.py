@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.language import detect_languages, language_route, relation
 from ..functions.text import excerpt, or_missing, post_link, ustrip
-from ..plans.ranking import spread
 from .substring_join import contains_pairs
 
 
