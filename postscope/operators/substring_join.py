@@ -13,8 +13,9 @@ one small aggregate over the already-pruned pattern side):
   ``q`` characters is keyed by its *rarest* q-gram among the texts (any
   q-gram of a contained pattern is a q-gram of the text, so no pair is
   lost); candidates come from an equi-join on that gram and are verified
-  with ``contains``.  Shorter patterns form a second tier keyed the same way
-  on grams of their minimum length.  No broadcast, no cross product.
+  with ``contains``.  A shorter pattern is a single gram of its own length,
+  so per length the texts' grams equi-join the patterns exactly.  No
+  broadcast, no cross product.
 
 Callers pass already case-folded text and pattern columns.
 """
@@ -117,13 +118,15 @@ def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
 
 
 def _blocked(t: DataFrame, text_keys, p: DataFrame, pat_keys, q: int) -> DataFrame:
-    long_p = p.filter(F.length("_pat") >= q)
-    short_p = p.filter(F.length("_pat") < q)
-    out = _tier(t, text_keys, long_p, pat_keys, q)
-    # shorter patterns: one more tier keyed on grams of their minimum length
-    row = short_p.agg(F.min(F.length("_pat")).alias("m")).first()
-    if row["m"] is not None:
-        out = out.unionByName(_tier(t, text_keys, short_p, pat_keys, int(row["m"])))
+    out = _tier(t, text_keys, p.filter(F.length("_pat") >= q), pat_keys, q)
+    # a pattern shorter than q is one gram of its own length: per length, the
+    # texts' distinct grams equi-join the patterns exactly (no candidates to
+    # verify, output = the matches).  At most q - 1 lengths exist.
+    lengths = sorted(r[0] for r in p.filter(F.length("_pat") < q).select(F.length("_pat")).distinct().collect())
+    for n in lengths:
+        grams = t.select(*text_keys, F.explode(_grams("_text", n)).alias("_pat"))
+        exact = p.filter(F.length("_pat") == n)
+        out = out.unionByName(grams.join(exact, "_pat", "inner").select(*text_keys, *pat_keys))
     return out
 
 

@@ -42,3 +42,22 @@ def test_language_and_features(spark):
     assert f["1"]["is_following"] and f["1"]["relation"] == "known" and f["1"]["username"] == "u1"
     assert not f["2"]["is_following"] and f["2"]["route"] == "es" and f["3"]["route"] == "en"
     assert f["4"]["username"] is None and f["4"]["book_position"] is None
+
+
+def test_contains_pairs_paths_equal_brute_force(spark):
+    """Patterns of every length class (1 char, below q, at and above q) on all paths."""
+    import random
+
+    from postscope.operators.substring_join import contains_pairs
+    rnd = random.Random(9)
+    alphabet = "abcdeé ñ"
+    texts = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))) for i in range(80)]
+    pats = [(j, "".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 2, 3, 5, 7, 8, 9, 12]))))
+            for j in range(60)]
+    t = spark.createDataFrame(texts, "tid int, text string")
+    p = spark.createDataFrame(pats, "pid int, pat string")
+    want = {(i, j) for i, tx in texts for j, pt in pats if pt and pt in tx}
+    for strategy in ("blocked", "automaton", "broadcast"):
+        got = {(r["tid"], r["pid"]) for r in contains_pairs(t, ["tid"], "text", p, ["pid"], "pat",
+                                                            strategy=strategy).collect()}
+        assert got == want, strategy
