@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPREAD_OPTION = "postscope.spread.partitions"
+from ..session import SPREAD_OPTION
+
 # buckets of the first rank when k is above the map-side limit threshold
 SALTS = 64
 
