@@ -134,11 +134,11 @@ def _tier(t: DataFrame, text_keys, p: DataFrame, pat_keys, n: int) -> DataFrame:
     """Patterns of length >= n, each keyed by its rarest n-gram among the texts."""
     text_grams = t.select(*text_keys, F.explode(_grams("_text", n)).alias("_g"))
     pat_grams = p.select(*pat_keys, F.explode(_grams("_pat", n)).alias("_g"))
-    # how many texts hold each gram, counted only for grams of some pattern:
-    # most grams of a text occur in no pattern, so the semi join drops them
-    # before the (partial, skew-safe) aggregate shuffles anything
-    freq = (text_grams.join(pat_grams.select("_g").distinct(), "_g", "left_semi")
-            .groupBy("_g").agg(F.count(F.lit(1)).alias("_f")))
+    # only grams of some pattern matter: most grams of a text occur in no
+    # pattern, so the semi join drops them before the (partial, skew-safe)
+    # count of texts per gram and before the candidate join
+    text_grams = text_grams.join(pat_grams.select("_g").distinct(), "_g", "left_semi")
+    freq = text_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     # a pattern with a gram no text holds can match nowhere: the inner join drops it
     key_gram = (pat_grams.join(freq, "_g", "inner")
                 .groupBy(*pat_keys).agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g")))
