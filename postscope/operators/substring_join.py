@@ -102,12 +102,14 @@ def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
     t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     p = (pats.select(*pat_keys, F.col(pat).alias("_pat"))
          .filter(F.col("_pat").isNotNull() & (F.length("_pat") > 0)))
+    measured = None
     if strategy == "auto":
-        n, b = _measure(p, "_pat")
-        strategy = ("automaton" if _HAS_AUTOMATON else "broadcast") if n <= max_rows and b <= max_bytes else "blocked"
+        measured = _measure(p, "_pat")
+        fits = measured[0] <= max_rows and measured[1] <= max_bytes
+        strategy = ("automaton" if _HAS_AUTOMATON else "broadcast") if fits else "blocked"
     keys = [*text_keys, *pat_keys]
     if strategy == "automaton":
-        n, b = _measure(p, "_pat")
+        n, b = measured or _measure(p, "_pat")
         if n > max_rows or b > max_bytes:
             raise ValueError("pattern side is over the size limit for the automaton path")
         return _automaton(t, text_keys, p, pat_keys).distinct()
