@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, kd_shards, language_id, packing, repair_store, toxicity
+from . import decontaminate, jaccard_join, kd_shards, language_id, packing, repair_store, substring_dedup, toxicity
 from .common import crc_text, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,3 +63,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op10_packing": op10_packing,
 }
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
+QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["op9_substring_dedup"] = op9_substring_dedup
