@@ -159,3 +159,22 @@ class Words:
         """Words ``i..i+n-1`` joined by one space."""
         low = self.low
         return b" ".join(low[s:e].tobytes() for s, e in zip(self.start[i:i + n], self.end[i:i + n]))
+
+
+def grouped(batches, keys: int):
+    """Runs of equal first ``keys`` columns as tables (the input is sorted by them)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)])
+        cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
+        edges = [0, *cut.tolist(), b.num_rows]
+        for s, e in zip(edges[:-1], edges[1:]):
+            part = b.slice(s, e - s)
+            if held and any(held[0].column(i)[0].as_py() != part.column(i)[0].as_py() for i in range(keys)):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if done:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of ``a[i]`` and ``b[i]`` in place; roots are smallest members."""
+    while len(a):
+        a, b = settled(root, a), settled(root, b)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+
+
+def settled(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Roots of ``x``."""
+    x = root[x]
+    while True:
+        up = root[x]
+        if (up == x).all():
+            return x
+        x = up

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, mix, pick, slices, staged, utf8
+from .common import BASE, Words, grouped, mix, pick, slices, staged, utf8
 from .graph import components
 
 NGRAM = 5
@@ -120,28 +120,9 @@ def _split(batches):
             names=["node", "cid", "sig", "above"])
 
 
-def _grouped(batches, keys: int):
-    """Runs of equal first ``keys`` columns as tables (the input is sorted by them)."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([b.column(i).to_numpy() for i in range(keys)])
-        cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
-        edges = [0, *cut.tolist(), b.num_rows]
-        for s, e in zip(edges[:-1], edges[1:]):
-            part = b.slice(s, e - s)
-            if held and any(held[0].column(i)[0].as_py() != part.column(i)[0].as_py() for i in range(keys)):
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _propose(batches):
     """Per class of a tile: a bit map of the partners to compare exactly."""
-    for t in _grouped(batches, 3):
+    for t in grouped(batches, 3):
         rows = t.num_rows
         if rows < 2:
             continue
@@ -177,7 +158,7 @@ def _propose(batches):
 
 def _judge(n: int, threshold: float):
     def judge(batches):
-        for t in _grouped(batches, 3):
+        for t in grouped(batches, 3):
             place, first = np.unique(t.column("place").to_numpy(), return_index=True)   # repeated rows of one text
             t = t.take(pa.array(first))
             rows = len(place)

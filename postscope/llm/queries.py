@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard_join, kd_shards, language_id, packing, repair_store, substring_dedup, toxicity
+from . import decontaminate, jaccard_join, kd_shards, language_id, packing, repair_store, substring_dedup, toxicity, vector_join
 from .common import crc_text, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -78,3 +78,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_substring_dedup"] = op9_substring_dedup
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.linked(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_embedding_near_dedup"] = op1_embedding_near_dedup
