@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postscope.llm.common import staged
-from postscope.llm.stages import known_language
+from postscope.llm.stages import decontaminated, known_language, packed, unique_documents, without_repeats
 
 STAGES = [
     ("language_id", known_language),
+    ("ngram_jaccard_join", unique_documents),
+    ("substring_dedup", without_repeats),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
 ]
 
 # language models and tokenizers are not expressible in SQL

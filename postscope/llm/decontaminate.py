@@ -102,7 +102,7 @@ def _scanner(shared, bits: int):
         tables = shared.value
         cut, six, low6 = np.uint64(64 - bits), np.uint64(6), np.uint64(63)
         for b in batches:
-            data, off = utf8(b.column(2))
+            data, off = utf8(b.column(3))
             n_words = np.zeros(len(off) - 1, np.int64)
             found: list[list] = [[] for _ in range(len(off) - 1)]
             for i, j in slices(off):
@@ -124,19 +124,20 @@ def _scanner(shared, bits: int):
                     for s, d in zip(starts.tolist(), doc.tolist()):
                         found[i + d].append({"start": s - int(w.first[d]), "len": span, "words": w.text(s, span)})
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_words),
+                [b.column(0), b.column(1), b.column(2), pa.array(n_words),
                  pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("words", pa.binary())])))],
-                names=["rid", "doc_id", "n_words", "windows"])
+                names=["rid", "doc_id", "t64", "n_words", "windows"])
     return scan
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text",
                   filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per document: (rid, doc_id, n_words, n_hit, items).
+    """One row per document: (rid, doc_id, t64, n_words, n_hit, items).
 
     ``items``: sorted ids (as text) of the benchmark items with an occurring
-    window.  ``n_hit``: words inside any occurrence.
+    window.  ``n_hit``: words inside any occurrence.  ``t64``: hash of the text,
+    to find the row again.
     """
     spark = docs.sparkSession
     bench = staged(bench_windows(pick(items, item=F.coalesce(items[item_id].cast("string"), F.lit("")), text=item_text)),
@@ -145,9 +146,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     d = pick(docs, doc_id=doc_id, text=text)
     kind = d.schema["doc_id"].dataType.simpleString()
     rows = staged(
-        d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(
+        d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("t64"), "text").mapInArrow(
             _scanner(shared, filter_bits),
-            f"rid long, doc_id {kind}, n_words long, windows array<struct<start:int,len:int,words:binary>>"),
+            f"rid long, doc_id {kind}, t64 long, n_words long, windows array<struct<start:int,len:int,words:binary>>"),
         "winnowed")
     of = bench.select("item", F.explode(F.array_distinct("words")).alias("words")).distinct()
     cand = rows.filter(F.size("windows") > 0).select("rid", F.explode("windows").alias("w")).select("rid", "w.*")
@@ -160,8 +161,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     words = hit.groupBy("rid").agg(merged.cast("long").alias("n_hit"))
     named = (hit.select("rid", "words").distinct().join(of, "words").select("rid", "item").distinct()
              .groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items")))
-    return (rows.select("rid", "doc_id", "n_words").join(words.join(named, "rid"), "rid", "left")
-            .select("rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return (rows.select("rid", "doc_id", "t64", "n_words").join(words.join(named, "rid"), "rid", "left")
+            .select("rid", "doc_id", "t64", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items")))
 
 

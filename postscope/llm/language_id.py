@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import BASE, mix, pick
 
@@ -233,6 +234,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: dict[str,
     """``keep`` columns (default: all but the text) plus ``lang_pred`` and ``score`` (posterior, 0 to 1)."""
     keep = {c: F.col(c) for c in docs.columns if c != text} if keep is None else keep
     d = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "text")
+    schema = StructType([f for f in d.schema.fields if f.name != "text"])
+    for name, kind in (("lang_pred", "string"), ("score", "double"),):
+        schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return d.mapInArrow(_scorer(shared), f"{schema}, lang_pred string, score double")
+    return d.mapInArrow(_scorer(shared), schema)

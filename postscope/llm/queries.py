@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard_join, kd_shards, language_id, packing, repair_store, substring_dedup, toxicity, vector_join
+from . import decontaminate, jaccard_join, kd_shards, language_id, licenses, packing, repair_store, substring_dedup, toxicity, vector_join
 from .common import crc_text, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -85,3 +85,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_embedding_near_dedup"] = op1_embedding_near_dedup
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_families(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_license_scan"] = op6_license_scan

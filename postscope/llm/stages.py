@@ -1,16 +1,29 @@
-"""The pipeline's stages; each reads the operator's result and gives the rows it keeps."""
+"""The pipeline's stages; each reads the operator's result and gives the rows it keeps.
+
+Operators return a document's id and a hash of its text; the rows themselves are
+found again by hashes of both.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id
+from . import decontaminate, jaccard_join, language_id, packing, substring_dedup
 from .common import table
-from .queries import PIECES
+from .queries import BYTE_BPE, PIECES
 
 # a language is unknown below this posterior
 MIN_POSTERIOR = 0.5
+_KEY = ["_id_hash", "_text_hash"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_id_hash": F.xxhash64("doc_id"), "_text_hash": F.xxhash64("text")})
+
+
+def _keys(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.xxhash64("doc_id").alias("_id_hash"), F.col("t64").alias("_text_hash"), *more).dropDuplicates(_KEY)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +34,29 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_POSTERIOR)).select("row.*")
 
 
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each class stays (of repeated rows, one row)."""
+    kept = _keys(jaccard_join.near_duplicates(docs).filter("kept"))
+    return _keyed(docs).join(kept.hint("merge"), _KEY).dropDuplicates(_KEY).select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix search: repeated passages leave the texts; every document stays."""
+    cut = _keys(substring_dedup.repeated_passages(docs).filter("kept_text is not null"), "kept_text")
+    text = F.coalesce("kept_text", "text")
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text))
+           if "n_chars" in docs.columns else F.lit(None)}
+    return _keyed(docs).join(cut, _KEY, "left").select(
+        *[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents that the contamination rule marks go."""
-    items = table(spark, sf_dir, "benchmark")
-    found = decontaminate.contamination(docs, items, row_columns=docs.columns)
-    return found.filter(~decontaminate.is_contaminated()).select("row.*")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = _keys(found.filter(decontaminate.is_contaminated()))
+    return _keyed(docs).join(gone, _KEY, "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: the pieces of all documents and their places."""
+    return packing.packed(docs, BYTE_BPE, end_id=2)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import BASE, mix, pick, slices, utf8
 
@@ -173,7 +174,9 @@ def _scorer(shared):
 def score(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The ``keep`` columns plus ``score`` (0 to 1) and ``predicted``."""
     d = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "text")
+    schema = StructType([f for f in d.schema.fields if f.name != "text"])
+    for name, kind in (("score", "double"),):
+        schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return (d.mapInArrow(_scorer(shared), f"{schema}, score double")
+    return (d.mapInArrow(_scorer(shared), schema)
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
