@@ -29,7 +29,27 @@ def _actions(spark, sf):
 
 @query("actions_scan")
 def q_actions_scan(spark, sf):
+    from .session import scratch_path
+    from .sources.actions import append_actions, read_actions
+    path = scratch_path(spark, "log")
+    append_actions(_actions(spark, sf), path)
+    return _dated(read_actions(spark, path))
+
+
+@query("actions_iso_scan")
+def q_actions_iso_scan(spark, sf):
+    """A log without a typed time: text stamps only, some without a fraction."""
+    from .session import scratch_path
+    from .sources.actions import read_actions_iso
     a = _actions(spark, sf)
+    text = F.when(F.col("id") % 7 == 0, F.substring("timestamp", 1, 19)).otherwise(F.col("timestamp"))
+    path = scratch_path(spark, "iso-log")
+    a.withColumn("timestamp", text).drop("ts", "event_type").write.partitionBy("date").parquet(path)
+    return read_actions_iso(spark, path).select("id", "timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                                                "account", "action_type", "media_id", "post_link")
+
+
+def _dated(a):
     return a.select("id", "timestamp", "account", "action_type", "media_id", "hashtag", "comment",
                     "error", "post_link", F.date_format("date", "yyyy-MM-dd").alias("date"))
 
@@ -144,7 +164,7 @@ def q_evolved_scan(spark, sf):
     old = v1_projection(a.filter(F.col("id") % 2 == 0))
     with_date(old).write.mode("append").partitionBy("date").parquet(path)   # first schema version
     append_actions(a.filter(F.col("id") % 2 == 1), path)                     # after the migration
-    return _log_columns(read_actions(spark, path, evolve=True))
+    return _log_columns(read_actions(spark, path))
 
 
 # ---- tag lists (F1, F2, W1, W2, P11, A13) -----------------------------------
@@ -198,7 +218,7 @@ def q_tag_list_size(spark, sf):
 # fixed fixture parameters (FIXTURES.md): terms that occur in the documents,
 # an avoid list that hits, the viewer account
 FIX_TERMS = ("license", "token")
-FIX_AVOID = ("que", "die", "that")
+FIX_AVOID = ("que", "dieser", "whated")
 
 
 def _posts(spark, sf):
@@ -238,7 +258,7 @@ def q_safety_gate(spark, sf):
 def _decisions(spark, sf):
     from .operators import screening as S
     return S.decide(_posts(spark, sf), _actions(spark, sf), td.verdicts(spark, sf), td.VIEWER_ID,
-                    terms=FIX_TERMS, avoid=FIX_AVOID, allow_sensitive=False)
+                    terms=FIX_TERMS, avoid=FIX_AVOID, allow_sensitive=False, account=str(td.VIEWER_ID))
 
 
 @query("decisions")
@@ -253,7 +273,7 @@ def q_funnel(spark, sf):
 
 
 def _likes(spark, sf):
-    return _actions(spark, sf).filter(F.col("action_type") == "like").select("id", "media_id")
+    return _actions(spark, sf).filter(F.col("action_type") == "like").select("id", "account", "media_id")
 
 
 @query("not_yet_commented")
@@ -274,10 +294,13 @@ def q_screen_by_table(spark, sf):
     return S.screen_by_table(_posts(spark, sf), td.screen_terms(spark, sf))
 
 
-@query("screen_by_table_blocked")
-def q_screen_by_table_blocked(spark, sf):
-    from .operators import screening as S
-    return S.screen_by_table(_posts(spark, sf), td.screen_terms(spark, sf), strategy="blocked")
+@query("screening_run")
+def q_screening_run(spark, sf):
+    from .plans.flows import screening_run
+    p = td.screening_params(spark, sf)
+    return screening_run(p.drop("viewer_id"), _posts(spark, sf), _actions(spark, sf), td.verdicts(spark, sf),
+                         p.select("account", "viewer_id"), terms=FIX_TERMS).select(
+        "account", "action_type", "media_id", "search_tag", F.col("seq").cast("long").alias("seq"), F.col("rn").cast("long").alias("rn"))
 
 
 @query("recent_per_tag")
@@ -375,11 +398,19 @@ def q_title_match(spark, sf):
     return title_match(_posts(spark, sf), td.shelf(spark, sf)).select("media_id", "position", "book_title", "book_rating", "book_review")
 
 
-@query("title_match_blocked")
-def q_title_match_blocked(spark, sf):
+def _shelves(spark, sf):
+    """Two readers' shelves whose positions overlap."""
+    b = td.shelf(spark, sf)
+    half = F.col("position") % 2
+    return b.withColumn("user_id", F.concat(F.lit("reader"), half.cast("string"))).withColumn("position", F.floor(F.col("position") / 2).cast("long"))
+
+
+@query("title_match_by_reader")
+def q_title_match_by_reader(spark, sf):
     from .operators.enrich import title_match
-    return (title_match(_posts(spark, sf), td.shelf(spark, sf), strategy="blocked")
-            .select("media_id", "position", "book_title", "book_rating", "book_review"))
+    posts = _posts(spark, sf).withColumn("owner", F.concat(F.lit("reader"), (F.col("author_id") % 2).cast("string")))
+    return (title_match(posts, _shelves(spark, sf), reader="owner")
+            .select("media_id", "user_id", "position", "book_title", "book_rating", "book_review"))
 
 
 @query("post_links")
@@ -426,29 +457,56 @@ def q_page_links(spark, sf):
     return extract_links(td.table(spark, sf, "pages")).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query("page_elements")
+def q_page_elements(spark, sf):
+    from .sources.html import ElementSpec, extract_elements
+    return (extract_elements(td.table(spark, sf, "pages"), ElementSpec("a", ("href",))).filter("error is null")
+            .select("page_id", "pos", "href", "text"))
+
+
+@query("shelf_crawl")
+def q_shelf_crawl(spark, sf):
+    from .operators.crawl import crawl_shelf
+    # one page in ten is short of rows: the crawl ends there
+    pages = td.shelf_pages(spark, sf, per_page=50)
+    broken = F.when(F.col("page") % 10 == 0, F.lit("<html><p>busy")).otherwise(F.col("html"))
+    return crawl_shelf(pages.withColumn("html", broken), site=td.BOOK_SITE, per_page=50)
+
+
 @query("crawl_prefix")
 def q_crawl_prefix(spark, sf):
     from .operators.crawl import crawl_prefix
     return crawl_prefix(td.crawl_pages(spark, sf), per_page=25)
 
 
+def _shelf_files(spark, sf):
+    """Shelf JSON written as one file per reader, then read back."""
+    from .session import scratch_path
+    from .sources.jsonfiles import read_shelf_json
+    path = scratch_path(spark, "shelf-json")
+    td.shelf_json(spark, sf).select("value", "user_id").write.partitionBy("user_id").text(path)
+    return read_shelf_json(spark, path)
+
+
 @query("shelf_json")
 def q_shelf_json(spark, sf):
-    from .sources.jsonfiles import parse_shelf_json
-    return parse_shelf_json(td.shelf_json(spark, sf))
+    return _shelf_files(spark, sf)
 
 
 @query("complete_books")
 def q_complete_books(spark, sf):
     from .operators.enrich import complete_books
-    from .sources.jsonfiles import parse_shelf_json
-    return complete_books(parse_shelf_json(td.shelf_json(spark, sf)))
+    return complete_books(_shelf_files(spark, sf))
 
 
 @query("run_params")
 def q_run_params(spark, sf):
-    from .sources.jsonfiles import parse_run_params
-    p = parse_run_params(td.run_params_json(spark, sf))
+    from .session import scratch_path
+    from .sources.jsonfiles import read_run_params
+    path = scratch_path(spark, "run-params")
+    one = F.get_json_object("value", "$.account").alias("owner")
+    td.run_params_json(spark, sf).select("value", one).write.partitionBy("owner").text(path)   # a file per account
+    p = read_run_params(spark, path)
     return p.select("account", F.array_join("hashtags", ",").alias("hashtags"),
                     F.array_join("avoid_hashtags", ",").alias("avoid_hashtags"),
                     "likes_per_day", "comments_per_day", "allow_sensitive", "shelf_user_id")
@@ -456,8 +514,11 @@ def q_run_params(spark, sf):
 
 @query("run_log_parse")
 def q_run_log_parse(spark, sf):
-    from .sources.runlog import parse_run_log, render_action_lines
-    return parse_run_log(render_action_lines(_actions(spark, sf)))
+    from .session import scratch_path
+    from .sources.runlog import read_run_log, render_action_lines
+    path = scratch_path(spark, "run-log")
+    render_action_lines(_actions(spark, sf)).select("value").write.text(path)
+    return read_run_log(spark, path).drop("file", "record")
 
 
 # ---- streaming (T1-T3) and the classifier hook (X1) ---------------------------
@@ -468,29 +529,30 @@ def _stream_actions(spark, sf):
 
 @query("stream_daily_counts")
 def q_stream_daily_counts(spark, sf):
-    from .streaming.actions import run_available, stream_daily_counts
-    return run_available(stream_daily_counts(_stream_actions(spark, sf), "1 day"), spark, "daily-counts")
+    from .streaming.actions import stream_daily_counts, stream_paths
+    return stream_daily_counts(_stream_actions(spark, sf), *stream_paths(spark, "daily-counts"))
 
 
 @query("stream_first_action")
 def q_stream_first_action(spark, sf):
-    from .streaming.actions import run_available, stream_first_action
+    from .streaming.actions import stream_first_action, stream_paths
     start = F.lit(td.HISTORY_BEFORE).cast("timestamp_ntz")
     s = _stream_actions(spark, sf).filter(F.col("ts") >= start)
     history = _actions(spark, sf).filter(F.col("ts") < start)
-    first = stream_first_action(s.select("id", "ts", "media_id", "action_type"), "60 days", history)
-    return run_available(first, spark, "first-action").select("media_id", "action_type")
+    first = stream_first_action(s.select("id", "ts", "account", "media_id", "action_type"),
+                                *stream_paths(spark, "first-action"), history)
+    return first.select("account", "media_id", "action_type", "id")
 
 
 @query("stream_quota")
 def q_stream_quota(spark, sf):
-    from .streaming.actions import stream_quota
+    from .streaming.actions import stream_paths, stream_quota
     start = F.lit(td.HISTORY_BEFORE).cast("timestamp_ntz")
     s = (_stream_actions(spark, sf).filter(F.col("ts") >= start)
          .select("id", "ts", "account", F.date_format("date", "yyyy-MM-dd").alias("date"), "media_id",
                  (F.col("event_type") != "error").alias("ok")))
     history = _actions(spark, sf).filter((F.col("ts") < start) & (F.col("event_type") != "error"))
-    acc = stream_quota(s, spark, cap=2, by=["account", "date"], history=history)
+    acc = stream_quota(s, *stream_paths(spark, "quota"), cap=2, by=["account", "date"], history=history, delay_days=16)
     return acc.select("id", "account", "date", "media_id")
 
 

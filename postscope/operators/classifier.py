@@ -2,8 +2,9 @@
 
 The caller injects ``fn(details: dict) -> str | None``; ``None`` means skip.
 It runs in ``mapInPandas`` over Arrow batches of only the columns it needs;
-an exception becomes an ``error`` value on that row (as the reference logs
-it) and never fails the job.
+nulls reach it as ``None``.  An exception, or a result that is no text, becomes
+an ``error`` value on that row (as the reference logs it) and never fails the
+job.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ def with_classifier(df: DataFrame, fn: Callable[[dict], str | None], inputs: Seq
     def run(batches):
         for pdf in batches:
             results, skipped, errors = [], [], []
-            for rec in pdf.to_dict("records"):
+            nulls = pdf.isna().to_dict("records")
+            for rec, null in zip(pdf.to_dict("records"), nulls):
                 try:
-                    r = fn(rec)
+                    r = fn({k: None if null[k] is True else v for k, v in rec.items()})
+                    if r is not None and not isinstance(r, str):
+                        raise TypeError(f"the classifier gave {type(r).__name__}, not text")
                     results.append(r)
                     skipped.append(r is None)
                     errors.append(None)

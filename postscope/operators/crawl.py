@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.html import PER_PAGE
+from ..session import scratch_path
+from ..sources.html import PER_PAGE, SITE, parse_pages, shelf_rows
 
 
 def crawl_prefix(pages: DataFrame, per_page: int = PER_PAGE, user: str = "user_id",
@@ -21,3 +22,15 @@ def crawl_prefix(pages: DataFrame, per_page: int = PER_PAGE, user: str = "user_i
     return (pages.join(first_stop, user, "left")
             .filter(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop")))
             .drop("_stop"))
+
+
+def crawl_shelf(pages: DataFrame, site: str = SITE, per_page: int = PER_PAGE) -> DataFrame:
+    """S6 + W5 as one job: the book rows of the pages a crawl would have read.
+
+    The pages are parsed once, into a stored table that gives both the row
+    counts (for the crawl's end) and the rows.
+    """
+    path = scratch_path(pages.sparkSession, "parsed-pages")
+    parsed = parse_pages(pages, site)
+    parsed.write.parquet(path)
+    return shelf_rows(crawl_prefix(pages.sparkSession.read.schema(parsed.schema).parquet(path), per_page), per_page)

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import detect_languages, language_route, relation
+from ..functions.language import detect_language, language_route, relation
 from ..functions.text import excerpt, or_missing, post_link, ustrip
-from .substring_join import contains_pairs
+from .substring_join import matches
 
 
 def with_author(posts: DataFrame, authors: DataFrame) -> DataFrame:
@@ -31,28 +31,39 @@ def with_following(posts: DataFrame, follows: DataFrame, viewer_id) -> DataFrame
             .withColumn("is_following", F.coalesce("is_following", F.lit(False))))
 
 
-def match_titles(posts: DataFrame, shelf: DataFrame, strategy: str = "auto") -> DataFrame:
-    """Per post, the first shelf book (list order) whose stripped, folded
-    title occurs in the folded caption.  Output: ``media_id, position``."""
-    texts = posts.select("media_id", F.lower(F.coalesce("caption", F.lit(""))).alias("_cap"))
-    titles = shelf.select("position", F.lower(ustrip("title")).alias("_title"))
-    pairs = contains_pairs(texts, ["media_id"], "_cap", titles, ["position"], "_title", strategy=strategy)
-    return pairs.groupBy("media_id").agg(F.min("position").alias("position"))
+def _titles(shelf: DataFrame) -> DataFrame:
+    return shelf.select("user_id", "position", F.lower(ustrip("title")).alias("_title"))
+
+
+def match_titles(posts: DataFrame, shelf: DataFrame, reader: str | None = None) -> DataFrame:
+    """Per post and shelf, the first book (list order) whose stripped, folded
+    title occurs in the folded caption.  Output: ``media_id, user_id, position``.
+
+    ``reader`` names the column of ``posts`` that holds the post's shelf owner;
+    then only that shelf counts.  Without it every shelf gives its own row.
+    """
+    keys = ["media_id"] + ([reader] if reader else [])
+    texts = posts.select(*keys, F.lower(F.coalesce("caption", F.lit(""))).alias("_cap"))
+    found = matches(texts, keys, "_cap", _titles(shelf), ["user_id", "position"], "_title")
+    rows = found.select(*keys, F.explode("matched").alias("_m")).select(*keys, "_m.*")
+    if reader:
+        rows = rows.filter(F.col(reader) == F.col("user_id"))
+    return rows.groupBy("media_id", "user_id").agg(F.min("position").alias("position"))
 
 
 def book_features(shelf: DataFrame) -> DataFrame:
     """F14 parts: title, rating when non-zero, review excerpt when non-empty."""
     return shelf.select(
-        "position",
+        "user_id", "position",
         F.col("title").alias("book_title"),
         F.when(F.col("rating") != 0, F.col("rating")).alias("book_rating"),
         excerpt(F.when(F.col("review") != "", F.col("review"))).alias("book_review"),
     )
 
 
-def title_match(posts: DataFrame, shelf: DataFrame, strategy: str = "auto") -> DataFrame:
-    """J4 + F14: matched book per post (posts without a match are absent)."""
-    return match_titles(posts, shelf, strategy).join(book_features(shelf), "position", "inner")
+def title_match(posts: DataFrame, shelf: DataFrame, reader: str | None = None) -> DataFrame:
+    """J4 + F14: matched book per post and shelf (posts without a match are absent)."""
+    return match_titles(posts, shelf, reader).join(book_features(shelf), ["user_id", "position"], "inner")
 
 
 def links(posts: DataFrame, prefix: str) -> DataFrame:
@@ -70,17 +81,18 @@ def post_brief(details: DataFrame) -> DataFrame:
 
 
 def post_features(posts: DataFrame, authors: DataFrame, follows: DataFrame, shelf: DataFrame,
-                  viewer_id, strategy: str = "auto") -> DataFrame:
-    """one row per post with author, relation, language route and book."""
-    d = with_following(with_author(posts, authors), follows, viewer_id)
-    langs = detect_languages(posts, "media_id", "caption")
-    books = title_match(posts.select("media_id", "caption"), shelf, strategy)
-    return (d.select("media_id", "username", "full_name", "is_following",
-                     relation("is_following").alias("relation"))
-            .join(langs, "media_id", "left")
-            .withColumn("route", language_route("lang"))
-            .join(books, "media_id", "left")
-            .select("media_id", "username", "full_name", "is_following", "relation", "lang", "route",
+                  viewer_id, reader: str | None = None) -> DataFrame:
+    """one row per post with author, relation, language route and book.
+
+    ``reader`` is the viewer's shelf owner (default: the only shelf given).  The
+    language is an expression of the same scan.
+    """
+    d = with_following(with_author(posts.withColumn("lang", detect_language("caption")), authors), follows, viewer_id)
+    mine = shelf if reader is None else shelf.filter(F.col("user_id") == reader)
+    books = title_match(posts.select("media_id", "caption"), mine).drop("user_id")
+    return (d.join(books, "media_id", "left")
+            .select("media_id", "username", "full_name", "is_following", relation("is_following").alias("relation"),
+                    "lang", language_route("lang").alias("route"),
                     F.col("position").alias("book_position"), "book_title", "book_rating", "book_review"))
 
 

@@ -95,13 +95,18 @@ def _kth_with_offset(flat: DataFrame, by, order, cap: int, offset: DataFrame) ->
     limited to ``cap`` map-side as in ``kth_per_group``."""
     ranked = top_n_per_group(flat, by, order, cap, "_rn")
     need = offset.select(*by, (F.lit(cap) - F.col("n_done")).alias("_need"))
-    return (ranked.join(need, by, "left")
+    return (_join_ns(ranked, need, by)
             .filter(F.col("_rn") == F.coalesce(F.col("_need"), F.lit(cap)))
             .select(*by, *[F.col(c).alias("kth_" + c) for c in order]))
 
 
-def with_history(cands: DataFrame, done: DataFrame, post: str = "media_id", out: str = "h") -> DataFrame:
-    """Flag candidates whose post is in ``done`` (distinct ids, ids as text)."""
-    ids = done.select(F.col(post).cast("string").alias("_hid")).distinct().withColumn(out, F.lit(True))
-    return (cands.withColumn("_hid", F.col(post).cast("string")).join(ids, "_hid", "left")
-            .withColumn(out, F.coalesce(out, F.lit(False))).drop("_hid"))
+def with_history(cands: DataFrame, done: DataFrame, post: str = "media_id", out: str = "h",
+                 by: Sequence[str] = ("account",)) -> DataFrame:
+    """Flag candidates whose post is in ``done`` of the same ``by`` (distinct ids, ids as text)."""
+    keys = [*by, post]
+    ids = done.select(*[F.col(c).cast("string").alias(f"_h_{c}") for c in keys]).distinct().withColumn(out, F.lit(True))
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & (cands[c].cast("string") == ids[f"_h_{c}"])
+    return (cands.join(ids, cond, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+            .drop(*[f"_h_{c}" for c in keys]))

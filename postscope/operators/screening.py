@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
 from ..plans.ranking import top_n_per_group
-from .substring_join import contains_pairs
+from .substring_join import contains_any
 
 # fixed value: the word that marks a giveaway post
 KEYWORDS = ("giveaway",)
@@ -91,59 +91,69 @@ def safety_gate(posts: DataFrame, verdicts: DataFrame, allow_sensitive: bool = T
     return with_sensitivity(posts, verdicts).filter(~F.col("sensitive")).drop("sensitive")
 
 
-def done_ids(actions: DataFrame, action_type: str) -> DataFrame:
-    """Distinct post ids (as text) that already have ``action_type`` in the log."""
-    return (actions.filter((F.col("action_type") == action_type) & F.col("media_id").isNotNull())
-            .select(F.col("media_id").cast("string").alias("media_id")).distinct())
+def _done(actions: DataFrame, by: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Logged rows of the given types with a post id (as text), under private key names."""
+    return (actions.filter(F.col("action_type").isin(*kinds) & F.col("media_id").isNotNull())
+            .select(*[F.col(c).cast("string").alias(f"_h_{c}") for c in (*by, "media_id")], "action_type"))
 
 
-def not_yet(posts: DataFrame, actions: DataFrame, action_type: str) -> DataFrame:
-    """Posts without ``action_type`` in the log (ids compared as text)."""
-    return (posts.withColumn("_mid", F.col("media_id").cast("string"))
-            .join(done_ids(actions, action_type).withColumnRenamed("media_id", "_mid"), "_mid", "left_anti")
-            .drop("_mid"))
+def _same_post(posts: DataFrame, done: DataFrame, by: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in (*by, "media_id"):
+        cond = cond & (posts[c].cast("string") == done[f"_h_{c}"])
+    return cond
 
 
-def already(posts: DataFrame, actions: DataFrame, action_type: str) -> DataFrame:
-    """Posts that do have ``action_type`` in the log."""
-    return (posts.withColumn("_mid", F.col("media_id").cast("string"))
-            .join(done_ids(actions, action_type).withColumnRenamed("media_id", "_mid"), "_mid", "left_semi")
-            .drop("_mid"))
+def not_yet(posts: DataFrame, actions: DataFrame, action_type: str, by: Sequence[str] = ("account",)) -> DataFrame:
+    """Posts without ``action_type`` in the log of the same ``by`` (ids compared as text).
+
+    The log is one per account, so another account's action never counts;
+    ``by=()`` compares the post alone, for a log of one account.
+    """
+    done = _done(actions, by, [action_type]).drop("action_type").distinct()
+    return posts.join(done, _same_post(posts, done, by), "left_anti")
 
 
-def flag_done(posts: DataFrame, actions: DataFrame, action_type: str, out: str) -> DataFrame:
-    """J1b flag form: left join to the distinct ids."""
-    ids = done_ids(actions, action_type).withColumn(out, F.lit(True)).withColumnRenamed("media_id", "_mid")
-    return (posts.withColumn("_mid", F.col("media_id").cast("string")).join(ids, "_mid", "left")
-            .withColumn(out, F.coalesce(out, F.lit(False))).drop("_mid"))
+def already(posts: DataFrame, actions: DataFrame, action_type: str, by: Sequence[str] = ("account",)) -> DataFrame:
+    """Posts that do have ``action_type`` in the log of the same ``by``."""
+    done = _done(actions, by, [action_type]).drop("action_type").distinct()
+    return posts.join(done, _same_post(posts, done, by), "left_semi")
 
 
-def done_flags(posts: DataFrame, actions: DataFrame, flags: dict[str, str]) -> DataFrame:
+def done_flags(posts: DataFrame, actions: DataFrame, flags: dict[str, str],
+               by: Sequence[str] = ("account",)) -> DataFrame:
     """J1b flag form for several action types in one pass over the log.
 
-    ``flags`` maps an action type to its output column.  One conditional
-    aggregate per post id (partial, so a hot id is combined map-side) and a
-    single left join, instead of one scan and one join per type.
+    ``flags`` maps an action type to its output column.  The log is reduced to
+    the candidates' posts by a semi join, then one conditional aggregate per
+    (``by``, post) (partial, so a hot id is combined map-side) joins back once.
     """
-    kind = F.col("action_type")
-    ids = (actions.filter(kind.isin(*flags) & F.col("media_id").isNotNull())
-           .groupBy(F.col("media_id").cast("string").alias("_mid"))
-           .agg(*[F.max(kind == t).alias(out) for t, out in flags.items()]))
-    out = posts.withColumn("_mid", F.col("media_id").cast("string")).join(ids, "_mid", "left")
+    log = _done(actions, by, list(flags))
+    keys = [f"_h_{c}" for c in (*by, "media_id")]
+    wanted = posts.select(*[F.col(c).cast("string").alias(f"_h_{c}") for c in (*by, "media_id")]).distinct()
+    ids = (log.join(wanted, keys, "left_semi").groupBy(*keys)
+           .agg(*[F.max(F.col("action_type") == t).alias(out) for t, out in flags.items()]))
+    out = posts.join(ids, _same_post(posts, ids, by), "left").drop(*keys)
     for o in flags.values():
         out = out.withColumn(o, F.coalesce(o, F.lit(False)))
-    return out.drop("_mid")
+    return out
 
 
 def decide(posts: DataFrame, actions: DataFrame, verdicts: DataFrame | None, viewer_id,
            terms: Sequence[str] = KEYWORDS, avoid: Sequence[str] = (),
-           allow_sensitive: bool = True) -> DataFrame:
+           allow_sensitive: bool = True, account: str | None = None) -> DataFrame:
     """One row per post with ``like_eligible``, ``comment_eligible`` and the
-    first matching ``reason`` in the reference's test order."""
+    first matching ``reason`` in the reference's test order.
+
+    ``account`` selects the viewer's own log; without it the log is taken to be
+    of one account.
+    """
+    if account is not None:
+        actions = actions.filter(F.col("account") == account)
     d = keyword_screen(posts, terms)
     d = avoid_screen(d, avoid)
     d = own_post(d, viewer_id)
-    d = done_flags(d, actions, {"like": "liked", "comment": "commented"})
+    d = done_flags(d, actions, {"like": "liked", "comment": "commented"}, by=())
     if verdicts is not None:
         d = with_sensitivity(d, verdicts)
     else:
@@ -164,7 +174,7 @@ def funnel(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("search_tag", "reason").agg(F.count(F.lit(1)).alias("count"))
 
 
-def screen_by_table(posts: DataFrame, terms: DataFrame, strategy: str = "auto") -> DataFrame:
+def screen_by_table(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """Screens driven by a term table ``(kind in keyword/avoid, term)``.
 
     avoid: the exploded post tags left-join the folded avoid terms (exact),
@@ -181,9 +191,8 @@ def screen_by_table(posts: DataFrame, terms: DataFrame, strategy: str = "auto")
     flags = (tags.join(avoid, "_tag", "left").groupBy("media_id")
              .agg(F.coalesce(F.max("_avoid"), F.lit(False)).alias("avoid_hit")))
     kw = t.filter(F.col("kind") == "keyword").select(F.col("term").alias("_term"))
-    kw_ids = (contains_pairs(posts.select("media_id", screen_text(posts).alias("_s")), ["media_id"], "_s",
-                             kw, ["_term"], "_term", strategy=strategy)
-              .select("media_id").distinct().withColumn("kw_hit", F.lit(True)))
+    kw_ids = (contains_any(posts.select("media_id", screen_text(posts).alias("_s")), ["media_id"], "_s", kw, "_term")
+              .withColumn("kw_hit", F.lit(True)))
     return (flags.join(kw_ids, "media_id", "left")
             .select("media_id", F.coalesce("kw_hit", F.lit(False)).alias("kw_hit"), "avoid_hit"))
 
@@ -194,11 +203,11 @@ def recent_per_tag(posts: DataFrame, n: int = RECENT_PER_TAG) -> DataFrame:
 
 
 def candidates(tag_lists: DataFrame, posts: DataFrame, n: int = RECENT_PER_TAG) -> DataFrame:
-    """J6 + W4: each listed tag meets the newest ``n`` posts searched under it.
+    """J6 + W4: each tag of the ``hashtags`` lists meets the newest ``n`` posts searched under it.
 
     The per-tag limit runs before the join, so the join sees at most ``n``
     posts per tag whatever the tag's volume.
     """
     recent = recent_per_tag(posts, n)
-    tl = tag_lists.select("account", "list_name", "seq", ustrip("tag").alias("search_tag"))
+    tl = tag_lists.filter(F.col("list_name") == "hashtags").select("account", "list_name", "seq", ustrip("tag").alias("search_tag"))
     return tl.join(recent, "search_tag", "inner")

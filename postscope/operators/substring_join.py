@@ -1,150 +1,170 @@
-"""Exact "text contains pattern" joins (J4 titles, J5 term tables).
-
-Physical paths, chosen by a size check on the pattern side (rows and bytes,
-one small aggregate over the already-pruned pattern side):
-
-* **automaton** (small pattern sets, default): the measured patterns are
-  shipped to the tasks and each text is scanned once by an Aho-Corasick
-  automaton in ``mapInPandas`` (linear in the text, whatever the number of
-  patterns).  The big text side is never shuffled for the match.
-* **broadcast** (small pattern sets, no automaton module): broadcast
-  nested-loop join on ``contains`` (cost texts x patterns).
-* **blocked** (any size): exact q-gram blocking.  Every pattern of at least
-  ``q`` characters is keyed by its *rarest* q-gram among the texts (any
-  q-gram of a contained pattern is a q-gram of the text, so no pair is
-  lost); candidates come from an equi-join on that gram and are verified
-  with ``contains``.  A shorter pattern is a single gram of its own length,
-  so per length the texts' grams equi-join the patterns exactly.  No
-  broadcast, no cross product.
-
-Callers pass already case-folded text and pattern columns.
+"""Exact "text contains pattern" joins (J4 titles, J5 term tables), one method at every size.
+
+A pattern is contained in a text only if the pattern's key gram is: its whole
+text when it has fewer than ``Q`` bytes, else one of its ``Q``-byte grams.  One
+pass over the texts packs the grams of every needed length (at most ``Q``
+lengths) into integers and keeps those whose bit is set in a fixed-size table of
+the patterns' key grams; an equi-join on (length, gram) proposes patterns per
+text, and every proposal is verified with ``contains`` on the whole text.  The
+table's size does not depend on the number of patterns (a fuller table only
+proposes more), so there is no switch and no broadcast that grows.  A text meets
+its proposals as one array, once, and keys are compared null-safely.
+
+Callers pass already case-folded text and pattern columns.  Empty or null
+patterns and null texts never match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Q = 8                      # bytes of a key gram: one 64-bit integer
+TABLE_BITS = 22            # of the table of key grams, per gram length
+SLICE_BYTES = 1 << 21      # text handled at once inside a task
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slices(col: pa.Array):
+    """(first row, bytes, offsets) of bounded runs of a text column."""
+    col = col.cast(pa.large_binary()).fill_null(b"")
+    off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8) if len(col) else np.zeros(1, np.int64)
+    body = col.buffers()[2] if len(col) else None
+    data = np.frombuffer(body, np.uint8) if body else np.empty(0, np.uint8)
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
+        j = min(j, len(col))
+        yield i, data[off[i]:off[j]], off[i:j + 1] - off[i]
+        i = j
+
+
+def _grams(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every ``n``-byte gram as an integer, and its row (grams never span rows)."""
+    m = len(data) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    g = np.zeros(m, np.uint64)
+    for k in range(n):
+        g |= data[k:k + m].astype(np.uint64) << np.uint64(8 * k)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:m]
+    ok = np.arange(m) + n <= off[row + 1]
+    return g[ok], row[ok]
+
+
+def _slot(g: np.ndarray, bits: int) -> np.ndarray:
+    return (g * _MIX) >> np.uint64(64 - bits)
+
+
+def _key_gram(pattern: str) -> tuple[int, int]:
+    """Length and value of a pattern's key gram (of a long one: the gram with the smallest mix)."""
+    raw = pattern.encode()
+    n = min(Q, len(raw))
+    g, _ = _grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), n)
+    return n, int(g[np.argmin(g * _MIX)].view(np.int64))
+
+
+def _keyer(bits: int):
+    """Add each pattern's key gram and its slot in the table."""
+    def key(batches):
+        for b in batches:
+            keys = [_key_gram(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            n, g = (np.array(x, np.int64) for x in (zip(*keys) if keys else ((), ())))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(n.astype(np.int32)), pa.array(g), pa.array(_slot(g.view(np.uint64), bits).astype(np.int64))],
+                names=[*b.schema.names, "n", "g", "s"])
+    return key
+
+
+def _table(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
+    """Bit table of the key grams per length; at most ``Q * 2**(bits - 6)`` words."""
+    words = (keys.groupBy("n", F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")))
+    out: dict[int, np.ndarray] = {}
+    for r in words.toLocalIterator():
+        t = out.setdefault(r["n"], np.zeros(1 << (bits - 6), np.uint64))
+        t[r["w"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    return out
 
-Q = 8
-BROADCAST_MAX_ROWS = 5000
-BROADCAST_MAX_BYTES = 8 << 20
-
-
-def _grams(text: str, n: int):
-    """Distinct substrings of length ``n`` of a column (empty when shorter).
 
-    One linear regex pass with a capturing look-ahead; position-based
-    ``substring`` would rescan the UTF-8 text from its start for every gram.
+def _finder(shared, table_bits: int):
+    def find(batches):
+        tables = shared.value
+        for b in batches:
+            lens: list = [[] for _ in range(b.num_rows)]
+            vals: list = [[] for _ in range(b.num_rows)]
+            for first, data, off in _slices(b.column(b.num_columns - 1)):
+                for n, bits in tables.items():
+                    g, row = _grams(data, off, n)
+                    s = _slot(g, table_bits)
+                    hit = (bits[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1
+                    # one entry per row and gram
+                    g, row = g[hit], row[hit]
+                    order = np.lexsort((g, row))
+                    g, row = g[order], row[order]
+                    new = np.ones(len(g), bool)
+                    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                    g, row = g[new].view(np.int64), row[new]
+                    for r, part in zip(range(len(off) - 1), np.split(g, np.searchsorted(row, np.arange(1, len(off) - 1)))):
+                        if len(part):
+                            lens[first + r] += [n] * len(part)
+                            vals[first + r] += part.tolist()
+            keep = [i for i, v in enumerate(vals) if v]
+            ends = pa.array(np.cumsum([0] + [len(vals[i]) for i in keep]).astype(np.int32))
+            flat = pa.StructArray.from_arrays(
+                [pa.array([n for i in keep for n in lens[i]], pa.int32()), pa.array([g for i in keep for g in vals[i]], pa.int64())],
+                fields=[pa.field("n", pa.int32()), pa.field("g", pa.int64())])
+            grams, keep = pa.ListArray.from_arrays(ends, flat), pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(keep) for c in b.columns[:-1]], grams],
+                                             names=[*b.schema.names[:-1], "_grams"])
+    return find
+
+
+_PAIRS = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("g", T.LongType())]))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & left[k].eqNullSafe(right[f"_k{i}"])
+    return cond
+
+
+def matches(texts: DataFrame, text_keys: Sequence[str], text: str,
+            pats: DataFrame, pat_keys: Sequence[str], pat: str, table_bits: int = TABLE_BITS) -> DataFrame:
+    """Rows of ``texts`` that contain a pattern: ``(text_keys..., matched)``.
+
+    ``matched`` is the array of the matching patterns' ``pat_keys`` as structs.
     """
-    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
-
-
-try:  # the automaton is optional; without it the nested-loop join is used
-    import ahocorasick  # noqa: F401
-    _HAS_AUTOMATON = True
-except ImportError:  # pragma: no cover
-    _HAS_AUTOMATON = False
-
-
-def _automaton(t: DataFrame, text_keys, p: DataFrame, pat_keys) -> DataFrame:
-    """Scan each text once with an Aho-Corasick automaton of the (size-checked) patterns."""
-    by_pattern: dict[str, list[tuple]] = {}
-    for r in p.collect():                         # bounded by the caller's size check
-        by_pattern.setdefault(r["_pat"], []).append(tuple(r[k] for k in pat_keys))
-    schema = T.StructType([t.schema[k] for k in text_keys] + [p.schema[k] for k in pat_keys])
-    names = [*text_keys, *pat_keys]
-
-    def match(batches):
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for word, keys in by_pattern.items():
-            auto.add_word(word, keys)
-        auto.make_automaton()
-        for pdf in batches:
-            out = []
-            texts = pdf["_text"].tolist()
-            tk = [pdf[k].tolist() for k in text_keys]
-            for i, text in enumerate(texts):
-                if not text or not by_pattern:
-                    continue
-                seen = set()
-                for _, keys in auto.iter(text):
-                    if id(keys) not in seen:
-                        seen.add(id(keys))
-                        head = tuple(col[i] for col in tk)
-                        out.extend(head + k for k in keys)
-            yield pd.DataFrame.from_records(out, columns=names) if out else pd.DataFrame(
-                {n: pd.Series([], dtype=object) for n in names})
-
-    return t.mapInPandas(match, schema)
-
-
-def _measure(pats: DataFrame, pat: str) -> tuple[int, int]:
-    row = pats.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(pat)).alias("b")).first()
-    return int(row["n"]), int(row["b"] or 0)
+    spark = texts.sparkSession
+    p = pats.select(*pat_keys, F.col(pat).alias("_pat")).filter(F.length("_pat") > 0)
+    p = p.mapInArrow(_keyer(table_bits), T.StructType([*p.schema.fields, T.StructField("n", T.IntegerType()),
+                                           T.StructField("g", T.LongType()), T.StructField("s", T.LongType())]))
+    shared = spark.sparkContext.broadcast(_table(p, table_bits))
+    t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    schema = T.StructType([t.schema[k] for k in text_keys] + [T.StructField("_grams", _PAIRS)])
+    grams = t.mapInArrow(_finder(shared, table_bits), schema).select(*text_keys, F.explode("_grams").alias("_g")).select(*text_keys, "_g.n", "_g.g")
+    named = F.struct(*[F.col(k) for k in pat_keys], F.col("_pat"))
+    proposed = (grams.join(p, ["n", "g"]).groupBy(*text_keys).agg(F.collect_set(named).alias("_prop"))
+                .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(text_keys)], "_prop"))
+    joined = t.join(proposed, _same(t, proposed, text_keys))
+    held = F.filter("_prop", lambda x: F.contains(F.col("_text"), x["_pat"]))
+    only = F.transform("_held", lambda x: F.struct(*[x[k].alias(k) for k in pat_keys]))
+    return (joined.select(*text_keys, held.alias("_held")).filter(F.size("_held") > 0)
+            .select(*text_keys, only.alias("matched")))
 
 
 def contains_pairs(texts: DataFrame, text_keys: Sequence[str], text: str,
-                   pats: DataFrame, pat_keys: Sequence[str], pat: str,
-                   q: int = Q, strategy: str = "auto",
-                   max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Distinct ``(text_keys..., pat_keys...)`` where ``text`` contains ``pat``.
-
-    ``strategy`` is ``auto`` (size check), ``automaton``, ``broadcast`` or
-    ``blocked``.  Empty or null patterns never match.
-    """
-    # the text side keeps the caller's partitioning (sources spread their scans)
-    t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    p = (pats.select(*pat_keys, F.col(pat).alias("_pat"))
-         .filter(F.col("_pat").isNotNull() & (F.length("_pat") > 0)))
-    measured = None
-    if strategy == "auto":
-        measured = _measure(p, "_pat")
-        fits = measured[0] <= max_rows and measured[1] <= max_bytes
-        strategy = ("automaton" if _HAS_AUTOMATON else "broadcast") if fits else "blocked"
-    keys = [*text_keys, *pat_keys]
-    if strategy == "automaton":
-        n, b = measured or _measure(p, "_pat")
-        if n > max_rows or b > max_bytes:
-            raise ValueError("pattern side is over the size limit for the automaton path")
-        return _automaton(t, text_keys, p, pat_keys).distinct()
-    if strategy == "broadcast":
-        return (t.join(F.broadcast(p), F.col("_text").contains(F.col("_pat")), "inner")
-                .select(*keys).distinct())
-    return _blocked(t, text_keys, p, pat_keys, q).select(*keys).distinct()
-
-
-def _blocked(t: DataFrame, text_keys, p: DataFrame, pat_keys, q: int) -> DataFrame:
-    out = _tier(t, text_keys, p.filter(F.length("_pat") >= q), pat_keys, q)
-    # a pattern shorter than q is one gram of its own length: per length, the
-    # texts' distinct grams equi-join the patterns exactly (no candidates to
-    # verify, output = the matches).  At most q - 1 lengths exist.
-    lengths = sorted(r[0] for r in p.filter(F.length("_pat") < q).select(F.length("_pat")).distinct().collect())
-    for n in lengths:
-        grams = t.select(*text_keys, F.explode(_grams("_text", n)).alias("_pat"))
-        exact = p.filter(F.length("_pat") == n)
-        out = out.unionByName(grams.join(exact, "_pat", "inner").select(*text_keys, *pat_keys))
-    return out
+                   pats: DataFrame, pat_keys: Sequence[str], pat: str) -> DataFrame:
+    """Distinct ``(text_keys..., pat_keys...)`` where ``text`` contains ``pat``."""
+    m = matches(texts, text_keys, text, pats, pat_keys, pat)
+    return m.select(*text_keys, F.explode("matched").alias("_m")).select(*text_keys, "_m.*").distinct()
 
 
-def _tier(t: DataFrame, text_keys, p: DataFrame, pat_keys, n: int) -> DataFrame:
-    """Patterns of length >= n, each keyed by its rarest n-gram among the texts."""
-    text_grams = t.select(*text_keys, F.explode(_grams("_text", n)).alias("_g"))
-    pat_grams = p.select(*pat_keys, F.explode(_grams("_pat", n)).alias("_g"))
-    # only grams of some pattern matter: most grams of a text occur in no
-    # pattern, so the semi join drops them before the (partial, skew-safe)
-    # count of texts per gram and before the candidate join
-    text_grams = text_grams.join(pat_grams.select("_g").distinct(), "_g", "left_semi")
-    freq = text_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    # a pattern with a gram no text holds can match nowhere: the inner join drops it
-    key_gram = (pat_grams.join(freq, "_g", "inner")
-                .groupBy(*pat_keys).agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g")))
-    cand = text_grams.join(key_gram, "_g", "inner").select(*text_keys, *pat_keys).distinct()
-    verified = (cand.join(t, list(text_keys), "inner").join(p, list(pat_keys), "inner")
-                .filter(F.col("_text").contains(F.col("_pat"))))
-    return verified.select(*text_keys, *pat_keys)
+def contains_any(texts: DataFrame, text_keys: Sequence[str], text: str, pats: DataFrame, pat: str) -> DataFrame:
+    """Distinct ``text_keys`` of texts that contain any pattern (no pairs are formed)."""
+    return matches(texts, text_keys, text, pats.select(pat).distinct(), [pat], pat).select(*text_keys).distinct()

@@ -9,11 +9,11 @@ ACTIONS = """actions AS (
          ts,
          user_id::VARCHAR AS account,
          CASE event_type WHEN 'purchase' THEN 'comment' WHEN 'error' THEN 'error' ELSE 'like' END AS action_type,
-         user_id::VARCHAR || ':' || (props->>'$.k') AS media_id,
+         (props->>'$.k') AS media_id,
          CASE WHEN (props->>'$.k')::INT >= 10 THEN 'tag' || ((props->>'$.k')::INT % 20) END AS hashtag,
          CASE WHEN event_type = 'purchase' THEN 'c' || (props->>'$.k') END AS comment,
          CASE WHEN event_type = 'error' THEN 'code ' || (props->>'$.k') END AS error,
-         'https://posts.example/p/' || user_id::VARCHAR || ':' || (props->>'$.k') || '/' AS post_link,
+         'https://posts.example/p/' || (props->>'$.k') || '/' AS post_link,
          CAST(ts AS DATE) AS date,
          event_type
   FROM events)"""
@@ -32,6 +32,12 @@ SELECT id, "timestamp", account, action_type, media_id, hashtag, comment, error,
        strftime(date, '%Y-%m-%d') AS date
 FROM actions"""
 
+SQL["actions_iso_scan"] = w(ACTIONS) + """
+SELECT id, CASE WHEN id % 7 = 0 THEN substr("timestamp", 1, 19) ELSE "timestamp" END AS "timestamp",
+       CASE WHEN id % 7 = 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS ts,
+       account, action_type, media_id, post_link
+FROM actions"""
+
 SQL["lookback"] = w(ACTIONS) + f"""
 SELECT id, "timestamp", action_type, hashtag FROM actions
 WHERE ts >= {AS_OF} - INTERVAL 7 DAY"""
@@ -152,7 +158,7 @@ FROM admitted WHERE status = 'ok' GROUP BY ALL"""
 POSTS = """posts AS (
   SELECT doc_id::VARCHAR AS media_id, 'c' || doc_id AS code, doc_id % 150 AS author_id, text AS caption,
          n_chars AS like_count, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 40 END AS comment_count,
-         list_distinct(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> ''), 1, 8)) AS hashtags,
+         list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '')) AS hashtags,
          source AS search_tag,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS taken_at
   FROM documents)"""
@@ -169,7 +175,7 @@ parsed AS (
 _KW = """(contains(lower(caption), 'license') OR contains(lower(caption), 'token')
   OR contains(lower(search_tag), 'license') OR contains(lower(search_tag), 'token')
   OR len(list_filter(hashtags, lambda x: contains(lower(x), 'license') OR contains(lower(x), 'token'))) > 0)"""
-_AVOID = "list_has_any(list_transform(hashtags, lambda x: lower(x)), ['que', 'die', 'that'])"
+_AVOID = "list_has_any(list_transform(hashtags, lambda x: lower(x)), ['que', 'dieser', 'whated'])"
 
 SQL["keyword_screen"] = w(POSTS) + f"SELECT media_id, {_KW} AS kw_hit FROM posts"
 SQL["avoid_screen"] = w(POSTS) + f"SELECT media_id, coalesce({_AVOID}, false) AS avoid_hit FROM posts"
@@ -180,10 +186,10 @@ SELECT media_id FROM posts WHERE media_id NOT IN (SELECT media_id FROM parsed WH
 
 DECISIONS = f"""dec AS (
   SELECT p.media_id, p.search_tag,
-         NOT EXISTS (SELECT 1 FROM actions a WHERE a.action_type = 'like' AND a.media_id = p.media_id) AS like_eligible,
+         NOT EXISTS (SELECT 1 FROM actions a WHERE a.account = '0' AND a.action_type = 'like' AND a.media_id = p.media_id) AS like_eligible,
          CASE WHEN {_KW} THEN 'keyword'
               WHEN {_AVOID} THEN 'avoid_tag'
-              WHEN EXISTS (SELECT 1 FROM actions a WHERE a.action_type = 'comment' AND a.media_id = p.media_id) THEN 'already_done'
+              WHEN EXISTS (SELECT 1 FROM actions a WHERE a.account = '0' AND a.action_type = 'comment' AND a.media_id = p.media_id) THEN 'already_done'
               WHEN p.author_id = 0 THEN 'own_post'
               WHEN EXISTS (SELECT 1 FROM parsed v WHERE v.media_id = p.media_id AND v.sensitive) THEN 'sensitive'
               ELSE 'ok' END AS reason
@@ -194,19 +200,42 @@ SELECT media_id, search_tag, like_eligible, reason = 'ok' AS comment_eligible, r
 SQL["funnel"] = w(ACTIONS, POSTS, VERDICTS, DECISIONS) + """
 SELECT search_tag, reason, count(*) AS count FROM dec GROUP BY ALL"""
 
+SQL["screening_run"] = w(ACTIONS, POSTS, VERDICTS) + f""", params AS (
+  SELECT user_id::VARCHAR AS account, user_id AS viewer, ['src' || (user_id % 20), 'src' || ((user_id + 7) % 20), 'src' || ((user_id + 13) % 20)] AS tags,
+         CASE WHEN user_id % 3 = 0 THEN ['que', 'die'] ELSE [] END AS avoid, user_id % 7 AS likes, user_id % 5 AS comments,
+         user_id % 2 = 1 AS allowed
+  FROM (SELECT DISTINCT user_id FROM events)),
+lists AS (SELECT account, unnest(tags) AS tag, unnest(range(0, 3)) AS seq FROM params),
+recent AS (SELECT *, row_number() OVER (PARTITION BY search_tag ORDER BY taken_at DESC, media_id) AS rn FROM posts QUALIFY rn <= 10),
+walk AS (
+  SELECT l.account, l.seq, r.rn, r.media_id, r.search_tag, p.likes, p.comments,
+         NOT EXISTS (SELECT 1 FROM actions a WHERE a.account = l.account AND a.media_id = r.media_id AND a.action_type = 'like') AS can_like,
+         NOT (EXISTS (SELECT 1 FROM actions a WHERE a.account = l.account AND a.media_id = r.media_id AND a.action_type = 'comment')
+              OR r.author_id = p.viewer OR len(list_intersect(r.hashtags, p.avoid)) > 0 OR {_KW}
+              OR (NOT p.allowed AND EXISTS (SELECT 1 FROM parsed v WHERE v.media_id = r.media_id AND v.sensitive))) AS can_comment
+  FROM lists l JOIN recent r ON r.search_tag = l.tag JOIN params p ON p.account = l.account),
+likes AS (SELECT account, 'like' AS action_type, media_id, search_tag, seq, rn, likes FROM walk WHERE can_like
+          QUALIFY row_number() OVER (PARTITION BY account, media_id ORDER BY seq, rn) = 1),
+comments AS (SELECT account, 'comment' AS action_type, media_id, search_tag, seq, rn, comments FROM walk WHERE can_comment
+             QUALIFY row_number() OVER (PARTITION BY account, media_id ORDER BY seq, rn) = 1)
+SELECT account, action_type, media_id, search_tag, seq, rn FROM likes
+QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq, rn) <= any_value(likes) OVER (PARTITION BY account)
+UNION ALL
+SELECT account, action_type, media_id, search_tag, seq, rn FROM comments
+QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq, rn) <= any_value(comments) OVER (PARTITION BY account)"""
+
 SQL["not_yet_commented"] = w(ACTIONS) + """
-SELECT id, media_id FROM actions l WHERE action_type = 'like'
-  AND NOT EXISTS (SELECT 1 FROM actions c WHERE c.action_type = 'comment' AND c.media_id = l.media_id)"""
+SELECT id, account, media_id FROM actions l WHERE action_type = 'like'
+  AND NOT EXISTS (SELECT 1 FROM actions c WHERE c.action_type = 'comment' AND c.account = l.account AND c.media_id = l.media_id)"""
 SQL["already_commented"] = w(ACTIONS) + """
-SELECT id, media_id FROM actions l WHERE action_type = 'like'
-  AND EXISTS (SELECT 1 FROM actions c WHERE c.action_type = 'comment' AND c.media_id = l.media_id)"""
+SELECT id, account, media_id FROM actions l WHERE action_type = 'like'
+  AND EXISTS (SELECT 1 FROM actions c WHERE c.action_type = 'comment' AND c.account = l.account AND c.media_id = l.media_id)"""
 
 TERMS = """terms AS (
-  SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'avoid' ELSE 'keyword' END AS kind,
-         CASE WHEN item_id % 2 = 0 THEN words[1] ELSE words[3] END AS term
+  SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'avoid' ELSE 'keyword' END AS kind, list_max(words) AS term
   FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS words
         FROM benchmark)
-  WHERE (CASE WHEN item_id % 2 = 0 THEN words[1] ELSE words[3] END) IS NOT NULL)"""
+  WHERE list_max(words) IS NOT NULL)"""
 
 SQL["screen_by_table"] = w(POSTS, TERMS) + """
 SELECT media_id,
@@ -215,7 +244,6 @@ SELECT media_id,
                  OR len(list_filter(p.hashtags, lambda x: contains(lower(x), t.term))) > 0)) AS kw_hit,
        EXISTS (SELECT 1 FROM terms t WHERE t.kind = 'avoid' AND list_contains(list_transform(p.hashtags, lambda x: lower(x)), t.term)) AS avoid_hit
 FROM posts p"""
-SQL["screen_by_table_blocked"] = SQL["screen_by_table"]
 
 SQL["recent_per_tag"] = w(POSTS) + """
 SELECT media_id, search_tag, rn FROM (
@@ -243,7 +271,7 @@ SELECT s.account, s.seq, r.search_tag, r.media_id FROM slist s JOIN (
 SQL["quota"] = "WITH " + ACTIONS + """,
 cands AS (
   SELECT id, ts, account, strftime(date, '%Y-%m-%d') AS date, media_id, event_type <> 'error' AS ok,
-         media_id IN (SELECT media_id FROM actions WHERE ts < TIMESTAMP '2024-01-08' AND event_type <> 'error') AS h
+         (account, media_id) IN (SELECT (account, media_id) FROM actions WHERE ts < TIMESTAMP '2024-01-08' AND event_type <> 'error') AS h
   FROM actions WHERE ts >= TIMESTAMP '2024-01-08'),
 f AS (
   SELECT *, (NOT h AND ok AND row_number() OVER (PARTITION BY account, date, media_id, ok ORDER BY ts, id) = 1) AS first_ok
@@ -303,7 +331,15 @@ FROM posts p"""
 SQL["title_match"] = w(POSTS, SHELF) + """
 SELECT m.media_id, m.position, s.title AS book_title, s.book_rating, s.book_review
 FROM matched m JOIN shelf s USING (position)"""
-SQL["title_match_blocked"] = SQL["title_match"]
+SQL["title_match_by_reader"] = w(POSTS) + """, shelf AS (
+  SELECT 'reader' || (item_id % 2) AS user_id, item_id // 2 AS position, text AS title,
+         CASE WHEN item_id % 6 <> 0 THEN (item_id % 6)::INT END AS book_rating,
+         CASE WHEN item_id % 3 = 0 THEN NULL ELSE substr(text, 1, 200) END AS book_review
+  FROM benchmark)
+SELECT media_id, user_id, position, title AS book_title, book_rating, book_review
+FROM posts p JOIN shelf s ON s.user_id = 'reader' || ((p.author_id % 150) % 2) AND trim(s.title) <> ''
+  AND contains(lower(p.caption), lower(trim(s.title)))
+QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY position) = 1"""
 SQL["post_links"] = w(POSTS) + "SELECT media_id, 'https://posts.example/p/' || code || '/' AS post_link FROM posts"
 SQL["shelf_excerpt"] = w(POSTS, SHELF) + "SELECT position, book_rating, book_review FROM shelf"
 
@@ -360,6 +396,21 @@ SELECT page_id, pos, href, text FROM (
                regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS t
         FROM pages))"""
 
+SQL["page_elements"] = SQL["page_links"]
+SQL["shelf_crawl"] = """
+WITH r AS (
+  SELECT p_partkey, p_name, p_brand, p_type, p_size, (p_partkey % 3)::VARCHAR AS user_id,
+         row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS rk
+  FROM part),
+pages AS (SELECT *, (rk - 1) // 50 + 1 AS page FROM r),
+counts AS (SELECT user_id, page, CASE WHEN page % 10 <> 0 THEN n END AS n FROM (SELECT user_id, page, count(*) AS n FROM pages GROUP BY ALL)),
+stop AS (SELECT user_id, min(page) AS page FROM counts WHERE n IS NULL OR n < 50 GROUP BY user_id)
+SELECT p.user_id, p.page, (rk - 1) % 50 + 1 AS "row", rk AS position,
+       p_name AS title, p_brand AS author, 'https://books.example/book/show/' || p_partkey AS book_url,
+       CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_size % 6)::INT END AS rating,
+       CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS review
+FROM pages p LEFT JOIN stop s USING (user_id) WHERE p.page % 10 <> 0 AND (s.page IS NULL OR p.page <= s.page)"""
+
 SQL["crawl_prefix"] = """
 WITH c AS (
   SELECT l_orderkey::VARCHAR AS user_id,
@@ -391,26 +442,38 @@ SELECT user_id::VARCHAR AS account,
        CASE WHEN user_id % 6 <> 0 THEN 'g' || user_id END AS shelf_user_id
 FROM (SELECT DISTINCT user_id FROM events)"""
 
-SQL["run_log_parse"] = w(ACTIONS) + """
-SELECT strftime(ts, '%Y-%m-%d %H:%M:%S,') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') AS log_time,
-       CASE WHEN action_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
-       CASE WHEN action_type = 'like' THEN 'liked' WHEN action_type = 'comment' THEN 'commented'
-            WHEN id % 2 = 1 THEN 'like_failed' ELSE 'comment_failed' END AS event,
-       media_id,
-       CASE WHEN action_type = 'like' THEN hashtag END AS hashtag,
-       CASE WHEN action_type IN ('like', 'comment') THEN post_link END AS link,
-       CASE WHEN action_type = 'comment' THEN comment WHEN action_type = 'error' THEN error END AS detail
-FROM actions"""
+SQL["run_log_parse"] = w(ACTIONS) + """, e AS (
+  SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S,') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') AS log_time,
+         CASE WHEN action_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+         CASE WHEN event_type = 'view' AND id % 3 = 0 THEN 'skipped_keyword' WHEN event_type = 'view' AND id % 3 = 1 THEN 'skipped_avoid'
+              WHEN event_type = 'view' THEN 'skipped_sensitive'
+              WHEN action_type = 'like' THEN 'liked' WHEN action_type = 'comment' THEN 'commented'
+              WHEN id % 2 = 1 THEN 'like_failed' ELSE 'comment_failed' END AS event,
+         CASE WHEN action_type = 'error' THEN NULL ELSE post_link END AS link,
+         CASE WHEN action_type = 'comment' THEN comment || (CASE WHEN id % 5 = 0 THEN chr(10) || 'second line' ELSE '' END)
+              WHEN action_type = 'error' THEN error END AS detail
+  FROM actions)
+SELECT log_time, level, event, media_id, CASE WHEN event = 'liked' THEN hashtag END AS hashtag, link, detail,
+       log_time || ' ' || level || ':' || CASE event
+         WHEN 'liked' THEN 'Liked post ' || media_id || ' (hashtag: ' || coalesce(hashtag, 'None') || ') | Link: ' || link
+         WHEN 'commented' THEN 'Commented on post ' || media_id || ': ' || detail || ' | Link: ' || link
+         WHEN 'like_failed' THEN 'Failed to like post ' || media_id || ': ' || detail
+         WHEN 'comment_failed' THEN 'Failed to comment on post ' || media_id || ': ' || detail
+         WHEN 'skipped_keyword' THEN 'Skipped post ' || media_id || ' due to ''giveaway'' in caption or hashtags. | Link: ' || link
+         WHEN 'skipped_avoid' THEN 'Skipped commenting on post ' || media_id || ' due to avoid hashtag in hashtags. | Link: ' || link
+         ELSE 'Skipped commenting on post ' || media_id || ' due to sensitive image. | Link: ' || link END AS raw
+FROM e"""
 
 SQL["stream_daily_counts"] = w(ACTIONS) + """
-SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, action_type, count(*) AS count FROM actions
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM actions) - INTERVAL 1 DAY
-GROUP BY ALL"""
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, action_type, count(*) AS count,
+       CAST(ts AS DATE) + 1 < (SELECT max(CAST(ts AS DATE)) FROM actions) AS closed
+FROM actions GROUP BY CAST(ts AS DATE), action_type"""
 
 SQL["stream_first_action"] = w(ACTIONS) + """
-SELECT DISTINCT media_id, action_type FROM actions a WHERE ts >= TIMESTAMP '2024-01-08'
-  AND NOT EXISTS (SELECT 1 FROM actions b WHERE b.ts < TIMESTAMP '2024-01-08'
-                  AND b.media_id = a.media_id AND b.action_type = a.action_type)"""
+SELECT account, media_id, action_type, id FROM actions a WHERE ts >= TIMESTAMP '2024-01-08'
+  AND NOT EXISTS (SELECT 1 FROM actions b WHERE b.ts < TIMESTAMP '2024-01-08' AND b.account = a.account
+                  AND b.media_id = a.media_id AND b.action_type = a.action_type)
+QUALIFY row_number() OVER (PARTITION BY account, media_id, action_type ORDER BY ts, id) = 1"""
 
 SQL["stream_quota"] = SQL["quota"].replace("""SELECT id, account, date, media_id,
        (NOT h AND n_before < 2 AND m_before = 0) AS attempted,

@@ -8,20 +8,19 @@
   screens and decision (account-level avoid list, history and own-post
   tests), and per-account quotas pick what would be attempted.  Outcomes
   are not known before acting, so every attempt counts as a success (the
-  audit reading of a run); real outcomes go through ``apply_quota`` with an
-  ``ok`` column.
+  audit reading of a run); real outcomes go through ``operators.quota`` with
+  an ``ok`` column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import screening as S
 from ..operators import stats
-from ..operators.quota import apply_quota
 
 
 def statistics_view(actions: DataFrame, as_of: str, days: int = stats.DEFAULT_DAYS,
@@ -34,7 +33,7 @@ def statistics_view(actions: DataFrame, as_of: str, days: int = stats.DEFAULT_DA
 
 
 def screening_run(params: DataFrame, posts: DataFrame, actions: DataFrame, verdicts: DataFrame | None,
-                  viewers: DataFrame, run_id: str, terms: Sequence[str] = S.KEYWORDS,
+                  viewers: DataFrame, terms: Sequence[str] = S.KEYWORDS,
                   per_tag: int = S.RECENT_PER_TAG) -> DataFrame:
     """Planned ``like``/``comment`` actions of one run for every account.
 
@@ -79,21 +78,17 @@ def screening_run(params: DataFrame, posts: DataFrame, actions: DataFrame, verdi
               .when(F.coalesce(F.col("author_id") == F.col("viewer_id"), F.lit(False)), "own_post")
               .when(flag("sensitive") & ~F.coalesce("allow_sensitive", F.lit(True)), "sensitive")
               .otherwise("ok"))
-    walk = (walk.withColumn("like_eligible", ~flag("liked")).withColumn("comment_eligible", reason == "ok")
-            .withColumn("run_id", F.lit(run_id)))
+    walk = walk.withColumn("like_eligible", ~flag("liked")).withColumn("comment_eligible", reason == "ok")
 
-    # per-account caps: quota at the largest cap, each account offset by the difference
+    # per-account caps: an account walks its own tags times ``per_tag`` posts, so
+    # its first occurrences are few; the cap is a column of the account
     out = None
     for action, eligible, cap_col in (("like", "like_eligible", "likes_per_day"),
                                       ("comment", "comment_eligible", "comments_per_day")):
-        top = params.agg(F.max(cap_col)).first()[0] or 0
-        c = walk.filter(F.col(eligible)).select(
-            "account", "run_id", F.col("seq").cast("long").alias("ts"), F.col("rn").cast("long").alias("id"),
-            "media_id", "search_tag", "seq", "rn", F.lit(True).alias("ok"), F.lit(False).alias("h"))
-        offset = params.select("account", F.lit(run_id).alias("run_id"),
-                               (F.lit(top) - F.col(cap_col)).alias("n_done"))
-        q = apply_quota(c, int(top), ["account", "run_id"], order=("ts", "id"), offset=offset)
-        picked = q.filter("accepted").select("account", F.lit(action).alias("action_type"), "media_id",
-                                            "search_tag", "seq", "rn")
+        first = (walk.filter(F.col(eligible)).groupBy("account", "media_id")
+                 .agg(F.min(F.struct("seq", "rn", "search_tag")).alias("_at"), F.first(cap_col).alias("_cap")))
+        n = F.row_number().over(Window.partitionBy("account").orderBy("_at.seq", "_at.rn", "media_id"))
+        picked = (first.withColumn("_n", n).filter(F.col("_n") <= F.col("_cap"))
+                  .select("account", F.lit(action).alias("action_type"), "media_id", "_at.search_tag", "_at.seq", "_at.rn"))
         out = picked if out is None else out.unionByName(picked)
     return out

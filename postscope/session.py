@@ -47,9 +47,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the SQL options the operators assume to an existing session."""
+    """Give the SQL options the operators assume a value where the session has none."""
     for k, v in SQL_DEFAULTS.items():
-        spark.conf.set(k, v)
+        if not spark.conf.get(k, ""):
+            spark.conf.set(k, v)
     # local masters read the test tables, one row group per file: spread the
     # text work over the cores unless the caller chose a value (a cluster
     # leaves it unset, its scans are wide)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.timefmt import iso_text
+from ..functions.timefmt import iso_text, parse_iso
 from ..schemas import ACTION_COLUMNS, ACTIONS, ACTIONS_V1
 
 PARTITION_COLUMN = "date"
@@ -16,20 +17,22 @@ def with_date(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, F.to_date("ts"))
 
 
-def read_actions(spark: SparkSession, path: str, evolve: bool = False) -> DataFrame:
-    """Scan a stored log.
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """Scan a stored log with its explicit schema.
 
-    ``evolve=True`` merges parquet footers so folders written before the
-    ``post_link`` column existed read back with nulls (additive evolution).
-    Partition discovery gives ``date``; filters on ``ts``/``date`` prune
-    partitions and push into the scan.
+    No footer is merged or sampled: files written before ``post_link`` existed
+    read back with null there, whichever version was written first.  A log that
+    stores the ISO text only gets its typed time from the text.  Filters on
+    ``date`` prune partitions, filters on ``ts`` reach the scan of typed logs.
     """
-    reader = spark.read.option("mergeSchema", "true" if evolve else "false")
-    df = reader.parquet(path)
-    if "post_link" not in df.columns:
-        df = df.withColumn("post_link", F.lit(None).cast("string"))
-    cols = [F.col(c).cast(ACTIONS[c].dataType) for c in ACTION_COLUMNS]
-    return df.select(*cols, F.col(PARTITION_COLUMN).cast("date").alias(PARTITION_COLUMN))
+    schema = T.StructType([*ACTIONS.fields, T.StructField(PARTITION_COLUMN, T.DateType(), True)])
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_actions_iso(spark: SparkSession, path: str) -> DataFrame:
+    """S1 for a log without a typed time (the reference's own table): ``ts`` from the ISO text."""
+    log = read_actions(spark, path)
+    return log.withColumn("ts", F.coalesce("ts", parse_iso("timestamp")))
 
 
 def stamp(df: DataFrame, now_col=None) -> DataFrame:
@@ -45,8 +48,10 @@ def append_actions(df: DataFrame, path: str) -> None:
     """Append a batch of actions, creating the log when missing.
 
     One write job per batch; files land in ``date=...`` folders so later
-    scans prune by day.  Only the log's columns are written.
+    scans prune by day.  Only the log's columns are written; rows without a
+    time get the batch's UTC time (``stamp``).
     """
+    df = stamp(df)
     cols = [F.col(c).cast(ACTIONS[c].dataType) if c in df.columns
             else F.lit(None).cast(ACTIONS[c].dataType).alias(c) for c in ACTION_COLUMNS]
     out = with_date(df.select(*cols))

@@ -8,6 +8,7 @@ S7's flat link rows stay JVM-side with ``regexp_extract_all``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,19 +32,6 @@ SITE = "https://books.example"
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-SHELF_ROWS = T.StructType([
-    T.StructField("user_id", T.StringType()),
-    T.StructField("page", T.LongType()),
-    T.StructField("row", T.LongType()),
-    T.StructField("position", T.LongType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("author", T.StringType()),
-    T.StructField("book_url", T.StringType()),
-    T.StructField("rating", T.IntegerType()),
-    T.StructField("review", T.StringType()),
-])
-
-
 class _Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -57,24 +45,26 @@ class _Node:
         return name in (self.attrs.get("class") or "").split()
 
     def iter(self):
-        for ch in self.children:
+        """Elements below, in page order (no recursion: pages may nest deeply)."""
+        todo = list(reversed(self.children))
+        while todo:
+            ch = todo.pop()
             if isinstance(ch, _Node):
                 yield ch
-                yield from ch.iter()
+                todo.extend(reversed(ch.children))
 
     def find(self, tag, pred=lambda n: True):
         return next((n for n in self.iter() if n.tag == tag and pred(n)), None)
 
     def text(self) -> str:
         """Every text piece stripped, empty pieces dropped, joined without separator."""
-        out = []
-        for ch in self.children:
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            ch = todo.pop()
             if isinstance(ch, _Node):
-                out.append(ch.text())
-            else:
-                s = ch.strip()
-                if s:
-                    out.append(s)
+                todo.extend(reversed(ch.children))
+            elif ch.strip():
+                out.append(ch.strip())
         return "".join(out)
 
 
@@ -83,7 +73,10 @@ class _TreeBuilder(HTMLParser):
     as closing the open one, and an end tag closes up to its matching open
     element (stray end tags are ignored)."""
 
-    IMPLIED = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+    IMPLIED = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "p": ("p",), "li": ("li",),
+               "option": ("option",)}
+    # an implied end does not reach beyond these
+    STOPS = {"p": ("div", "td", "th", "li", "table"), "li": ("ul", "ol", "table"), "option": ("select",)}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -100,7 +93,7 @@ class _TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in self.IMPLIED:
-            self._close_to(self.IMPLIED[tag] if tag != "tr" else ("tr",))
+            self._close_to(self.IMPLIED[tag] if tag != "tr" else ("tr",), self.STOPS.get(tag, ("table",)))
         node = _Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in VOID:
@@ -127,6 +120,15 @@ def _cell_link(row: _Node, cell_class: str):
     return div.find("a") if div else None
 
 
+def _rating(text: str) -> int | None:
+    """An integer within 32 bits, else nothing."""
+    try:
+        n = int(text)
+    except ValueError:
+        return None
+    return n if -(1 << 31) <= n < 1 << 31 else None
+
+
 def parse_shelf_page(html: str | None, site: str = SITE) -> list[tuple]:
     """Rows of one shelf page: ``(row, title, author, book_url, rating, review)``.
 
@@ -153,10 +155,7 @@ def parse_shelf_page(html: str | None, site: str = SITE) -> list[tuple]:
         stars = row.find("div", lambda n: n.has_class(STARS_DIV))
         rating = None
         if stars is not None and "data-rating" in stars.attrs:
-            try:
-                rating = int(stars.attrs["data-rating"])
-            except ValueError:
-                rating = None
+            rating = _rating(stars.attrs["data-rating"])
         rcell = row.find("td", lambda n: n.cls() == REVIEW_CELL)
         rdiv = rcell.find("div", lambda n: n.cls() == VALUE_DIV) if rcell else None
         review = (rdiv.text() or None) if rdiv is not None else None
@@ -178,36 +177,113 @@ def count_review_rows(html: str | None) -> int | None:
     return sum(1 for n in table.iter() if n.tag == "tr" and (n.attrs.get("id") or "").startswith(ROW_ID_PREFIX))
 
 
-def extract_shelf(pages: DataFrame, site: str = SITE, per_page: int = PER_PAGE) -> DataFrame:
-    """Shelf rows from ``(user_id, page, html)`` pages.
+_ROWS = ("array<struct<row:long,title:string,author:string,book_url:string,rating:int,review:string>>")
 
-    ``position = (page - 1) * per_page + row`` keeps the list order across
-    pages.  Only the three needed columns reach the Python worker.
+
+def parse_pages(pages: DataFrame, site: str = SITE) -> DataFrame:
+    """S6 + W5 input in one pass: ``(user_id, page, n_rows, rows, error)`` per page.
+
+    A page that cannot be parsed keeps its place, with no rows, a null count
+    and the reason in ``error``; it never fails the job.
     """
+    names = ("row", "title", "author", "book_url", "rating", "review")
+
     def parse(batches):
         for pdf in batches:
-            recs = []
-            for user, page, html in zip(pdf["user_id"], pdf["page"], pdf["html"]):
-                for row, title, author, url, rating, review in parse_shelf_page(html, site):
-                    recs.append((user, int(page), row, (int(page) - 1) * per_page + row,
-                                 title, author, url, rating, review))
-            out = pd.DataFrame.from_records(recs, columns=SHELF_ROWS.fieldNames())
-            yield out.astype({"page": "int64", "row": "int64", "position": "int64", "rating": "Int32"})
+            counts, rows, errors = [], [], []
+            for html in pdf["html"]:
+                try:
+                    counts.append(count_review_rows(html))
+                    rows.append([dict(zip(names, r)) for r in parse_shelf_page(html, site)])
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - recorded per page
+                    counts[len(errors):] = [None]
+                    rows.append([])
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"user_id": pdf["user_id"], "page": pdf["page"].astype("Int64"),
+                                "n_rows": pd.array(counts, dtype="Int32"), "rows": pd.Series(rows, dtype=object),
+                                "error": pd.Series(errors, dtype=object)})
 
     pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
-    return pages.mapInPandas(parse, SHELF_ROWS)
+    return pages.mapInPandas(parse, f"user_id string, page long, n_rows int, rows {_ROWS}, error string")
+
+
+def shelf_rows(parsed: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
+    """Book rows of parsed pages; ``position = (page - 1) * per_page + row`` keeps
+    the list order across pages (null without a page number)."""
+    return parsed.select("user_id", "page", F.explode("rows").alias("r")).select(
+        "user_id", "page", "r.row", ((F.col("page") - 1) * per_page + F.col("r.row")).alias("position"),
+        "r.title", "r.author", "r.book_url", "r.rating", "r.review")
+
+
+def extract_shelf(pages: DataFrame, site: str = SITE, per_page: int = PER_PAGE) -> DataFrame:
+    """Shelf rows from ``(user_id, page, html)`` pages."""
+    return shelf_rows(parse_pages(pages, site), per_page)
 
 
 def page_row_counts(pages: DataFrame) -> DataFrame:
     """Review rows per page (null when the page has no books table), for W5."""
-    def count(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"user_id": pdf["user_id"], "page": pdf["page"].astype("int64"),
-                                "n_rows": pd.array([count_review_rows(h) for h in pdf["html"]], dtype="Int32")})
+    return parse_pages(pages).select("user_id", "page", "n_rows")
 
-    schema = "user_id string, page long, n_rows int"
-    pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
-    return pages.mapInPandas(count, schema)
+
+@dataclass(frozen=True)
+class ElementSpec:
+    """Which elements of a page become rows.
+
+    ``tag`` of the element, the ``attrs`` to return, and optionally the tag and
+    class of an element it must lie in.
+    """
+    tag: str
+    attrs: tuple[str, ...] = ()
+    inside: str | None = None
+    inside_class: str | None = None
+
+
+def extract_elements(pages: DataFrame, spec: ElementSpec, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``(key, pos, <attrs>, text)`` per matching element, in page order.
+
+    Quotes, other attributes, nesting and unclosed elements are handled by the
+    parser; a page that cannot be parsed gives one row with ``pos`` 0 and the
+    reason in ``error``.
+    """
+    base = spread(pages.select(key, F.col(html).alias("html")), key)
+    schema = T.StructType([base.schema[key], T.StructField("pos", T.LongType()),
+                           *[T.StructField(a, T.StringType()) for a in spec.attrs],
+                           T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+    def rows(page: str | None):
+        b = _TreeBuilder()
+        b.feed(page or "")
+        b.close()
+        pos = 0
+        for n in b.root.iter():
+            if n.tag != spec.tag or not _lies_in(n, spec):
+                continue
+            pos += 1
+            yield (pos, *[n.attrs.get(a) for a in spec.attrs], n.text(), None)
+
+    def extract(batches):
+        for pdf in batches:
+            out = []
+            for k, page in zip(pdf[key].tolist(), pdf["html"]):
+                try:
+                    out += [(k, *r) for r in rows(page)]
+                except Exception as e:  # noqa: BLE001 - recorded per page
+                    out.append((k, 0, *[None] * len(spec.attrs), None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame.from_records(out, columns=schema.fieldNames())
+
+    return base.mapInPandas(extract, schema)
+
+
+def _lies_in(n: _Node, spec: ElementSpec) -> bool:
+    if spec.inside is None:
+        return True
+    up = n.parent
+    while up is not None:
+        if up.tag == spec.inside and (spec.inside_class is None or up.has_class(spec.inside_class)):
+            return True
+        up = up.parent
+    return False
 
 
 # fixed value: a navigation link item as the pages render it

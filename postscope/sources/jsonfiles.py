@@ -29,16 +29,23 @@ def parse_shelf_json(texts: DataFrame, user: str = "user_id", value: str = "valu
 
 
 def read_shelf_json(spark: SparkSession, path: str) -> DataFrame:
-    """S4 over files: one JSON array per file; the user is the file's name."""
-    t = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1).alias("user_id"), "value")
-    return parse_shelf_json(t)
+    """S4 over files: one JSON array per file; the user is the ``user_id=...``
+    folder the file lies in, or else the file's name."""
+    files = spark.read.text(path, wholetext=True)
+    user = (F.col("user_id").cast("string") if "user_id" in files.columns
+            else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1))
+    return parse_shelf_json(files.select(user.alias("user_id"), "value"))
 
 
 def _limit(c: str, default: int):
-    """Digits only, else the default (a saved limit that is not a number)."""
+    """Digits only, else the default (a saved limit that is not a number).
+
+    A number beyond the integer range counts as the largest integer: it is a
+    limit that is never reached.
+    """
     v = F.col(c)
-    return F.when(v.rlike(r"^[0-9]+$"), safe_int(c)).otherwise(F.lit(default))
+    top = F.lit(2147483647)
+    return F.when(v.rlike(r"^[0-9]+$"), F.coalesce(safe_int(c), top)).otherwise(F.lit(default))
 
 
 def parse_run_params(texts: DataFrame, value: str = "value", account_key: str = "account") -> DataFrame:

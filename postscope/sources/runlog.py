@@ -12,62 +12,87 @@ from pyspark.sql import functions as F
 from ..plans.ranking import spread
 
 # fixed values: line layout and the run's messages (placeholders in braces)
-LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) ([A-Z]+):(.*)$"
+LINE = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) ([A-Z]+):(.*)$"
+# a record starts at a line with a time and a level; other lines continue it
+RECORD_START = r"\r?\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} [A-Z]+:)"
 ASCTIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 MESSAGES = [
-    # event,              pattern (groups: media id, then hashtag/link/detail as named)
-    ("liked",             r"^Liked post (\S+) \(hashtag: (.*)\) \| Link: (\S*)$", ("media_id", "hashtag", "link")),
-    ("commented",         r"^Commented on post (\S+): (.*) \| Link: (\S*)$", ("media_id", "detail", "link")),
-    ("like_failed",       r"^Failed to like post (\S+): (.*)$", ("media_id", "detail")),
-    ("comment_failed",    r"^Failed to comment on post (\S+): (.*)$", ("media_id", "detail")),
-    ("skipped_keyword",   r"^Skipped post (\S+) due to 'giveaway' in caption or hashtags\. \| Link: (\S*)$", ("media_id", "link")),
-    ("skipped_avoid",     r"^Skipped commenting on post (\S+) due to avoid hashtag in hashtags\. \| Link: (\S*)$", ("media_id", "link")),
-    ("skipped_sensitive", r"^Skipped commenting on post (\S+) due to sensitive image\. \| Link: (\S*)$", ("media_id", "link")),
+    # event, first words, pattern, its groups
+    ("liked", "Liked post ", r"(?s)^Liked post (\S+) \(hashtag: (.*)\) \| Link: (\S*)\s*$", ("media_id", "hashtag", "link")),
+    ("commented", "Commented on post ", r"(?s)^Commented on post (\S+): (.*) \| Link: (\S*)\s*$", ("media_id", "detail", "link")),
+    ("like_failed", "Failed to like post ", r"(?s)^Failed to like post (\S+): (.*)$", ("media_id", "detail")),
+    ("comment_failed", "Failed to comment on post ", r"(?s)^Failed to comment on post (\S+): (.*)$", ("media_id", "detail")),
+    ("skipped_keyword", "Skipped post ",
+     r"^Skipped post (\S+) due to 'giveaway' in caption or hashtags\. \| Link: (\S*)\s*$", ("media_id", "link")),
+    ("skipped_avoid", "Skipped commenting on post ",
+     r"^Skipped commenting on post (\S+) due to avoid hashtag in hashtags\. \| Link: (\S*)\s*$", ("media_id", "link")),
+    ("skipped_sensitive", "Skipped commenting on post ",
+     r"^Skipped commenting on post (\S+) due to sensitive image\. \| Link: (\S*)\s*$", ("media_id", "link")),
 ]
 FIELDS = ("media_id", "hashtag", "link", "detail")
 NONE_TEXT = "None"
 
 
-def parse_run_log(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines -> ``(log_time, level, event, media_id, hashtag, link, detail)``.
+def parse_run_log(records: DataFrame, value: str = "value") -> DataFrame:
+    """Records -> ``(log_time, level, event, media_id, hashtag, link, detail, raw)`` plus their other columns.
 
-    Lines that do not fit the layout are kept with null fields; unknown
-    messages get ``event = 'other'`` and the message as ``detail``.
+    The line's three parts are cut once; the message's first words choose the
+    patterns to try.  A record that does not fit the layout keeps its text in
+    ``raw`` with null fields; an unknown message gets ``event = 'other'`` and
+    the message as ``detail``.
     """
-    lines = spread(lines)
+    rest = [c for c in records.columns if c != value]
     v = F.col(value)
-    msg = F.regexp_extract(v, LINE, 3)
+    part = [F.regexp_extract(v, LINE, i) for i in (1, 2, 3)]
+    cut = spread(records).select(*rest, v.alias("raw"), part[0].alias("_t"), part[1].alias("_l"), part[2].alias("_m"))
+    # per message: its groups as an array, empty if it is another message
+    def groups(start: str, pattern: str, n: int) -> Column:
+        return F.when(F.col("_m").startswith(start), F.array(*[F.regexp_extract("_m", pattern, i) for i in range(1, n + 1)]))
+    tried = cut.select("*", *[groups(s, p, len(g)).alias(f"_g_{e}") for e, s, p, g in MESSAGES])
     event: Column = F.lit("other")
     fields: dict[str, Column] = {f: F.lit(None).cast("string") for f in FIELDS}
-    for name, pat, groups in reversed(MESSAGES):
-        hit = msg.rlike(pat)
+    for name, _, _, names in reversed(MESSAGES):
+        g = F.col(f"_g_{name}")
+        hit = F.coalesce(g[0] != "", F.lit(False))
         event = F.when(hit, F.lit(name)).otherwise(event)
-        for i, g in enumerate(groups, start=1):
-            fields[g] = F.when(hit, F.regexp_extract(msg, pat, i)).otherwise(fields[g])
-    fields["detail"] = F.when(event == "other", msg).otherwise(fields["detail"])
-    fields["hashtag"] = F.when(fields["hashtag"] != NONE_TEXT, fields["hashtag"])
-    ok = v.rlike(LINE)
-    return lines.select(
-        F.when(ok, F.regexp_extract(v, LINE, 1)).alias("log_time"),
-        F.when(ok, F.regexp_extract(v, LINE, 2)).alias("level"),
-        F.when(ok, event).alias("event"),
-        *[F.when(ok, fields[f]).alias(f) for f in FIELDS],
-    )
+        for i, n in enumerate(names):
+            fields[n] = F.when(hit, g[i]).otherwise(fields[n])
+    ok = F.col("_t") != ""
+    named = tried.select(*rest, "raw", F.when(ok, F.col("_t")).alias("log_time"), F.when(ok, F.col("_l")).alias("level"),
+                         F.when(ok, event).alias("event"), *[F.when(ok, fields[f]).alias(f) for f in FIELDS], "_m")
+    return named.select(*rest, "log_time", "level", "event", "media_id",
+                        F.when(F.col("hashtag") != NONE_TEXT, F.col("hashtag")).alias("hashtag"), "link",
+                        F.when(F.col("event") == "other", F.col("_m")).otherwise(F.col("detail")).alias("detail"), "raw")
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_run_log(spark.read.text(path))
+    """Log files -> parsed records with ``file`` and ``record`` (number in its file).
+
+    A file is read whole (log files are rotated), so that the lines of a
+    message with line breaks stay one record.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    records = (files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), RECORD_START)).alias("record", "value"))
+               .filter(F.col("value") != ""))
+    return parse_run_log(records.withColumn("record", F.col("record") + 1))
 
 
 def render_action_lines(actions: DataFrame) -> DataFrame:
     """Log lines for logged actions, in the run's wording (fixtures, replays)."""
     t = F.date_format("ts", ASCTIME_FORMAT)
     tag = F.coalesce("hashtag", F.lit(NONE_TEXT))
-    msg = (F.when(F.col("action_type") == "like",
-                  F.concat(F.lit("Liked post "), F.col("media_id"), F.lit(" (hashtag: "), tag, F.lit(") | Link: "), F.col("post_link")))
-           .when(F.col("action_type") == "comment",
-                 F.concat(F.lit("Commented on post "), F.col("media_id"), F.lit(": "), F.col("comment"), F.lit(" | Link: "), F.col("post_link")))
-           .when(F.col("id") % 2 == 1, F.concat(F.lit("Failed to like post "), F.col("media_id"), F.lit(": "), F.col("error")))
-           .otherwise(F.concat(F.lit("Failed to comment on post "), F.col("media_id"), F.lit(": "), F.col("error"))))
+    post = F.col("media_id")
+    link = F.concat(F.lit(" | Link: "), F.col("post_link"))
+    # a skip is no logged action: views stand for the posts a run passed over
+    skip = (F.when(F.col("id") % 3 == 0, F.concat(F.lit("Skipped post "), post, F.lit(" due to 'giveaway' in caption or hashtags."), link))
+            .when(F.col("id") % 3 == 1, F.concat(F.lit("Skipped commenting on post "), post, F.lit(" due to avoid hashtag in hashtags."), link))
+            .otherwise(F.concat(F.lit("Skipped commenting on post "), post, F.lit(" due to sensitive image."), link)))
+    # one comment in five holds a line break
+    comment = F.when(F.col("id") % 5 == 0, F.concat("comment", F.lit("\nsecond line"))).otherwise(F.col("comment"))
+    msg = (F.when(F.col("event_type") == "view", skip)
+           .when(F.col("action_type") == "like", F.concat(F.lit("Liked post "), post, F.lit(" (hashtag: "), tag, F.lit(")"), link))
+           .when(F.col("action_type") == "comment", F.concat(F.lit("Commented on post "), post, F.lit(": "), comment, link))
+           .when(F.col("id") % 2 == 1, F.concat(F.lit("Failed to like post "), post, F.lit(": "), F.col("error")))
+           .otherwise(F.concat(F.lit("Failed to comment on post "), post, F.lit(": "), F.col("error"))))
     level = F.when(F.col("action_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO"))
     return actions.select("id", F.concat(t, F.lit(" "), level, F.lit(":"), msg).alias("value"))

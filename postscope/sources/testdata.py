@@ -2,7 +2,7 @@
 
 Every adapter is a lazy projection over a driver table, so Catalyst still
 prunes columns and pushes filters into the parquet scan.  The same mappings
-are written independently in DuckDB SQL in ``postscope.plans.oracle``.
+are written independently in DuckDB SQL in ``postscope.oracle``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefmt import iso_text
 from ..plans.ranking import bucketed_row_number, spread
+from ..session import scratch_path
 
 # fixed values: fixture parameters (FIXTURES.md)
 AS_OF = "2024-01-31 00:00:00"
@@ -31,10 +32,20 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` file as a streaming source (file source, explicit schema)."""
-    schema = table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """``events`` as a stream of several micro-batches (one file each).
+
+    The files follow the time in weeks; one event in twenty arrives a week late
+    and one in fifty arrives twice.
+    """
+    ev = table(spark, sf_dir, "events")
+    week = F.floor(F.dayofmonth("ts") / 8).cast("int")
+    late = (F.col("event_id") % 20 == 0).cast("int")
+    path = scratch_path(spark, "events-stream")
+    for n in range(5):
+        again = ev.filter((F.col("event_id") % 50 == 0) & (week == n - 1) & (late == 0))
+        ev.filter(week + late == n).union(again).coalesce(1).write.parquet(f"{path}/batch={n}")
+    return (spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", 1).parquet(path))
 
 
 def actions_from_events(ev: DataFrame) -> DataFrame:
@@ -42,7 +53,7 @@ def actions_from_events(ev: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     action_type = (F.when(F.col("event_type") == "purchase", "comment")
                    .when(F.col("event_type") == "error", "error").otherwise("like"))
-    media_id = F.concat(F.col("user_id").cast("string"), F.lit(":"), k.cast("string"))
+    media_id = k.cast("string")     # a post's id: accounts act on the same posts
     return ev.select(
         F.col("event_id").alias("id"),
         iso_text("ts").alias("timestamp"),
@@ -70,7 +81,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("caption"),
         F.col("n_chars").alias("like_count"),
         F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 40).alias("comment_count"),
-        F.array_distinct(F.slice(words, 1, 8)).alias("hashtags"),
+        F.array_distinct(words).alias("hashtags"),
         F.col("source").alias("search_tag"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(doc_id as int),0)").alias("taken_at"),
     )
@@ -132,12 +143,22 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A term table (kind keyword/avoid) derived from ``benchmark`` words."""
+    """A term table (kind keyword/avoid): of all words of each ``benchmark`` text the last in the alphabet."""
     b = table(spark, sf_dir, "benchmark")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
     kind = F.when(F.col("item_id") % 2 == 0, F.lit("avoid")).otherwise(F.lit("keyword"))
-    term = F.when(F.col("item_id") % 2 == 0, F.element_at(words, 1)).otherwise(F.element_at(words, 3))
-    return b.select(kind.alias("kind"), term.alias("term")).filter(F.col("term").isNotNull()).distinct()
+    return b.select(kind.alias("kind"), F.array_max(words).alias("term")).filter(F.col("term").isNotNull()).distinct()
+
+
+def screening_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run parameters per account (caps, tag lists naming ``documents.source``) and its viewer id."""
+    u = F.col("user_id")
+    src = lambda n: F.concat(F.lit("src"), ((u + n) % 20).cast("string"))
+    return table(spark, sf_dir, "events").select("user_id").distinct().select(
+        u.cast("string").alias("account"), F.array(src(0), src(7), src(13)).alias("hashtags"),
+        F.when(u % 3 == 0, F.array(F.lit("Que"), F.lit("DIE"))).alias("avoid_hashtags"),
+        (u % 7).cast("int").alias("likes_per_day"), (u % 5).cast("int").alias("comments_per_day"),
+        (u % 2 == 1).alias("allow_sensitive"), u.cast("long").alias("viewer_id"))
 
 
 # fixed value: one shelf row as the shelf page renders it

@@ -1,107 +1,150 @@
-"""T1-T3 over an action stream.
-
-Watermarks need ``TIMESTAMP`` event time, so the stream's ``ts`` (stored as
-``TIMESTAMP_NTZ``) is read as UTC.  Sinks and checkpoints live under the
-session's shared checkpoint folder; every run here uses ``availableNow`` so
-a job drains what is there and stops, and a restarted job resumes from its
-checkpoint.
+"""T1-T3 over an action stream: reduce each micro-batch, store it, merge on read.
+
+Every job is a ``foreachBatch`` writer that reduces its batch with partial
+aggregates (so a hot post or day is combined map-side) and overwrites the
+folder of its batch id: a replayed batch changes nothing, and no batch reads
+what earlier batches stored.  The readers merge the stored parts, so rows that
+come late, twice or out of order give the batch answer.  T3, whose decisions
+depend on order, decides a day only after it has closed.
+
+Sinks and checkpoints live under the session's shared checkpoint folder; every
+run here uses ``availableNow``: a job drains what is there and stops, and a
+restarted job resumes from its checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.quota import apply_quota
+from ..operators.quota import apply_quota, with_history
 from ..session import scratch_path
 
 
-def event_time(stream: DataFrame, col: str = "ts") -> DataFrame:
-    return stream.withColumn(col, F.col(col).cast("timestamp"))
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; empty while its folder does not exist (any other error is raised)."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run ``write`` on every available micro-batch, then stop."""
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
 
+def _put(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-def stream_daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Tumbling 1-day windows per type, final once the watermark passes.
 
-    Append mode: a day is emitted once ``max(ts) - delay`` passes its end;
-    rows older than the watermark are dropped.
+# ---- T1 -------------------------------------------------------------------
+
+def stream_daily_counts(stream: DataFrame, path: str, checkpoint: str, delay_days: int = 1) -> DataFrame:
+    """Counts per day and type, with ``closed``: no row of the day is awaited any more.
+
+    Every batch stores its own counts of distinct rows (``id``); days stay open
+    for ``delay_days`` after the latest row seen.  Open days are reported too.
     """
-    s = event_time(stream).withWatermark("ts", delay)
-    agg = s.groupBy(F.window("ts", "1 day").alias("w"), "action_type").agg(F.count(F.lit(1)).alias("count"))
-    return agg.select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "action_type", "count")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _put(batch.select("id", F.to_date("ts").alias("date"), "action_type").distinct(), path, batch_id)
+
+    drain(stream, write, checkpoint)
+    # a row that came twice has one id: count ids, not arrivals
+    rows = stored(stream.sparkSession, path, T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("date", T.DateType()), T.StructField("action_type", T.StringType())
+    ])).select("id", "date", "action_type").distinct()
+    days = rows.groupBy("date", "action_type").agg(F.count(F.lit(1)).alias("count"))
+    latest = days.agg(F.max("date").alias("latest"))           # one row
+    return days.join(F.broadcast(latest)).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "action_type", "count",
+        (F.date_add("date", delay_days) < F.col("latest")).alias("closed"))
 
 
-def stream_first_action(stream: DataFrame, delay: str = "30 days",
-                        history: DataFrame | None = None) -> DataFrame:
-    """Keep the first row per (post, type) seen within the watermark.
+# ---- T2 -------------------------------------------------------------------
 
-    ``history`` (the stored log) removes keys already done before the stream
-    started, because the reference remembers them for ever; this is a
-    stream-static anti join on the distinct keys.
+KEYS = ("account", "media_id", "action_type")
+
+
+def stream_first_action(stream: DataFrame, path: str, checkpoint: str, history: DataFrame | None = None,
+                        keys: Sequence[str] = KEYS) -> DataFrame:
+    """The first row (``ts``, then ``id``) per account, post and type, for ever.
+
+    Each batch stores its first row per key; the reader takes the least of all
+    batches and drops keys that ``history`` (the stored log) already has.  Rows
+    without a post id are no action on a post: all of them are kept.
     """
-    s = event_time(stream).withWatermark("ts", delay)
-    first = s.dropDuplicatesWithinWatermark(["media_id", "action_type"])
+    keys = list(keys)
+    fields = T.StructType([stream.schema[c] for c in (*keys, "ts", "id")])
+    at = F.min(F.struct("ts", "id")).alias("at")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = batch.filter(F.col("media_id").isNotNull()).groupBy(*keys).agg(at).select(*keys, "at.ts", "at.id")
+        _put(known.unionByName(batch.filter(F.col("media_id").isNull()).select(*keys, "ts", "id").distinct()), path, batch_id)
+
+    drain(stream, write, checkpoint)
+    rows = stored(stream.sparkSession, path, fields)
+    first = rows.filter(F.col("media_id").isNotNull()).groupBy(*keys).agg(at).select(*keys, "at.ts", "at.id")
     if history is not None:
-        done = history.select("media_id", "action_type").distinct()
-        first = first.join(done, ["media_id", "action_type"], "left_anti")
-    return first
-
-
-def run_available(df: DataFrame, spark: SparkSession, name: str, mode: str = "append",
-                  out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Drain a streaming frame into parquet under the checkpoint folder; read it back."""
-    out = out or scratch_path(spark, name)
-    checkpoint = checkpoint or scratch_path(spark, name + "-ckpt")
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+        first = first.join(history.select(*keys).distinct(), keys, "left_anti")
+    return first.unionByName(rows.select(*keys, "ts", "id").filter(F.col("media_id").isNull()).distinct())
 
 
-def quota_batch_writer(accepted_path: str, cap: int, by: Sequence[str], history: DataFrame | None = None,
-                       order: Sequence[str] = ("ts", "id"), post: str = "media_id", ok: str = "ok"):
-    """A ``foreachBatch`` function applying W3 to each micro-batch.
+# ---- T3 -------------------------------------------------------------------
 
-    Earlier batches' accepted rows (``batch_id`` below the current one) give
-    each run's ``n_done`` and count as history; the batch's own accepted rows
-    overwrite ``batch_id=<id>``, so a replayed batch changes nothing.
-    Batches are assumed to arrive in the runs' order.
+def stream_quota(stream: DataFrame, path: str, checkpoint: str, cap: int, by: Sequence[str],
+                 history: DataFrame | None = None, delay_days: int = 10, finish: bool = True) -> DataFrame:
+    """The quota (W3) over a stream; returns the accepted rows.
+
+    ``by`` holds ``date``.  Batches are stored by day; a day is decided once the
+    latest row seen is ``delay_days`` past it, from that day's stored rows alone
+    (a pruned read), so late rows count as in the batch form.  Rows for a day
+    that was already decided are kept apart in ``too_late``.  ``finish`` decides
+    the days still open when the stream has been drained.
     """
-    by, order = list(by), list(order)
+    spark = stream.sparkSession
+    fields = stream.schema
+    mark = T.StructType([T.StructField("latest", T.StringType()), T.StructField("closed", T.StringType())])
+    progress = T.StructType([*mark.fields, T.StructField("batch_id", T.IntegerType())])
+    pending, marks, accepted, too_late = (f"{path}/{n}" for n in ("pending", "progress", "accepted", "too_late"))
+
+    def decide(batch_id: int, after: str, upto: str) -> None:
+        rows = (stored(spark, pending, fields).filter((F.col("date") > after) & (F.col("date") <= upto))
+                .select(*fields.names).distinct())      # a row that came twice counts once
+        rows = rows.withColumn("h", F.lit(False)) if history is None else with_history(rows, history)
+        out = apply_quota(rows, cap, list(by)).filter("accepted").drop("h", "attempted", "accepted")
+        _put(out, accepted, batch_id)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            prior = spark.read.parquet(accepted_path).filter(F.col("batch_id") < batch_id)
-        except Exception:  # noqa: BLE001 - no accepted rows yet
-            prior = None
-        done_ids = prior.select(post) if prior is not None else None
-        if history is not None:
-            done_ids = history.select(post) if done_ids is None else done_ids.unionByName(history.select(post))
-        cands = batch
-        if done_ids is not None:
-            ids = done_ids.select(F.col(post).cast("string").alias("_hid")).distinct().withColumn("h", F.lit(True))
-            cands = (cands.withColumn("_hid", F.col(post).cast("string")).join(ids, "_hid", "left").drop("_hid")
-                     .withColumn("h", F.coalesce("h", F.lit(False))))
-        else:
-            cands = cands.withColumn("h", F.lit(False))
-        offset = prior.groupBy(*by).agg(F.count(F.lit(1)).alias("n_done")) if prior is not None else None
-        res = apply_quota(cands, cap, by, order, post, ok, "h", offset=offset)
-        (res.filter("accepted").drop("h", "attempted", "accepted")
-         .write.mode("overwrite").parquet(f"{accepted_path}/batch_id={batch_id}"))
-
-    return write
-
-
-def stream_quota(stream: DataFrame, spark: SparkSession, cap: int, by: Sequence[str],
-                 accepted_path: str | None = None, history: DataFrame | None = None,
-                 checkpoint: str | None = None) -> DataFrame:
-    """Run the quota over a stream; returns the accepted table."""
-    accepted_path = accepted_path or scratch_path(spark, "quota-accepted")
-    checkpoint = checkpoint or scratch_path(spark, "quota-ckpt")
-    q = (stream.writeStream.foreachBatch(quota_batch_writer(accepted_path, cap, by, history))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(accepted_path)
+        # one small row per earlier batch
+        seen = stored(spark, marks, progress).filter(F.col("batch_id") < batch_id)
+        before, closed = seen.agg(F.max("latest"), F.max("closed")).first()
+        closed = closed or ""
+        (batch.filter(F.col("date") > closed).write.mode("overwrite").partitionBy("date")
+         .parquet(f"{pending}/batch_id={batch_id}"))
+        _put(batch.filter(F.col("date") <= closed), too_late, batch_id)
+        latest = max(batch.agg(F.max("date")).first()[0] or "", before or "")
+        upto = closed
+        if latest:
+            upto = max(closed, spark.sql(f"SELECT date_format(date_sub(DATE'{latest}', {delay_days}), 'yyyy-MM-dd')").first()[0])
+        decide(batch_id, closed, upto)
+        _put(spark.createDataFrame([(latest, upto)], mark), marks, batch_id)
+
+    drain(stream, write, checkpoint)
+    if finish:
+        closed, last = stored(spark, marks, progress).agg(F.max("closed"), F.max("batch_id")).first()
+        decide(1_000_000_000, closed or "", "9999-12-31")
+    return stored(spark, accepted, fields).select(*fields.names)
+
+
+def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Fresh folders for a job's table and checkpoint, below the shared checkpoint folder."""
+    return scratch_path(spark, name), scratch_path(spark, name + "-ckpt")

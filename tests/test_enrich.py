@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from postscope.functions.language import detect_language, detect_languages
 from postscope.operators.enrich import post_features, title_match
 from postscope.schemas import AUTHORS, FOLLOWS, POSTS, SHELF
@@ -21,12 +23,20 @@ def _shelf(spark):
     return spark.createDataFrame(data, SHELF)
 
 
-def test_title_match_both_paths(spark):
+def test_title_match(spark):
     p = _posts(spark, [("1", "I loved THE LONG TITLE so much"), ("2", ""), ("3", "dune!"), ("4", "nothing here")])
-    for strategy in ("broadcast", "blocked", "automaton", "auto"):
-        got = {r["media_id"]: (r["position"], r["book_rating"], r["book_review"])
-               for r in title_match(p, _shelf(spark), strategy).collect()}
-        assert got == {"1": (1, None, "r" * 200), "3": (5, 3, "good")}, strategy
+    got = {r["media_id"]: (r["position"], r["book_rating"], r["book_review"]) for r in title_match(p, _shelf(spark)).collect()}
+    assert got == {"1": (1, None, "r" * 200), "3": (5, 3, "good")}
+
+
+def test_title_match_two_readers(spark):
+    """Two shelves with the same positions: each post meets its own reader's books only."""
+    shelf = spark.createDataFrame([("u1", 1, "Dune", "a", "b", 4, ""), ("u2", 1, "Emma", "a", "b", 5, ""),
+                                   ("u2", 2, "Dune", "a", "b", 2, "")], SHELF)
+    p = _posts(spark, [("1", "dune and emma"), ("2", "emma")]).withColumn("owner", F.concat(F.lit("u"), "media_id"))
+    rows = lambda df: sorted((r["media_id"], r["user_id"], r["position"], r["book_title"]) for r in df.collect())
+    assert rows(title_match(p, shelf, reader="owner")) == [("1", "u1", 1, "Dune"), ("2", "u2", 1, "Emma")]
+    assert rows(title_match(p, shelf)) == [("1", "u1", 1, "Dune"), ("1", "u2", 1, "Emma"), ("2", "u2", 1, "Emma")]
 
 
 def test_language_and_features(spark):
@@ -44,20 +54,25 @@ def test_language_and_features(spark):
     assert f["4"]["username"] is None and f["4"]["book_position"] is None
 
 
-def test_contains_pairs_paths_equal_brute_force(spark):
-    """Patterns of every length class (1 char, below q, at and above q) on all paths."""
+def test_substring_join_equals_brute_force(spark):
+    """Patterns of every length class, emoji, '?' and null keys; also with a full gram table."""
     import random
 
-    from postscope.operators.substring_join import contains_pairs
+    from postscope.operators import substring_join as J
     rnd = random.Random(9)
-    alphabet = "abcdeé ñ"
+    alphabet = "abcdeé ñ😀?"
     texts = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))) for i in range(80)]
-    pats = [(j, "".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 2, 3, 5, 7, 8, 9, 12]))))
-            for j in range(60)]
+    texts += [(None, "😀abc"), (None, "?abc and ab"), (200, None), (201, "x" * 5000 + "needle in it")]
+    pats = [(j, "".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 2, 3, 5, 7, 8, 9, 12])))) for j in range(60)]
+    pats += [(100, "?abc"), (101, ""), (102, None), (103, "needle in"), (None, "?"), (104, "?abc")]
     t = spark.createDataFrame(texts, "tid int, text string")
     p = spark.createDataFrame(pats, "pid int, pat string")
-    want = {(i, j) for i, tx in texts for j, pt in pats if pt and pt in tx}
-    for strategy in ("blocked", "automaton", "broadcast"):
-        got = {(r["tid"], r["pid"]) for r in contains_pairs(t, ["tid"], "text", p, ["pid"], "pat",
-                                                            strategy=strategy).collect()}
-        assert got == want, strategy
+    want = {(i, j) for i, tx in texts for j, pt in pats if tx and pt and pt in tx}
+    for bits in (22, 7):
+        m = J.matches(t, ["tid"], "text", p, ["pid"], "pat", table_bits=bits).collect()
+        assert {(r["tid"], x["pid"]) for r in m for x in r["matched"]} == want
+    got = [(r["tid"], r["pid"]) for r in J.contains_pairs(t, ["tid"], "text", p, ["pid"], "pat").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    hit = {r["tid"] for r in J.contains_any(t, ["tid"], "text", p, "pat").collect()}
+    assert hit == {i for i, _ in want}
+    assert J.contains_pairs(t, ["tid"], "text", p.limit(0), ["pid"], "pat").count() == 0

@@ -64,7 +64,7 @@ def test_screening_run_matches_sequential_walk(spark):
     ver = spark.createDataFrame([(m, "sensitive\nx") for m in sensitive] + [("p0", "safe")], VERDICTS)
     vw = spark.createDataFrame(list(viewers.items()), "account string, viewer_id long")
     got = {(r["account"], r["action_type"], r["media_id"])
-           for r in screening_run(prm, pdf, acts, ver, vw, "run1").collect()}
+           for r in screening_run(prm, pdf, acts, ver, vw).collect()}
     assert got == run_model(params, posts, history, viewers, sensitive)
 
 

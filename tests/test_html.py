@@ -1,7 +1,8 @@
 from conftest import rows
 
-from postscope.operators.crawl import crawl_prefix
-from postscope.sources.html import count_review_rows, extract_links, parse_shelf_page
+from postscope.operators.crawl import crawl_prefix, crawl_shelf
+from postscope.sources.html import (ElementSpec, count_review_rows, extract_elements, extract_links, extract_shelf,
+                                   page_row_counts, parse_pages, parse_shelf_page)
 
 ROW = ('<tr id="review_{i}"><td class="field title"><div class="value"><a href="/book/show/{i}">{title}</a></div></td>'
        '<td class="field author"><div class="value"><a href="/a/{i}">{author}</a></div></td>'
@@ -57,3 +58,30 @@ def test_links(spark):
     df = spark.createDataFrame([(1, '<ul><li><a href="/x">X</a></li><li><a href="/y">Y y</a></li></ul>'), (2, "<p>none</p>")],
                                "page_id long, html string")
     assert rows(extract_links(df), "page_id", "pos", "href", "text") == [(1, 1, "/x", "X"), (1, 2, "/y", "Y y")]
+
+
+def test_bad_pages_do_not_fail_the_job(spark, monkeypatch):
+    deep = page(ROW.format(i=1, title="Deep", author="Ann", rating="99999999999", review="<p>" * 5000 + "x"))
+    nested = "<div>" * 20000 + page(ROW.format(i=2, title="In", author="Bo", rating="3", review=""))
+    data = [("u", 1, deep), ("u", 2, nested), ("u", 3, None), ("u", None, page(ROW.format(i=3, title="N", author="C", rating="1", review="")))]
+    df = spark.createDataFrame(data, "user_id string, page long, html string")
+    got = {r["title"]: (r["page"], r["position"], r["rating"], r["review"]) for r in extract_shelf(df).collect()}
+    assert got == {"Deep": (1, 1, None, "x"), "In": (2, 101, 3, None), "N": (None, None, 1, None)}
+    assert {(r["page"], r["n_rows"]) for r in page_row_counts(df).collect()} == {(1, 1), (2, 1), (3, None), (None, 1)}
+    assert parse_pages(df).filter("error is not null").count() == 0
+
+
+def test_crawl_shelf(spark):
+    rows_of = lambda n: page(*[ROW.format(i=i, title=f"t{i}", author="a", rating="1", review="") for i in range(n)])
+    data = [("u", 1, rows_of(3)), ("u", 2, rows_of(2)), ("u", 3, rows_of(3)), ("v", 1, "<p>busy"), ("v", 2, rows_of(3))]
+    df = spark.createDataFrame(data, "user_id string, page long, html string")
+    assert rows(crawl_shelf(df, per_page=3), "user_id", "page", "position") == [
+        ("u", 1, 1), ("u", 1, 2), ("u", 1, 3), ("u", 2, 4), ("u", 2, 5)]
+
+
+def test_elements_by_spec(spark):
+    html = """<ul class="nav x"><li><a class=k href='/x'>X <b>y</b></a><li><a href=/z>Z</a></ul><div><a title="t">no link</a></div>"""
+    df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    got = rows(extract_elements(df, ElementSpec("a", ("href",))), "page_id", "pos", "href", "text")
+    assert got == [(1, 1, "/x", "Xy"), (1, 2, "/z", "Z"), (1, 3, None, "no link")]
+    assert extract_elements(df, ElementSpec("a", ("href",), "ul", "nav")).count() == 2

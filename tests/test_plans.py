@@ -7,10 +7,13 @@ import pytest
 import __spark_entry__ as E
 from helpers import plan_text
 
+from postscope.catalog import QUERIES
+
 SF = "/root/testdata/sf0.001"
-# Python workers are allowed only for HTML parsing (S6), the injected classifier
-# and the size-checked Aho-Corasick path of the substring join
-PYTHON_OK = {"shelf_extract", "classifier_hook", "title_match", "post_features", "screen_by_table"}
+# Python workers are allowed only for HTML parsing (S6, S7), the injected classifier
+# and the gram pass of the substring join
+PYTHON_OK = {"shelf_extract", "page_elements", "classifier_hook", "title_match", "title_match_by_reader", "post_features",
+             "screen_by_table"}
 STREAMING = {"stream_daily_counts", "stream_first_action", "stream_quota", "append_roundtrip", "evolved_scan"}
 
 
@@ -18,11 +21,11 @@ def _plan(df):
     return plan_text(df)
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - STREAMING))
 def test_plan_shape(spark, key):
     plan = _plan(E.queries()[key](spark, SF))
     if key not in PYTHON_OK:
-        assert not re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", plan), key
+        assert not re.search(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", plan), key
     # every window is partitioned: the partition spec printed after the window list is never empty
     for line in plan.splitlines():
         if re.search(r"\bWindow \[", line):
@@ -68,6 +71,8 @@ def test_one_pass_per_table(spark):
     # both uses of the per-key / first-success aggregate share one exchange
     for key in ("admit_tags_cap5", "quota"):
         assert "ReusedExchange" in _final_plan(q[key](spark, SF)), key
+    # the texts meet the patterns in two scans: one for grams, one to verify
+    assert _final_plan(q["title_match"](spark, SF)).count("documents.parquet") <= 2
     # like and comment history come from one scan of the log
     assert _final_plan(q["decisions"](spark, SF)).count("events.parquet") == 1
 

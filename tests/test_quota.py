@@ -111,3 +111,17 @@ def test_quota_null_keys_form_one_group(spark):
         for g in groups:
             want.update(quota_model([r for r in rows if r[0] == g], cap))
         assert _run(spark, rows, cap) == want, cap
+
+
+def test_offset_with_null_run_key(spark):
+    """A null run key carries its own count: cap 3 with 2 done leaves one."""
+    rows = [(None, T0 + timedelta(seconds=i), i, f"p{i}", True, False) for i in range(5)]
+    off = spark.createDataFrame([(None, 2)], "g string, n_done long")
+    assert sum(acc for _, acc in _run(spark, rows, 3, offset=off).values()) == 1
+
+
+def test_history_of_another_account_does_not_count(spark):
+    from postscope.operators.quota import with_history
+    c = spark.createDataFrame([("A", "p"), ("B", "p"), (None, "p")], "account string, media_id string")
+    done = spark.createDataFrame([("A", "p")], "account string, media_id string")
+    assert {r["account"]: r["h"] for r in with_history(c, done).collect()} == {"A": True, "B": False, None: False}

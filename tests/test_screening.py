@@ -43,12 +43,31 @@ def test_screens_and_decisions(spark):
 def test_history_joins_and_table_screen(spark):
     p = _posts(spark, [("1", 5, "a dog", ["x"], "s"), ("2", 5, "a cat", ["y"], "s"), ("3", 5, "", ["Dog"], "s")])
     a = make_actions(spark, [(1, "2024-01-01 00:00:00", "comment", None, "x", "2")])
-    assert [r["media_id"] for r in S.not_yet(p, a, "comment").orderBy("media_id").collect()] == ["1", "3"]
-    assert [r["media_id"] for r in S.already(p, a, "comment").collect()] == ["2"]
+    assert [r["media_id"] for r in S.not_yet(p, a, "comment", by=()).orderBy("media_id").collect()] == ["1", "3"]
+    assert [r["media_id"] for r in S.already(p, a, "comment", by=()).collect()] == ["2"]
     terms = spark.createDataFrame([("keyword", "DOG"), ("avoid", "dog"), ("keyword", "zebra")], "kind string, term string")
-    for strategy in ("broadcast", "blocked", "automaton"):
-        got = {r["media_id"]: (r["kw_hit"], r["avoid_hit"]) for r in S.screen_by_table(p, terms, strategy).collect()}
-        assert got == {"1": (True, False), "2": (False, False), "3": (True, True)}, strategy
+    got = {r["media_id"]: (r["kw_hit"], r["avoid_hit"]) for r in S.screen_by_table(p, terms).collect()}
+    assert got == {"1": (True, False), "2": (False, False), "3": (True, True)}
+
+
+def test_history_is_per_account(spark):
+    """Two accounts share posts: what one did never counts for the other."""
+    p = spark.createDataFrame([(a, m) for a in ("A", "B", None) for m in ("1", "2")], "account string, media_id string")
+    a = make_actions(spark, [(1, "2024-01-01 00:00:00", "comment", None, "A", "1"), (2, "2024-01-01 00:00:00", "like", None, "B", "2"),
+                             (3, "2024-01-01 00:00:00", "like", None, "B", "1")])
+    key = lambda r: (r["account"] or "", r["media_id"])
+    assert sorted(map(key, S.not_yet(p, a, "comment").collect())) == [("", "1"), ("", "2"), ("A", "2"), ("B", "1"), ("B", "2")]
+    assert sorted(map(key, S.already(p, a, "like").collect())) == [("B", "1"), ("B", "2")]
+    flags = {key(r): (r["liked"], r["commented"]) for r in S.done_flags(p, a, {"like": "liked", "comment": "commented"}).collect()}
+    assert flags == {("A", "1"): (False, True), ("A", "2"): (False, False), ("B", "1"): (True, False), ("B", "2"): (True, False),
+                     ("", "1"): (False, False), ("", "2"): (False, False)}
+
+
+def test_every_reason_occurs_in_the_fixture(spark):
+    import __spark_entry__ as E
+    got = E.queries()["decisions"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["reason"] for r in got} == set(S.REASONS)
+    assert {r["like_eligible"] for r in got} == {True, False} == {r["comment_eligible"] for r in got}
 
 
 def test_recent_per_tag_and_candidates(spark):
@@ -57,5 +76,5 @@ def test_recent_per_tag_and_candidates(spark):
     rec = S.recent_per_tag(p, 10)
     assert sorted(int(r["media_id"]) for r in rec.filter("search_tag = 't'").collect()) == list(range(5, 15))
     assert "WindowGroupLimit" in plan_text(rec)
-    lists = spark.createDataFrame([("acc", "hashtags", 1, " t ")], "account string, list_name string, seq long, tag string")
+    lists = spark.createDataFrame([("acc", "hashtags", 1, " t "), ("acc", "avoid", 2, "u")], "account string, list_name string, seq long, tag string")
     assert S.candidates(lists, p).count() == 10

@@ -1,11 +1,9 @@
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
+import pytest
 from postscope.operators.quota import apply_quota
 from postscope.schemas import ACTIONS
-from postscope.streaming.actions import (quota_batch_writer, run_available, stream_daily_counts,
-                                         stream_first_action)
+from postscope.streaming.actions import stored, stream_daily_counts, stream_first_action, stream_quota
 
 T0 = datetime(2024, 1, 1)
 
@@ -22,43 +20,71 @@ def _stream(spark, src):
         .option("recursiveFileLookup", "true").parquet(src)
 
 
-def test_daily_counts_two_batches_and_late_row(spark, tmp_path):
+def test_daily_counts_late_and_repeated_rows(spark, tmp_path):
     b1 = [(1, T0 + timedelta(hours=1), "like", "m1"), (2, T0 + timedelta(days=1, hours=2), "like", "m2")]
-    b2 = [(3, T0 + timedelta(days=4), "comment", "m3")]         # watermark moves to day 4
-    b3 = [(5, T0 + timedelta(days=6), "like", "m5")]            # day 1 is final and emitted here
-    b4 = [(4, T0 + timedelta(hours=5), "like", "m4")]           # late row for an emitted day: dropped
+    b2 = [(3, T0 + timedelta(days=4), "comment", "m3")]
+    b3 = [(5, T0 + timedelta(days=6), "like", "m5"), (1, T0 + timedelta(hours=1), "like", "m1")]     # 1 comes twice
+    b4 = [(4, T0 + timedelta(hours=5), "like", "m4")]                                                 # late
     src = _write_batches(spark, tmp_path, [b1, b2, b3, b4])
-    out = run_available(stream_daily_counts(_stream(spark, src), "1 day"), spark, "t1",
-                        out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
-    got = sorted((r["date"], r["action_type"], r["count"]) for r in out.collect())
-    # day 1 is emitted once with 1 like (the late row is dropped); days up to max - 1 day are final
-    assert [g for g in got if g[0] == "2024-01-01"] == [("2024-01-01", "like", 1)]
-    assert ("2024-01-02", "like", 1) in got
-    assert ("2024-01-05", "comment", 1) in got
-    assert all(d < "2024-01-06" for d, _, _ in got)
-
-
-def test_first_action_dedupe_and_history(spark, tmp_path):
-    b1 = [(1, T0, "like", "m1"), (2, T0 + timedelta(minutes=1), "like", "m1"), (3, T0, "like", "m2")]
-    b2 = [(4, T0 + timedelta(minutes=5), "like", "m1"), (5, T0 + timedelta(minutes=6), "comment", "m1")]
-    src = _write_batches(spark, tmp_path, [b1, b2])
-    hist = spark.createDataFrame([("m2", "like")], "media_id string, action_type string")
-    out = run_available(stream_first_action(_stream(spark, src), "1 day", hist), spark, "t2",
-                        out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
-    assert sorted((r["media_id"], r["action_type"]) for r in out.collect()) == [("m1", "comment"), ("m1", "like")]
-
-
-def test_quota_batches_idempotent_and_equal_to_batch(spark, tmp_path):
+    out = stream_daily_counts(_stream(spark, src), str(tmp_path / "out"), str(tmp_path / "ck"), delay_days=1)
+    got = {(r["date"], r["action_type"]): (r["count"], r["closed"]) for r in out.collect()}
+    assert got == {("2024-01-01", "like"): (2, True), ("2024-01-02", "like"): (1, True),
+                   ("2024-01-05", "comment"): (1, True), ("2024-01-07", "like"): (1, False)}
+
+
+def test_first_action_remembers_for_ever(spark, tmp_path):
+    b1 = [(2, T0 + timedelta(minutes=1), "like", "m1"), (3, T0, "like", "m2"), (7, T0, "like", None)]
+    b2 = [(4, T0 + timedelta(minutes=5), "like", "m1"), (5, T0 + timedelta(minutes=6), "comment", "m1"), (8, T0, "like", None)]
+    b3 = [(6, T0 + timedelta(days=60), "like", "m1"), (1, T0, "like", "m1")]        # long after, and late but earlier
+    src = _write_batches(spark, tmp_path, [b1, b2, b3])
+    hist = spark.createDataFrame([("acct", "m2", "like"), ("other", "m1", "like")], "account string, media_id string, action_type string")
+    out = stream_first_action(_stream(spark, src), str(tmp_path / "out"), str(tmp_path / "ck"), hist)
+    assert sorted((r["id"], r["media_id"], r["action_type"]) for r in out.collect()) == [
+        (1, "m1", "like"), (5, "m1", "comment"), (7, None, "like"), (8, None, "like")]
+
+
+def _quota_stream(spark, root, batches):
+    schema = "id long, ts timestamp_ntz, account string, date string, media_id string, ok boolean"
+    for i, rs in enumerate(batches):
+        spark.createDataFrame(rs, schema).coalesce(1).write.parquet(f"{root}/in/b{i}")
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+            .parquet(f"{root}/in")), schema
+
+
+def test_quota_stream_equals_batch(spark, tmp_path):
     import random
     rnd = random.Random(2)
-    rows = [(i, T0 + timedelta(seconds=i), f"p{rnd.randint(0, 5)}", rnd.random() < 0.7) for i in range(30)]
-    schema = "id long, ts timestamp_ntz, g string, media_id string, ok boolean"
-    mk = lambda rs: spark.createDataFrame([(i, t, "g", m, o) for i, t, m, o in rs], schema)
-    path = str(tmp_path / "accepted")
-    write = quota_batch_writer(path, 3, ["g"])
-    write(mk(rows[:12]), 0)
-    write(mk(rows[12:]), 1)
-    write(mk(rows[12:]), 1)                                   # replay of batch 1: no change
-    got = sorted(r["id"] for r in spark.read.parquet(path).collect())
-    whole = apply_quota(mk(rows).withColumn("h", F.lit(False)), 3, ["g"]).filter("accepted")
-    assert got == sorted(r["id"] for r in whole.collect())
+    rows = []
+    for i in range(300):
+        ts = T0 + timedelta(minutes=rnd.randint(0, 60 * 24 * 12))
+        rows.append((i, ts, rnd.choice(["a", "b", None]), ts.strftime("%Y-%m-%d"), f"p{rnd.randint(0, 5)}", rnd.random() < 0.7))
+    rows.sort(key=lambda r: r[1])
+    batches = [rows[:100], rows[100:200], rows[200:]]
+    moved = batches[0][::9]                                     # late by one batch
+    batches[0] = [r for r in batches[0] if r not in moved]
+    batches[1] = batches[1] + moved + batches[0][:5]            # and some twice
+    stream, schema = _quota_stream(spark, tmp_path, batches)
+    hist = spark.createDataFrame([("a", "p0"), ("b", "p1")], "account string, media_id string")
+    got = stream_quota(stream, str(tmp_path / "t"), str(tmp_path / "ck"), 2, ["account", "date"], hist, delay_days=8)
+    from postscope.operators.quota import with_history
+    whole = apply_quota(with_history(spark.createDataFrame(rows, schema), hist), 2, ["account", "date"]).filter("accepted")
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in whole.collect())
+    assert stored(spark, str(tmp_path / "t" / "too_late"), stream.schema).count() == 0
+
+
+def test_quota_counts_rows_that_come_too_late(spark, tmp_path):
+    day = lambda n: ((T0 + timedelta(days=n)), (T0 + timedelta(days=n)).strftime("%Y-%m-%d"))
+    row = lambda i, n: (i, day(n)[0], "a", day(n)[1], f"p{i}", True)
+    stream, _ = _quota_stream(spark, tmp_path, [[row(1, 0), row(2, 5)], [row(3, 0), row(4, 6)]])
+    got = stream_quota(stream, str(tmp_path / "t"), str(tmp_path / "ck"), 9, ["account", "date"], delay_days=2)
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 4]
+    assert [r["id"] for r in stored(spark, str(tmp_path / "t" / "too_late"), stream.schema).collect()] == [3]
+
+
+def test_only_a_missing_table_is_empty(spark, tmp_path):
+    assert stored(spark, str(tmp_path / "none"), ACTIONS).count() == 0
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        stored(spark, str(bad), ACTIONS).count()
