@@ -55,6 +55,26 @@ def detect_language(text) -> Column:
     return pick
 
 
+def with_language(df: DataFrame, text: str, out: str = "lang") -> DataFrame:
+    """F10 as a column of the same scan: one regex pass finds all languages'
+    stop words, then each language counts its own among the hits."""
+    every = sorted({w for ws in STOP_WORDS.values() for w in ws})
+    hits = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_word_pattern(every)), 0)
+    scored = df.withColumn("_hits", hits)
+    scores = [F.size(F.filter("_hits", _in(STOP_WORDS[lang]))) for lang in LANG_ORDER]
+    scored = scored.select("*", *[s.alias(f"_score_{lang}") for lang, s in zip(LANG_ORDER, scores)])
+    cols = [F.col(f"_score_{lang}") for lang in LANG_ORDER]
+    best = F.greatest(*cols)
+    pick = F.when(best == 0, F.lit(DEFAULT_LANG))
+    for lang, s in zip(LANG_ORDER, cols):
+        pick = pick.when(s == best, F.lit(lang))
+    return scored.withColumn(out, pick).drop("_hits", *[f"_score_{lang}" for lang in LANG_ORDER])
+
+
+def _in(words):
+    return lambda x: x.isin(words)
+
+
 def language_route(lang) -> Column:
     """only Spanish is routed differently; everything else is ``en``."""
     return F.when(_c(lang) == "es", F.lit("es")).otherwise(F.lit("en"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import detect_language, language_route, relation
+from ..functions.language import language_route, relation, with_language
 from ..functions.text import excerpt, or_missing, post_link, ustrip
 from .substring_join import matches
 
@@ -87,7 +87,7 @@ def post_features(posts: DataFrame, authors: DataFrame, follows: DataFrame, shel
     ``reader`` is the viewer's shelf owner (default: the only shelf given).  The
     language is an expression of the same scan.
     """
-    d = with_following(with_author(posts.withColumn("lang", detect_language("caption")), authors), follows, viewer_id)
+    d = with_following(with_author(with_language(posts, "caption"), authors), follows, viewer_id)
     mine = shelf if reader is None else shelf.filter(F.col("user_id") == reader)
     books = title_match(posts.select("media_id", "caption"), mine).drop("user_id")
     return (d.join(books, "media_id", "left")
