@@ -44,6 +44,8 @@ def screening_run(params: DataFrame, posts: DataFrame, actions: DataFrame, verdi
     """
     lists = params.select("account", F.lit("hashtags").alias("list_name"),
                           F.posexplode("hashtags").alias("seq", "tag"))
+    # only the newest posts of a tag are walked: screen these, not all posts
+    posts = S.recent_per_tag(posts, per_tag).drop("rn")
     cands = S.candidates(lists, posts, per_tag)                      # J6 + W4, per account
     walk = cands.select("account", "seq", "search_tag", "media_id", "author_id", "rn")
 
