@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import BASE, pick
 from .token_ids import text_ids
 
 MAGIC = b"RPG1"
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
+SLOTS = 19              # bits of the pair table
 ROUNDS = 8              # passes over a shard at most
 RULES_PER_ROUND = 1 << 13
 MIN_COUNT = 8           # a pair is frequent if it occurs that often in its shard
@@ -43,49 +44,58 @@ MIN_GAIN = 0.01         # stop when a pass shortens the shard by less
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> bytes:
-    """Grammar of a shard; ``ends`` are the documents' ends in ids."""
+    """Grammar of a shard; ``ends`` are the documents' ends in ids.
+
+    Pairs are counted in a hash table of ``SLOTS`` bits; a slot's pair is the
+    first one found there, and others wait for a later pass.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     first_new = int(seq.max()) + 1 if len(seq) else 0
     left, right = np.empty(0, np.uint32), np.empty(0, np.uint32)
     length = np.ones(first_new, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = ~last[:-1]                       # a pair never spans two documents
-        order = np.sort(keys[inside])
-        if not len(order):
+    for turn in range(rounds):
+        at = np.flatnonzero(~last)                # a pair never spans two documents
+        if not len(at):
             break
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        count = np.diff(np.append(edge, len(order)))
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        slot = (((key ^ np.uint64(turn)) * np.uint64(BASE)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        count = np.bincount(slot, minlength=1 << SLOTS)
         often = np.flatnonzero(count >= min_count)
         if len(often) > RULES_PER_ROUND:
-            often = often[np.argsort(-count[often], kind="stable")[:RULES_PER_ROUND]]
-        if not len(often):
+            often = often[np.argpartition(-count[often], RULES_PER_ROUND)[:RULES_PER_ROUND]]
+        rule_of = np.full(1 << SLOTS, -1, np.int32)
+        rule_of[often] = np.arange(len(often))
+        rule = rule_of[slot]
+        hit = np.flatnonzero(rule >= 0)
+        rule, key, pos = rule[hit], key[hit], at[hit]
+        pair = np.empty(len(often), np.uint64)
+        pair[rule[::-1]] = key[::-1]
+        same = pair[rule] == key
+        rule, pos = rule[same], pos[same]
+        if not len(pos):
             break
-        pairs = np.sort(order[edge[often]])
-        at = np.searchsorted(pairs, keys)
-        at[at == len(pairs)] = 0
-        hit = (pairs[at] == keys) & inside
         # of overlapping pairs take every second, from the left
-        pos = np.flatnonzero(hit)
-        run = np.concatenate([[True], np.diff(pos) > 1])
-        pos = pos[(pos - pos[np.flatnonzero(run)][np.cumsum(run) - 1]) % 2 == 0]
-        used, rule = np.unique(at[pos], return_inverse=True)
+        run = np.ones(len(pos), bool)
+        run[1:] = np.diff(pos) > 1
+        place = np.arange(len(pos))
+        every = (place - place[run][np.cumsum(run) - 1]) % 2 == 0
+        rule, pos = rule[every], pos[every]
+        used = np.bincount(rule, minlength=len(often)) >= max(2, min_count // 2)
+        keep = used[rule]
+        rule, pos = rule[keep], pos[keep]
+        if len(pos) < MIN_GAIN * len(seq):
+            break
         new = first_new + len(left)
-        left = np.append(left, (pairs[used] >> np.uint64(32)).astype(np.uint32))
-        right = np.append(right, (pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left = np.append(left, (pair[used] >> np.uint64(32)).astype(np.uint32))
+        right = np.append(right, (pair[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         length = np.append(length, length[left[new - first_new:]] + length[right[new - first_new:]])
-        before = len(seq)
-        seq[pos] = (new + rule).astype(np.uint32)
+        seq[pos] = (new + np.cumsum(used) - 1).astype(np.uint32)[rule]
         last[pos] = last[pos + 1]
-        keep = np.ones(before, bool)
-        keep[pos + 1] = False
-        seq, last = seq[keep], last[keep]
-        if before - len(seq) < MIN_GAIN * before:
-            break
+        stay = np.ones(len(seq), bool)
+        stay[pos + 1] = False
+        seq, last = seq[stay], last[stay]
     parts = [left, right, length[first_new:], np.flatnonzero(last) + 1, seq]
     body = MAGIC + struct.pack("<4I", len(left), len(seq), len(ends), first_new) + b"".join(
         np.asarray(p, "<u4").tobytes() for p in parts)
