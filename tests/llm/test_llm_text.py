@@ -403,3 +403,51 @@ def test_licenses(spark):
     assert got[1] == [("gpl", 1)] and got[2] == [("apache,mit", 2)] and got[3] == [("cc-by-nc", 1)] and got[None] == [("mit", 1)]
     assert all(got[i][0][0] == "" for i in (4, 5, 6, 7, 9)) and len(got[9]) == 2
     assert licenses.license_families(frame(spark, rows).limit(0)).count() == 0
+
+
+# -- the registered queries against their SQL ---------------------------------
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from postscope.llm.oracle import SQL
+    from postscope.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for key, sql in SQL.items():
+        df = QUERIES[key](spark, sf)
+        cols = sorted(df.columns)
+        res = con.execute(f"SELECT {', '.join(cols)} FROM ({sql})")
+        assert sorted(map(repr, res.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*cols).collect()), key
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from postscope.llm.common import staged
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    odd = spark.createDataFrame([(9001, None, "en", "s", None), (9002, "123 456", None, None, 7), (9003, rows[0].text, "en", None, 1),
+                                 (9003, rows[0].text, "en", None, 1)], docs.schema)
+    docs = docs.union(odd)
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf), "pipeline-test")
+        assert docs.schema.names == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept.append({r.doc_id: r for r in docs.collect()})
+    lang, near, cut, clean = kept
+    assert {9001, 9002}.isdisjoint(lang) and set(lang) == set(rows) | {9003}
+    want = near_by_hand([(d, r.text) for d, r in lang.items()])
+    assert set(near) == {d for d, c, _ in want if d == c}
+    whole = {d: r for d, r in ((d, near[d]) for d in near)}
+    by_hand = {d: sha for d, _, _, _, sha in repeats_by_hand([(d, r.text) for d, r in whole.items()])}
+    assert set(cut) == set(near)
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == by_hand[d] for d, r in cut.items() if r.text == near[d].text)
+    assert all(r.n_chars == len(r.text) for r in cut.values() if r.text != near[r.doc_id].text)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    marked = {d for d, n, h, _ in contaminated_by_hand([(d, r.text) for d, r in cut.items()], items) if h and 20 * h >= n}
+    assert set(clean) == set(cut) - marked and marked
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(clean)
