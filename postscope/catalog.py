@@ -201,7 +201,10 @@ def q_admit_tags_cap5(spark, sf):
 @query("remove_tags")
 def q_remove_tags(spark, sf):
     from .operators import tags as T
-    lists = _tag_lists(spark, sf)
+    from .session import scratch_path
+    path = scratch_path(spark, "tag-lists")
+    _tag_lists(spark, sf).write.parquet(path)      # the stored lists that removals act on
+    lists = spark.read.parquet(path)
     removals = lists.filter(F.lower("tag").isin("tag3", "tag7")).select("account", "list_name", "tag")
     clears = lists.filter((F.col("account").cast("long") % 10 == 0) & (F.col("list_name") == "avoid"))
     return T.remove_tags(lists, removals, clears)

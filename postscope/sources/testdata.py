@@ -193,12 +193,14 @@ def shelf_pages(spark: SparkSession, sf_dir: str, per_page: int = 100) -> DataFr
 
 
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shelf crawl outcomes from ``lineitem``: user, page number, row count."""
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return li.select(F.col("l_orderkey").cast("string").alias("user_id"),
-                     F.row_number().over(w).cast("long").alias("page"),
-                     F.col("l_quantity").cast("int").alias("n_rows"))
+    """Shelf crawl outcomes from ``lineitem``: user, page number, row count.
+
+    The user key has its final type before the window, so that the window, the
+    crawl's aggregate and its join share one partitioning.
+    """
+    li = table(spark, sf_dir, "lineitem").withColumn("user_id", F.col("l_orderkey").cast("string"))
+    w = Window.partitionBy("user_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return li.select("user_id", F.row_number().over(w).cast("long").alias("page"), F.col("l_quantity").cast("int").alias("n_rows"))
 
 
 def run_params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
