@@ -48,5 +48,22 @@ SELECT vec_id, coalesce(n.n, 0)::bigint AS n_links, component_id, vec_id = compo
 FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
 """
 
-SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1, "op8_ngram_jaccard_join": OP8,
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 800)) AS k
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM d WHERE length(h) >= 800)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM w WHERE k IN (SELECT k FROM twice)),
+s AS (SELECT doc_id, p, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM r),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM s GROUP BY doc_id, span),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n FROM spans GROUP BY doc_id),
+j AS (SELECT d.doc_id, h, coalesce(a, []) AS a, coalesce(b, []) AS b, coalesce(n, 0) AS n FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, n::bigint AS n_removed, len(a)::bigint AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(0, len(a) + 1),
+         lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1,
+                          2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), ''))) AS kept_sha256
+FROM j
+"""
+
+SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_substring_dedup": OP9,
                        "op4_benchmark_decontamination": OP4}
