@@ -63,10 +63,9 @@ def stream_daily_counts(stream: DataFrame, path: str, checkpoint: str, delay_day
         T.StructField("id", T.LongType()), T.StructField("date", T.DateType()), T.StructField("action_type", T.StringType())
     ])).select("id", "date", "action_type").distinct()
     days = rows.groupBy("date", "action_type").agg(F.count(F.lit(1)).alias("count"))
-    latest = days.agg(F.max("date").alias("latest"))           # one row
-    return days.join(F.broadcast(latest)).select(
-        F.date_format("date", "yyyy-MM-dd").alias("date"), "action_type", "count",
-        (F.date_add("date", delay_days) < F.col("latest")).alias("closed"))
+    latest = rows.agg(F.max("date")).first()[0]
+    return days.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "action_type", "count",
+                       (F.date_add("date", delay_days) < F.lit(latest)).alias("closed"))
 
 
 # ---- T2 -------------------------------------------------------------------
