@@ -29,7 +29,7 @@ from .common import BASE, mix, pick, slices, utf8
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000               # rows of the regression at most (the driver holds their kept n-grams)
 BROADCAST_LABELS = 2_000_000   # labels (about 16 bytes each) sent to every executor at most
 MIN_Z = 3.5                    # least significance of a log-count ratio
 THRESHOLD = 0.3
@@ -98,20 +98,24 @@ def _lister(shared):
     return kept
 
 
-def _regress(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 300, l2: float = 1e-4):
-    """Logistic regression on presence * ratio; Adam on the full sample, deterministic."""
+def _regress(flat: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 300, l2: float = 1e-4):
+    """Logistic regression on presence * ratio; Adam on the full sample, deterministic.
+
+    ``flat``: the kept n-grams of all rows, ``size`` of them per row.
+    """
     used = np.flatnonzero(ratio)
-    place = np.full(len(ratio), -1, np.int64)
-    place[used] = np.arange(len(used))
-    cols = place[np.concatenate(rows)] if rows else np.empty(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    x = ratio[used][cols]
+    place = np.zeros(len(ratio), np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    cols = place[flat]
+    at = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    x = ratio[flat].astype(np.float32)
+    n = len(size)
     w, bias = np.zeros(len(used)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = bias + np.bincount(at, x * w[cols], len(rows))
+        z = bias + np.bincount(at, x * w.astype(np.float32)[cols], n)
         e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        g, gb = np.bincount(cols, x * e[at], len(used)) + l2 * w, e.sum()
+        g, gb = np.bincount(cols, x * e.astype(np.float32)[at], len(used)) + l2 * w, e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a = 0.05 * np.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
@@ -148,10 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     share = min(1.0, fit_rows / (n_ok + n_toxic))
     chosen = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
     shared = spark.sparkContext.broadcast(ratio != 0)
-    rows = d.filter(chosen).select("text", "y").mapInArrow(_lister(shared), "y int, buckets array<int>").toPandas()
-    if rows["y"].nunique() < 2:
+    rows = d.filter(chosen).select("text", "y").mapInArrow(_lister(shared), "y int, buckets array<int>").toArrow().combine_chunks()
+    y01 = rows.column("y").to_numpy().astype(float)
+    if len(np.unique(y01)) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), float(np.log(n_toxic / n_ok)))
-    weight, bias = _regress([np.asarray(r, np.int64) for r in rows["buckets"]], rows["y"].to_numpy(float), ratio)
+    lists = rows.column("buckets").combine_chunks()
+    weight, bias = _regress(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y01, ratio)
     return Model(weight, bias)
 
 
