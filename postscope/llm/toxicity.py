@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BASE, mix, pick, slices, utf8
+from .common import pick, slices, utf8
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
@@ -41,29 +41,47 @@ class Model:
     bias: float
 
 
+_STEP = np.uint32(0x9E3779B1)     # odd multiplier, a fixed value
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """Well mixed high bits of 32-bit hashes."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h >> np.uint32(32 - BUCKET_BITS)
+
+
 def _grams(text_data: np.ndarray, off: np.ndarray, used: np.ndarray | None):
     """(document, bucket) pairs, each once; ``used`` restricts the buckets."""
     text = text_data.tobytes()
     docs = [text[a:b].decode("utf-8", "replace").lower() for a, b in zip(off[:-1], off[1:])]
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     ends = np.cumsum(size)
-    chars = np.frombuffer("".join(docs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    doc = np.repeat(np.arange(len(docs)), size)
+    chars = np.frombuffer("".join(docs).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    # a slice holds few documents, so that most pairs fit 32 bits, which sort faster
+    kind = np.uint32 if len(docs) <= 1 << (32 - BUCKET_BITS) else np.uint64
+    doc = np.repeat(np.arange(len(docs), dtype=kind) << kind(BUCKET_BITS), size)
+    room = np.repeat(ends, size) - np.arange(len(chars))      # characters to the end of the document
     out = []
-    for n in GRAMS:
+    h = np.zeros(len(chars), np.uint32)
+    for n in range(1, GRAMS[-1] + 1):
         m = len(chars) - n + 1
         if m <= 0:
+            break
+        h = h[:m] * _STEP + chars[n - 1:]                     # the n-gram's hash from the one before
+        if n not in GRAMS:
             continue
-        h = np.full(m, n, np.uint64)
-        for j in range(n):
-            h = h * np.uint64(BASE) + chars[j:j + m]
-        b = (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        ok = np.arange(m) + n <= ends[doc[:m]]
+        b = _bucket(h)
+        ok = room[:m] >= n
         if used is not None:
             ok &= used[b]
-        out.append((doc[:m][ok] << BUCKET_BITS) | b[ok])
-    keys = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
-    return keys >> BUCKET_BITS, keys & ((1 << BUCKET_BITS) - 1)
+        at = np.flatnonzero(ok)
+        out.append(doc[at] | b[at])
+    keys = np.sort(np.concatenate(out)) if out else np.empty(0, kind)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys = keys[new]
+    return (keys >> kind(BUCKET_BITS)).astype(np.int64), (keys & kind((1 << BUCKET_BITS) - 1)).astype(np.int64)
 
 
 def _count(batches):
