@@ -32,6 +32,7 @@ BUCKET_BITS = 18
 FIT_ROWS = 8_000               # rows of the regression at most (the driver holds their kept n-grams)
 BROADCAST_LABELS = 2_000_000   # labels (about 16 bytes each) sent to every executor at most
 MIN_Z = 3.5                    # least significance of a log-count ratio
+FEATURES = 8_192               # most significant n-gram buckets that the regression uses
 THRESHOLD = 0.3
 
 
@@ -128,12 +129,22 @@ def _regress(flat: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarra
     at = np.repeat(np.arange(len(size), dtype=np.int32), size)
     x = ratio[flat].astype(np.float32)
     n = len(size)
+    # the same matrix by rows and by columns: products are sums of runs
+    full = np.flatnonzero(size)
+    starts = np.cumsum(np.append(0, size))[:-1][full]
+    turn = np.argsort(cols, kind="stable")
+    at_c, x_c = at[turn], x[turn]
+    have, starts_c = np.unique(cols[turn], return_index=True)
     w, bias = np.zeros(len(used)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = bias + np.bincount(at, x * w.astype(np.float32)[cols], n)
+        z = np.full(n, bias)
+        if len(x):
+            z[full] += np.add.reduceat(x * w.astype(np.float32)[cols], starts)
         e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        g, gb = np.bincount(cols, x * e.astype(np.float32)[at], len(used)) + l2 * w, e.sum()
+        g, gb = l2 * w, e.sum()
+        if len(x):
+            g[have] += np.add.reduceat(x_c * e.astype(np.float32)[at_c], starts_c)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a = 0.05 * np.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
@@ -166,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     p, q = (n[1] + 0.5) / (n_toxic + 1), (n[0] + 0.5) / (n_ok + 1)
     ratio = np.log(p / q)
     z = ratio / np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
-    ratio[(np.abs(z) < MIN_Z) | (n.sum(0) < 3)] = 0.0
+    z[(np.abs(z) < MIN_Z) | (n.sum(0) < 3)] = 0.0
+    z[np.argsort(-np.abs(z), kind="stable")[FEATURES:]] = 0.0
+    ratio[z == 0] = 0.0
     share = min(1.0, fit_rows / (n_ok + n_toxic))
     chosen = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
     shared = spark.sparkContext.broadcast(ratio != 0)
