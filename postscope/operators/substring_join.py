@@ -85,7 +85,7 @@ def _table(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
     """Bit table of the key grams per length; at most ``Q * 2**(bits - 6)`` words."""
     words = (keys.groupBy("n", F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")))
     out: dict[int, np.ndarray] = {}
-    for r in words.toLocalIterator():
+    for r in words.collect():
         t = out.setdefault(r["n"], np.zeros(1 << (bits - 6), np.uint64))
         t[r["w"]] = np.uint64(r["bits"] & (1 << 64) - 1)
     return out
