@@ -37,7 +37,7 @@ COORDS = 64
 FAN = 2
 DEPTH = 6
 LEAF = 48              # a node of at most so many classes is compared at once
-TILE = 256
+TILE = 128
 RECALL = 0.9999
 PROPOSE = 0.5          # least share of equal coordinates: six deviations below the threshold
 
@@ -168,6 +168,7 @@ def _judge(n: int, threshold: float):
                 sets += ngram_sets(Words(raw, np.array([0, len(raw)])), n)
             size = np.array([len(s) for s in sets])
             number, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            flat = flat.astype(np.int32)
             start = np.cumsum(np.append(0, size[:-1]))
             cid, weight = t.column("cid").to_numpy(), t.column("n_docs").to_numpy()
             links = np.zeros(rows, np.int64)
@@ -182,7 +183,7 @@ def _judge(n: int, threshold: float):
                 if not len(at):
                     continue
                 mark[flat[start[i]:start[i] + size[i]]] = True
-                both = np.add.reduceat(mark[flat].astype(np.int64), start)[at] if len(at) > 8 else \
+                both = np.add.reduceat(mark[flat].astype(np.int32), start)[at] if len(at) > 8 else \
                     np.array([mark[flat[start[k]:start[k] + size[k]]].sum() for k in at])
                 mark[flat[start[i]:start[i] + size[i]]] = False
                 at = at[both >= threshold * (size[at] + size[i] - both) - 1e-9]
@@ -243,7 +244,8 @@ def _links(classes: DataFrame, keyed: DataFrame, n: int, threshold: float) -> Da
     leaves = None
     for depth in range(DEPTH):
         kids = staged(todo.mapInArrow(_split, "node long, cid long, sig binary, above long"), "nodes")
-        size = kids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        # stored, so that both sides of the join arrive by a plain exchange that can be split where a node is hot
+        size = staged(kids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")
         sized = kids.join(size, "node")
         # a node that kept most of its parent holds near copies: splitting on does not help
         final = F.lit(True) if depth == DEPTH - 1 else (F.col("n") <= LEAF) | (F.col("n") * 2 > F.col("above"))
