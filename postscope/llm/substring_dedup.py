@@ -97,7 +97,8 @@ def _settle(named: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     if last:
         again = named.groupBy(*full).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
         return named.filter("edge").join(again, full, "left_semi").select("rid", "lo", "hi"), None
-    shared = named.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # stored, so that both sides of the join arrive by a plain exchange that can be split where a core is hot
+    shared = staged(named.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "shared-cores")
     kept = staged(named.join(shared, "core", "left_semi"), "shared-cells")
     classes = kept.groupBy(*full).agg(F.count("*").alias("n"), F.min(F.struct("rid", "a", "lo", "hi")).alias("one"),
                                       F.max("edge").alias("some_edge"))
