@@ -32,7 +32,7 @@ BUCKET_BITS = 18
 FIT_ROWS = 8_000               # rows of the regression at most (the driver holds their kept n-grams)
 BROADCAST_LABELS = 2_000_000   # labels (about 16 bytes each) sent to every executor at most
 MIN_Z = 3.5                    # least significance of a log-count ratio
-FEATURES = 8_192               # most significant n-gram buckets that the regression uses
+FEATURES = 2_048               # most significant n-gram buckets that the regression uses
 THRESHOLD = 0.3
 
 
