@@ -34,9 +34,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables written so far; call it when no plan reads them any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def pick(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Only the named inputs, under private names: other columns cannot clash."""
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(k) for k, c in columns.items()])

@@ -116,8 +116,8 @@ def _split(batches):
             at.append(row)
         order = pa.array(np.concatenate(at))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(kids).view(np.int64)), b.column(1).take(order), b.column(2).take(order), b.column(3).take(order)],
-            names=["node", "cid", "sig", "above"])
+            [pa.array(np.concatenate(kids).view(np.int64)), b.column(1).take(order), b.column(3).take(order)],
+            names=["node", "cid", "above"])
 
 
 def _propose(batches):
@@ -243,7 +243,7 @@ def _links(classes: DataFrame, keyed: DataFrame, n: int, threshold: float) -> Da
     todo = classes.select(seeds.alias("node"), "cid", "sig", F.lit(1 << 62).cast("long").alias("above"))
     leaves = None
     for depth in range(DEPTH):
-        kids = staged(todo.mapInArrow(_split, "node long, cid long, sig binary, above long"), "nodes")
+        kids = staged(todo.mapInArrow(_split, "node long, cid long, above long"), "nodes")
         # stored, so that both sides of the join arrive by a plain exchange that can be split where a node is hot
         size = staged(kids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")
         sized = kids.join(size, "node")
@@ -253,7 +253,8 @@ def _links(classes: DataFrame, keyed: DataFrame, n: int, threshold: float) -> Da
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth == DEPTH - 1:
             break
-        todo = staged(sized.filter(~final).select("node", "cid", "sig", F.col("n").alias("above")), "large-nodes")
+        todo = staged(sized.filter(~final).select("node", "cid", F.col("n").alias("above"))
+                      .join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig", "above"), "large-nodes")
         if todo.limit(1).count() == 0:
             break
     leaves = staged(leaves, "leaves")

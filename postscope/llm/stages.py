@@ -1,7 +1,8 @@
 """The pipeline's stages; each reads the operator's result and gives the rows it keeps.
 
 Operators return a document's id and a hash of its text; the rows themselves are
-found again by hashes of both.
+found again by hashes of both.  A stage's input is its predecessor's stored
+result, so each stage first removes the scratch tables of the stage before.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, language_id, packing, substring_dedup
-from .common import table
+from .common import release, table
 from .queries import BYTE_BPE, PIECES
 
 # a language is unknown below this posterior
@@ -36,12 +37,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: one document of each class stays (of repeated rows, one row)."""
+    release(spark)
     kept = _keys(jaccard_join.near_duplicates(docs).filter("kept"))
     return _keyed(docs).join(kept.hint("merge"), _KEY).dropDuplicates(_KEY).select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix search: repeated passages leave the texts; every document stays."""
+    release(spark)
     cut = _keys(substring_dedup.repeated_passages(docs).filter("kept_text is not null"), "kept_text")
     text = F.coalesce("kept_text", "text")
     new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text))
@@ -52,6 +55,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents that the contamination rule marks go."""
+    release(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = _keys(found.filter(decontaminate.is_contaminated()))
     return _keyed(docs).join(gone, _KEY, "left_anti").select(docs.columns)
@@ -59,4 +63,5 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: the pieces of all documents and their places."""
+    release(spark)
     return packing.packed(docs, BYTE_BPE, end_id=2)

@@ -425,7 +425,6 @@ def test_queries_equal_their_sql(spark):
 
 def test_pipeline(spark):
     import corpus_pipeline
-    from postscope.llm.common import staged
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
@@ -434,7 +433,9 @@ def test_pipeline(spark):
     docs = docs.union(odd)
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf), "pipeline-test")
+        path = scratch_path(spark, "pipeline-test")
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
         assert docs.schema.names == ["doc_id", "text", "lang", "source", "n_chars"]
         kept.append({r.doc_id: r for r in docs.collect()})
     lang, near, cut, clean = kept
