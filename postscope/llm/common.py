@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 # odd multiplier of the polynomial hashes (2^64 / golden ratio), a fixed value
 BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64 finaliser, fixed values
