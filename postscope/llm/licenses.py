@@ -1,17 +1,25 @@
-"""Licence notices: a trained paragraph classifier, confirmed by templates.
+"""Licence notices: a trained notice classifier, confirmed by templates.
 
-Training paragraphs are variants of fixed notice templates (words left out by a
+Training notices are variants of fixed notice templates (words left out by a
 hash) and of sentences that only mention licences.  Features are word unigrams
 and bigrams; a softmax regression over the licence families and ``other`` starts
 from naive Bayes log ratios and takes full-batch gradient steps, all as
 DataFrame joins and grouped sums.  Half of the variants calibrate the unknown
 class: a prediction below the ``CALIBRATE`` quantile of the right family's
-probability on them is ``unknown``.  A prediction also has to share enough words
-with a template of its family, else it is ``unknown`` too.
+probability on them is no notice of that family.
 
-Documents are cut into paragraphs (lines; long lines into overlapping windows
-of ``WINDOW`` words).  A paragraph without any trigger word is no notice; every
-template holds one.  DataFrame operations only.
+Documents are cut into paragraphs at blank lines, so wrapped lines are joined.
+A notice holds ``MIN_SHARED`` of the distinct words of a template.  Every template
+has anchors, so many of its words that a notice cannot miss them all
+(``_anchors``); words around anchors are kept, and leaving the others out loses
+no notice.  Equal kept passages are judged once.  At every anchor each template
+that holds it is laid over the passage: windows of the template's own size (a
+quarter longer) and of ``WINDOW`` words.  A window is a notice if it shares enough
+words with the template and the classifier gives the template's family.  Of
+overlapping ones the best is kept.  A passage that looks like a notice (a
+``TRIGGERS`` word, or two neighbouring content words of a template) away from the
+kept ones, and that the classifier does not call ``other``, is ``unknown``.
+DataFrame operations only.
 
 Defined cases: null or empty texts have no notice; repeated rows are separate
 rows; an empty table gives no rows.
@@ -19,6 +27,9 @@ rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,6 +60,15 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("proprietary", "Copyright by the author. All rights reserved. No part may be reproduced without a written license."),
+    ("agpl", "Released under the GNU AGPL v3."),
+    ("apache", "Released under the Apache 2.0 License."),
+    ("cc0", "This work is in the public domain."),
+    ("cc0", "Dedicated to the public domain."),
+    ("cc0", "This work is released under CC0 1.0."),
+    ("gpl", "Released under the GNU GPL v3."),
+    ("lgpl", "Released under the GNU LGPL v3."),
+    ("mpl", "Released under the MPL 2.0."),
+    ("proprietary", "All rights reserved."),
     ("other", "A driving license is required for this work."),
     ("other", "The license fee is due at the end of the month."),
     ("other", "She was licensed to practise medicine in the state."),
@@ -57,13 +77,20 @@ TEMPLATES = [
     ("other", "The court said that copyright does not protect ideas."),
     ("other", "He took poetic license with the story of the city."),
     ("other", "The bar lost its license to sell wine in public."),
+    ("other", "All rights of the people are the same in this land."),
+    ("other", "The museum is open to the general public on every day."),
+    ("other", "A table was reserved for the work in the public house."),
+    ("other", "The new film was released in the city and is in the cinema."),
 ]
-# fixed values: every notice template holds one of them
+# fixed values: a passage with one of them looks like a notice
 TRIGGERS = ["licen", "copyright"]
+# fixed values: words too common to search for, unless a template has too few others
+COMMON = set("a all an and any are as at be by can for from has in is it may no not of on or that the this to under with you".split())
 VARIANTS = 8
 STEPS = 12
 RATE = 0.4
 WINDOW = 60
+NEAR = 12              # words on each side of a notice-like word
 CALIBRATE = 0.05
 MIN_SHARED = 0.6       # of a template's words that a confirmed notice holds
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -129,63 +156,124 @@ def fit(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, steps
     return Model(w, float(least))
 
 
-def _hit(text: Column) -> Column:
-    out = F.lit(False)
-    for t in TRIGGERS:
-        out = out | F.contains(F.lower(text), F.lit(t))
-    return out
+def _plain(text: str) -> list[str]:
+    return re.findall(_WORD, text.lower())
 
 
-def _trigger_lines() -> Column:
-    """The text's lines that hold a trigger word (null: none)."""
-    lines = F.filter(F.split("text", "\n"), _hit)
-    return F.when(_hit(F.col("text")), F.array_join(lines, "\n"))
+def _anchors(notice: str) -> tuple[int, set[str]]:
+    """Distinct words a notice must share with the template, and words of which it then holds one.
 
+    It misses at most ``k - need`` of the ``k`` words, so ``k - need + 1`` of them are enough.
+    """
+    distinct = list(dict.fromkeys(_plain(notice)))
+    need = math.ceil(MIN_SHARED * len(distinct) - 1e-9)
+    content = [w for w in distinct if w not in COMMON]
+    more = sorted((w for w in distinct if w in COMMON), key=len, reverse=True)
+    return need, set(content + more[:max(0, len(distinct) - need + 1 - len(content))])
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(rid, line, part, words) of every paragraph that holds a trigger word; ``docs`` has (rid, text)."""
-    lines = (docs.select("rid", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-             .filter(_hit(F.col("body"))).withColumn("all", _words(F.col("body"))))
-    half = WINDOW // 2
-    cut = lines.select("rid", "line", F.posexplode(F.expr(
-        f"if(size(all) <= {WINDOW}, array(all), transform(sequence(0, size(all) - {half} - 1, {half}), i -> slice(all, i + 1, {WINDOW})))"
-    )).alias("part", "words"))
-    holds = " or ".join(f"contains(w, '{t}')" for t in TRIGGERS)
-    return cut.filter(F.expr(f"exists(words, w -> {holds})"))
+
+def _notices(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    return [(f, t) for f, t in templates if f != "other"]
+
+
+def _reach(templates: list[tuple[str, str]]) -> int:
+    """Words on each side of an anchor that a window of it can hold."""
+    return max([WINDOW, *(len(_plain(t)) for _, t in _notices(templates))]) + 3
+
+
+def _listing(words: Iterable[str]) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+def paragraphs(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """``docs`` (rid, text, ...) by paragraph: ``par`` (null for a null text) and its ``passages`` (at, words) around anchors."""
+    lone = _listing(set().union(*[_anchors(t)[1] for _, t in _notices(templates)]))
+    like = " or ".join(f"contains(w, '{t}')" for t in TRIGGERS)
+    reach = _reach(templates)
+    cut = docs.select(*[c for c in docs.columns if c != "text"], F.posexplode_outer(F.split("text", r"\n\s*\n")).alias("par", "body"))
+    words = cut.withColumn("all", _words(F.col("body"))).drop("body")
+    spots = words.withColumn("spots", F.expr(
+        f"filter(transform(all, (w, i) -> if(w in ({lone}) or (length(w) > 4 and ({like})), i, -1)), i -> i >= 0)"))
+    # runs of anchors: a longer gap than two reaches ends a passage
+    edges = spots.withColumn("runs", F.expr(
+        f"arrays_zip(filter(spots, (s, j) -> j = 0 or s - get(spots, j - 1) > {2 * reach}), "
+        f"filter(spots, (s, j) -> j = size(spots) - 1 or get(spots, j + 1) - s > {2 * reach}))"))
+    return edges.withColumn("passages", F.expr(
+        f"transform(runs, r -> named_struct('at', greatest(r['0'] - {reach}, 0), 'words', "
+        f"slice(all, greatest(r['0'] - {reach}, 0) + 1, r['1'] - greatest(r['0'] - {reach}, 0) + {reach} + 1)))")).drop("all", "spots", "runs")
+
+
+def _windows(same: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(wid, kind, family, shared, low, high, words): windows to be judged of passages (wid, words).
+
+    ``kind`` 0: of a template's size, 1: of ``WINDOW`` words, 2: around notice-like words;
+    ``low``/``high``: the place the template itself would take, in wide windows up to its last anchor.
+    """
+    spark = same.sparkSession
+    rows, pairs = [], set()
+    for k, (f, t) in enumerate(_notices(templates)):
+        all_words, (need, anchors) = _plain(t), _anchors(t)
+        rows += [(w, f, k, q, len(all_words), need, sorted(set(all_words)), sorted(anchors)) for q, w in enumerate(all_words) if w in anchors]
+        pairs |= {f"{a} {b}" for a, b in zip(all_words, all_words[1:]) if a not in COMMON and b not in COMMON}
+    made = ", ".join("('{}', '{}', {}, {}, {}, {}, array({}), array({}))".format(*r[:6], _listing(r[6]), _listing(r[7])) for r in rows)
+    known = spark.sql(f"SELECT * FROM VALUES {made} AS v(w, family, t, q, n, need, notice, lone)")
+    placed = same.select("wid", "words", F.posexplode("words").alias("i", "w"))
+    laid = (placed.join(F.broadcast(known), "w")     # the fixed templates
+            .withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1))))
+            .withColumn("from", F.greatest(F.col("i") - F.col("q") - 1, F.lit(0)))
+            .withColumn("long", F.expr(f"if(kind = 0, n + 2 + n div 4, greatest({WINDOW}, n))").cast("int"))
+            .withColumn("win", F.expr("slice(words, from + 1, long)"))
+            .withColumn("n_shared", F.size(F.array_intersect("win", "notice"))).filter("n_shared >= need")
+            .select("wid", "kind", "family", (F.col("n_shared") / F.size("notice")).alias("shared"), (F.col("i") - F.col("q")).alias("low"),
+                    F.expr("if(kind = 0, i - q + n - 1, from + array_max(transform(win, (x, j) -> if(array_contains(lone, x), j, 0))))").alias("high"),
+                    F.col("win").alias("words")))
+    like = " or ".join(f"contains(w, '{t}')" for t in TRIGGERS)
+    hint = placed.filter(F.expr(f"{like} or concat(w, ' ', get(words, i + 1)) in ({_listing(pairs)})")).select(
+        "wid", F.lit(2).alias("kind"), F.lit("unknown").alias("family"), F.lit(0.0).alias("shared"), F.expr(f"i - {NEAR}").alias("low"),
+        F.expr(f"i + {NEAR}").alias("high"), F.expr(f"slice(words, greatest(i - {NEAR}, 0) + 1, i + {NEAR} + 1 - greatest(i - {NEAR}, 0))").alias("words"))
+    return laid.unionByName(hint).distinct()
+
+
+def _judged(windows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``windows`` plus the classifier's ``guess`` and its ``p`` (none without a known feature)."""
+    seen = staged(windows.withColumn("h", F.xxhash64("words")), "windows")
+    texts = seen.select("h", "words").distinct().withColumn("nid", F.monotonically_increasing_id())
+    texts = staged(texts, "window-texts")
+    best = _probabilities(_listed(texts, "nid"), weights, "nid").groupBy("nid").agg(F.max_by("family", "p").alias("guess"), F.max("p").alias("p"))
+    return seen.join(texts.join(best, "nid").select("h", "words", "guess", "p"), ["h", "words"]).drop("h", "words")
+
+
+# a found notice of the same family must not touch, one of another not cover half of the shorter
+_FREE = ("not exists(a, k -> least(k.high, x.high) >= greatest(k.low, x.low) and (x.kind = 2 or k.family = x.family "
+         "or 2 * (least(k.high, x.high) - greatest(k.low, x.low) + 1) > least(k.high - k.low, x.high - x.low) + 1))")
 
 
 def scan(found: DataFrame, model: Model, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``found`` (stored paragraphs) plus ``family`` (may be ``unknown``), ``p`` and ``shared``."""
-    # equal paragraphs are judged once, however many documents hold them
-    same = staged(found.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "distinct-paragraphs")
-    p = _probabilities(_listed(same, "wid"), model.weights, "wid")
-    best = p.groupBy("wid").agg(F.max_by("family", "p").alias("guess"), F.max("p").alias("p"))
-    rows = ", ".join("('{}', '{}')".format(f, t.replace("'", "''")) for f, t in templates if f != "other")
-    known = found.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS v(guess, notice)").withColumn("t", _words(F.col("notice")))
-    shared = (same.join(best, "wid").join(F.broadcast(known), "guess")      # the fixed templates of one family
-              .groupBy("wid").agg(F.max(F.size(F.array_intersect("words", "t")) / F.size(F.array_distinct("t"))).alias("shared")))
-    family = (F.when(F.col("guess") == "other", "other")
-              .when((F.col("p") >= model.least) & (F.coalesce("shared", F.lit(0.0)) >= MIN_SHARED), F.col("guess"))
-              .otherwise("unknown"))
-    judged = same.join(best, "wid", "left").join(shared, "wid", "left").select(
-        "words", F.coalesce(family, F.lit("unknown")).alias("family"), F.coalesce("p", F.lit(0.0)).alias("p"),
-        F.coalesce("shared", F.lit(0.0)).alias("shared"))
-    return found.join(judged, "words").select("rid", "line", "part", "family", "p", "shared").filter("family <> 'other'")
+    """(rid, par, at, family, p, shared), a row per notice in ``found`` (stored passages); ``family`` may be ``unknown``."""
+    # equal passages are judged once, however many documents hold them
+    same = staged(found.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "distinct-passages")
+    judged = _judged(_windows(same, templates), model.weights)
+    right = judged.filter((F.col("guess") != "other") & ((F.col("kind") == 2) | ((F.col("guess") == F.col("family")) & (F.col("p") >= model.least))))
+    # the best first; then those that are free of better ones
+    order = F.array_sort(F.collect_list(F.struct("kind", (-F.col("shared")).alias("s"), (-F.col("p")).alias("q"), "low", "high", "family")))
+    kept = right.groupBy("wid").agg(order.alias("o")).select("wid", F.explode(F.expr(
+        f"aggregate(slice(o, 2, size(o)), slice(o, 1, 1), (a, x) -> if({_FREE}, concat(a, array(x)), a))")).alias("x"))
+    notices = staged(kept.join(same, "wid").select("words", "x.family", (-F.col("x.q")).alias("p"), (-F.col("x.s")).alias("shared")), "passage-notices")
+    return found.join(notices, "words").select("rid", "par", "at", "family", "p", "shared")
 
 
 def license_families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: sorted families, notices found, notices of no known family."""
+    """One row per document: sorted families, notices found, passages with notices of no known family."""
     d = pick(docs, doc_id=doc_id, text=text).withColumn("rid", F.monotonically_increasing_id())
-    # one pass: every document's id, and the paragraphs of those that hold a trigger word
-    rows = staged(d.select("rid", "doc_id", _trigger_lines().alias("kept")), "license-rows")
-    found = staged(paragraphs(rows.filter("kept is not null").select("rid", F.col("kept").alias("text"))), "paragraphs")
+    # one pass: every document's id, and the passages of its paragraphs
+    rows = staged(paragraphs(d), "license-rows")
+    found = rows.select("rid", "par", F.explode("passages").alias("x")).select("rid", "par", "x.at", "x.words")
     notices = scan(found, fit(docs.sparkSession))
-    # overlapping windows of one line count once per family
-    once = notices.select("rid", "line", "family").distinct()
-    per = once.groupBy("rid").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("family") != "unknown", F.col("family"))))).alias("families"),
-        F.count_if(F.col("family") != "unknown").alias("n_notices"), F.count_if(F.col("family") == "unknown").alias("n_unknown"))
+    known = F.col("family") != "unknown"
+    per = notices.groupBy("rid").agg(
+        F.concat_ws(",", F.array_sort(F.collect_set(F.when(known, F.col("family"))))).alias("families"),
+        F.count_if(known).alias("n_notices"), F.count_distinct(F.when(~known, F.struct("par", "at"))).alias("n_unknown"))
     none = F.lit(0).cast("long")
-    return rows.drop("kept").join(per, "rid", "left").select(
+    return rows.filter("par is null or par = 0").select("rid", "doc_id").join(per, "rid", "left").select(
         "doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", none).alias("n_notices"),
         F.coalesce("n_unknown", none).alias("n_unknown"))

@@ -405,6 +405,26 @@ def test_licenses(spark):
     assert licenses.license_families(frame(spark, rows).limit(0)).count() == 0
 
 
+def families_of(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.families, r.n_notices, r.n_unknown) for r in licenses.license_families(frame(spark, rows)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_licenses_without_trigger_words_and_wrapped(spark):
+    rng = random.Random(11)
+    pad = sentence(rng, 30)
+    got = families_of(spark, [
+        pad + "\nAll rights reserved.", "All rights reserved.", "This work is in the public domain.\n\n" + pad, "Released under the GNU GPL v3.",
+        pad + "\n# This work is licensed under the GNU\n# General Public\n# License, version 3.\n" + pad,
+        "Use is subject to the Zorblax license of 1997 by Foo.", "All the people of the city have the same rights.\n" + pad,
+        "You can\nredistribute it under the terms of the GNU Affero General\nPublic License.",
+        "und die mit der einheit ist so und des die\nReleased under the MIT License."])
+    assert got[0] == got[1] == ("proprietary", 1, 0) and got[2] == ("cc0", 1, 0) and got[3] == ("gpl", 1, 0) and got[4] == ("gpl", 1, 0)
+    assert got[5] == ("", 0, 1) and got[6] == ("", 0, 0) and got[7] == ("agpl", 1, 0)
+    assert got[8] == ("mit", 1, 0)
+
+
 # -- the registered queries against their SQL ---------------------------------
 
 def test_queries_equal_their_sql(spark):
