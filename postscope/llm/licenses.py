@@ -5,8 +5,10 @@ hash) and of sentences that only mention licences.  Features are word unigrams
 and bigrams; a softmax regression over the licence families and ``other`` starts
 from naive Bayes log ratios and takes full-batch gradient steps, all as
 DataFrame joins and grouped sums.  Half of the variants calibrate the unknown
-class: a prediction below the ``CALIBRATE`` quantile of the right family's
-probability on them is no notice of that family.
+class: set into ``PROSE`` and searched as documents are, they give the bound, the
+``CALIBRATE`` quantile of the right family's probability; a prediction below it is
+no notice of that family.  Sums are scaled by the number of features the model
+knows, so words around a notice change nothing.
 
 Documents are cut into paragraphs at blank lines, so wrapped lines are joined.
 A notice holds ``MIN_SHARED`` of the distinct words of a template.  Every template
@@ -86,6 +88,10 @@ TEMPLATES = [
 TRIGGERS = ["licen", "copyright"]
 # fixed values: words too common to search for, unless a template has too few others
 COMMON = set("a all an and any are as at be by can for from has in is it may no not of on or that the this to under with you".split())
+# fixed value: calibration notices stand between two copies of it, each as long as a window
+PROSE = ("in the morning the river was still and the old boat lay by the wall where the children used to sit and talk about "
+         "the summer and the long road to the hills and when the rain came they went home to eat bread and listen to stories "
+         "of the sea that their mother told them in the kitchen before the lamp was put out")
 VARIANTS = 8
 STEPS = 12
 RATE = 0.4
@@ -107,14 +113,14 @@ def _features(w: str) -> Column:
 
 
 def _listed(df: DataFrame, key: str) -> DataFrame:
-    """(key, f, v): one row per feature, scaled by the number of features."""
+    """(key, f, v): one row per feature; v is its scale if the model knows all of them, as in training."""
     return (df.withColumn("fs", _features("words")).filter("size(fs) > 0")
             .select(key, F.explode("fs").alias("f"), (1 / F.sqrt(F.size("fs"))).alias("v")))
 
 
 def _probabilities(x: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """(key, family, p): softmax over the families of summed weights."""
-    z = x.join(weights, "f").groupBy(key, "family").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
+    """(key, family, p): softmax over the families of weights summed and scaled by the features the model knows."""
+    z = x.join(weights, "f").groupBy(key, "family").agg((F.sum("w") / F.sqrt(F.count("*"))).alias("z"))
     top = Window.partitionBy(key)
     e = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(top)))
     return e.select(key, "family", (F.col("e") / F.sum("e").over(top)).alias("p"))
@@ -151,8 +157,11 @@ def fit(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, steps
         w = w.join(slope, ["f", "family"]).select("f", "family", (F.col("w") * 0.999 - RATE * F.col("g")).alias("w"))
         if k % 3 == 2 or k == steps - 1:
             w = staged(w, "weights")
-    right = _probabilities(_listed(held, "pid"), w, "pid").join(held.select("pid", "family"), ["pid", "family"])
-    least = right.filter("family <> 'other'").agg(F.percentile("p", F.lit(CALIBRATE))).first()[0]
+    around = F.split(F.lit(PROSE), " ")
+    notes = held.filter("family <> 'other'")
+    windows = _windows(notes.select(F.col("pid").alias("wid"), F.concat(around, "words", around).alias("words")), templates)
+    right = _judged(windows, w).filter("guess = family").groupBy("wid").agg(F.max("p").alias("p"))
+    least = right.agg(F.percentile("p", F.lit(CALIBRATE))).first()[0]
     return Model(w, float(least))
 
 

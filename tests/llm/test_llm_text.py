@@ -425,6 +425,28 @@ def test_licenses_without_trigger_words_and_wrapped(spark):
     assert got[8] == ("mit", 1, 0)
 
 
+def test_licenses_inside_long_lines(spark):
+    rng = random.Random(12)
+
+    def inside(notice):
+        return sentence(rng, 500) + " " + notice + " " + sentence(rng, 500)
+
+    prose = licenses.PROSE
+    got = families_of(spark, [
+        inside("released under the MIT License."), inside("Licensed under CC BY-NC 4.0."), inside("Licensed under the Apache License, Version 2.0."),
+        f"{prose} released under the MIT License. {prose}", f"{prose} Licensed under CC BY-NC 4.0. {prose}",
+        f"{prose} Licensed under the Apache License, Version 2.0. {prose}", f"{prose} {prose}"])
+    assert got == [("mit", 1, 0), ("cc-by-nc", 1, 0), ("apache", 1, 0)] * 2 + [("", 0, 0)]
+    model = licenses.fit(spark)
+    family = {"wid": 0, "kind": 1, "family": "mit", "shared": 1.0, "low": 0, "high": 0}
+    alone = "released under the mit license".split()
+    pad = [f"zq{i}" for i in range(55)]
+    rows = [tuple(family.values()) + (w,) for w in (alone, pad + alone)]
+    windows = spark.createDataFrame(rows, "wid int, kind int, family string, shared double, low int, high int, words array<string>")
+    p = [r.p for r in licenses._judged(windows, model.weights).collect()]
+    assert len(p) == 2 and abs(p[0] - p[1]) < 1e-9 and min(p) >= model.least
+
+
 # -- the registered queries against their SQL ---------------------------------
 
 def test_queries_equal_their_sql(spark):
