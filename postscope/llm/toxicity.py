@@ -5,9 +5,12 @@ per class over all labelled training rows give each n-gram's smoothed log-count
 ratio; n-grams whose ratio is not significant are left out, and a logistic
 regression is trained on presence times ratio.  Scores read whole texts.
 
-The counts cover every labelled training row.  Only the regression's weights are
-fitted on a sample, of about ``fit_rows`` rows chosen by a hash of the id, and
-reach the driver as short lists of kept n-grams.
+The counts cover every labelled training row, and every significant bucket is a
+feature.  Only the regression's weights are fitted on a sample, of about
+``fit_rows`` rows chosen by a hash of the id, which reach the driver as lists of
+kept n-grams.  The rarer class has a quarter of the sample at least (all its rows
+if there are fewer); rows count by the inverse of their class's share.  Should the
+sample still hold one class only, the log-count ratios are the weights.
 
 Defined cases: null or empty texts have no n-gram and score as the intercept; a
 document labelled twice counts as toxic if one label says so; null labels are
@@ -32,7 +35,6 @@ BUCKET_BITS = 18
 FIT_ROWS = 8_000               # rows of the regression at most (the driver holds their kept n-grams)
 BROADCAST_LABELS = 2_000_000   # labels (about 16 bytes each) sent to every executor at most
 MIN_Z = 3.5                    # least significance of a log-count ratio
-FEATURES = 2_048               # most significant n-gram buckets that the regression uses
 THRESHOLD = 0.3
 
 
@@ -117,34 +119,36 @@ def _lister(shared):
     return kept
 
 
-def _regress(flat: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 300, l2: float = 1e-4):
+def _regress(flat: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarray, part: np.ndarray, steps: int = 300, l2: float = 1e-4):
     """Logistic regression on presence * ratio; Adam on the full sample, deterministic.
 
-    ``flat``: the kept n-grams of all rows, ``size`` of them per row.
+    ``flat``: the kept n-grams of all rows, ``size`` of them per row; ``part``: the rows' weights, 1 in all.
     """
     used = np.flatnonzero(ratio)
     place = np.zeros(len(ratio), np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     cols = place[flat]
-    at = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    x = ratio[flat].astype(np.float32)
     n = len(size)
     # the same matrix by rows and by columns: products are sums of runs
     full = np.flatnonzero(size)
     starts = np.cumsum(np.append(0, size))[:-1][full]
     turn = np.argsort(cols, kind="stable")
-    at_c, x_c = at[turn], x[turn]
-    have, starts_c = np.unique(cols[turn], return_index=True)
-    w, bias = np.zeros(len(used)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    at_c = np.repeat(np.arange(n, dtype=np.int32), size)[turn]
+    have, starts_c = np.unique(cols, return_counts=True)
+    starts_c = np.cumsum(np.append(0, starts_c))[:-1]
+    del turn
+    scale = ratio[used]
+    rate = float(part @ y)
+    w, bias = np.zeros(len(used)), float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.full(n, bias)
-        if len(x):
-            z[full] += np.add.reduceat(x * w.astype(np.float32)[cols], starts)
-        e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
+        if len(cols):
+            z[full] += np.add.reduceat((w * scale).astype(np.float32)[cols], starts)
+        e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * part
         g, gb = l2 * w, e.sum()
-        if len(x):
-            g[have] += np.add.reduceat(x_c * e.astype(np.float32)[at_c], starts_c)
+        if len(cols):
+            g[have] += np.add.reduceat(e.astype(np.float32)[at_c], starts_c) * scale[have]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a = 0.05 * np.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
@@ -178,17 +182,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id
     ratio = np.log(p / q)
     z = ratio / np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
     z[(np.abs(z) < MIN_Z) | (n.sum(0) < 3)] = 0.0
-    z[np.argsort(-np.abs(z), kind="stable")[FEATURES:]] = 0.0
     ratio[z == 0] = 0.0
-    share = min(1.0, fit_rows / (n_ok + n_toxic))
-    chosen = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
+    rare = min(n_ok, n_toxic)
+    rare_rows = max(fit_rows * rare / (n_ok + n_toxic), min(rare, fit_rows / 4))
+    share = [min(1.0, (rare_rows if c == rare else fit_rows - rare_rows) / c) for c in (n_ok, n_toxic)]
+    most = [int(s * (1 << 40)) for s in share]
+    chosen = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)) < F.when(F.col("y") == 1, most[1]).otherwise(most[0])
     shared = spark.sparkContext.broadcast(ratio != 0)
     rows = d.filter(chosen).select("text", "y").mapInArrow(_lister(shared), "y int, buckets array<int>").toArrow().combine_chunks()
     y01 = rows.column("y").to_numpy().astype(float)
-    if len(np.unique(y01)) < 2:
-        return Model(np.zeros(1 << BUCKET_BITS), float(np.log(n_toxic / n_ok)))
+    sampled = np.bincount(y01.astype(int), minlength=2)
+    if not sampled.all():
+        return Model(ratio, float(np.log(n_toxic / n_ok)))
+    part = (np.array([n_ok, n_toxic]) / (n_ok + n_toxic) / sampled)[y01.astype(int)]
     lists = rows.column("buckets").combine_chunks()
-    weight, bias = _regress(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y01, ratio)
+    weight, bias = _regress(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y01, ratio, part)
     return Model(weight, bias)
 
 

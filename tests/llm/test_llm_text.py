@@ -387,6 +387,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), m, {"doc_id": F.col("doc_id")}).count() == 0
 
 
+def test_toxicity_all_features_and_a_rare_class(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(19)
+    long = sentence(rng, 600)
+    rows = [(i, sentence(rng, 30) + (" scumbag " + long if i % 100 == 7 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 7)) for i, _ in rows], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    m = toxicity.fit(docs, labels, F.lit(True), fit_rows=16)
+    assert (m.weight != 0).sum() > 2_048
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m, {"doc_id": F.col("doc_id")}).collect()}
+    assert min(got[i] for i in got if i % 100 == 7) > max(got[i] for i in got if i % 100 != 7)
+
+
 # -- licences ----------------------------------------------------------------
 
 def test_licenses(spark):
