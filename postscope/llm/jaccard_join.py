@@ -43,11 +43,22 @@ PROPOSE = 0.5          # least share of equal coordinates: six deviations below
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, fan: int = FAN, depth: int = DEPTH) -> int:
-    """Runs so that a pair at the threshold shares a final node with the wanted probability."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - (1 - threshold * q) ** fan
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+    """Runs so that a pair at the threshold shares a final node with the wanted probability.
+
+    All runs draw from the same coordinates, so the miss is averaged over how many of them agree.
+    """
+    miss, weight = [], []
+    for a in range(COORDS + 1):
+        q = 1.0
+        for _ in range(depth):
+            q = 1 - (1 - a / COORDS * q) ** fan
+        miss.append(1 - q if a >= PROPOSE * COORDS else 1.0)
+        weight.append(math.comb(COORDS, a) * threshold ** a * (1 - threshold) ** (COORDS - a))
+    runs = 1
+    # agreement below PROPOSE is lost in any number of runs
+    while runs < COORDS and sum(w * m ** runs for w, m in zip(weight, miss)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def ngram_sets(w: Words, n: int = NGRAM) -> list[np.ndarray]:
@@ -241,8 +252,10 @@ def _links(classes: DataFrame, keyed: DataFrame, n: int, threshold: float) -> Da
     """(cid, links, tie): direct links per class and tile, and the class it is tied to."""
     seeds = F.explode(F.array(*[F.lit(int(x)) for x in mix(np.arange(1, runs_for(threshold=threshold) + 1, dtype=np.uint64)).view(np.int64)]))
     todo = classes.select(seeds.alias("node"), "cid", "sig", F.lit(1 << 62).cast("long").alias("above"))
-    leaves = None
-    for depth in range(DEPTH):
+    few = classes.limit(LEAF + 1).count()
+    # so few classes are compared at once, without a split
+    leaves = classes.select(F.lit(0).cast("long").alias("leaf"), "cid", F.lit(few).cast("long").alias("n")) if few <= LEAF else None
+    for depth in range(DEPTH if few > LEAF else 0):
         kids = staged(todo.mapInArrow(_split, "node long, cid long, above long"), "nodes")
         # stored, so that both sides of the join arrive by a plain exchange that can be split where a node is hot
         size = staged(kids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")

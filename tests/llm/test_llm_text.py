@@ -146,6 +146,26 @@ def test_near_duplicates_large_group_and_chain(spark):
     assert got == want
 
 
+def test_near_duplicates_recall_and_few_classes(spark, monkeypatch):
+    def missed(runs):
+        total = 0.0
+        for a in range(65):
+            q = 1.0
+            for _ in range(jaccard_join.DEPTH):
+                q = 1 - (1 - a / 64 * q) ** jaccard_join.FAN
+            total += math.comb(64, a) * 0.8 ** a * 0.2 ** (64 - a) * (1 - q) ** runs
+        return total
+
+    assert missed(jaccard_join.runs_for()) <= 1e-4
+    # a few classes meet whatever the splits are
+    monkeypatch.setattr(jaccard_join, "_split", None)
+    rng = random.Random(3)
+    text = sentence(rng, 60)
+    rows = [(1, text), (2, text + " tail"), (3, sentence(rng, 60))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_near_duplicates_empty(spark):
     assert jaccard_join.near_duplicates(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert jaccard_join.runs_for() >= 2
