@@ -49,12 +49,13 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def configure(spark: SparkSession) -> SparkSession:
     """Give the SQL options the operators assume a value where the session has none."""
     for k, v in SQL_DEFAULTS.items():
-        if not spark.conf.get(k, ""):
+        # no default given: Spark would check it against the option's type
+        if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     # local masters read the test tables, one row group per file: spread the
     # text work over the cores unless the caller chose a value (a cluster
     # leaves it unset, its scans are wide)
-    if spark.sparkContext.master.startswith("local") and not spark.conf.get(SPREAD_OPTION, ""):
+    if spark.sparkContext.master.startswith("local") and spark.conf.get(SPREAD_OPTION, None) is None:
         spark.conf.set(SPREAD_OPTION, str(spark.sparkContext.defaultParallelism * 2))
     return spark
 

@@ -1,5 +1,8 @@
 import hashlib
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -18,6 +21,27 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+PLAIN_SESSION = """
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").getOrCreate())
+import __spark_entry__ as E
+print("entry", E.entry(spark).count())
+for key in ("action_history", "not_yet_commented", "seeded_order", "title_match", "append_roundtrip"):
+    print(key, E.queries()[key](spark, SF).count())
+"""
+
+
+def test_session_that_the_library_did_not_build():
+    """Only the caller's own options are set, as on a cluster or in a notebook."""
+    code = PLAIN_SESSION.replace("SF)", f"{SF!r})")
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1],
+                         capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-3000:]
+    counts = dict(line.split() for line in out.stdout.splitlines() if len(line.split()) == 2)
+    assert len(counts) == 6 and all(int(n) > 0 for n in counts.values())
+
+
 def test_every_query_has_oracle():
     assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
 
