@@ -65,5 +65,56 @@ SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, n::bigint AS n_removed, len(
 FROM j
 """
 
+OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+    ELSE 2 + length(role) + 6 * len(regexp_extract_all(role, '[^A-Za-z0-9_.-]')) END
+  + length('### : ') + length(text) + len(regexp_extract_all(text, '### |</turn>')) + length('</turn>') + 2 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::bigint AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::int AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+OP13 = r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS x FROM t)),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT c.lang, c.g, c.k, c.a, j, x.a AS l, y.a AS r, ((2000000 * c.a::hugeint) // (x.a::hugeint + y.a))::bigint AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN f y ON y.lang = c.lang AND y.g = c.g[j + 1:c.k]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+sub AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer
+  FROM (SELECT lang, g, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+s AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN sub USING (lang, g)
+  WHERE longer IS NULL OR 100 * longer::hugeint < 80 * a::hugeint)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_substring_dedup": OP9,
-                       "op4_benchmark_decontamination": OP4}
+                       "op4_benchmark_decontamination": OP4, "op11_chat_format": OP11, "op12_hard_negatives": OP12,
+                       "op13_collocations": OP13}

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard_join, kd_shards, language_id, licenses, packing, repair_store, substring_dedup, toxicity, vector_join
+from . import (chat_format, collocations, decontaminate, hard_negatives, jaccard_join, kd_shards, language_id, licenses, packing, repair_store, substring_dedup, toxicity,
+               vector_join)
 from .common import crc_text, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -92,3 +93,34 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_license_scan"] = op6_license_scan
+
+
+# a conversation that holds the template's own marks, formatted with the table
+PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "formatted-chats")
+    chat_format.write(rows.unionByName(probe), path)
+    return chat_format.conversations(spark.read.parquet(path))
+
+
+QUERIES["op11_chat_format"] = op11_chat_format
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_collocations"] = op13_collocations
