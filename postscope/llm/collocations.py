@@ -248,5 +248,5 @@ def collocations(docs: DataFrame, text: Column | str = "text", lang: Column | st
     phrase = F.concat_ws(" ", *[f"w{i}" for i in range(4)])
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     ranked = top_n_per_group(free.select("lang", phrase.alias("phrase"), "a", "l", "r", "score"), ["lang"],
-                             [F.desc("score"), F.desc("a"), F.col("phrase")], top, "rank")
+                             [-F.col("score"), -F.col("a"), F.col("phrase")], top, "rank")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
