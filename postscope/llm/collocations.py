@@ -13,9 +13,10 @@ gives n, turns codes back into words, and proves that no two words share a
 code; if two do, the next hash base is taken.
 
 A phrase with a word or a prefix that occurs fewer than ``least`` times occurs
-fewer times itself.  So a window is padded from its first rare word on, and
-windows whose first two words are a rare pair go into the first ROLLUP (one and
-two words) only, not into the second (three and four).  Both tests use bit
+fewer times itself.  So a window is padded from its first rare word on.  The
+first ROLLUP, over all windows, sums prefixes of one and two words; the second,
+prefixes of three, over windows without a rare pair in them; four words are the
+window itself.  The tests use bit
 tables of fixed size (2^``BITS`` bits, 8 MB) that may keep too much but never
 too little; counts are exact, and a count below ``least`` is dropped in the end.
 
@@ -156,8 +157,8 @@ def _of_pairs(bits):
     def run(batches):
         known = bits.value
         for b in batches:
-            keep = _has(known, _slot(b.column(0).to_numpy(), b.column(1).to_numpy()))
-            yield b.filter(pa.array(keep))
+            h1, h2, h3 = (b.column(i).to_numpy() for i in range(3))
+            yield b.filter(pa.array(_has(known, _slot(h1, h2)) & _has(known, _slot(h2, h3))))
     return run
 
 
@@ -188,7 +189,7 @@ def phrase_counts(docs: DataFrame, text: Column | str = "text", lang: Column | s
     none = F.lit(0).cast("long")
 
     def rolled(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """ROLLUP over prefixes of the windows; the two longest levels, without padded prefixes."""
+        """ROLLUP over prefixes of the windows; the two longest prefixes, without padded ones."""
         up = rows.rollup(*keys).agg(F.sum("n").alias("a"), F.grouping_id().alias("level"))
         up = up.filter((F.col("a") >= least) & (F.col("level") <= 1))
         full, short = keys[-1], keys[-2]
@@ -198,7 +199,10 @@ def phrase_counts(docs: DataFrame, text: Column | str = "text", lang: Column | s
     short = staged(rolled(longest, _H[:2]), "collocation-pairs")
     pairs = sc.broadcast(_bit_table(short.filter("h2 <> 0").select("h1", "h2")))
     kept = longest.filter("h3 <> 0").mapInArrow(_of_pairs(pairs), longest.schema)
-    phrases = staged(short.unionByName(rolled(kept, _H)), "collocation-phrases")
+    # windows of four words are not summed further: they are the longest, and stand counted
+    four = longest.filter((F.col("h4") != 0) & (F.col("n") >= least)).withColumnRenamed("n", "a")
+    three = rolled(kept, _H[:3]).filter("h3 <> 0")
+    phrases = staged(short.unionByName(three).unionByName(four), "collocation-phrases")
     return words, phrases
 
 
