@@ -7,10 +7,12 @@ counts of shorter phrases are sums over windows: Spark's ROLLUP adds up
 successively shorter prefixes of the window counts.  No phrase length is
 exploded by itself.
 
-A word stands as a 64-bit code of (language, word), so a window is four numbers
-and its first code tells the language.  The word table (language, word, count)
-gives n, turns codes back into words, and proves that no two words share a
-code; if two do, the next hash base is taken.
+A word stands as a code of (language, word), so a window is four numbers and its
+first code tells the language.  The word table (language, word, count) gives n,
+turns codes back into words, and proves that no two words share a hash; if two
+do, the next hash base is taken.  The most frequent 2^``DENSE`` - 1 words have
+their rank as code, all others their hash (a negative number): windows of
+frequent words are shuffled in two numbers instead of four, all others in four.
 
 A phrase with a word or a prefix that occurs fewer than ``least`` times occurs
 fewer times itself.  So a window is padded from its first rare word on.  The
@@ -46,6 +48,7 @@ from .common import BASE, LOWER, mix, pick, prefix_hash, slices, span_hash, stag
 
 LEAST, COVERED, TOP = 30, 80, 2_000
 BITS = 26
+DENSE = 20
 SLICE = 1 << 21
 PER_MILLION = 2_000_000
 _H = ["h1", "h2", "h3", "h4"]
@@ -77,7 +80,7 @@ class Tokens:
         salts = np.array([salt[x] for x in langs], np.uint64)
         code = mix(span_hash(prefix_hash(low, base), self.start, self.end, base) ^ salts[self.doc]) if len(self.start) \
             else np.empty(0, np.uint64)
-        self.code = np.where(code == 0, np.uint64(1), code)          # 0 is the padding
+        self.code = code | np.uint64(1 << 63)       # as a long it is negative; 0 is the padding
 
 
 def _texts(batches, base: int):
@@ -131,25 +134,68 @@ def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
-def _windows(base: int, bits):
+class Ranks:
+    """Codes of words from their hashes: the rank of the most frequent ones, else the hash."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at] + 1, hashes)
+
+
+_PACKED = 1 << 62
+_LOW = (1 << DENSE) - 1
+
+
+def _packed(w: np.ndarray) -> np.ndarray:
+    """Windows of ranks: three words in the first number, the fourth in the second; others stay."""
+    small = (w >= 0).all(0)
+    one = np.int64(_PACKED) | w[0] << np.int64(2 * DENSE) | w[1] << np.int64(DENSE) | w[2]
+    zero = np.int64(0)
+    return np.stack([np.where(small, one, w[0]), np.where(small, w[3], w[1]), np.where(small, zero, w[2]), np.where(small, zero, w[3])])
+
+
+def _unpacked() -> list[Column]:
+    small = F.col("h1") >= _PACKED
+
+    def place(shift: int) -> Column:
+        return F.shiftright("h1", shift).bitwiseAND(F.lit(_LOW).cast("long"))
+    return [F.when(small, place(2 * DENSE)).otherwise(F.col("h1")).alias("h1"), F.when(small, place(DENSE)).otherwise(F.col("h2")).alias("h2"),
+            F.when(small, place(0)).otherwise(F.col("h3")).alias("h3"), F.when(small, F.col("h2")).otherwise(F.col("h4")).alias("h4")]
+
+
+def _windows(base: int, bits, ranks):
     def run(batches):
         known = bits.value
         for _, t in _texts(batches, base):
-            often = _has(known, _slot(t.code))
-            lead = [np.where(often, t.code, np.uint64(0))]
+            some, back = np.unique(t.code.view(np.int64), return_inverse=True)
+            code = np.where(_has(known, _slot(some)), ranks.value.codes(some), 0)[back]
+            lead = [code]
             for _ in range(3):      # the next word's shorter window, where that word follows
-                last = np.zeros(len(t.code), np.uint64)
-                last[:-1] = np.where(t.follows[:-1], lead[-1][1:], np.uint64(0))
+                last = np.zeros(len(code), np.int64)
+                last[:-1] = np.where(t.follows[:-1], lead[-1][1:], 0)
                 lead.append(last)
             for k in range(1, 4):   # a window ends at its first padding
-                lead[k] = np.where(lead[k - 1] == 0, np.uint64(0), lead[k])
-            w = np.stack([c[often] for c in lead])
+                lead[k] = np.where(lead[k - 1] == 0, 0, lead[k])
+            w = _packed(np.stack([c[code != 0] for c in lead]))
             w = w[:, np.lexsort(w[::-1])]
             if not w.shape[1]:
                 continue
             first = np.flatnonzero(np.concatenate(([True], (w[:, 1:] != w[:, :-1]).any(0))))
             n = np.diff(np.append(first, w.shape[1]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in w), pa.array(n.astype(np.int64))], [*_H, "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in w), pa.array(n.astype(np.int64))], [*_H, "n"])
+    return run
+
+
+def _coded(ranks):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ranks.value.codes(b.column(1).to_numpy())), b.column(2)], ["lang", "code", "word"])
     return run
 
 
@@ -172,8 +218,9 @@ def word_table(own: DataFrame, base: int) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, text: Column | str = "text", lang: Column | str = "lang",
-                  least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(word table, phrases): phrases of 1 to 4 words as codes h1..h4 (0: none) with their count ``a`` >= least."""
+                  least: int = LEAST, ranked: int = _LOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words: lang, code, word), (totals: lang, n) and phrases of 1 to 4 words as codes h1..h4 (0: none) with their
+    count ``a``; words and phrases that occur ``least`` times."""
     own = pick(docs, lang=lang, text=text).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     base = BASE
     while True:
@@ -183,9 +230,12 @@ def phrase_counts(docs: DataFrame, text: Column | str = "text", lang: Column | s
         except LookupError:
             base = (base * 5 + 2) % (1 << 64)       # odd stays odd
     sc = docs.sparkSession.sparkContext
-    often = sc.broadcast(_bit_table(words.filter(F.col("n") >= least).select("code")))
-    windows = own.mapInArrow(_windows(base, often), "h1 long, h2 long, h3 long, h4 long, n long")
-    longest = staged(windows.groupBy(*_H).agg(F.sum("n").alias("n")), "collocation-windows")
+    often = words.filter(F.col("n") >= least)
+    first = often.select("n", "code").orderBy(F.desc("n"), "code").limit(ranked).select("code").toArrow()
+    ranks = sc.broadcast(Ranks(first.column("code").to_numpy()))
+    marks = sc.broadcast(_bit_table(often.select("code")))
+    windows = own.mapInArrow(_windows(base, marks, ranks), "h1 long, h2 long, h3 long, h4 long, n long")
+    longest = staged(windows.groupBy(*_H).agg(F.sum("n").alias("n")).select(*_unpacked(), "n"), "collocation-windows")
     none = F.lit(0).cast("long")
 
     def rolled(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,7 +253,9 @@ def phrase_counts(docs: DataFrame, text: Column | str = "text", lang: Column | s
     four = longest.filter((F.col("h4") != 0) & (F.col("n") >= least)).withColumnRenamed("n", "a")
     three = rolled(kept, _H[:3]).filter("h3 <> 0")
     phrases = staged(short.unionByName(three).unionByName(four), "collocation-phrases")
-    return words, phrases
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    coded = often.select("lang", "code", "word").mapInArrow(_coded(ranks), "lang string, code long, word string")
+    return coded, totals, phrases
 
 
 def _codes(*cols: str) -> Column:
@@ -211,9 +263,9 @@ def _codes(*cols: str) -> Column:
 
 
 def collocations(docs: DataFrame, text: Column | str = "text", lang: Column | str = "lang", least: int = LEAST,
-                 covered: int = COVERED, top: int = TOP) -> DataFrame:
+                 covered: int = COVERED, top: int = TOP, ranked: int = _LOW) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases."""
-    words, phrases = phrase_counts(docs, text, lang, least)
+    words, totals, phrases = phrase_counts(docs, text, lang, least, min(ranked, _LOW))
     candidates = phrases.filter("h2 <> 0")
     three, four = F.col("h3") != 0, F.col("h4") != 0
     big = "decimal(20,0)"
@@ -245,12 +297,10 @@ def collocations(docs: DataFrame, text: Column | str = "text", lang: Column | st
         F.col("longer").isNull() | (F.col("longer").cast(big) * 100 < F.col("a").cast(big) * covered))
     free = free.select(*_H, "a", "c.*")
 
-    often = words.filter(F.col("n") >= least)
     for i, h in enumerate(_H):
-        word = often.select(F.col("code").alias(h), F.col("word").alias(f"w{i}"), *(["lang"] if not i else []))
+        word = words.select(F.col("code").alias(h), F.col("word").alias(f"w{i}"), *(["lang"] if not i else []))
         free = free.join(word, h, "left" if i > 1 else "inner")
     phrase = F.concat_ws(" ", *[f"w{i}" for i in range(4)])
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     ranked = top_n_per_group(free.select("lang", phrase.alias("phrase"), "a", "l", "r", "score"), ["lang"],
                              [-F.col("score"), -F.col("a"), F.col("phrase")], top, "rank")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

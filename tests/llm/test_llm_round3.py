@@ -204,6 +204,7 @@ def test_collocations(spark):
     rows += [(None, "en"), ("", None), ("... ,,", "de"), ("word " * 3000 + "end", "en")] + [("one rare phrase here", "fr")] * 9
     how = {"least": 5, "covered": 80, "top": 40}
     assert phrases(spark, rows, **how) == by_hand(rows, **how)
+    assert phrases(spark, rows, ranked=6, **how) == by_hand(rows, **how)       # most windows hold a word without a rank
 
 
 def test_collocations_in_long_text(spark, monkeypatch):
