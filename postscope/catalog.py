@@ -338,8 +338,8 @@ def _quota_cands(spark, sf):
 
 @query("quota")
 def q_quota(spark, sf):
-    from .operators.quota import apply_quota
-    out = apply_quota(_quota_cands(spark, sf), cap=2, by=["account", "date"])
+    from .operators.quota import quota_over_days
+    out = quota_over_days(_quota_cands(spark, sf), cap=2, run=["account"], day="date")
     return out.select("id", "account", "date", "media_id", "attempted", "accepted")
 
 
@@ -533,7 +533,16 @@ def _stream_actions(spark, sf):
 @query("stream_daily_counts")
 def q_stream_daily_counts(spark, sf):
     from .streaming.actions import stream_daily_counts, stream_paths
-    return stream_daily_counts(_stream_actions(spark, sf), *stream_paths(spark, "daily-counts"))
+    return stream_daily_counts(_stream_actions(spark, sf), *stream_paths(spark, "daily-counts"), delay_days=16)
+
+
+@query("stream_late_rows")
+def q_stream_late_rows(spark, sf):
+    """Rows that came behind a watermark of one day (``late`` of T1)."""
+    from .streaming.actions import DailyCounts, stream_paths
+    path, checkpoint = stream_paths(spark, "late-rows")
+    job = DailyCounts(spark, path, delay_days=1).drain(_stream_actions(spark, sf), checkpoint)
+    return job.late().select("id", "action_type").distinct()
 
 
 @query("stream_first_action")

@@ -14,14 +14,17 @@ Set form used here (exact):
 * ``m_before``  <=>  ``o >`` the post's own first success.
 
 Both small results join back on their keys, so no window ever holds a whole
-run, and a hot account or post is combined map-side.  Batch and the
-streaming form (T3) share this function.
+run, and a hot account or post is combined map-side.
+
+``quota_over_days`` adds the memory of the history test: a post accepted on one
+day is done on the days after it.  Batch and the streaming form (T3) share it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,36 +36,20 @@ COMMENTS_CAP = 15
 
 
 def apply_quota(cands: DataFrame, cap: int, by: Sequence[str], order: Sequence[str] = ("ts", "id"),
-                post: str = "media_id", ok: str = "ok", history: str = "h",
-                offset: DataFrame | None = None) -> DataFrame:
-    """Add ``attempted`` and ``accepted`` to ``cands``.
+                post: str = "media_id", ok: str = "ok", history: str = "h") -> DataFrame:
+    """Add ``attempted`` and ``accepted`` to ``cands``, each run ``by`` by itself.
 
     ``ok`` is the outcome of an attempt, ``history`` marks posts already done
-    before the run.  ``offset`` (columns ``by`` + ``n_done``) carries
-    successes already counted for a run (streaming batches); the effective
-    cap of that run is ``cap - n_done``.
+    before the run.
     """
     by, order = list(by), list(order)
     h = F.coalesce(F.col(history), F.lit(False))
-    firsts = (cands.filter(~h & F.col(ok))
-              .groupBy(*by, post)
-              .agg(F.min(F.struct(*order)).alias("_first")))
+    firsts = _firsts(cands, by, order, post, ok, h)
     out = _join_ns(cands, firsts, [*by, post])
     here = [F.col(c) for c in order]
     first = [F.col("_first")[c] for c in order]
     m_before = F.col("_first").isNotNull() & struct_lt(first, here)
-
-    if offset is not None:
-        left = (F.lit(cap) - F.coalesce(F.col("n_done"), F.lit(0)))
-        out = _join_ns(out, offset.select(*by, "n_done"), by)
-        flat = firsts.select(*by, *[F.col("_first")[c].alias(c) for c in order])
-        # rank every first success within its run; keep the ones that can matter
-        limit_rows = _kth_with_offset(flat, by, order, cap, offset)
-        out = _join_ns(out, limit_rows, by)
-        kth = [F.col("kth_" + c) for c in order]
-        out = out.withColumn("_under", (left > 0) & (F.col("kth_" + order[0]).isNull() | ~struct_lt(kth, here)))
-        under = F.col("_under")
-    elif cap >= 1:
+    if cap >= 1:
         flat = firsts.select(*by, *[F.col("_first")[c].alias(c) for c in order])
         out = _join_ns(out, kth_per_group(flat, by, order, cap), by)
         kth = [F.col("kth_" + c) for c in order]
@@ -71,7 +58,69 @@ def apply_quota(cands: DataFrame, cap: int, by: Sequence[str], order: Sequence[s
         under = F.lit(False)
     attempted = ~h & under & ~m_before
     out = out.withColumn("attempted", attempted).withColumn("accepted", attempted & F.col(ok))
-    return out.drop("_first", "_under", "n_done", *[c for c in out.columns if c.startswith("kth_")])
+    return out.drop("_first", *[c for c in out.columns if c.startswith("kth_")])
+
+
+def _firsts(cands: DataFrame, by: list[str], order: list[str], post: str, ok: str, h) -> DataFrame:
+    """The first success of each post per run."""
+    return cands.filter(~h & F.col(ok)).groupBy(*by, post).agg(F.min(F.struct(*order)).alias("_first"))
+
+
+def quota_over_days(cands: DataFrame, cap: int, run: Sequence[str], day: str, order: Sequence[str] = ("ts", "id"),
+                    post: str = "media_id", ok: str = "ok", history: str = "h", days: int | None = None) -> DataFrame:
+    """The quota with memory: ``cap`` per ``run`` and ``day``, and a post that was accepted is done for ever.
+
+    Sequential meaning: as ``apply_quota`` per (run, day), where a post accepted
+    on an earlier day of the run is no longer attempted.  What a day accepts so
+    depends on the days before it; the walk over the days only meets first
+    successes per (run, day, post), and of those only the first ``cap * days``
+    of each day: at most ``cap * (days - 1)`` posts can have been taken before,
+    so the first ``cap`` free ones are among them.  That bound is kept map-side;
+    a run, however hot, brings at most ``cap * days * days`` rows to its walk,
+    which holds its accepted posts only.  ``days`` bounds the number of days of
+    a run; it is counted when not given.
+    """
+    run, order = list(run), list(order)
+    h = F.coalesce(F.col(history), F.lit(False))
+    firsts = _firsts(cands, [*run, day], order, post, ok, h)
+    flat = firsts.select(*run, day, post, *[F.col("_first")[c].alias(c) for c in order])
+    if cap < 1:
+        return cands.withColumn("attempted", F.lit(False)).withColumn("accepted", F.lit(False))
+    if days is None:
+        days = max(1, flat.agg(F.count_distinct(F.coalesce(F.col(day).cast("string"), F.lit("")))).first()[0])
+    near = top_n_per_group(flat, [*run, day], order, cap * days, "_rn").drop("_rn")
+    sorted_runs = near.repartition(*run).sortWithinPartitions(*run, day, *order)
+    taken = sorted_runs.mapInArrow(_walk(cap, len(run)), near.schema)
+    full = (taken.groupBy(*run, day).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(*order)).alias("_last"))
+            .filter(F.col("_n") == cap).drop("_n"))
+    first = taken.select(*run, post, F.struct(day, *order).alias("_taken"))
+    out = _join_ns(_join_ns(cands, full, [*run, day]), first, [*run, post])
+    here = [F.col(c) for c in order]
+    under = F.col("_last").isNull() | ~struct_lt([F.col("_last")[c] for c in order], here)
+    free = F.col("_taken").isNull() | ~struct_lt([F.col("_taken")[c] for c in (day, *order)], [F.col(day), *here])
+    attempted = ~h & under & free
+    return out.withColumn("attempted", attempted).withColumn("accepted", attempted & F.col(ok)).drop("_last", "_taken")
+
+
+def _walk(cap: int, runs: int):
+    """Rows (run, day, post, ...) in order; keeps the first ``cap`` posts of each day that were not kept before."""
+    def walk(batches):
+        run = day = None
+        taken, today = set(), 0
+        for b in batches:
+            keep = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(runs + 2))):
+                if (row[:runs],) != run:
+                    run, day, taken, today = (row[:runs],), None, set(), 0
+                if (row[runs],) != day:
+                    day, today = (row[runs],), 0
+                new = today < cap and row[runs + 1] not in taken
+                if new:
+                    taken.add(row[runs + 1])
+                    today += 1
+                keep.append(new)
+            yield b.filter(pa.array(keep, pa.bool_()))
+    return walk
 
 
 def _join_ns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,24 +138,17 @@ def _join_ns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     return left.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def _kth_with_offset(flat: DataFrame, by, order, cap: int, offset: DataFrame) -> DataFrame:
-    """Per run, the ``(cap - n_done)``-th smallest first success (absent when
-    fewer exist).  Rows ranked beyond ``cap`` can never matter, so the rank is
-    limited to ``cap`` map-side as in ``kth_per_group``."""
-    ranked = top_n_per_group(flat, by, order, cap, "_rn")
-    need = offset.select(*by, (F.lit(cap) - F.col("n_done")).alias("_need"))
-    return (_join_ns(ranked, need, by)
-            .filter(F.col("_rn") == F.coalesce(F.col("_need"), F.lit(cap)))
-            .select(*by, *[F.col(c).alias("kth_" + c) for c in order]))
-
-
 def with_history(cands: DataFrame, done: DataFrame, post: str = "media_id", out: str = "h",
-                 by: Sequence[str] = ("account",)) -> DataFrame:
-    """Flag candidates whose post is in ``done`` of the same ``by`` (distinct ids, ids as text)."""
+                 by: Sequence[str] = ("account",), null_safe: bool = False) -> DataFrame:
+    """Flag candidates whose post is in ``done`` of the same ``by`` (distinct ids, ids as text).
+
+    ``null_safe``: a null key is a key of its own, as in a run's groups.
+    """
     keys = [*by, post]
     ids = done.select(*[F.col(c).cast("string").alias(f"_h_{c}") for c in keys]).distinct().withColumn(out, F.lit(True))
     cond = F.lit(True)
     for c in keys:
-        cond = cond & (cands[c].cast("string") == ids[f"_h_{c}"])
+        one = cands[c].cast("string")
+        cond = cond & (one.eqNullSafe(ids[f"_h_{c}"]) if null_safe else one == ids[f"_h_{c}"])
     return (cands.join(ids, cond, "left").withColumn(out, F.coalesce(out, F.lit(False)))
             .drop(*[f"_h_{c}" for c in keys]))

@@ -268,25 +268,30 @@ SELECT s.account, s.seq, r.search_tag, r.media_id FROM slist s JOIN (
                         row_number() OVER (PARTITION BY search_tag ORDER BY taken_at DESC, media_id) AS rn
                  FROM posts) WHERE rn <= 10) r ON r.search_tag = s.tag"""
 
-SQL["quota"] = "WITH " + ACTIONS + """,
+# the days of an account one after the other; ``seen``: what earlier days accepted
+_QUOTA = "WITH RECURSIVE " + ACTIONS + """,
 cands AS (
   SELECT id, ts, account, strftime(date, '%Y-%m-%d') AS date, media_id, event_type <> 'error' AS ok,
          (account, media_id) IN (SELECT (account, media_id) FROM actions WHERE ts < TIMESTAMP '2024-01-08' AND event_type <> 'error') AS h
   FROM actions WHERE ts >= TIMESTAMP '2024-01-08'),
-f AS (
-  SELECT *, (NOT h AND ok AND row_number() OVER (PARTITION BY account, date, media_id, ok ORDER BY ts, id) = 1) AS first_ok
-  FROM cands),
+f AS (SELECT account, date, media_id, min((ts, id)) AS o FROM cands WHERE ok AND NOT h GROUP BY ALL),
+d AS (SELECT account, date, list(media_id ORDER BY o) AS posts, row_number() OVER (PARTITION BY account ORDER BY date) AS j
+      FROM f GROUP BY account, date),
+walk AS (
+  SELECT DISTINCT account, 0::BIGINT AS j, NULL::VARCHAR AS date, []::VARCHAR[] AS now, []::VARCHAR[] AS seen FROM d
+  UNION ALL
+  SELECT d.account, d.j, d.date, list_filter(d.posts, lambda p: NOT list_contains(list_concat(w.seen, w.now), p))[1:2],
+         list_concat(w.seen, w.now)
+  FROM walk w JOIN d ON d.account = w.account AND d.j = w.j + 1),
+took AS (SELECT t.account, t.date, t.media_id, f.o FROM (SELECT account, date, unnest(now) AS media_id FROM walk) t
+         JOIN f USING (account, date, media_id)),
 n AS (
-  SELECT *,
-    coalesce(sum(first_ok::INT) OVER (PARTITION BY account, date ORDER BY ts, id
-                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before,
-    coalesce(max(first_ok::INT) OVER (PARTITION BY account, date, media_id ORDER BY ts, id
-                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m_before
-  FROM f)
-SELECT id, account, date, media_id,
-       (NOT h AND n_before < 2 AND m_before = 0) AS attempted,
-       (NOT h AND n_before < 2 AND m_before = 0 AND ok) AS accepted
-FROM n"""
+  SELECT c.*, NOT h
+    AND NOT EXISTS (SELECT 1 FROM took t WHERE t.account = c.account AND t.media_id = c.media_id AND t.o < (c.ts, c.id))
+    AND (SELECT count(*) FROM took t WHERE t.account = c.account AND t.date = c.date AND t.o < (c.ts, c.id)) < 2 AS attempted
+  FROM cands c)
+"""
+SQL["quota"] = _QUOTA + "SELECT id, account, date, media_id, attempted, attempted AND ok AS accepted FROM n"
 
 SQL["quota_audit"] = w(ACTIONS) + """
 SELECT id, account, strftime(date, '%Y-%m-%d') AS date, action_type FROM actions
@@ -466,7 +471,7 @@ FROM e"""
 
 SQL["stream_daily_counts"] = w(ACTIONS) + """
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, action_type, count(*) AS count,
-       CAST(ts AS DATE) + 1 < (SELECT max(CAST(ts AS DATE)) FROM actions) AS closed
+       CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM actions) - INTERVAL 16 DAY AS closed
 FROM actions GROUP BY CAST(ts AS DATE), action_type"""
 
 SQL["stream_first_action"] = w(ACTIONS) + """
@@ -475,10 +480,15 @@ SELECT account, media_id, action_type, id FROM actions a WHERE ts >= TIMESTAMP '
                   AND b.media_id = a.media_id AND b.action_type = a.action_type)
 QUALIFY row_number() OVER (PARTITION BY account, media_id, action_type ORDER BY ts, id) = 1"""
 
-SQL["stream_quota"] = SQL["quota"].replace("""SELECT id, account, date, media_id,
-       (NOT h AND n_before < 2 AND m_before = 0) AS attempted,
-       (NOT h AND n_before < 2 AND m_before = 0 AND ok) AS accepted
-FROM n""", """SELECT id, account, date, media_id FROM n WHERE NOT h AND n_before < 2 AND m_before = 0 AND ok""")
+SQL["stream_quota"] = _QUOTA + "SELECT id, account, date, media_id FROM n WHERE attempted AND ok"
+
+# the stream's files: a week each, every 20th row a week late, every 50th (on time) again a week later
+SQL["stream_late_rows"] = w(ACTIONS) + """,
+f AS (SELECT id, action_type, ts, day(ts) // 8 + (id % 20 = 0)::INT AS n FROM actions
+      UNION ALL SELECT id, action_type, ts, day(ts) // 8 + 1 FROM actions WHERE id % 50 = 0 AND id % 20 <> 0),
+m AS (SELECT n, max(ts) AS latest FROM f WHERE n <= 4 GROUP BY n)
+SELECT DISTINCT id, action_type FROM f
+WHERE n <= 4 AND ts <= (SELECT max(latest) - INTERVAL 1 DAY FROM m WHERE m.n < f.n)"""
 
 SQL["classifier_hook"] = w(POSTS, AUTHORS) + """
 SELECT media_id,

@@ -65,21 +65,6 @@ def test_quota_matches_sequential_model(spark):
         assert _run(spark, rows, cap) == quota_model(rows, cap), cap
 
 
-def test_quota_offset_equals_single_pass(spark):
-    """Splitting a run into two batches with the carried count gives the same acceptances."""
-    rnd = random.Random(3)
-    rows = [("g", T0 + timedelta(seconds=i), i, f"p{rnd.randint(0, 6)}", rnd.random() < 0.6, False) for i in range(40)]
-    whole = _run(spark, rows, 4)
-    first, second = rows[:20], rows[20:]
-    a = _run(spark, first, 4)
-    n_done = sum(1 for v in a.values() if v[1])
-    done_posts = {r[3] for r in first if a[r[2]][1]}
-    second = [r[:5] + (r[3] in done_posts,) for r in second]
-    off = spark.createDataFrame([("g", n_done)], "g string, n_done long")
-    b = _run(spark, second, 4, offset=off)
-    assert {k: v[1] for k, v in {**a, **b}.items()} == {k: v[1] for k, v in whole.items()}
-
-
 def test_top_n_salted_fallback_equals_plain(spark):
     """Above the WindowGroupLimit threshold the two-stage salted rank gives the same rows."""
     from postscope.plans.ranking import top_n_per_group
@@ -113,11 +98,51 @@ def test_quota_null_keys_form_one_group(spark):
         assert _run(spark, rows, cap) == want, cap
 
 
-def test_offset_with_null_run_key(spark):
-    """A null run key carries its own count: cap 3 with 2 done leaves one."""
-    rows = [(None, T0 + timedelta(seconds=i), i, f"p{i}", True, False) for i in range(5)]
-    off = spark.createDataFrame([(None, 2)], "g string, n_done long")
-    assert sum(acc for _, acc in _run(spark, rows, 3, offset=off).values()) == 1
+def days_model(rows, cap):
+    """Sequential walk over (account, date, ts, id, post, ok, h): an accepted post stays done on later days."""
+    out, done, used = {}, set(), {}
+    for acc, day, ts, rid, m, ok, h in sorted(rows, key=lambda r: (repr(r[0]), r[1], r[2], r[3])):
+        att = not h and used.get((acc, day), 0) < cap and (acc, m) not in done
+        if att and ok:
+            done.add((acc, m))
+            used[acc, day] = used.get((acc, day), 0) + 1
+        out[rid] = (att, att and ok)
+    return out
+
+
+DAYS = "account string, date string, ts timestamp_ntz, id long, media_id string, ok boolean, h boolean"
+
+
+def days_rows(rnd, n, days=30, posts=40):
+    rows = []
+    for i in range(n):
+        ts = T0 + timedelta(minutes=rnd.randint(0, 60 * 24 * days - 1))
+        acc = rnd.choice(["a", "a", "a", "b", None])
+        m = rnd.choice([None, *[f"p{k}" for k in range(posts)]])
+        rows.append((acc, ts.strftime("%Y-%m-%d"), ts, i, m, rnd.random() < 0.7, m == "p0"))
+    return rows
+
+
+def test_quota_remembers_over_30_days(spark):
+    from postscope.operators.quota import quota_over_days
+    for cap, seed in ((0, 1), (1, 2), (2, 3), (5, 4)):
+        rows = days_rows(random.Random(seed), 900)
+        got = quota_over_days(spark.createDataFrame(rows, DAYS), cap, ["account"], "date").collect()
+        assert {r["id"]: (r["attempted"], r["accepted"]) for r in got} == days_model(rows, cap), cap
+
+
+def test_accepted_once_on_two_days(spark):
+    from postscope.operators.quota import quota_over_days
+    rows = [("a", f"2024-01-0{d}", T0 + timedelta(days=d - 1), d, "p", True, False) for d in (1, 2)]
+    got = quota_over_days(spark.createDataFrame(rows, DAYS), 2, ["account"], "date").collect()
+    assert sorted((r["id"], r["accepted"]) for r in got) == [(1, True), (2, False)]
+
+
+def test_the_walk_of_a_hot_account_is_bounded(spark):
+    """Of a day's first successes at most cap * days reach the walk, cut before the exchange."""
+    from postscope.operators.quota import quota_over_days
+    out = quota_over_days(spark.createDataFrame(days_rows(random.Random(7), 50), DAYS), 2, ["account"], "date", days=3)
+    assert "WindowGroupLimit" in plan_text(out) and "row_number(), 6, Partial" in plan_text(out)
 
 
 def test_history_of_another_account_does_not_count(spark):
