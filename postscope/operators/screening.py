@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
 from ..plans.ranking import top_n_per_group
-from .substring_join import contains_any
+from .substring_join import matches
 
 # fixed value: the word that marks a giveaway post
 KEYWORDS = ("giveaway",)
@@ -177,24 +177,19 @@ def funnel(decisions: DataFrame) -> DataFrame:
 def screen_by_table(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """Screens driven by a term table ``(kind in keyword/avoid, term)``.
 
-    avoid: the exploded post tags left-join the folded avoid terms (exact),
-    aggregated per post (``explode_outer`` keeps posts without tags, and the
-    partial aggregate combines a post's tags map-side); keyword: substring
-    join of the NUL-joined screen text with the terms.  The posts are read
-    once per screen, with no third pass just to list them.
+    Both screens are one substring join of the NUL-joined screen text: a keyword
+    is a pattern as it is; an avoid term must be a whole post tag, and those
+    alone stand between two NULs, so its pattern has one at either end.  No tag
+    is exploded.  Empty terms match nothing.
     """
-    t = terms.select("kind", F.lower("term").alias("term")).distinct()
-    avoid = (t.filter(F.col("kind") == "avoid").select(F.col("term").alias("_tag"))
-             .withColumn("_avoid", F.lit(True)))
-    tags = posts.select("media_id", F.explode_outer(F.transform(F.coalesce("hashtags", F.array().cast("array<string>")),
-                                                              F.lower)).alias("_tag"))
-    flags = (tags.join(avoid, "_tag", "left").groupBy("media_id")
-             .agg(F.coalesce(F.max("_avoid"), F.lit(False)).alias("avoid_hit")))
-    kw = t.filter(F.col("kind") == "keyword").select(F.col("term").alias("_term"))
-    kw_ids = (contains_any(posts.select("media_id", screen_text(posts).alias("_s")), ["media_id"], "_s", kw, "_term")
-              .withColumn("kw_hit", F.lit(True)))
-    return (flags.join(kw_ids, "media_id", "left")
-            .select("media_id", F.coalesce("kw_hit", F.lit(False)).alias("kw_hit"), "avoid_hit"))
+    t = terms.select("kind", F.lower("term").alias("term")).filter(F.col("term") != "").distinct()
+    pats = t.select("kind", F.when(F.col("kind") == "avoid", F.concat(F.lit(SEP), "term", F.lit(SEP)))
+                    .otherwise(F.col("term")).alias("_pat"))
+    hits = matches(posts.select("media_id", screen_text(posts).alias("_s")), ["media_id"], "_s", pats, ["kind"], "_pat")
+
+    def hit(kind: str) -> Column:
+        return F.coalesce(F.exists("matched", lambda m: m["kind"] == kind), F.lit(False)).alias("kw_hit" if kind == "keyword" else "avoid_hit")
+    return posts.select("media_id").join(hits, "media_id", "left").select("media_id", hit("keyword"), hit("avoid"))
 
 
 def recent_per_tag(posts: DataFrame, n: int = RECENT_PER_TAG) -> DataFrame:

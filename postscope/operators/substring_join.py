@@ -1,14 +1,18 @@
 """Exact "text contains pattern" joins (J4 titles, J5 term tables), one method at every size.
 
 A pattern is contained in a text only if the pattern's key gram is: its whole
-text when it has fewer than ``Q`` bytes, else one of its ``Q``-byte grams.  One
-pass over the texts packs the grams of every needed length (at most ``Q``
-lengths) into integers and keeps those whose bit is set in a fixed-size table of
-the patterns' key grams; an equi-join on (length, gram) proposes patterns per
-text, and every proposal is verified with ``contains`` on the whole text.  The
-table's size does not depend on the number of patterns (a fuller table only
-proposes more), so there is no switch and no broadcast that grows.  A text meets
-its proposals as one array, once, and keys are compared null-safely.
+text when it has fewer than ``Q`` bytes, else the one of its ``Q``-byte grams
+that is rarest in a sample of the texts, so that a pattern is proposed where its
+least common part occurs, not wherever a common word does.  One pass over the
+texts packs the grams of every needed length (at most ``Q`` lengths) into
+integers and keeps those whose bit is set in a table of the patterns' key grams;
+an equi-join on (length, gram) proposes patterns per text, and every proposal is
+verified with ``contains`` on the whole text.  The table has ``SPARSE`` bits per
+pattern, so the share of grams that pass by chance stays the same as patterns
+grow, up to 2^``MAX_BITS`` bits (8 MB) per length; a fuller table only proposes
+more.  The sample (at most ``SAMPLE`` texts) and the table change the work, never
+the result.  A text meets its proposals as one array, once, and keys are
+compared null-safely.
 
 Callers pass already case-folded text and pattern columns.  Empty or null
 patterns and null texts never match.
@@ -25,7 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Q = 8                      # bytes of a key gram: one 64-bit integer
-TABLE_BITS = 22            # of the table of key grams, per gram length
+MIN_BITS, MAX_BITS = 16, 26     # of the table of key grams, per gram length
+SPARSE = 64                # bits per pattern
+SAMPLE = 2_048             # texts that tell rare grams from common ones
+COUNT_BITS = 20            # slots of the sample's gram counts
 SLICE_BYTES = 1 << 21      # text handled at once inside a task
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,19 +68,42 @@ def _slot(g: np.ndarray, bits: int) -> np.ndarray:
     return (g * _MIX) >> np.uint64(64 - bits)
 
 
-def _key_gram(pattern: str) -> tuple[int, int]:
-    """Length and value of a pattern's key gram (of a long one: the gram with the smallest mix)."""
+def _sample_counts(batches):
+    """Slots of the ``Q``-byte grams of sampled texts, each text's grams once."""
+    for b in batches:
+        for _, data, off in _slices(b.column(0)):
+            g, row = _grams(data, off, Q)
+            pair = np.unique(np.stack([row.astype(np.uint64), _slot(g, COUNT_BITS)]), axis=1)
+            slot, n = np.unique(pair[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["s", "n"])
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Document frequencies of gram slots in a sample of the texts; the driver gets at most 2^``COUNT_BITS`` numbers."""
+    # by a hash of the text, so that the sample does not follow the table's order
+    some = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(8)) == 0).select("_text").limit(SAMPLE)
+    found = some.mapInArrow(_sample_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[found.column("s").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _key_gram(pattern: str, common: np.ndarray) -> tuple[int, int]:
+    """Length and value of a pattern's key gram (of a long one: the rarest, then the one with the smallest mix)."""
     raw = pattern.encode()
     n = min(Q, len(raw))
     g, _ = _grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), n)
+    if n == Q:
+        seen = common[_slot(g, COUNT_BITS).astype(np.int64)]
+        g = g[seen == seen.min()]
     return n, int(g[np.argmin(g * _MIX)].view(np.int64))
 
 
-def _keyer(bits: int):
+def _keyer(bits: int, shared):
     """Add each pattern's key gram and its slot in the table."""
     def key(batches):
         for b in batches:
-            keys = [_key_gram(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            keys = [_key_gram(x, shared.value) for x in b.column(b.num_columns - 1).to_pylist()]
             n, g = (np.array(x, np.int64) for x in (zip(*keys) if keys else ((), ())))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(n.astype(np.int32)), pa.array(g), pa.array(_slot(g.view(np.uint64), bits).astype(np.int64))],
@@ -84,10 +114,12 @@ def _keyer(bits: int):
 def _table(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
     """Bit table of the key grams per length; at most ``Q * 2**(bits - 6)`` words."""
     words = (keys.groupBy("n", F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")))
+    got = words.toArrow()
+    n, w, b = (got.column(c).to_numpy() for c in ("n", "w", "bits"))
     out: dict[int, np.ndarray] = {}
-    for r in words.collect():
-        t = out.setdefault(r["n"], np.zeros(1 << (bits - 6), np.uint64))
-        t[r["w"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    for length in np.unique(n).tolist():
+        t = out[length] = np.zeros(1 << (bits - 6), np.uint64)
+        t[w[n == length]] = b[n == length].view(np.uint64)
     return out
 
 
@@ -135,17 +167,19 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def matches(texts: DataFrame, text_keys: Sequence[str], text: str,
-            pats: DataFrame, pat_keys: Sequence[str], pat: str, table_bits: int = TABLE_BITS) -> DataFrame:
+            pats: DataFrame, pat_keys: Sequence[str], pat: str, table_bits: int | None = None) -> DataFrame:
     """Rows of ``texts`` that contain a pattern: ``(text_keys..., matched)``.
 
     ``matched`` is the array of the matching patterns' ``pat_keys`` as structs.
     """
-    spark = texts.sparkSession
+    sc = texts.sparkSession.sparkContext
     p = pats.select(*pat_keys, F.col(pat).alias("_pat")).filter(F.length("_pat") > 0)
-    p = p.mapInArrow(_keyer(table_bits), T.StructType([*p.schema.fields, T.StructField("n", T.IntegerType()),
-                                           T.StructField("g", T.LongType()), T.StructField("s", T.LongType())]))
-    shared = spark.sparkContext.broadcast(_table(p, table_bits))
     t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    if table_bits is None:
+        table_bits = min(MAX_BITS, max(MIN_BITS, (SPARSE * p.count()).bit_length()))
+    p = p.mapInArrow(_keyer(table_bits, sc.broadcast(_common(t))), T.StructType([*p.schema.fields, T.StructField("n", T.IntegerType()),
+                                           T.StructField("g", T.LongType()), T.StructField("s", T.LongType())]))
+    shared = sc.broadcast(_table(p, table_bits))
     schema = T.StructType([t.schema[k] for k in text_keys] + [T.StructField("_grams", _PAIRS)])
     grams = t.mapInArrow(_finder(shared, table_bits), schema).select(*text_keys, F.explode("_grams").alias("_g")).select(*text_keys, "_g.n", "_g.g")
     named = F.struct(*[F.col(k) for k in pat_keys], F.col("_pat"))

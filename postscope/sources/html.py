@@ -129,21 +129,22 @@ def _rating(text: str) -> int | None:
     return n if -(1 << 31) <= n < 1 << 31 else None
 
 
-def parse_shelf_page(html: str | None, site: str = SITE) -> list[tuple]:
-    """Rows of one shelf page: ``(row, title, author, book_url, rating, review)``.
+def shelf_page(html: str | None, site: str = SITE) -> tuple[int | None, list[tuple]]:
+    """One shelf page, parsed once: its number of review rows (``None`` without
+    a books table) and ``(row, title, author, book_url, rating, review)``.
 
     Only ``tr`` rows whose id starts with ``review_`` inside ``table#books``;
     rows without a title or an author are dropped; ``row`` counts every
     review row (the page size test uses it).
     """
     if not html:
-        return []
+        return None, []
     b = _TreeBuilder()
     b.feed(html)
     b.close()
     table = b.root.find("table", lambda n: n.attrs.get("id") == BOOKS_TABLE_ID)
     if table is None:
-        return []
+        return None, []
     out = []
     rows = [n for n in table.iter() if n.tag == "tr" and (n.attrs.get("id") or "").startswith(ROW_ID_PREFIX)]
     for i, row in enumerate(rows, start=1):
@@ -161,51 +162,73 @@ def parse_shelf_page(html: str | None, site: str = SITE) -> list[tuple]:
         review = (rdiv.text() or None) if rdiv is not None else None
         if title and author:
             out.append((i, title, author, url, rating, review))
-    return out
+    return len(rows), out
+
+
+def parse_shelf_page(html: str | None, site: str = SITE) -> list[tuple]:
+    """The rows of ``shelf_page``."""
+    return shelf_page(html, site)[1]
 
 
 def count_review_rows(html: str | None) -> int | None:
-    """Review rows on a page; ``None`` when the page has no books table."""
-    if not html:
-        return None
-    b = _TreeBuilder()
-    b.feed(html)
-    b.close()
-    table = b.root.find("table", lambda n: n.attrs.get("id") == BOOKS_TABLE_ID)
-    if table is None:
-        return None
-    return sum(1 for n in table.iter() if n.tag == "tr" and (n.attrs.get("id") or "").startswith(ROW_ID_PREFIX))
+    """The row count of ``shelf_page``."""
+    return shelf_page(html)[0]
 
 
 _ROWS = ("array<struct<row:long,title:string,author:string,book_url:string,rating:int,review:string>>")
 
 
-def parse_pages(pages: DataFrame, site: str = SITE) -> DataFrame:
-    """S6 + W5 input in one pass: ``(user_id, page, n_rows, rows, error)`` per page.
+_PARSED = f"user_id string, page long, n_rows int, rows {_ROWS}, error string"
 
-    A page that cannot be parsed keeps its place, with no rows, a null count
-    and the reason in ``error``; it never fails the job.
-    """
+
+def _parser(site: str, per_page: int | None):
+    """Parse pages in the order they come; with ``per_page`` a user's pages after an unfull one are left out unparsed."""
     names = ("row", "title", "author", "book_url", "rating", "review")
 
     def parse(batches):
+        stopped = None
         for pdf in batches:
-            counts, rows, errors = [], [], []
-            for html in pdf["html"]:
+            kept, counts, rows, errors = [], [], [], []
+            for i, (user, html) in enumerate(zip(pdf["user_id"], pdf["html"])):
+                if per_page is not None and user is not None and user == stopped:
+                    continue
+                n, found, error = None, [], None
                 try:
-                    counts.append(count_review_rows(html))
-                    rows.append([dict(zip(names, r)) for r in parse_shelf_page(html, site)])
-                    errors.append(None)
+                    n, found = shelf_page(html, site)
                 except Exception as e:  # noqa: BLE001 - recorded per page
-                    counts[len(errors):] = [None]
-                    rows.append([])
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"user_id": pdf["user_id"], "page": pdf["page"].astype("Int64"),
+                    error = f"{type(e).__name__}: {e}"
+                if per_page is not None:
+                    stopped = user if n is None or n < per_page else None
+                kept.append(i)
+                counts.append(n)
+                rows.append([dict(zip(names, r)) for r in found])
+                errors.append(error)
+            yield pd.DataFrame({"user_id": pdf["user_id"].iloc[kept].to_numpy(), "page": pdf["page"].iloc[kept].astype("Int64").array,
                                 "n_rows": pd.array(counts, dtype="Int32"), "rows": pd.Series(rows, dtype=object),
                                 "error": pd.Series(errors, dtype=object)})
+    return parse
+
+
+def parse_pages(pages: DataFrame, site: str = SITE) -> DataFrame:
+    """S6 + W5 input in one pass: ``(user_id, page, n_rows, rows, error)`` per page.
 
+    A page that cannot be parsed keeps its place, with no rows, a null count
+    and the reason in ``error``; it never fails the job.
+    """
     pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
-    return pages.mapInPandas(parse, f"user_id string, page long, n_rows int, rows {_ROWS}, error string")
+    return pages.mapInPandas(_parser(site, None), _PARSED)
+
+
+def parse_until_short(pages: DataFrame, per_page: int, site: str = SITE, slice_pages: int = 64) -> DataFrame:
+    """As ``parse_pages``, reading each user's pages in order and stopping at an unfull one.
+
+    A user's pages are cut into slices of ``slice_pages`` pages, which are read
+    by separate tasks; inside a slice nothing behind the stop is parsed.
+    """
+    part = F.floor(F.col("page") / slice_pages)
+    dealt = (pages.select("user_id", F.col("page").cast("long").alias("page"), "html")
+             .repartition(F.col("user_id"), part).sortWithinPartitions("user_id", "page"))
+    return dealt.mapInPandas(_parser(site, per_page), _PARSED)
 
 
 def shelf_rows(parsed: DataFrame, per_page: int = PER_PAGE) -> DataFrame:

@@ -6,7 +6,12 @@ ones a run writes for actions and skips.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import spread
@@ -14,7 +19,7 @@ from ..plans.ranking import spread
 # fixed values: line layout and the run's messages (placeholders in braces)
 LINE = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) ([A-Z]+):(.*)$"
 # a record starts at a line with a time and a level; other lines continue it
-RECORD_START = r"\r?\n(?=\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} [A-Z]+:)"
+RECORD_START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} [A-Z]+:"
 ASCTIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 MESSAGES = [
     # event, first words, pattern, its groups
@@ -65,16 +70,91 @@ def parse_run_log(records: DataFrame, value: str = "value") -> DataFrame:
                         F.when(F.col("event") == "other", F.col("_m")).otherwise(F.col("detail")).alias("detail"), "raw")
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log files -> parsed records with ``file`` and ``record`` (number in its file).
+_PIECE = "path string, file string, block long, place long, begins boolean, ends boolean, value string"
+
+
+def _pieces(batches):
+    """Lines of file blocks, in order -> pieces of records.
+
+    ``begins``: the piece starts with a record's first line; ``ends``: the next
+    record begins in the same block, so nothing more belongs to it.
+    """
+    now, held, place = None, [], 0            # (path, file, block), lines of the piece at hand
+
+    def rows(values, begins, ends):
+        nonlocal place
+        n = len(values)
+        start, place = place, place + n
+        cols = [pa.array([x] * n, t) for x, t in zip(now, (pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(
+            [*cols, pa.array(range(start + 1, start + n + 1), pa.int64()), pa.array(begins, pa.bool_()), pa.array(ends, pa.bool_()),
+             values if isinstance(values, pa.Array) else pa.array(values, pa.string())],
+            names=["path", "file", "block", "place", "begins", "ends", "value"])
 
-    A file is read whole (log files are rotated), so that the lines of a
-    message with line breaks stay one record.
+    def begun() -> bool:
+        return re.match(RECORD_START, held[0] or "") is not None
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        path, file, block, lines = b.column(0), b.column(1), b.column(2), b.column(3)
+        key = block.to_numpy()
+        codes = path.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(codes) != 0)) + 1
+        starts = pc.match_substring_regex(lines, RECORD_START).to_numpy(zero_copy_only=False)
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            here = (path[s].as_py(), file[s].as_py(), int(key[s]))
+            if here != now:
+                if held:
+                    yield rows(["\n".join(held)], [begun()], [False])
+                now, held, place = here, [], 0
+            at = s + np.flatnonzero(starts[s:e])
+            if not len(at):
+                held += lines[s:e].to_pylist()
+                continue
+            held += lines[s:int(at[0])].to_pylist()
+            if held:
+                yield rows(["\n".join(held)], [begun()], [True])
+            if len(at) > 1:         # records that lie in this batch
+                runs = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), lines)
+                whole = pc.binary_join(runs, "\n")
+                yield rows(whole, [True] * len(whole), [True] * len(whole))
+            held = lines[int(at[-1]):e].to_pylist()
+    if held:
+        yield rows(["\n".join(held)], [begun()], [False])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Log files -> ``(file, record, value)``, one row per record, its lines joined.
+
+    Files are read in blocks by many tasks (Spark's line reader; compressed
+    files are one block).  A record that runs over the end of its block is
+    joined again: a block's first lines, up to its first record, belong to the
+    last record begun in the blocks before it.  Only those ends are shuffled,
+    one or two pieces per block.  ``record`` grows along its file: the block's
+    first byte plus the place in the block, so 1, 2, 3 ... in a file of one
+    block.  Lines before a file's first record form one of their own; line ends
+    at the end of a record are dropped, and so are records without text.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    records = (files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), RECORD_START)).alias("record", "value"))
-               .filter(F.col("value") != ""))
-    return parse_run_log(records.withColumn("record", F.col("record") + 1))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), "value")
+    pieces = lines.mapInArrow(_pieces, _PIECE)
+    number = F.col("block") + F.col("place")
+    whole = pieces.filter("begins and ends").select("file", number.alias("record"), "value")
+    edges = pieces.filter("not (begins and ends)")
+    # the record a piece belongs to: how many records were cut by a block's end before it
+    w = Window.partitionBy("path").orderBy("block", "place")
+    edges = edges.withColumn("cut", F.sum(F.col("begins").cast("long")).over(w))
+    joined = (edges.groupBy("path", "file", "cut").agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("p"))
+              .select("file", (F.col("p")[0]["block"] + F.col("p")[0]["place"]).alias("record"),
+                      F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value")))
+    return (whole.unionByName(joined).withColumn("value", F.rtrim("value", F.lit("\r\n"))).filter(F.col("value") != ""))
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """Log files of any size -> parsed records with ``file`` and ``record`` (its place in the file, ascending)."""
+    return parse_run_log(read_records(spark, path))
 
 
 def render_action_lines(actions: DataFrame) -> DataFrame:

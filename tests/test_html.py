@@ -85,3 +85,44 @@ def test_elements_by_spec(spark):
     got = rows(extract_elements(df, ElementSpec("a", ("href",))), "page_id", "pos", "href", "text")
     assert got == [(1, 1, "/x", "Xy"), (1, 2, "/z", "Z"), (1, 3, None, "no link")]
     assert extract_elements(df, ElementSpec("a", ("href",), "ul", "nav")).count() == 2
+
+
+def test_pages_behind_the_stop_are_not_parsed(spark, tmp_path):
+    """A page behind its shelf's stop would fail the parser's test on its text; none does."""
+    from postscope.operators.crawl import crawl_waves
+    full = '<table id="books">' + "".join(f'<tr id="review_{i}"></tr>' for i in range(3)) + "</table>"
+    short, late = '<table id="books"><tr id="review_1"></tr></table>', full.replace("review_", "review_late")
+    rows = []
+    for user, stop, n in (("a", 1, 40), ("b", 6, 30), ("c", 13, 90), ("d", 99, 20)):
+        rows += [(user, p, short if p == stop else full if p < stop else late) for p in range(1, n + 1)]
+    rows += [(None, 1, short), (None, 2, full), ("a", None, full), ("d", None, full), ("e", 1, None), ("e", 2, late)]
+    parsed = spark.createDataFrame(rows, "user_id string, page long, html string")
+    seen = spark.sparkContext.accumulator(0)
+    from postscope.sources import html as H
+    real = H.shelf_page
+
+    def counted(text, site=H.SITE):
+        if text and "review_late" in text:
+            seen.add(1)
+        return real(text, site)
+    H.shelf_page, old = counted, H.shelf_page
+    try:
+        got = crawl_waves(parsed, per_page=3)
+        kept = sorted((r["user_id"] or "", r["page"] or 0, r["n_rows"]) for r in got.collect())
+        missed, _ = seen.value, H.parse_pages(parsed).collect()
+    finally:
+        H.shelf_page = old
+    want = [("", 1, 1), ("", 2, 3), ("a", 1, 1), ("d", 0, 3), ("e", 1, None)]
+    want += [("b", p, 3) for p in range(1, 6)] + [("b", 6, 1)] + [("c", p, 3) for p in range(1, 13)] + [("c", 13, 1)]
+    want += [("d", p, 3) for p in range(1, 21)]
+    assert kept == sorted(want) and missed == 0 and seen.value > 0       # the count does see a full parse
+    # the stored waves hold no page behind a stop
+    assert got.filter("n_rows is not null").count() == len(want) - 1
+
+
+def test_a_page_is_parsed_once(monkeypatch):
+    from postscope.sources import html as H
+    built = []
+    real = H._TreeBuilder
+    monkeypatch.setattr(H, "_TreeBuilder", lambda: built.append(1) or real())
+    assert H.shelf_page('<table id="books"><tr id="review_1"></tr></table>') == (1, []) and len(built) == 1

@@ -72,3 +72,30 @@ def test_classifier_nulls_and_wrong_results(spark):
     got = {r["media_id"]: (r["result"], r["skipped"], r["error"]) for r in with_classifier(df, fn, ["caption", "n"]).collect()}
     assert got["1"] == ("none", False, None) and got["2"] == ("gap", False, None)
     assert got["3"][0] is None and got["3"][2].startswith("TypeError")
+
+
+def test_one_log_file_is_read_by_many_tasks(spark, tmp_path):
+    """Blocks of 300 bytes: records cut by a block's end, or longer than a block, stay whole and in order."""
+    import random
+
+    from postscope.sources.runlog import read_records
+    rnd = random.Random(4)
+    want = ["junk before the first record"]
+    for i in range(400):
+        extra = "".join(f"\nline {j} of {i} " + "x" * rnd.randint(0, 60) for j in range(rnd.choice([0, 0, 0, 1, 3, 40 if i % 97 == 0 else 2])))
+        want.append(f"2024-01-0{1 + i // 100} 10:{i % 60:02d}:00,{i:03d} INFO:Liked post m{i} (hashtag: None) | Link: https://x/{i}/{extra}")
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "run.log").write_text("\n".join(want) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = read_records(spark, str(tmp_path / "logs"))
+        got = [r["value"] for r in df.orderBy("record").collect()]
+        parts = spark.read.option("lineSep", "\n").text(str(tmp_path / "logs")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert parts > 50 and got == want
+    assert [r["value"] for r in read_records(spark, str(tmp_path / "logs")).orderBy("record").collect()] == want
