@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 Q = 8                      # bytes of a key gram: one 64-bit integer
 MIN_BITS, MAX_BITS = 16, 26     # of the table of key grams, per gram length
 SPARSE = 64                # bits per pattern
-SAMPLE = 2_048             # texts that tell rare grams from common ones
+SAMPLE = 128               # texts that tell rare grams from common ones
 COUNT_BITS = 20            # slots of the sample's gram counts
-SLICE_BYTES = 1 << 21      # text handled at once inside a task
+SLICE_BYTES = 1 << 17      # text handled at once inside a task (its grams fit a cache)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,19 +69,23 @@ def _slot(g: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sample_counts(batches):
-    """Slots of the ``Q``-byte grams of sampled texts, each text's grams once."""
+    """Slots of the ``Q``-byte grams of texts, each text's grams once."""
     for b in batches:
         for _, data, off in _slices(b.column(0)):
             g, row = _grams(data, off, Q)
-            pair = np.unique(np.stack([row.astype(np.uint64), _slot(g, COUNT_BITS)]), axis=1)
-            slot, n = np.unique(pair[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["s", "n"])
+            once = np.sort(row.astype(np.uint64) << np.uint64(COUNT_BITS) | _slot(g, COUNT_BITS))
+            once = once[np.flatnonzero(np.diff(once, prepend=~once[:1]))] & np.uint64((1 << COUNT_BITS) - 1)
+            counts = np.bincount(once.astype(np.int64), minlength=1 << COUNT_BITS)
+            slot = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["s", "n"])
 
 
-def _common(texts: DataFrame) -> np.ndarray:
-    """Document frequencies of gram slots in a sample of the texts; the driver gets at most 2^``COUNT_BITS`` numbers."""
-    # by a hash of the text, so that the sample does not follow the table's order
-    some = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(8)) == 0).select("_text").limit(SAMPLE)
+def _common(texts: DataFrame, pats: DataFrame) -> np.ndarray:
+    """How many patterns, and texts of a sample, hold each gram slot; the driver gets at most 2^``COUNT_BITS`` numbers.
+
+    What many patterns share is common too: it tells the grams apart that the sample does not hold.
+    """
+    some = texts.select("_text").limit(SAMPLE).unionByName(pats.select(F.col("_pat").alias("_text")))
     found = some.mapInArrow(_sample_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     counts[found.column("s").to_numpy()] = found.column("n").to_numpy()
@@ -123,6 +127,26 @@ def _table(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _hits(data: np.ndarray, off: np.ndarray, tables: dict[int, np.ndarray], table_bits: int):
+    """Per length the grams whose bit is set, and their rows; a gram is the one a byte shorter and its next byte."""
+    if not len(data):
+        return
+    g = np.zeros(len(data), np.uint64)
+    for n in range(1, max(tables, default=0) + 1):
+        m = len(data) - n + 1
+        if m <= 0:
+            return
+        g = g[:m]
+        g |= data[n - 1:].astype(np.uint64) << np.uint64(8 * (n - 1))
+        if n not in tables:
+            continue
+        s = _slot(g, table_bits)
+        at = np.flatnonzero((tables[n][s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1))
+        row = np.searchsorted(off, at, "right") - 1
+        inside = at + n <= off[row + 1]
+        yield n, g[at[inside]], row[inside]
+
+
 def _finder(shared, table_bits: int):
     def find(batches):
         tables = shared.value
@@ -130,12 +154,8 @@ def _finder(shared, table_bits: int):
             lens: list = [[] for _ in range(b.num_rows)]
             vals: list = [[] for _ in range(b.num_rows)]
             for first, data, off in _slices(b.column(b.num_columns - 1)):
-                for n, bits in tables.items():
-                    g, row = _grams(data, off, n)
-                    s = _slot(g, table_bits)
-                    hit = (bits[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1
+                for n, g, row in _hits(data, off, tables, table_bits):
                     # one entry per row and gram
-                    g, row = g[hit], row[hit]
                     order = np.lexsort((g, row))
                     g, row = g[order], row[order]
                     new = np.ones(len(g), bool)
@@ -166,25 +186,32 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def matches(texts: DataFrame, text_keys: Sequence[str], text: str,
-            pats: DataFrame, pat_keys: Sequence[str], pat: str, table_bits: int | None = None) -> DataFrame:
-    """Rows of ``texts`` that contain a pattern: ``(text_keys..., matched)``.
-
-    ``matched`` is the array of the matching patterns' ``pat_keys`` as structs.
-    """
+def proposals(texts: DataFrame, text_keys: Sequence[str], text: str,
+              pats: DataFrame, pat_keys: Sequence[str], pat: str, table_bits: int | None = None) -> DataFrame:
+    """Per text (keys ``_k0``...) the patterns whose key gram it holds, as ``_prop``: to be verified."""
     sc = texts.sparkSession.sparkContext
     p = pats.select(*pat_keys, F.col(pat).alias("_pat")).filter(F.length("_pat") > 0)
     t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     if table_bits is None:
         table_bits = min(MAX_BITS, max(MIN_BITS, (SPARSE * p.count()).bit_length()))
-    p = p.mapInArrow(_keyer(table_bits, sc.broadcast(_common(t))), T.StructType([*p.schema.fields, T.StructField("n", T.IntegerType()),
+    p = p.mapInArrow(_keyer(table_bits, sc.broadcast(_common(t, p))), T.StructType([*p.schema.fields, T.StructField("n", T.IntegerType()),
                                            T.StructField("g", T.LongType()), T.StructField("s", T.LongType())]))
     shared = sc.broadcast(_table(p, table_bits))
     schema = T.StructType([t.schema[k] for k in text_keys] + [T.StructField("_grams", _PAIRS)])
     grams = t.mapInArrow(_finder(shared, table_bits), schema).select(*text_keys, F.explode("_grams").alias("_g")).select(*text_keys, "_g.n", "_g.g")
     named = F.struct(*[F.col(k) for k in pat_keys], F.col("_pat"))
-    proposed = (grams.join(p, ["n", "g"]).groupBy(*text_keys).agg(F.collect_set(named).alias("_prop"))
+    return (grams.join(p, ["n", "g"]).groupBy(*text_keys).agg(F.collect_set(named).alias("_prop"))
                 .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(text_keys)], "_prop"))
+
+
+def matches(texts: DataFrame, text_keys: Sequence[str], text: str,
+            pats: DataFrame, pat_keys: Sequence[str], pat: str, table_bits: int | None = None) -> DataFrame:
+    """Rows of ``texts`` that contain a pattern: ``(text_keys..., matched)``.
+
+    ``matched`` is the array of the matching patterns' ``pat_keys`` as structs.
+    """
+    t = texts.select(*text_keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    proposed = proposals(texts, text_keys, text, pats, pat_keys, pat, table_bits)
     joined = t.join(proposed, _same(t, proposed, text_keys))
     held = F.filter("_prop", lambda x: F.contains(F.col("_text"), x["_pat"]))
     only = F.transform("_held", lambda x: F.struct(*[x[k].alias(k) for k in pat_keys]))

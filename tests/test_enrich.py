@@ -76,3 +76,21 @@ def test_substring_join_equals_brute_force(spark):
     hit = {r["tid"] for r in J.contains_any(t, ["tid"], "text", p, "pat").collect()}
     assert hit == {i for i, _ in want}
     assert J.contains_pairs(t, ["tid"], "text", p.limit(0), ["pid"], "pat").count() == 0
+
+
+def test_proposals_stay_flat_as_patterns_grow(spark):
+    """Every text and every pattern holds the same common phrase; patterns grow 100 times."""
+    import random
+
+    from postscope.operators import substring_join as J
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = spark.createDataFrame([(i, f"{word()} the history of {word()} and {word()}") for i in range(300)], "tid int, text string")
+    pats = [(j, f"the history of {word()}") for j in range(2000)]
+
+    def proposed(n):
+        p = spark.createDataFrame(pats[:n], "pid int, pat string")
+        out = J.proposals(texts, ["tid"], "text", p, ["pid"], "pat").selectExpr("sum(size(_prop)) AS n").first()["n"]
+        return out or 0
+    few, many = proposed(20), proposed(2000)
+    assert few <= 30 and many <= 30          # none of the 300 x 2000 pairs that share the phrase
