@@ -146,6 +146,20 @@ def q_append_roundtrip(spark, sf):
     return _log_columns(back)
 
 
+@query("append_batches")
+def q_append_batches(spark, sf):
+    """Batches committed once: a repeated batch adds nothing, a day's batches are joined."""
+    from .session import scratch_path
+    from .sources.actions import append_actions, compact_day, read_actions
+    a = _actions(spark, sf)
+    path = scratch_path(spark, "append-batches")
+    for n in range(3):
+        append_actions(a.filter(F.col("id") % 3 == n), path, batch=f"run-{n}")
+    compact_day(spark, path, "2024-01-15")
+    append_actions(a.filter(F.col("id") % 3 == 1), path, batch="run-1")      # a retried run
+    return _log_columns(read_actions(spark, path))
+
+
 @query("evolved_union")
 def q_evolved_union(spark, sf):
     from .sources.actions import union_evolved, v1_projection
@@ -291,6 +305,19 @@ def q_already_commented(spark, sf):
     return S.already(_likes(spark, sf), _actions(spark, sf), "comment")
 
 
+@query("not_yet_indexed")
+def q_not_yet_indexed(spark, sf):
+    """The history test against a log that is bucketed by account and post."""
+    import uuid
+
+    from .operators import screening as S
+    from .session import scratch_path
+    from .sources.actions import save_history
+    name = f"history_{uuid.uuid4().hex[:12]}"
+    log = save_history(_actions(spark, sf), name, buckets=16, path=scratch_path(spark, name))
+    return S.not_yet(_likes(spark, sf), log, "comment")
+
+
 @query("screen_by_table")
 def q_screen_by_table(spark, sf):
     from .operators import screening as S
@@ -585,3 +612,16 @@ def q_classifier_hook(spark, sf):
     from .operators.enrich import with_author
     d = with_author(_posts(spark, sf), td.authors(spark, sf))
     return with_classifier(d, review_brief, ["caption", "username"]).select("media_id", "result", "skipped", "error")
+
+
+@query("classify_once")
+def q_classify_once(spark, sf):
+    """The hook with stored results: a first run over a part of the posts, then one over all of them."""
+    from .operators.classifier import classify_once
+    from .operators.enrich import with_author
+    from .session import scratch_path
+    d = with_author(_posts(spark, sf), td.authors(spark, sf))
+    store = scratch_path(spark, "classified")
+    classify_once(d.filter(F.col("like_count") % 2 == 0), review_brief, ["caption", "username"], store, "brief-1")
+    return (classify_once(d, review_brief, ["caption", "username"], store, "brief-1")
+            .select("media_id", "result", "skipped", "error"))

@@ -9,12 +9,16 @@ job.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import Folder
+
 
 def with_classifier(df: DataFrame, fn: Callable[[dict], str | None], inputs: Sequence[str],
                     key: str = "media_id") -> DataFrame:
@@ -45,3 +49,40 @@ def with_classifier(df: DataFrame, fn: Callable[[dict], str | None], inputs: Seq
                              error=pd.Series(errors, dtype=object))
 
     return base.mapInPandas(run, schema)
+
+
+_RESULT = T.StructType([T.StructField("_hash", T.StringType()), T.StructField("result", T.StringType()),
+                        T.StructField("skipped", T.BooleanType()), T.StructField("error", T.StringType())])
+
+
+def classify_once(df: DataFrame, fn: Callable[[dict], str | None], inputs: Sequence[str], store: str, version: str,
+                  key: str = "media_id", retry_errors: bool = False) -> DataFrame:
+    """``with_classifier`` that calls ``fn`` once per distinct input, over all runs.
+
+    Results are stored below ``store`` under a hash of the inputs and of
+    ``version`` (the name of the classifier; a new one is called anew).  A run
+    calls ``fn`` for inputs that are not stored, adds them as one part, and
+    answers every row from the store, so a restarted or extended run pays for
+    its new rows only.  Only whole parts count.  ``key`` is passed to ``fn``
+    only if it is among ``inputs``.  Errors are stored like results;
+    ``retry_errors`` calls for them again, and the later answer counts.
+    """
+    spark = df.sparkSession
+    folder = Folder(spark, store)
+
+    def stored() -> DataFrame:
+        parts = [n for n in folder.names() if folder.exists(f"{n}/_SUCCESS")]
+        if not parts:
+            return spark.createDataFrame([], _RESULT)
+        rows = spark.read.schema(_RESULT).parquet(*[f"{store}/{n}" for n in parts])
+        # an answer that is no error counts before one that is
+        best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "error", "result", "skipped")).alias("b")
+        return rows.groupBy("_hash").agg(best).select("_hash", "b.result", "b.skipped", "b.error")
+
+    text = F.to_json(F.struct(*[F.col(c) for c in inputs]), {"ignoreNullFields": "false"})
+    hashed = df.withColumn("_hash", F.sha2(F.concat_ws("\n", F.lit(version), text), 256))
+    known = stored().filter("error IS NULL") if retry_errors else stored()
+    new = hashed.select("_hash", *inputs).dropDuplicates(["_hash"]).join(known.select("_hash"), "_hash", "left_anti")
+    called = with_classifier(new, lambda rec: fn({c: rec[c] for c in inputs}), list(inputs), "_hash")
+    called.select(*_RESULT.names).write.parquet(f"{store}/part-{uuid.uuid4().hex}")
+    return hashed.join(stored(), "_hash", "left").select(key, *[c for c in inputs if c != key], "result", "skipped", "error")

@@ -498,3 +498,7 @@ SELECT media_id,
        CASE WHEN length(coalesce(caption, '')) >= 50 AND contains(caption, '@')
             THEN 'ValueError: personal data in caption' END AS error
 FROM posts LEFT JOIN authors USING (author_id)"""
+
+SQL["append_batches"] = SQL["append_roundtrip"]
+SQL["not_yet_indexed"] = SQL["not_yet_commented"]
+SQL["classify_once"] = SQL["classifier_hook"]

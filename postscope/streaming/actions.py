@@ -20,13 +20,14 @@ from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import Folder
 from ..operators.quota import quota_over_days, with_history
 from ..session import scratch_path
-from .store import Folder, Marks, MergedTable
+from .store import Marks, MergedTable
 
 
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -11,10 +11,11 @@ from postscope.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # Python workers are allowed only for HTML parsing (S6, S7), the injected classifier
-# and the gram pass of the substring join
+# the gram pass of the substring join (J4, J5), joining the lines of log records (S8) and the walk over days
 PYTHON_OK = {"shelf_extract", "page_elements", "classifier_hook", "title_match", "title_match_by_reader", "post_features",
-             "screen_by_table"}
-STREAMING = {"stream_daily_counts", "stream_first_action", "stream_quota", "append_roundtrip", "evolved_scan"}
+             "screen_by_table", "run_log_parse", "quota"}
+STREAMING = {"stream_daily_counts", "stream_late_rows", "stream_first_action", "stream_quota", "append_roundtrip",
+             "append_batches", "evolved_scan"}
 
 
 def _plan(df):
@@ -48,6 +49,22 @@ def test_top_k_plans(spark):
         assert "WindowGroupLimit" in _plan(E.queries()[key](spark, SF)), key
 
 
+def test_history_index_is_not_moved(spark):
+    """No exchange below the join on the bucketed log's side."""
+    from postscope.catalog import q_not_yet_indexed
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        plan = _plan(q_not_yet_indexed(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
+    log_side = plan[plan.index("SortMergeJoin"):].split("Bucketed: true")
+    assert len(log_side) == 2 and plan.count("Exchange hashpartitioning") == 1, plan
+    assert "Exchange" not in log_side[0].rsplit("FileScan", 2)[-1].rsplit("Sort [", 1)[-1]
+
+
 def test_language_agreement_reported(spark):
     """The stop-word scorer is a re-aim of a detection library: report how
     often it agrees with the generator's language label, do not assume it."""

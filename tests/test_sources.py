@@ -99,3 +99,96 @@ def test_one_log_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
     assert parts > 50 and got == want
     assert [r["value"] for r in read_records(spark, str(tmp_path / "logs")).orderBy("record").collect()] == want
+
+
+def _ids(spark, path):
+    return sorted(r["id"] for r in read_actions(spark, path).collect())
+
+
+def test_a_batch_is_committed_once(spark, tmp_path, monkeypatch):
+    import postscope.sources.actions as A
+    path = str(tmp_path / "log")
+    a = make_actions(spark, [(i, f"2024-01-0{1 + i % 3} 10:00:00", "like", None) for i in range(30)])
+    assert append_actions(a.filter("id < 10"), path, "b0") and append_actions(a.filter("id BETWEEN 10 AND 19"), path, "b1")
+    assert not append_actions(a.filter("id < 10"), path, "b0")
+    assert _ids(spark, path) == list(range(20))
+    # cut off after its files were written, before it was committed: not seen, and written anew
+    real = A.Folder.write_text
+
+    def killed(self, name, text):
+        if name.startswith("_batches/b2"):
+            raise KeyboardInterrupt
+        real(self, name, text)
+    monkeypatch.setattr(A.Folder, "write_text", killed)
+    with pytest.raises(KeyboardInterrupt):
+        append_actions(a.filter("id >= 20"), path, "b2")
+    assert _ids(spark, path) == list(range(20))
+    monkeypatch.setattr(A.Folder, "write_text", real)
+    assert append_actions(a.filter("id >= 20"), path, "b2")
+    assert _ids(spark, path) == list(range(30))
+    with pytest.raises(ValueError):
+        append_actions(a, path, "a/b")
+
+
+def test_days_are_joined_without_loss(spark, tmp_path, monkeypatch):
+    import postscope.sources.actions as A
+    path = str(tmp_path / "log")
+    a = make_actions(spark, [(i, f"2024-01-0{1 + i % 3} 10:00:00", "like", None) for i in range(60)])
+    for n in range(4):
+        append_actions(a.filter(f"id % 4 = {n}"), path, f"b{n}")
+    day = tmp_path / "log" / "date=2024-01-02"
+    # cut off at every step: readers see each row once
+    for step in ("_open/joined", "_joined/joined", "finish"):
+        real_write, real_finish = A.Folder.write_text, A._finish_joins
+        calls = []
+
+        def write(self, name, text, step=step, real=real_write):
+            if name.startswith(step):
+                raise KeyboardInterrupt
+            real(self, name, text)
+
+        def finish(log, real=real_finish, calls=calls):
+            calls.append(1)
+            if len(calls) == 2:
+                raise KeyboardInterrupt
+            real(log)
+        monkeypatch.setattr(A.Folder, "write_text", write)
+        if step == "finish":
+            monkeypatch.setattr(A, "_finish_joins", finish)
+        with pytest.raises(KeyboardInterrupt):
+            A.compact_day(spark, path, "2024-01-02")
+        assert _ids(spark, path) == list(range(60)), step
+        monkeypatch.setattr(A.Folder, "write_text", real_write)
+        monkeypatch.setattr(A, "_finish_joins", real_finish)
+    A.compact_day(spark, path, "2024-01-02")
+    assert _ids(spark, path) == list(range(60))
+    assert len([d for d in day.iterdir() if d.name.startswith("batch=")]) == 1
+    assert A.compact_day(spark, path, "2024-01-03") == 4 and A.compact_day(spark, path, "2024-01-03") == 0
+    assert not append_actions(a.filter("id % 4 = 1"), path, "b1") and _ids(spark, path) == list(range(60))
+
+
+def test_classifier_is_called_once_per_input(spark, tmp_path):
+    from postscope.operators.classifier import classify_once
+    called = spark.sparkContext.accumulator(0)
+
+    def fn(rec):
+        called.add(1)
+        if rec["caption"] == "bad":
+            raise ValueError("no")
+        return None if rec["caption"] is None else f"<{rec['caption']}>"
+    rows = [(f"m{i}", c) for i, c in enumerate(["a", "b", "a", None, "bad", "b", "c"])]
+    df = spark.createDataFrame(rows, "media_id string, caption string")
+    store = str(tmp_path / "store")
+
+    def run(d, version="v1", **kw):
+        before = called.value
+        got = sorted(tuple(r) for r in classify_once(d, fn, ["caption"], store, version, **kw).collect())
+        return got, called.value - before
+    first, n = run(df.filter("media_id < 'm3'"))
+    assert n == 2 and [r[2] for r in first] == ["<a>", "<b>", "<a>"]
+    whole, n = run(df)
+    assert n == 3 and [r[2] for r in whole] == ["<a>", "<b>", "<a>", None, None, "<b>", "<c>"]
+    assert [r[3] for r in whole] == [False, False, False, True, False, False, False] and whole[4][4] == "ValueError: no"
+    assert run(df) == (whole, 0)
+    assert run(df, retry_errors=True) == (whole, 1)
+    assert run(df, version="v2") == (whole, 5)
