@@ -7,6 +7,9 @@ of a task depends on the slice limit and its longest single text only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,19 +37,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _scratch.append(path)
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_scratch: list[str] = []
+# scratch tables written inside a ``decided`` call; each call has its own list
+_owned: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
 
+def decided(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored result of ``make``; the scratch tables written while making it are removed.
 
-def release(spark: SparkSession) -> None:
-    """Remove the scratch tables written so far; call it when no plan reads them any more."""
+    Only its own tables: other results, of this thread or another, keep theirs.
+    """
+    paths: list[str] = []
+    outer = _owned.set(paths)
+    try:
+        found = make()
+        path = scratch_path(spark, name)
+        found.write.parquet(path)
+    finally:
+        _owned.reset(outer)
+    remove(spark, paths)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables that no plan reads any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -1,8 +1,8 @@
 """Shards of near-equal bytes from a k-d tree over document metadata.
 
 Equal texts are aggregated to one unit first (its bytes are its weight), so
-copies stay together; a group of copies larger than ``SPLIT_SHARE`` of a shard
-is cut into parts, of which there is a bounded number.  The units are split at
+copies stay together; only a group of copies that does not fit into one shard is
+cut, into parts of ``PART_SHARE`` of a shard.  The units are split at
 weighted medians, again and again, along the dimension that is widest in the
 node: text size (log scale), source and language (categories, placed by a hash).
 Ties in a dimension are ordered by a hash of the unit, so a cut goes through a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.ranking import bucketed_row_number
 from .common import pick, staged
 
-SPLIT_SHARE = 0.01
+PART_SHARE = 0.05
 CODE_BITS, TIE_BITS, RADIX = 12, 21, 11
 DIMENSIONS = ("by_size", "by_source", "by_lang")
 
@@ -91,11 +91,11 @@ def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None, doc
         while shards * target_bytes < total:
             shards *= 2
     same = ["h", "text_crc32", "size"]
-    most = max(1.0, SPLIT_SHARE * total / shards)
-    # fewer than shards / SPLIT_SHARE groups can be that large
-    large = (rows.groupBy(*same).agg(F.sum("size").alias("b")).filter(F.col("b") > most)
-             .select(*same, F.ceil(F.col("b") / most).cast("long").alias("parts")))
-    parted = rows.join(F.broadcast(large), same, "left").select(
+    fits, part = max(1.0, total / shards), max(1.0, PART_SHARE * total / shards)
+    # fewer than ``shards`` groups; stored, so that a hot group's side of the join can be split
+    large = staged(rows.groupBy(*same).agg(F.sum("size").alias("b")).filter(F.col("b") > fits)
+                   .select(*same, F.ceil(F.col("b") / part).cast("long").alias("parts")), "kd-large")
+    parted = rows.join(large, same, "left").select(
         *rows.columns, F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")), F.lit(0)).alias("part"))
     units = staged(parted.groupBy(*same, "part").agg(
         F.sum("size").alias("bytes"), F.min("source").alias("by_source"), F.min("lang").alias("by_lang")).select(

@@ -11,8 +11,9 @@ that serves them:
    suffix in about ``REACH / 2`` is enough (residues of a fixed cover would need
    far more, as they cannot follow the text).
 2. A sample's windows form a cell.  Its core name hashes the bytes all windows
-   of such a cell hold: if it is unique, none of them repeats.  Its full name
-   hashes all the bytes they hold: if two cells share it, all of them repeat.
+   of such a cell hold: if it is unique, none of them repeats, and the cell is
+   dropped.  Only then the others get a full name, which hashes all the bytes
+   they hold: if two cells share it, all of them repeat.
 3. Cells with a shared core but a unique full name (the edges of a repeated
    passage) are cut into smaller cells and named again, together with one
    witness of every settled cell of the same core, down to single windows.
@@ -35,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, slices, staged, utf8
-from .suffix_kernels import cells, covered, samples
+from .suffix_kernels import cells, cores, covered, samples
 
 SPAN = 400
 REACH = 256
 STEPS = (16, 1)        # cell sizes of the finer levels
 
-_CELL = pa.struct([(n, pa.int64()) for n in ("a", "lo", "hi", "core", "f1", "f2")])
-_CELL_SQL = "array<struct<a:long,lo:long,hi:long,core:long,f1:long,f2:long>>"
+_CELL = pa.struct([(n, pa.int64()) for n in ("a", "lo", "hi", "core")])
+_CELL_SQL = "array<struct<a:long,lo:long,hi:long,core:long>>"
 
 
 def _lists(counts: np.ndarray, columns: list[np.ndarray]) -> pa.Array:
@@ -62,8 +63,8 @@ def _first_names(span: int, reach: int):
                 d, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
                 a, lo, hi = samples(d, o, span, reach)
                 doc = np.searchsorted(o, lo, "right") - 1
-                _, _, _, core, full = cells(d, a, lo, hi, span, reach) if len(a) else (0, 0, 0, a.astype(np.uint64), np.empty((0, 2), np.uint64))
-                parts.append([a - o[doc], lo - o[doc], hi - o[doc], core, full[:, 0], full[:, 1]])
+                core = cores(d, a, span, reach) if len(a) else a.astype(np.uint64)
+                parts.append([a - o[doc], lo - o[doc], hi - o[doc], core])
                 counts.append(np.bincount(doc, minlength=j - i))
             if not parts:
                 continue
@@ -91,15 +92,20 @@ def _finer_names(span: int, step: int):
     return name
 
 
-def _settle(named: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(repeated cells, cells to name again) of one level."""
+def _shared(named: DataFrame) -> DataFrame:
+    """Cells whose core name is not unique."""
+    # stored, so that both sides of the join arrive by a plain exchange that can be split where a core is hot
+    names = staged(named.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "shared-cores")
+    return staged(named.join(names, "core", "left_semi"), "shared-cells")
+
+
+def _settle(named: DataFrame, first: bool, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(repeated cells, cells to name again) of one level; on the first all cores are shared."""
     full = ["core", "f1", "f2"]
     if last:
-        again = named.groupBy(*full).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        again = staged(named.groupBy(*full).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-names")
         return named.filter("edge").join(again, full, "left_semi").select("rid", "lo", "hi"), None
-    # stored, so that both sides of the join arrive by a plain exchange that can be split where a core is hot
-    shared = staged(named.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "shared-cores")
-    kept = staged(named.join(shared, "core", "left_semi"), "shared-cells")
+    kept = named if first else _shared(named)
     classes = kept.groupBy(*full).agg(F.count("*").alias("n"), F.min(F.struct("rid", "a", "lo", "hi")).alias("one"),
                                       F.max("edge").alias("some_edge"))
     twice = staged(classes, "cell-classes")
@@ -147,22 +153,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     keyed = d.select("doc_id", F.xxhash64("text").alias("t64"), "text")
     rows = staged(keyed.mapInArrow(_first_names(span, reach), f"doc_id {kind}, t64 long, n_bytes long, sha256 string, cells {_CELL_SQL}")
                   .withColumn("rid", F.monotonically_increasing_id()), "suffix-samples")
-    named = rows.select("rid", F.explode("cells").alias("c")).select("rid", "c.*", F.lit(True).alias("edge"))
-    found, todo = _settle(named, not steps)
-    hits = [found]
+    named = rows.select("rid", F.explode("cells").alias("c")).select("rid", "c.*")
+    todo = _shared(named).select("rid", "a", "lo", "hi", F.lit(True).alias("edge"))
+    hits = []
     # texts of the documents that hold a shared cell, once
-    key = rows.select("rid", "doc_id", "t64")
-    touched = found.select("rid")
-    if todo is not None:
-        touched = touched.union(todo.select("rid"))
-    one = touched.distinct().join(key, "rid")
+    one = todo.select("rid").distinct().join(rows.select("rid", "doc_id", "t64"), "rid")
     texts = staged(keyed.withColumnRenamed("doc_id", "d").withColumnRenamed("t64", "t").join(
         one, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("t64"))).select("rid", "text"), "touched-texts")
+    steps = (reach, *steps)
     for k, step in enumerate(steps):
         lists = todo.groupBy("rid").agg(F.collect_list(F.struct("a", "lo", "hi", "edge")).alias("todo"))
         named = staged(texts.join(lists, "rid").select("rid", "text", "todo").mapInArrow(
             _finer_names(span, step), "rid long, a long, lo long, hi long, core long, f1 long, f2 long, edge boolean"), "finer-cells")
-        found, todo = _settle(named, k == len(steps) - 1)
+        found, todo = _settle(named, k == 0, k == len(steps) - 1)
         hits.append(found)
     cover = hits[0]
     for h in hits[1:]:

@@ -41,6 +41,11 @@ def samples(data: np.ndarray, off: np.ndarray, span: int, reach: int):
     return pos[begin], s[begin], s[np.append(begin[1:], len(s)) - 1]
 
 
+def cores(data: np.ndarray, a: np.ndarray, span: int, reach: int) -> np.ndarray:
+    """Core names of whole samples: hash of the bytes that every window of such a sample holds."""
+    return mix(span_hash(prefix_hash(data), a, a + span - reach + 1))
+
+
 def cells(data: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int, step: int):
     """Cut the windows ``lo..hi`` of each sample into cells of ``step`` distances, and name them.
 

@@ -341,6 +341,27 @@ def test_kd_shards(spark):
     for r in kd_shards.shard(few).collect():
         text.setdefault(r.text_crc32, set()).add(r.shard)
     assert all(len(v) == 1 for v in text.values())
+    # groups of a tenth to nine tenths of a shard are not cut either
+    sizes = [100, 200, 300, 450, 700, 900]
+    big = [(i, f"group {k} " + "x" * 92, "s", "en") for i, k in enumerate(k for k, n in enumerate(sizes) for _ in range(n))]
+    big += [(10_000 + i, f"single {i:06d} " + "y" * 87, rng.choice("ab"), rng.choice(["en", "de"])) for i in range(8000 - sum(sizes))]
+    where, size = {}, [0] * 8
+    for r in kd_shards.shard(frame(spark, big, ", source string, lang string")).collect():
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(v) == 1 for v in where.values()) and max(size) <= 1.25 * min(size)
+
+
+def test_kd_cuts_are_weighted_medians(spark):
+    """Two leaves: the cut by the widest dimension is the one nearest to half of the bytes, among all cuts."""
+    rng = random.Random(9)
+    rows = [(i, "z" * rng.randint(1, 4000) + str(i), "s", "en") for i in range(400)]       # only the size varies
+    got = kd_shards.shard(frame(spark, rows, ", source string, lang string"), shards=2).collect()
+    total = sum(r.size for r in got)
+    low = sum(r.size for r in got if r.shard == 0)
+    by_size = sorted(min(4095, int(math.log2(r.size) * 96)) for r in got if r.shard == 0)[-1]
+    assert by_size <= min(min(4095, int(math.log2(r.size) * 96)) for r in got if r.shard == 1)
+    assert abs(low - total / 2) <= max(r.size for r in got) / 2
 
 
 # -- language ----------------------------------------------------------------
