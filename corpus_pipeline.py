@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postscope.llm.common import remove
 from postscope.llm.stages import decontaminated, known_language, packed, unique_documents, without_repeats
 from postscope.session import scratch_path
 
@@ -25,9 +26,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """The rows of the last stage; the tables of the stages before it are removed when they have been read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
+    return docs
