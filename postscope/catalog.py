@@ -461,6 +461,43 @@ def q_detect_language(spark, sf):
     return detect_languages(_posts(spark, sf), "media_id", "caption")
 
 
+@query("language_profiles")
+def q_language_profiles(spark, sf):
+    from .functions.profiles import learn_profiles
+    return learn_profiles(td.table(spark, sf, "documents"))
+
+
+@query("detect_language_by_profile")
+def q_detect_language_by_profile(spark, sf):
+    from .functions.profiles import detect_by_profile, learn_profiles
+    return detect_by_profile(_posts(spark, sf), learn_profiles(td.table(spark, sf, "documents")))
+
+
+@query("language_agreement")
+def q_language_agreement(spark, sf):
+    # short texts: every document cut at its sentences and lines; a fifth of the documents teaches nothing
+    from .functions.language import LANG_ORDER, with_language
+    from .functions.profiles import detect_by_profile, learn_profiles
+    from .plans.ranking import spread
+    held_out = F.col("doc_id") % 5 == 0
+    docs = td.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    pieces = (spread(docs, "doc_id").select("doc_id", F.col("lang").alias("label"), F.posexplode(F.split("text", r"[.!?\n]")).alias("pos", "piece"))
+              .filter(F.col("label").isin(LANG_ORDER) & F.col("piece").rlike(r"\p{L}")))
+    found = detect_by_profile(with_language(pieces, "piece", "by_words"), learn_profiles(docs.filter(~held_out)),
+                              ["doc_id", "pos", "label", "by_words"], "piece")
+    return (found.groupBy("label", held_out.alias("held_out"))
+            .agg(F.count("*").alias("n_pieces"), F.count_if(F.col("lang") == F.col("label")).alias("right_by_profile"),
+                 F.count_if(F.col("by_words") == F.col("label")).alias("right_by_words")))
+
+
+@query("post_features_by_profile")
+def q_post_features_by_profile(spark, sf):
+    from .functions.profiles import learn_profiles
+    from .operators.enrich import post_features
+    return post_features(_posts(spark, sf), td.authors(spark, sf), td.follows(spark, sf), td.shelf(spark, sf), td.VIEWER_ID,
+                         profiles=learn_profiles(td.table(spark, sf, "documents")))
+
+
 @query("post_brief")
 def q_post_brief(spark, sf):
     from .operators.enrich import post_brief, with_author

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import language_route, relation, with_language
+from ..functions.language import DEFAULT_LANG, language_route, relation, with_language
+from ..functions.profiles import detect_by_profile
 from ..functions.text import excerpt, or_missing, post_link, ustrip
 from .substring_join import matches
 
@@ -81,13 +82,19 @@ def post_brief(details: DataFrame) -> DataFrame:
 
 
 def post_features(posts: DataFrame, authors: DataFrame, follows: DataFrame, shelf: DataFrame,
-                  viewer_id, reader: str | None = None) -> DataFrame:
+                  viewer_id, reader: str | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """one row per post with author, relation, language route and book.
 
     ``reader`` is the viewer's shelf owner (default: the only shelf given).  The
-    language is an expression of the same scan.
+    language is an expression of the same scan, or, with ``profiles``, that of
+    the trained model (``functions.profiles``).
     """
-    d = with_following(with_author(with_language(posts, "caption"), authors), follows, viewer_id)
+    if profiles is None:
+        posts = with_language(posts, "caption")
+    else:
+        found = detect_by_profile(posts, profiles, "media_id", "caption").drop("margin")
+        posts = posts.join(found, "media_id", "left").withColumn("lang", F.coalesce("lang", F.lit(DEFAULT_LANG)))
+    d = with_following(with_author(posts, authors), follows, viewer_id)
     mine = shelf if reader is None else shelf.filter(F.col("user_id") == reader)
     books = title_match(posts.select("media_id", "caption"), mine).drop("user_id")
     return (d.join(books, "media_id", "left")

@@ -382,6 +382,50 @@ SELECT p.media_id, a.username, a.full_name,
 FROM posts p LEFT JOIN authors a USING (author_id) JOIN lang l USING (media_id)
 LEFT JOIN matched m USING (media_id) LEFT JOIN shelf s ON s.position = m.position"""
 
+# the profile model: trigrams of words between spaces, the 400 most frequent of each language
+_CUT = "unnest(regexp_extract_all(lower(coalesce({text}, '')), '\\p{{L}}{{1,64}}')) AS word"
+_TRIGRAMS = "unnest([substr(' ' || word || ' ', CAST(i AS BIGINT), 3) FOR i IN range(1, length(word) + 1)]) AS gram"
+_LOG = "CAST(floor(1000.0::DOUBLE * ln((n_{0} + 0.5::DOUBLE) / (t_{0} + 1)) + 0.5::DOUBLE) AS BIGINT) AS w_{0}"
+_FOUR = ("en", "es", "fr", "de")
+
+
+def _profiles(where: str = "true") -> str:
+    return f"""grams AS (
+  SELECT lang, gram, count(*) AS n FROM (SELECT lang, {_TRIGRAMS}
+    FROM (SELECT lang, {_CUT.format(text='text')} FROM documents WHERE lang IN ('en', 'es', 'fr', 'de') AND {where})) GROUP BY ALL),
+totals AS (SELECT {', '.join(f"coalesce(sum(n) FILTER (lang = '{x}'), 0)::BIGINT AS t_{x}" for x in _FOUR)} FROM grams),
+kept AS (SELECT DISTINCT gram FROM (
+  SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM grams) WHERE r <= 400),
+wide AS (SELECT gram, {', '.join(f"coalesce(sum(n) FILTER (lang = '{x}'), 0)::BIGINT AS n_{x}" for x in _FOUR)}
+  FROM grams WHERE gram IN (SELECT gram FROM kept) GROUP BY gram),
+model AS (SELECT gram, {', '.join(f"n_{x}" for x in _FOUR)}, {', '.join(_LOG.format(x) for x in _FOUR)} FROM wide, totals)"""
+
+
+def _by_profile(name: str, source: str, key: str, text: str) -> str:
+    """Language and margin per key of ``source``; keys without a known trigram are en."""
+    best = "greatest(en, es, fr, de)"
+    return f"""{name} AS (
+  SELECT {key}, CASE WHEN en IS NULL OR en = {best} THEN 'en' WHEN es = {best} THEN 'es' WHEN fr = {best} THEN 'fr' ELSE 'de' END AS lang,
+         coalesce(list_sort([en, es, fr, de], 'DESC')[1] - list_sort([en, es, fr, de], 'DESC')[2], 0)::BIGINT AS margin
+  FROM (SELECT DISTINCT {key} FROM {source}) LEFT JOIN (
+    SELECT {key}, {', '.join(f"sum(w_{x}) AS {x}" for x in _FOUR)}
+    FROM (SELECT {key}, {_TRIGRAMS} FROM (SELECT {key}, {_CUT.format(text=text)} FROM {source})) JOIN model USING (gram)
+    GROUP BY {key}) USING ({key}))"""
+
+
+SQL["language_profiles"] = w(_profiles()) + "SELECT * FROM model"
+SQL["detect_language_by_profile"] = w(POSTS, _profiles(), _by_profile("found", "posts", "media_id", "caption")) + "SELECT * FROM found"
+SQL["language_agreement"] = w(_profiles("doc_id % 5 <> 0"), r"""cut AS (
+  SELECT doc_id, lang AS label, unnest(range(0, len(p))) AS pos, unnest(p) AS caption
+  FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[.!?\n]') AS p FROM documents WHERE lang IN ('en', 'es', 'fr', 'de')))""",
+    r"""posts AS (SELECT doc_id || '/' || pos AS media_id, doc_id, label, caption FROM cut WHERE regexp_matches(caption, '\p{L}'))""",
+    LANG, _by_profile("found", "posts", "media_id", "caption")) + """
+SELECT p.label, p.doc_id % 5 = 0 AS held_out, count(*) AS n_pieces,
+       count(*) FILTER (f.lang = p.label) AS right_by_profile, count(*) FILTER (l.lang = p.label) AS right_by_words
+FROM posts p JOIN found f USING (media_id) JOIN lang l USING (media_id) GROUP BY ALL"""
+SQL["post_features_by_profile"] = SQL["post_features"].replace(
+    LANG, _profiles() + ",\n" + _by_profile("lang", "posts", "media_id", "caption"))
+
 SQL["shelf_extract"] = """
 WITH r AS (
   SELECT p_partkey, p_name, p_brand, p_type, p_size, (p_partkey % 3)::VARCHAR AS user_id,

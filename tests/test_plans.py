@@ -12,7 +12,7 @@ from postscope.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 # Python workers are allowed only for HTML parsing (S6, S7), the injected classifier
 # the gram pass of the substring join (J4, J5), joining the lines of log records (S8) and the walk over days
-PYTHON_OK = {"shelf_extract", "page_elements", "classifier_hook", "title_match", "title_match_by_reader", "post_features",
+PYTHON_OK = {"shelf_extract", "page_elements", "classifier_hook", "title_match", "title_match_by_reader", "post_features", "post_features_by_profile",
              "screen_by_table", "shelf_crawl", "run_log_parse", "quota"}
 STREAMING = {"stream_daily_counts", "stream_late_rows", "stream_first_action", "stream_quota", "append_roundtrip",
              "append_batches", "evolved_scan"}
