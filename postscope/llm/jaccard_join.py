@@ -4,9 +4,11 @@ Documents with equal n-gram sets are one class.  Every class has ``COORDS``
 min-hash coordinates, the tokens that a random order of all n-grams puts first.
 A run starts with all classes in one node and splits each node on ``FAN``
 sampled coordinates: classes that share the sampled token go to the same child.
-Nodes are split until they are small (or until a split no longer helps: a group
-of near copies shares nearly all tokens), and then compared by brute force, a
-large one in tiles of ``TILE`` x ``TILE`` classes.  Runs are repeated until a
+Nodes are split until they are small or hold near copies, which no split takes
+apart, and then compared by brute force, a large one in tiles of ``TILE`` x
+``TILE`` classes.  The sizes of a node's children tell which: the sum of their
+squares over ``FAN`` times the node's own is the share of its pairs that agree on
+a sampled coordinate.  It is low where the classes have only a passage in common.  Runs are repeated until a
 pair at the threshold is met with probability ``RECALL``.
 
 A pair that meets in several nodes is judged in the smallest of them only, so
@@ -127,8 +129,8 @@ def _split(batches):
             at.append(row)
         order = pa.array(np.concatenate(at))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(kids).view(np.int64)), b.column(1).take(order), b.column(3).take(order)],
-            names=["node", "cid", "above"])
+            [pa.array(np.concatenate(kids).view(np.int64)), b.column(1).take(order), b.column(0).take(order), b.column(3).take(order)],
+            names=["node", "cid", "parent", "above"])
 
 
 def _propose(batches):
@@ -251,19 +253,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _links(classes: DataFrame, keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(cid, links, tie): direct links per class and tile, and the class it is tied to."""
     seeds = F.explode(F.array(*[F.lit(int(x)) for x in mix(np.arange(1, runs_for(threshold=threshold) + 1, dtype=np.uint64)).view(np.int64)]))
-    todo = classes.select(seeds.alias("node"), "cid", "sig", F.lit(1 << 62).cast("long").alias("above"))
-    few = classes.limit(LEAF + 1).count()
+    few = classes.count()
+    todo = classes.select(seeds.alias("node"), "cid", "sig", F.lit(few).cast("long").alias("above"))
     # so few classes are compared at once, without a split
     leaves = classes.select(F.lit(0).cast("long").alias("leaf"), "cid", F.lit(few).cast("long").alias("n")) if few <= LEAF else None
     for depth in range(DEPTH if few > LEAF else 0):
-        kids = staged(todo.mapInArrow(_split, "node long, cid long, above long"), "nodes")
-        # stored, so that both sides of the join arrive by a plain exchange that can be split where a node is hot
-        size = staged(kids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")
-        sized = kids.join(size, "node")
-        # a node that kept most of its parent holds near copies: splitting on does not help
-        final = F.lit(True) if depth == DEPTH - 1 else (F.col("n") <= LEAF) | (F.col("n") * 2 > F.col("above"))
-        done = sized.filter(final).select(F.col("node").alias("leaf"), "cid", "n")
+        kids = staged(todo.mapInArrow(_split, "node long, cid long, parent long, above long"), "nodes")
+        # stored, so that both sides of the joins arrive by a plain exchange that can be split where a node is hot
+        size = staged(kids.groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("above").alias("above"))
+                      .filter("n > 1"), "node-sizes")
+        # nodes of near copies: splitting on does not help, they are compared as they are
+        agree = F.sum(F.col("n").cast("double") * F.col("n")) / (FAN * F.first("above").cast("double") * F.first("above"))
+        near = staged(size.groupBy("parent").agg(agree.alias("agree")).filter(F.col("agree") >= PROPOSE).select("parent"), "near-nodes")
+        done = (todo.select("node", "cid", "above").join(near, F.col("node") == F.col("parent"), "left_semi")
+                .select(F.col("node").alias("leaf"), "cid", F.col("above").alias("n")))
         leaves = done if leaves is None else leaves.unionByName(done)
+        sized = kids.select("node", "cid").join(size.join(near, "parent", "left_anti").select("node", "n"), "node")
+        final = F.lit(True) if depth == DEPTH - 1 else F.col("n") <= LEAF
+        leaves = leaves.unionByName(sized.filter(final).select(F.col("node").alias("leaf"), "cid", "n"))
         if depth == DEPTH - 1:
             break
         todo = staged(sized.filter(~final).select("node", "cid", F.col("n").alias("above"))
