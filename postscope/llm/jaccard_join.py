@@ -244,10 +244,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       F.coalesce("label", "cid").alias("label")))
     joined = staged(rows.drop("sig").join(labels, same, "left")
                     .withColumn("label", F.coalesce("label", -1 - F.col("rid"))), "labelled")
-    best = joined.groupBy("label").agg(F.min(F.struct("doc_id", "rid")).alias("best"))
-    return joined.join(best, "label").select(
-        "doc_id", "t64", F.col("best.doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rid") == F.col("best.rid")).alias("kept"))
+    # one row per label with several rows; stored, so that a large class is split in the join
+    best = staged(joined.groupBy("label").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("n"))
+                  .filter("n > 1").select("label", "best"), "best-rows")
+    alone = F.col("best").isNull()
+    return joined.join(best, "label", "left").select(
+        "doc_id", "t64", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("rid") == F.col("best.rid"))).alias("kept"))
 
 
 def _links(classes: DataFrame, keyed: DataFrame, n: int, threshold: float) -> DataFrame:
