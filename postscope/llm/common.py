@@ -51,6 +51,7 @@ def decided(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     """The stored result of ``make``; the scratch tables written while making it are removed.
 
     Only its own tables: other results, of this thread or another, keep theirs.
+    Inside another such call the result is one of that call's scratch tables.
     """
     paths: list[str] = []
     outer = _owned.set(paths)
@@ -61,6 +62,9 @@ def decided(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     finally:
         _owned.reset(outer)
     remove(spark, paths)
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
     return spark.read.schema(found.schema).parquet(path)
 
 

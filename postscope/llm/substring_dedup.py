@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, staged, utf8
+from .common import decided, pick, slices, staged, utf8
 from .suffix_kernels import cells, cores, covered, samples
 
 SPAN = 400
@@ -115,7 +115,7 @@ def _settle(named: DataFrame, first: bool, last: bool) -> tuple[DataFrame, DataF
     witness = twice.filter("n > 1 or not some_edge").join(open_cores, "core", "left_semi")
     todo = (alone.select("one.*", F.lit(True).alias("edge"))
             .unionByName(witness.select("one.*", F.lit(False).alias("edge"))))
-    return repeated, staged(todo, "open-cells")
+    return repeated, todo
 
 
 def _cutter(span: int):
@@ -151,22 +151,34 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     d = pick(docs, doc_id=doc_id, text=docs[text].cast("string"))
     kind = d.schema["doc_id"].dataType.simpleString()
     keyed = d.select("doc_id", F.xxhash64("text").alias("t64"), "text")
-    rows = staged(keyed.mapInArrow(_first_names(span, reach), f"doc_id {kind}, t64 long, n_bytes long, sha256 string, cells {_CELL_SQL}")
-                  .withColumn("rid", F.monotonically_increasing_id()), "suffix-samples")
-    named = rows.select("rid", F.explode("cells").alias("c")).select("rid", "c.*")
-    todo = _shared(named).select("rid", "a", "lo", "hi", F.lit(True).alias("edge"))
-    hits = []
+    spark = docs.sparkSession
+    cell = F.struct("a", "lo", "hi", "edge")
+
+    # what a level leaves is one table; those it needed on the way are removed
+    def sampled() -> DataFrame:
+        rows = staged(keyed.mapInArrow(_first_names(span, reach), f"doc_id {kind}, t64 long, n_bytes long, sha256 string, cells {_CELL_SQL}")
+                      .withColumn("rid", F.monotonically_increasing_id()), "suffix-samples")
+        shared = _shared(rows.select("rid", F.explode("cells").alias("c")).select("rid", "c.*")).withColumn("edge", F.lit(True))
+        return rows.drop("cells").join(shared.groupBy("rid").agg(F.collect_list(cell).alias("todo")), "rid", "left")
+
+    rows = decided(spark, sampled, "sampled-documents")
+    lists = rows.filter("todo is not null")
     # texts of the documents that hold a shared cell, once
-    one = todo.select("rid").distinct().join(rows.select("rid", "doc_id", "t64"), "rid")
     texts = staged(keyed.withColumnRenamed("doc_id", "d").withColumnRenamed("t64", "t").join(
-        one, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("t64"))).select("rid", "text"), "touched-texts")
+        lists, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("t64"))).select("rid", "text"), "touched-texts")
+    hits = []
     steps = (reach, *steps)
     for k, step in enumerate(steps):
-        lists = todo.groupBy("rid").agg(F.collect_list(F.struct("a", "lo", "hi", "edge")).alias("todo"))
-        named = staged(texts.join(lists, "rid").select("rid", "text", "todo").mapInArrow(
-            _finer_names(span, step), "rid long, a long, lo long, hi long, core long, f1 long, f2 long, edge boolean"), "finer-cells")
-        found, todo = _settle(named, k == 0, k == len(steps) - 1)
-        hits.append(found)
+        def level(k=k, step=step, lists=lists) -> DataFrame:
+            named = staged(texts.join(lists.select("rid", "todo"), "rid").select("rid", "text", "todo").mapInArrow(
+                _finer_names(span, step), "rid long, a long, lo long, hi long, core long, f1 long, f2 long, edge boolean"), "finer-cells")
+            found, todo = _settle(named, k == 0, k == len(steps) - 1)
+            found = found.select("rid", F.lit(0).cast("long").alias("a"), "lo", "hi", F.lit(True).alias("edge"), F.lit(False).alias("again"))
+            return found if todo is None else found.unionByName(todo.withColumn("again", F.lit(True)))
+
+        left = decided(spark, level, "settled-cells")
+        hits.append(left.filter("not again").select("rid", "lo", "hi"))
+        lists = left.filter("again").groupBy("rid").agg(F.collect_list(cell).alias("todo"))
     cover = hits[0]
     for h in hits[1:]:
         cover = cover.unionByName(h)
@@ -175,6 +187,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
            .mapInArrow(_cutter(span), "rid long, n_removed long, n_spans long, kept_sha256 string, kept_text string"))
     none = F.lit(0).cast("long")
     # the texts of repeated rows were joined to each of them
-    return rows.drop("cells").join(cut.dropDuplicates(["rid"]), "rid", "left").select(
+    return rows.drop("todo").join(cut.dropDuplicates(["rid"]), "rid", "left").select(
         "rid", "doc_id", "t64", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"),
         F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept_text")
