@@ -5,10 +5,12 @@ import math
 import random
 import re
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postscope.llm import (decontaminate, jaccard_join, kd_shards, language_id, licenses, packing, repair_store,
@@ -367,17 +369,17 @@ def test_kd_cuts_are_weighted_medians(spark):
 # -- language ----------------------------------------------------------------
 
 def sequential_word(word, model):
-    """Forward sum over all segmentations, one word, plain Python."""
+    """Forward sum over all segmentations, one word, plain Python with decimals."""
     s = language_id.MARK + word
     keys = {int(k): i for i, k in enumerate(model.keys)}
     out = []
     for q in range(len(model.langs)):
-        a = [1.0] + [0.0] * len(s)
+        a = [Decimal(1)] + [Decimal(0)] * len(s)
         for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + language_id.MAX_PIECE) + 1):
+            for j in range(i + 1, min(len(s), i + model.longest) + 1):
                 k = keys.get(int(language_id._piece_hash([s[i:j]])[0]))
-                a[j] += a[i] * (model.probs[k, q] if k is not None else language_id.UNKNOWN if j == i + 1 else 0.0)
-        out.append(math.log(a[-1]))
+                a[j] += a[i] * Decimal(model.probs[k, q] if k is not None else language_id.UNKNOWN if j == i + 1 else 0.0)
+        out.append(float(a[-1].ln()))
     return out
 
 
@@ -390,17 +392,54 @@ def test_language(spark):
     docs = frame(spark, rows, ", lang string")
     m = language_id.fit(docs, language_id.vocabulary(PIECES), rounds=2)
     assert m.langs == ["de", "en"]
-    words = ["fox", "läuft", "über", "zzzqqq", "d" * 40]
+    long = ["".join(rng.choices(("the", "und", "läuft", "ж", "q", "field"), k=k)) for k in (70, 100, 101, 400)]
+    words = ["fox", "läuft", "über", "zzzqqq", "d" * 40, *long, *["ab" * 128 + "c" * k for k in range(18)]]
     assert np.allclose(language_id.word_logprobs(words, m), [sequential_word(w, m) for w in words])
     got = {r.doc_id: r for r in language_id.identify(docs, m).collect()}
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(60))
     assert [got[i].lang_pred for i in (100, 101, 102, 103, 104)] == ["und", "und", "und", "en", "de"]
     assert all(0 <= r.score <= 1 for r in got.values()) and got[100].score == 0 and got[None].lang_pred in ("de", "en")
+    odd = docs.selectExpr("text", "doc_id score", "lang Lang_Pred", "doc_id `a.b`")
+    assert language_id.identify(odd, m).columns == ["a.b", "lang_pred", "score"]
+    assert language_id.identify(odd, m, keep={"text": F.lit(1)}).columns == ["text", "lang_pred", "score"]
     nothing = language_id.fit(docs.limit(0), language_id.vocabulary(PIECES))
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), m).count() == 0
 
 
+def test_language_learning_is_expectation_maximisation(spark):
+    """Two rounds against plain sums over all segmentations; more rounds never fit worse; long words cost the same."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "aba"]
+    texts = [("ab abab ba", "x"), ("abba ab", "x"), ("bb aab", "y"), ("a" * 3, "y"), ("--", "z"), (None, "y")]
+    docs = frame(spark, [(i, t, q) for i, (t, q) in enumerate(texts)], ", lang string")
+
+    def cuts(w):
+        if not w:
+            yield []
+        for p in pieces:
+            if w.startswith(p):
+                yield from ([p, *rest] for rest in cuts(w[len(p):]))
+
+    prob = {q: {p: 1 / len(pieces) for p in pieces} for q in "xy"}
+    for _ in range(2):
+        for q in "xy":
+            total = dict.fromkeys(pieces, 0.05)
+            for w in ("▁" + w for t, lang in texts if t and lang == q for w in language_id.words_of(t)):
+                ways = [(c, math.prod(prob[q][p] for p in c)) for c in cuts(w)]
+                for c, weight in ways:
+                    for p in c:
+                        total[p] += weight / sum(v for _, v in ways)
+            prob[q] = {p: n / sum(total.values()) for p, n in total.items()}
+    m = language_id.fit(docs, pieces, rounds=2, gain=0.0)
+    assert m.langs == ["x", "y"]
+    at = {int(k): i for i, k in enumerate(m.keys)}
+    for p in pieces:
+        assert np.allclose(m.probs[at[int(language_id._piece_hash([p])[0])]], [prob["x"][p], prob["y"][p]])
+    big = "ab" * 200_000
+    assert np.isfinite(language_id.word_logprobs([big], m)).all()
+    assert language_id.identify(frame(spark, [(1, big, None)], ", lang string"), m).first().lang_pred in ("x", "y")
+
+
 # -- toxicity ----------------------------------------------------------------
 
 def test_toxicity(spark):
