@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -46,6 +47,7 @@ MARK = "▁"          # word start, as in the vocabulary file
 UNKNOWN = 1e-7           # probability of a character outside the vocabulary
 CHUNK = 20_000           # words per array operation
 GAIN, ROUNDS = 0.02, 6   # of the log-likelihood per round of learning; most rounds
+UNITS = 200_000          # words taken together in learning
 STRETCH = 64             # longest word learned as one, in characters
 LONG, BLOCK = 256, 16    # characters from which a word is scored in blocks; characters of a block
 BLOCK_VALUES = 1 << 21   # forward values held for the blocks of one array operation
@@ -203,7 +205,7 @@ def _expected(units: list[str], counts: np.ndarray, m: Model, total: np.ndarray)
         for i, j, some, at in reversed(spans):
             beta[i][some] += beta[j][some] * prob[at]
         whole = np.maximum(alpha[n], 1e-300)
-        fit += float(counts[part] @ np.log(whole))
+        fit += float((counts[part] * np.log(whole)).sum())  # not a dot product: its threads spin
         weight = counts[part] / whole
         share = [alpha[i][some] * beta[j][some] * prob[at] * weight[some] for i, j, some, at in spans]
         total += np.bincount(np.concatenate([s[3] for s in spans]), np.concatenate(share), len(total) + 1)[:-1]
@@ -227,17 +229,30 @@ def _counter(batches):
                  pa.array(list(units.values()), pa.int64())], names=["unit", "lang", "n"])
 
 
+def _held(batches, rows: int):
+    """Lists of batches of at least ``rows`` rows (the last one of fewer): array operations need many words of a length."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
 def _learner(shared):
     def learn(batches):
         m: Model = shared.value
-        for b in batches:
-            units, n = b.column("unit").to_pylist(), b.column("n").to_numpy().astype(float)
-            of = np.asarray(b.column("lang").to_pylist())
+        for held in _held(batches, UNITS):
+            t = pa.Table.from_batches(held)
             for q, lang in enumerate(m.langs):
-                mine = np.flatnonzero(of == lang)
-                if len(mine):
+                mine = t.filter(pc.equal(t["lang"], lang))
+                if mine.num_rows:
                     total = np.zeros(len(m.keys))
-                    fit = _expected([units[k] for k in mine], n[mine], Model([lang], m.keys, m.probs[:, q:q + 1], m.longest), total)
+                    fit = _expected(mine["unit"].to_pylist(), mine["n"].to_numpy().astype(float),
+                                    Model([lang], m.keys, m.probs[:, q:q + 1], m.longest), total)
                     at = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays(  # piece -1: the log-likelihood
                         [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.full(len(at) + 1, q, np.int32)),
