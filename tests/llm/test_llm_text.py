@@ -238,6 +238,18 @@ def test_ids_equal_the_tokenizer(path):
         assert mine.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_are_encoded_once_whatever_stands_around_them():
+    # every character up to U+00FF beside letters, numbers, marks and spaces, and case within words
+    mine, tok = TextIds(WORD), Tokenizer.from_file(WORD)
+    texts = [f"{a}{chr(c)}{b}" for c in range(256) for a in ("", "ab", "é ", "1", "!", "'") for b in ("", "Sx", " y", "2", "?")]
+    for t in [*texts, "'S don'T 'stop", "<|ENDOFTEXT|>", "a<|endoftext|>B"]:
+        assert mine.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    mine = TextIds(WORD)
+    t = "Zornig, zornig. ZORNIG!\nzornig:\tzornig?\n\n'Zornig'"
+    assert mine.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert "zornig" in mine.words and not mine.parts and sum("zornig" in w.lower() for w in mine.words) == 1
+
+
 def test_token_files_round_trip(spark, corpus):
     docs = corpus + [(500 + i, t) for i, t in enumerate(ODD)]
     path = scratch_path(spark, "token-test")
