@@ -1,8 +1,8 @@
 """Records from stored HTML pages.
 
 S6 (shelf pages) needs nested element tests, so it parses in Python with the
-standard library's ``html.parser`` inside ``mapInPandas``: Spark partitions
-the pages, Arrow batches them, and each task parses only its own pages.
+standard library's ``html.parser`` inside a Python UDF: Spark partitions and
+batches the pages, and each task parses only its own pages.
 S7's flat link rows stay JVM-side with ``regexp_extract_all``.
 """
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,34 +179,43 @@ def count_review_rows(html: str | None) -> int | None:
 _ROWS = ("array<struct<row:long,title:string,author:string,book_url:string,rating:int,review:string>>")
 
 
-_PARSED = f"user_id string, page long, n_rows int, rows {_ROWS}, error string"
+_PAGE = f"n_rows int, rows {_ROWS}, error string"
+_PARSED = f"user_id string, page long, {_PAGE}"
+_BOOK = pa.struct([("row", pa.int64()), ("title", pa.string()), ("author", pa.string()), ("book_url", pa.string()), ("rating", pa.int32()),
+                   ("review", pa.string())])
+_PARSED_ARROW = pa.schema([("user_id", pa.string()), ("page", pa.int64()), ("n_rows", pa.int32()), ("rows", pa.list_(_BOOK)), ("error", pa.string())])
+_NAMES = ("row", "title", "author", "book_url", "rating", "review")
+# pages a worker holds parsed at once
+PARSED_AT_ONCE = 64
 
 
-def _parser(site: str, per_page: int | None):
-    """Parse pages in the order they come; with ``per_page`` a user's pages after an unfull one are left out unparsed."""
-    names = ("row", "title", "author", "book_url", "rating", "review")
+def _page_parser(site: str):
+    def parsed(html: str | None) -> tuple[int | None, list[tuple], str | None]:
+        """Row count, rows and error of a page."""
+        try:
+            return *shelf_page(html, site), None
+        except Exception as e:  # noqa: BLE001 - recorded per page
+            return None, [], f"{type(e).__name__}: {e}"
+    return parsed
+
+
+def _parser(site: str, per_page: int):
+    """Parse pages in the order they come; a user's pages after an unfull one are left out unparsed."""
+    parsed = _page_parser(site)
 
     def parse(batches):
         stopped = None
-        for pdf in batches:
-            kept, counts, rows, errors = [], [], [], []
-            for i, (user, html) in enumerate(zip(pdf["user_id"], pdf["html"])):
-                if per_page is not None and user is not None and user == stopped:
-                    continue
-                n, found, error = None, [], None
-                try:
-                    n, found = shelf_page(html, site)
-                except Exception as e:  # noqa: BLE001 - recorded per page
-                    error = f"{type(e).__name__}: {e}"
-                if per_page is not None:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PARSED_AT_ONCE):
+                users, pages, texts = (c.to_pylist() for c in batch.slice(at, PARSED_AT_ONCE).columns)
+                kept = []
+                for user, page, html in zip(users, pages, texts):
+                    if user is not None and user == stopped:
+                        continue
+                    n, found, error = parsed(html)
                     stopped = user if n is None or n < per_page else None
-                kept.append(i)
-                counts.append(n)
-                rows.append([dict(zip(names, r)) for r in found])
-                errors.append(error)
-            yield pd.DataFrame({"user_id": pdf["user_id"].iloc[kept].to_numpy(), "page": pdf["page"].iloc[kept].astype("Int64").array,
-                                "n_rows": pd.array(counts, dtype="Int32"), "rows": pd.Series(rows, dtype=object),
-                                "error": pd.Series(errors, dtype=object)})
+                    kept.append({"user_id": user, "page": page, "n_rows": n, "rows": [dict(zip(_NAMES, r)) for r in found], "error": error})
+                yield pa.RecordBatch.from_pylist(kept, _PARSED_ARROW)
     return parse
 
 
@@ -213,10 +223,14 @@ def parse_pages(pages: DataFrame, site: str = SITE) -> DataFrame:
     """S6 + W5 input in one pass: ``(user_id, page, n_rows, rows, error)`` per page.
 
     A page that cannot be parsed keeps its place, with no rows, a null count
-    and the reason in ``error``; it never fails the job.
+    and the reason in ``error``; it never fails the job.  Pages reach a worker a
+    hundred at a time (a plain UDF; Arrow batches would hold 10,000 of them).
     """
     pages = spread(pages.select("user_id", F.col("page").cast("long").alias("page"), "html"), "user_id", "page")
-    return pages.mapInPandas(_parser(site, None), _PARSED)
+    # not deterministic: a plan never parses a page twice
+    parse = F.udf(_page_parser(site), _PAGE, useArrow=False).asNondeterministic()
+    return (pages.select(F.col("user_id").cast("string").alias("user_id"), "page", parse("html").alias("_p"))
+            .select("user_id", "page", "_p.n_rows", "_p.rows", "_p.error"))
 
 
 def parse_until_short(pages: DataFrame, per_page: int, site: str = SITE, slice_pages: int = 64) -> DataFrame:
@@ -226,9 +240,9 @@ def parse_until_short(pages: DataFrame, per_page: int, site: str = SITE, slice_p
     by separate tasks; inside a slice nothing behind the stop is parsed.
     """
     part = F.floor(F.col("page") / slice_pages)
-    dealt = (pages.select("user_id", F.col("page").cast("long").alias("page"), "html")
+    dealt = (pages.select(F.col("user_id").cast("string").alias("user_id"), F.col("page").cast("long").alias("page"), "html")
              .repartition(F.col("user_id"), part).sortWithinPartitions("user_id", "page"))
-    return dealt.mapInPandas(_parser(site, per_page), _PARSED)
+    return dealt.mapInArrow(_parser(site, per_page), _PARSED)
 
 
 def shelf_rows(parsed: DataFrame, per_page: int = PER_PAGE) -> DataFrame:

@@ -126,3 +126,21 @@ def test_a_page_is_parsed_once(monkeypatch):
     real = H._TreeBuilder
     monkeypatch.setattr(H, "_TreeBuilder", lambda: built.append(1) or real())
     assert H.shelf_page('<table id="books"><tr id="review_1"></tr></table>') == (1, []) and len(built) == 1
+
+
+def test_pages_reach_a_worker_in_small_batches(spark):
+    import pyarrow as pa
+
+    from helpers import plan_text
+    from postscope.sources import html as H
+    html = '<table id="books">' + "".join(f'<tr id="review_{i}"></tr>' for i in range(3)) + "</table>"
+    pages = spark.createDataFrame([("a", 1, html), (None, None, None)], "user_id string, page long, html string")
+    parsed = H.parse_pages(pages)
+    assert sorted(map(repr, parsed.collect())) == ["Row(user_id='a', page=1, n_rows=3, rows=[], error=None)",
+                                                   "Row(user_id=None, page=None, n_rows=None, rows=[], error=None)"]
+    # a plain UDF: Arrow would send 10,000 pages at once
+    plan = plan_text(parsed)
+    assert "BatchEvalPython" in plan and "MapIn" not in plan
+    many = pa.RecordBatch.from_pylist([{"user_id": "a", "page": i, "html": html} for i in range(200)])
+    sizes = [b.num_rows for b in H._parser(H.SITE, 3)(iter([many]))]
+    assert sum(sizes) == 200 and max(sizes) <= H.PARSED_AT_ONCE
