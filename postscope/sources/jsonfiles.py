@@ -69,6 +69,10 @@ def parse_run_params(texts: DataFrame, value: str = "value", account_key: str =
 
 
 def read_run_params(spark: SparkSession, path: str, account_key: str = "account") -> DataFrame:
-    """S5 over settings files: one (pretty-printed) JSON object per file."""
+    """S5 over settings files: one (pretty-printed) JSON object per file, or an array of them."""
     whole = spark.read.text(path, wholetext=True)
-    return parse_run_params(whole, account_key=account_key)
+    one = F.array("value")
+    # an element is kept as its JSON text; an array that is cut short stays one unparsable object
+    several = F.coalesce(F.from_json("value", T.ArrayType(T.StringType())), one)
+    objects = whole.select(F.explode(F.when(F.col("value").rlike(r"^\s*\["), several).otherwise(one)).alias("value"))
+    return parse_run_params(objects, account_key=account_key)

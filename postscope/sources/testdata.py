@@ -221,6 +221,14 @@ def run_params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.to_json(obj).alias("value"))
 
 
+def run_params_files(spark: SparkSession, sf_dir: str, per_file: int = 1000) -> DataFrame:
+    """``(file, value)``: JSON arrays of the settings of ``per_file`` account ids each, so the collect is bounded."""
+    j = run_params_json(spark, sf_dir)
+    account = F.get_json_object("value", "$.account").cast("long")
+    return (j.groupBy(F.floor(account / per_file).alias("file"))
+            .agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]")).alias("value")))
+
+
 def shelf_json(spark: SparkSession, sf_dir: str, per_file: int = 100) -> DataFrame:
     """Bookshelf JSON arrays (as the shelf exporter writes them) from ``benchmark``.
 

@@ -47,6 +47,34 @@ def test_json_files(spark, tmp_path):
     assert got == {"a": 2147483647, "b": 50, "c": 50, "d": 7}
 
 
+def test_settings_files_hold_one_object_or_an_array(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    obj = ['{"account": "a", "likes_per_day": "7", "hashtags": ["x, y", "[z]"]}', '{"account": "b\\"]", "likes_per_day": 9}', '{"account": "c"}']
+    (folder / "one.json").write_text(obj[0].replace(', "', ',\n "'))
+    (folder / "two.json").write_text(" \n[" + ",\n".join(obj[1:]) + "]\n")
+    (folder / "none.json").write_text("[]")
+    (folder / "cut.json").write_text('[{"account": "d"}, {"acc')
+    got = sorted(((r["account"] or "", r["likes_per_day"], r["hashtags"]) for r in read_run_params(spark, str(folder)).collect()))
+    default = read_run_params(spark, str(folder)).filter("account = 'c'").first()["likes_per_day"]
+    assert got == [("", default, []), ("a", 7, ["x, y", "[z]"]), ('b"]', 9, []), ("c", default, [])]
+
+
+def test_run_params_writes_few_files(spark, tmp_path):
+    """Files grow with the ids by a thousandth, and every account comes back once."""
+    import datetime
+
+    from postscope.catalog import QUERIES
+    from postscope.sources import testdata as td
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at, u, "click", 1.0, "{}") for i, u in enumerate([*range(2500), *range(50)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    assert td.run_params_files(spark, str(tmp_path)).count() == 3
+    got = sorted(int(r["account"]) for r in QUERIES["run_params"](spark, str(tmp_path)).collect())
+    assert got == list(range(2500))
+
+
 def test_run_log_keeps_every_line(spark, tmp_path):
     t = "2024-01-05 10:11:12,345 "
     (tmp_path / "logs").mkdir()
