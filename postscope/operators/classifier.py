@@ -1,8 +1,10 @@
 """A pluggable per-post classifier.
 
 The caller injects ``fn(details: dict) -> str | None``; ``None`` means skip.
-It runs in ``mapInPandas`` over Arrow batches of only the columns it needs;
-nulls reach it as ``None``.  An exception, or a result that is no text, becomes
+It runs as a plain Python UDF over only the columns it needs: rows reach a
+worker a hundred at a time, so its memory does not grow with the number of
+posts or the length of their texts (Arrow batches hold 10,000 whole texts).
+Nulls reach it as ``None``.  An exception, or a result that is no text, becomes
 an ``error`` value on that row (as the reference logs it) and never fails the
 job.
 """
@@ -12,7 +14,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,30 +26,19 @@ def with_classifier(df: DataFrame, fn: Callable[[dict], str | None], inputs: Seq
     """Add ``result``, ``skipped`` and ``error`` per row of ``df[key, *inputs]``."""
     cols = [key, *[c for c in inputs if c != key]]
     base = df.select(*cols)   # keeps the caller's partitioning (sources spread their scans)
-    schema = T.StructType(list(base.schema.fields) + [
-        T.StructField("result", T.StringType()), T.StructField("skipped", T.BooleanType()),
-        T.StructField("error", T.StringType())])
-
-    def run(batches):
-        for pdf in batches:
-            results, skipped, errors = [], [], []
-            nulls = pdf.isna().to_dict("records")
-            for rec, null in zip(pdf.to_dict("records"), nulls):
-                try:
-                    r = fn({k: None if null[k] is True else v for k, v in rec.items()})
-                    if r is not None and not isinstance(r, str):
-                        raise TypeError(f"the classifier gave {type(r).__name__}, not text")
-                    results.append(r)
-                    skipped.append(r is None)
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - recorded per row
-                    results.append(None)
-                    skipped.append(False)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(result=pd.Series(results, dtype=object), skipped=skipped,
-                             error=pd.Series(errors, dtype=object))
-
-    return base.mapInPandas(run, schema)
+
+    def call(row):
+        try:
+            r = fn({c: None if v is None or v != v else v for c, v in zip(cols, row)})
+            if r is not None and not isinstance(r, str):
+                raise TypeError(f"the classifier gave {type(r).__name__}, not text")
+            return r, r is None, None
+        except Exception as e:  # noqa: BLE001 - recorded per row
+            return None, False, f"{type(e).__name__}: {e}"
+
+    # not deterministic: a plan never calls it twice for a row
+    answer = F.udf(call, "result string, skipped boolean, error string", useArrow=False).asNondeterministic()
+    return base.withColumn("_answer", answer(F.struct(*cols))).select(*cols, "_answer.result", "_answer.skipped", "_answer.error")
 
 
 _RESULT = T.StructType([T.StructField("_hash", T.StringType()), T.StructField("result", T.StringType()),

@@ -75,6 +75,14 @@ def test_run_params_writes_few_files(spark, tmp_path):
     assert got == list(range(2500))
 
 
+def test_classifier_takes_rows_in_small_batches(spark):
+    """A plain UDF: Arrow would hold 10,000 whole texts at once."""
+    from helpers import plan_text
+    df = spark.createDataFrame([("1", "x")], "media_id string, caption string")
+    plan = plan_text(with_classifier(df, lambda rec: rec["caption"], ["caption"]))
+    assert "BatchEvalPython" in plan and "MapInPandas" not in plan
+
+
 def test_run_log_keeps_every_line(spark, tmp_path):
     t = "2024-01-05 10:11:12,345 "
     (tmp_path / "logs").mkdir()
