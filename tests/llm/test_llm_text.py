@@ -561,7 +561,7 @@ def test_queries_equal_their_sql(spark):
     from postscope.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for key, sql in SQL.items():
         df = QUERIES[key](spark, sf)
