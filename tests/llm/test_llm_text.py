@@ -9,6 +9,7 @@ from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -250,6 +251,40 @@ def test_words_are_encoded_once_whatever_stands_around_them():
     assert "zornig" in mine.words and not mine.parts and sum("zornig" in w.lower() for w in mine.words) == 1
 
 
+def test_texts_of_a_call_look_each_word_up_once():
+    rng = random.Random(8)
+    tok, mine = Tokenizer.from_file(WORD), TextIds(WORD)
+    narrow = ["".join(rng.choice("aBst'rvel mdé.,\n\t 1²Ø\xa0\x1c\0") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts = ["", *narrow, " ", "'", "don't've'LL 'style", "Ωmega ’s", "<|endoftext|> a", *ODD[:2], None, "x'"]
+    texts = [t or "" for t in texts]
+    for batch in (texts, [""], [], [" ", "'"], ["Ω"]):
+        assert [i.tolist() for i in mine.many(batch)] == [tok.encode(t, add_special_tokens=False).ids for t in batch]
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return mine._encode_word(word)
+
+    mine.words = Counted()
+    mine.many(["Zorn und zorn, UND zorn"] * 500)
+    assert Counted.asked == 3
+
+
+def test_token_files_do_not_depend_on_what_is_encoded_together(corpus, monkeypatch):
+    docs = corpus + [(500 + i, t) for i, t in enumerate(ODD)]
+    rows = []
+    for size in (1, 1 << 22):
+        encode = repair_store._encoder(WORD, 1, 500, pa.int64())
+        monkeypatch.setattr(repair_store, "TEXT_BYTES", size)
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.string())],
+                                           names=["doc_id", "text"])
+        monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))
+        rows.append([b.to_pylist() for b in encode(iter([batch]))])
+    assert rows[0] == rows[1] and len(rows[0]) > 1
+
+
 def test_token_files_round_trip(spark, corpus):
     docs = corpus + [(500 + i, t) for i, t in enumerate(ODD)]
     path = scratch_path(spark, "token-test")
